@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,17 +15,18 @@ from pyspark.sql.window import Window
 
 from .common import extended, slices
 
-#: Bytes of text in a language's dictionary, documents it is taken from at most, and bytes taken of each.
-DICT_BYTES = 96 << 10
-DICT_DOCS = 200
-DOC_BYTES = 2 << 10
+#: Bytes of text in a language's dictionary, documents it is taken from at most, and characters taken of each.
+DICT_BYTES = 32 << 10
+DICT_DOCS = 100
+DOC_CHARS = 512
 #: A text is compressed in blocks, so that its own beginning doesn't stand in for the dictionary.
-BLOCK = 1 << 10
-LEVEL = 3
+BLOCK = 4 << 10
+LEVEL = 6
 #: Share of bytes by which the best language must beat the next.
 MARGIN = 0.01
 
 _LETTER = regex.compile(r"\p{L}")
+_OTHER = re.compile(r"[\W\d_]+")
 
 
 def held_out(docs: DataFrame, parts: int = 4, part: int = 2) -> DataFrame:
@@ -33,7 +35,7 @@ def held_out(docs: DataFrame, parts: int = 4, part: int = 2) -> DataFrame:
     return docs.withColumn("held_out", key % parts == part)
 
 
-def learn(docs: DataFrame, dict_bytes: int = DICT_BYTES, dict_docs: int = DICT_DOCS, doc_bytes: int = DOC_BYTES) -> dict[str, bytes]:
+def learn(docs: DataFrame, dict_bytes: int = DICT_BYTES, dict_docs: int = DICT_DOCS, doc_chars: int = DOC_CHARS) -> dict[str, bytes]:
     """A raw-content dictionary for each language of ``docs`` (text, lang).
 
     The sample is bounded: for each language the beginnings of the ``dict_docs`` texts with the smallest hashes.
@@ -45,12 +47,17 @@ def learn(docs: DataFrame, dict_bytes: int = DICT_BYTES, dict_docs: int = DICT_D
     picked = (
         known.join(F.broadcast(chosen), ["lang", "h"])  # dict_docs rows for each language
         .groupBy("lang", "h")
-        .agg(F.min(F.substring("text", 1, doc_bytes)).alias("piece"))
+        .agg(F.min(F.substring("text", 1, doc_chars)).alias("piece"))
     )
     parts: dict[str, list[bytes]] = {}
     for r in sorted(picked.collect(), key=lambda r: (r.lang, r.h)):
-        parts.setdefault(r.lang, []).append(r.piece.lower().encode())
-    return {lang: b"\n".join(p)[:dict_bytes] for lang, p in sorted(parts.items())}
+        parts.setdefault(r.lang, []).append(plain(r.piece))
+    return {lang: b" ".join(p)[:dict_bytes] for lang, p in sorted(parts.items())}
+
+
+def plain(text: str) -> bytes:
+    """Lower-case letters only, with one space for whatever stands between them."""
+    return _OTHER.sub(" ", text.lower()).encode()
 
 
 def sizes(text: bytes, compressors: list[zstandard.ZstdCompressor]) -> list[int]:
@@ -89,7 +96,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MA
                         score.append(0.0)
                         sure.append(False)
                         continue
-                    got = sizes(t.lower().encode(), compressors)
+                    got = sizes(plain(t), compressors)
                     best = int(np.argmin(got))
                     next_best = min([s for i, s in enumerate(got) if i != best], default=None)
                     gain = 1.0 if next_best is None else 1 - got[best] / next_best

@@ -24,7 +24,7 @@ def bucket_of(h: Column, level: int) -> Column:
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: float = 3.0) -> DataFrame:
-    """(source, source_size, target) from (source, source_size), one row per source.
+    """(skey, source_size, target) from (skey, source, source_size), one row per source.
 
     Sources by code point, null last, have the weights in turn. Targets are ``least(most * size, level * weight)``
     for the one level at which they sum to the size of all: what reshaping an excess by weight again and again
@@ -46,73 +46,90 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most
     first = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "source", "level"))).over(every)
     chosen = first["level"]
     return fits.withColumn("chosen", F.coalesce(chosen, F.lit(0.0))).select(
-        "source", "source_size", F.least(F.col("cap"), F.col("chosen") * F.col("weight")).alias("target")
+        "skey", "source_size", F.least(F.col("cap"), F.col("chosen") * F.col("weight")).alias("target")
     )
 
 
-def _boundary(histogram: DataFrame, keys: list[str]) -> DataFrame:
-    """For each source the first cell where the running sum passes the budget, and what is taken before it."""
+def _passed(histogram: DataFrame, keys: list[str]) -> DataFrame:
+    """For each source the first cell at which the running sum passes the budget, and the budget left before it."""
     running = Window.partitionBy("skey").orderBy("cell")
-    passed = histogram.withColumn("after", F.sum("words").over(running))
     return (
-        passed.filter((F.col("after") > F.col("budget")) & (F.col("words") > 0))
+        histogram.withColumn("after", F.sum("words").over(running))
+        .filter("after > budget AND words > 0")
         .groupBy("skey", *keys)
-        .agg(F.min(F.struct("cell", (F.col("after") - F.col("words")).alias("before"), "words", "budget")).alias("b"))
-        .select("skey", *keys, "b.*")
+        .agg(F.min(F.struct("cell", (F.col("budget") - F.col("after") + F.col("words")).alias("left"))).alias("b"))
+        .select("skey", *keys, "b.cell", "b.left")
     )
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: float = 3.0) -> DataFrame:
+def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
+    """(skey, threshold, left): rows (skey, size, h) with h below the threshold fill the source's budget up to ``left``.
+
+    One histogram of word sums by source and hash bucket finds the bucket that the budget ends in; a second one,
+    over that bucket's rows alone, the cell in it. A source whose rows all fit has no row here.
+    """
+    cell = bucket_of(F.col("h"), 0)
+    first = rows.groupBy("skey", cell.alias("cell")).agg(F.sum("size").alias("words")).join(budgets, "skey")
+    ends = _passed(first, []).select("skey", F.col("cell").alias("bucket"), F.col("left").alias("budget"))
+    second = (
+        rows.select("skey", "size", "h", cell.alias("bucket"))
+        .join(ends, ["skey", "bucket"])
+        .groupBy("skey", "bucket", "budget", bucket_of(F.col("h"), 1).alias("cell"))
+        .agg(F.sum("size").alias("words"))
+    )
+    at = F.shiftleft(F.col("bucket").cast("long"), BITS) + F.col("cell")
+    return _passed(second, ["bucket"]).select("skey", F.shiftleft(at, HASH_BITS - 2 * BITS).alias("threshold"), "left")
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: float = 3.0, fills: int = 3) -> DataFrame:
     """Every document with the words that the mix takes of it: 0, its size, or up to ``most`` times its size.
 
     Returns doc_id, size, source_size, target, taken and copies. A source's target is so many whole rounds over it
-    and a rest; the rest takes the documents whose hash is under the source's threshold. The threshold comes from
-    word sums by source and hash bucket; only the bucket that the budget ends in is split by more hash bits, and
-    its last cell is taken if that is nearer to the budget than leaving it. Smaller budgets take a subset of what
-    larger ones take. Null texts have size 0; a null source is one of its own; rows with one doc_id share a
-    decision; an empty table gives no rows; other columns are not read.
+    and a rest; the rest takes the documents whose hash is under the source's threshold, so a smaller budget takes a
+    subset of what a larger one takes. The threshold leaves a gap of less than the next cell's documents; it is
+    closed ``fills`` times in the same way, among documents not yet taken that are no larger than the gap.
+
+    Null texts have size 0; a null source is one of its own; rows with one doc_id share a hash, so they go together
+    where their sizes do; an empty table gives no rows; other columns are not read. Sources are grouped only after
+    partial sums, so a source with a third of the rows is no burden; tables with a row per source are not broadcast
+    unless Spark has measured them.
     """
     sized = docs.select(
         "doc_id",
+        F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("skey"),
         "source",
         F.size(words_of(F.col("text"))).cast("long").alias("size"),
         hash_of(F.col("doc_id")).alias("h"),
-    ).withColumn("skey", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")))
-    sized = written(sized, "mix-sizes")  # read four times below; holds no text
-    cells = sized.groupBy("skey", "source", bucket_of(F.col("h"), 0).alias("cell")).agg(F.sum("size").alias("words"))
-    sources = targets(cells.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
-    plan = sources.select(
-        F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("skey"),
-        "source_size",
-        "target",
-        F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).alias("rounds"),
-    ).withColumn("budget", F.col("target") - F.col("rounds") * F.col("source_size"))
-    first = _boundary(cells.join(plan, "skey").select("skey", "cell", "words", "budget"), [])
-    # the boundary bucket only, one cell finer
-    b0 = first.select("skey", F.col("cell").alias("cell0"), (F.col("budget") - F.col("before")).alias("budget"))
-    inner = (
-        sized.select("skey", "size", "h", bucket_of(F.col("h"), 0).alias("cell0"))
-        .join(b0, ["skey", "cell0"])
-        .groupBy("skey", "cell0", "budget", bucket_of(F.col("h"), 1).alias("cell"))
-        .agg(F.sum("size").alias("words"))
-    )
-    second = _boundary(inner, ["cell0"]).select(
-        "skey",
-        "cell0",
-        F.col("cell").alias("cell1"),
-        (F.col("budget") - F.col("before") >= F.col("words") / 2).cast("long").alias("last"),
     )
-    threshold = second.select(
-        "skey",
-        F.shiftleft(
-            F.shiftleft(F.col("cell0").cast("long"), BITS) + F.col("cell1") + F.col("last"), HASH_BITS - 2 * BITS
-        ).alias("threshold"),
+    sized = written(sized, "mix-sizes")  # read again and again below; holds no text
+    sources = sized.groupBy("skey", "source").agg(F.sum("size").alias("source_size"))
+    rounds = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
+    plan = (
+        targets(sources, weights, most)
+        .withColumn("rounds", rounds)
+        .withColumn("budget", F.col("target") - F.col("rounds") * F.col("source_size"))
     )
-    decided = plan.join(threshold, "skey", "left")
-    under = F.coalesce(F.col("h") < F.col("threshold"), F.col("budget") > 0)
-    copies = (F.col("rounds") + under.cast("long")).cast("long")
+    plan = written(plan, "mix-plan")
+    ranges, left = plan, plan.select("skey", "budget")
+    taken = F.lit(False)
+    for k in range(fills + 1):
+        name, most_words = f"threshold{k}", f"gap{k}"
+        rows = sized if not k else sized.join(ranges, "skey").filter((F.col("size") <= F.col(most_words)) & ~taken)
+        found = thresholds(rows.select("skey", "size", "h"), left)
+        found = left.withColumnRenamed("budget", most_words).join(found, "skey", "left")
+        # without a threshold all rows fit: nothing is left to fill then but what no row is small enough for
+        ranges = written(
+            ranges.drop(most_words).join(
+                found.select("skey", most_words, F.col("threshold").alias(name), F.coalesce("left", F.lit(0.0)).alias(f"gap{k + 1}")), "skey"
+            ),
+            "mix-ranges",
+        )
+        left = ranges.select("skey", F.col(f"gap{k + 1}").alias("budget"))
+        below = (F.col("h") < F.coalesce(name, F.lit(1 << HASH_BITS))) & (F.col(most_words) > 0)
+        taken = taken | (below if not k else below & (F.col("size") <= F.col(most_words)))
     return (
-        sized.join(decided, "skey")
-        .withColumn("copies", copies)
+        sized.drop("source")
+        .join(ranges, "skey")
+        .withColumn("copies", (F.col("rounds") + taken.cast("long")).cast("long"))
         .select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
     )
