@@ -70,7 +70,8 @@ def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     """
     cell = bucket_of(F.col("h"), 0)
     first = rows.groupBy("skey", cell.alias("cell")).agg(F.sum("size").alias("words")).join(budgets, "skey")
-    ends = _passed(first, []).select("skey", F.col("cell").alias("bucket"), F.col("left").alias("budget"))
+    # written, so that Spark knows its size: a row per source is broadcast where small and no source is one task
+    ends = written(_passed(first, []).select("skey", F.col("cell").alias("bucket"), F.col("left").alias("budget")), "mix-ends")
     second = (
         rows.select("skey", "size", "h", cell.alias("bucket"))
         .join(ends, ["skey", "bucket"])
