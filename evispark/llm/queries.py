@@ -6,12 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language, minhash, mixing, pieces, quality, sharding, token_counts
+from . import fingerprints, language, minhash, mixing, pieces, quality, sharding, substrings, suffixes, token_counts
 from .common import documents
 
 MODEL = "piece_bpe_32k.model"
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(documents(spark, sf_dir).select("doc_id", "text")).drop("text", "kept_text")
+
+
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), n=4, percent=80)
 
@@ -50,5 +54,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), model, limit=4096)
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_dedup, op3_fingerprints, op4_quality_rules, op5_language_id, op6_sharding, op7_mixing, op8_sentencepiece, op9_token_counts)}
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.dedup(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.filter("n_repeated > 0").drop("text", "kept_text")
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_minhash_dedup, op3_fingerprints, op4_quality_rules, op5_language_id, op6_sharding, op7_mixing, op8_sentencepiece, op9_token_counts, op10_suffix_array_dedup)}
 ORACLES: dict[str, str] = {}
