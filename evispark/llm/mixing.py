@@ -82,6 +82,54 @@ def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     return _passed(second, ["bucket"]).select("skey", F.shiftleft(at, HASH_BITS - 2 * BITS).alias("threshold"), "left")
 
 
+def measured(docs: DataFrame) -> DataFrame:
+    """``docs`` with what decides about a row: skey (its source), size (words) and h (hash)."""
+    return docs.withColumns(
+        {
+            "skey": F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")),
+            "size": F.size(words_of(F.col("text"))).cast("long"),
+            "h": hash_of(F.col("doc_id")),
+        }
+    )
+
+
+def plan(sized: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: float = 3.0, fills: int = 3) -> DataFrame:
+    """For each source: source_size, target, rounds (whole copies of all), and threshold{k} and gap{k} of its rest.
+
+    ``sized``: (skey, source, size, h), a table that is cheap to read again and again.
+    """
+    sources = sized.groupBy("skey", "source").agg(F.sum("size").alias("source_size"))
+    rounds = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
+    rest = F.col("target") - F.col("rounds") * F.col("source_size")
+    out = written(targets(sources, weights, most).withColumn("rounds", rounds).withColumn("gap0", rest), "mix-plan")
+    for k in range(fills + 1):
+        rows = sized.join(out, "skey").filter((F.col("size") <= F.col(f"gap{k}")) & ~_chosen(k)) if k else sized
+        found = thresholds(rows.select("skey", "size", "h"), out.select("skey", F.col(f"gap{k}").alias("budget")))
+        # without a threshold all rows fit, and no row is left to fill what remains
+        found = found.select("skey", F.col("threshold").alias(f"threshold{k}"), F.col("left").alias(f"gap{k + 1}"))
+        out = written(
+            out.join(found, "skey", "left").fillna({f"threshold{k}": 1 << HASH_BITS, f"gap{k + 1}": 0.0}), "mix-plan"
+        )
+    return out
+
+
+def _chosen(levels: int) -> Column:
+    """Whether a row is in its source's rest, by the first ``levels`` thresholds."""
+    out = F.lit(False)
+    for k in range(levels):
+        below = (F.col("h") < F.col(f"threshold{k}")) & (F.col(f"gap{k}") > 0)
+        out = out | ((below & (F.col("size") <= F.col(f"gap{k}"))) if k else below)
+    return out
+
+
+def copies(sized: DataFrame, by_source: DataFrame) -> DataFrame:
+    """Rows of ``measured`` documents with source_size, target and copies, as ``plan`` has it for their sources."""
+    levels = sum(c.startswith("threshold") for c in by_source.columns)
+    extra = [c for c in by_source.columns if c.startswith(("threshold", "gap")) or c == "rounds"]
+    n = (F.col("rounds") + _chosen(levels).cast("long")).cast("long")
+    return sized.join(by_source, "skey").withColumn("copies", n).drop("skey", "h", *extra)
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: float = 3.0, fills: int = 3) -> DataFrame:
     """Every document with the words that the mix takes of it: 0, its size, or up to ``most`` times its size.
 
@@ -95,42 +143,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: flo
     partial sums, so a source with a third of the rows is no burden; tables with a row per source are not broadcast
     unless Spark has measured them.
     """
-    sized = docs.select(
-        "doc_id",
-        F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("skey"),
-        "source",
-        F.size(words_of(F.col("text"))).cast("long").alias("size"),
-        hash_of(F.col("doc_id")).alias("h"),
-    )
-    sized = written(sized, "mix-sizes")  # read again and again below; holds no text
-    sources = sized.groupBy("skey", "source").agg(F.sum("size").alias("source_size"))
-    rounds = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    plan = (
-        targets(sources, weights, most)
-        .withColumn("rounds", rounds)
-        .withColumn("budget", F.col("target") - F.col("rounds") * F.col("source_size"))
-    )
-    plan = written(plan, "mix-plan")
-    ranges, left = plan, plan.select("skey", "budget")
-    taken = F.lit(False)
-    for k in range(fills + 1):
-        name, most_words = f"threshold{k}", f"gap{k}"
-        rows = sized if not k else sized.join(ranges, "skey").filter((F.col("size") <= F.col(most_words)) & ~taken)
-        found = thresholds(rows.select("skey", "size", "h"), left)
-        found = left.withColumnRenamed("budget", most_words).join(found, "skey", "left")
-        # without a threshold all rows fit: nothing is left to fill then but what no row is small enough for
-        ranges = written(
-            ranges.drop(most_words).join(
-                found.select("skey", most_words, F.col("threshold").alias(name), F.coalesce("left", F.lit(0.0)).alias(f"gap{k + 1}")), "skey"
-            ),
-            "mix-ranges",
-        )
-        left = ranges.select("skey", F.col(f"gap{k + 1}").alias("budget"))
-        below = (F.col("h") < F.coalesce(name, F.lit(1 << HASH_BITS))) & (F.col(most_words) > 0)
-        taken = taken | (below if not k else below & (F.col("size") <= F.col(most_words)))
-    return (
-        sized.drop("source")
-        .join(ranges, "skey")
-        .withColumn("copies", (F.col("rounds") + taken.cast("long")).cast("long"))
-        .select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+    sized = written(measured(docs.select("doc_id", "source", "text")).drop("text"), "mix-sizes")  # holds no text
+    return copies(sized, plan(sized, weights, most, fills)).select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies"
     )

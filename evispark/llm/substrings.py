@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, extended, grams, slices, sliding_min, written
-from .windows import BUCKET, RUN, covered, cut, find, place_frame, sorted_windows, split_rows, text_key, with_stretches
+from .windows import BUCKET, RUN, covered, find, place_frame, sorted_windows, split_rows, text_key, with_stretches
 
 #: Words of a window, and of the k-mers whose smallest hash is its minimiser.
 WINDOW, KMER = 50, 12
@@ -48,7 +48,7 @@ def repeats(docs: DataFrame, size: int = WINDOW, k: int = KMER, bucket: int = BU
         .filter("low < high")
         .select("key", (F.col("times") > bucket).alias("hot"))
     )
-    return find(cut(places.join(shared, "key"), docs, size), size, False, sorted_windows)
+    return find(places, shared, docs, size, False, sorted_windows)
 
 
 def dedup(docs: DataFrame, size: int = WINDOW, k: int = KMER) -> DataFrame:

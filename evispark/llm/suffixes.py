@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, extended, grams, slices, sliding_min, written
-from .windows import BUCKET, FIRST, REMOVED, covered, cut, find, place_frame, split_rows, stretches, text_key, with_stretches
+from .windows import BUCKET, FIRST, REMOVED, covered, find, place_frame, split_rows, stretches, text_key, with_stretches
 
 #: Words of the shortest repeat, and of the seed that starts a retained suffix.
 LEAST, SEED = 50, 20
@@ -100,7 +100,7 @@ def dedup(docs: DataFrame, size: int = LEAST, seed: int = SEED, bucket: int = BU
     held = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("row", text_key(F.col("text")))
     places = written(place_frame(held, lambda words: sparse_suffixes(words, size, seed)), "suffixes")
     shared = places.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1").select("key", (F.col("times") > bucket).alias("hot"))
-    found = find(cut(places.join(shared, "key"), held, size), size, True, sorted_suffixes)
+    found = find(places, shared, held, size, True, sorted_suffixes)
     out = extended(
         docs.schema, "n_words long, n_repeated long, n_removed long, removed array<struct<start: int, end: int>>, kept_sha256 string, kept_text string"
     )

@@ -43,8 +43,8 @@ def window_strings(packed: str, size: int, n: int) -> list[str]:
 
 
 def cut(places: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """Occurrences with their packed strings, from places (key, hot, doc_id, row, start, n, lead) and documents' texts."""
-    wanted = places.groupBy("doc_id", "row").agg(F.collect_set(F.struct("key", "hot", "start", "n", "lead")).alias("places"))
+    """Occurrences with their packed strings, from places (key, doc_id, row, start, n, lead) and documents' texts."""
+    wanted = places.groupBy("doc_id", "row").agg(F.collect_set(F.struct("key", "start", "n", "lead")).alias("places"))
     # a left join, as the removal at the end uses: both read one shuffle of the texts
     joined = docs.join(wanted, ["doc_id", "row"], "left").select("doc_id", "row", "text", "places")
 
@@ -60,11 +60,11 @@ def cut(places: DataFrame, docs: DataFrame, size: int) -> DataFrame:
                 packed = [" ".join(values[a:z]) for a, z in zip(first.tolist(), (first + n + size - 1).tolist(), strict=True)]
                 take = pa.array(which)
                 yield pa.RecordBatch.from_arrays(
-                    [flat.field("key"), flat.field("hot"), b.column("doc_id").take(take), b.column("row").take(take), flat.field("start"), flat.field("n"), flat.field("lead"), pa.array(packed, pa.string())],
-                    ["key", "hot", "doc_id", "row", "start", "n", "lead", "packed"],
+                    [flat.field("key"), b.column("doc_id").take(take), b.column("row").take(take), flat.field("start"), flat.field("n"), flat.field("lead"), pa.array(packed, pa.string())],
+                    ["key", "doc_id", "row", "start", "n", "lead", "packed"],
                 )
 
-    return joined.mapInArrow(run, "key long, hot boolean, doc_id long, row long, start int, n int, lead int, packed string")
+    return joined.mapInArrow(run, "key long, doc_id long, row long, start int, n int, lead int, packed string")
 
 
 def stretches(doc, row, start, kind) -> pa.RecordBatch:
@@ -166,13 +166,19 @@ def _by_window(rows: DataFrame, size: int, within: bool) -> DataFrame:
     return flagged if within else flagged.filter(F.col("kind") == REMOVED)
 
 
-def find(rows: DataFrame, size: int, within: bool, bucket: Callable[[pa.Table, int], pa.RecordBatch]) -> DataFrame:
-    """(doc_id, row, start, n, kind) of windows that stand elsewhere. ``bucket`` finds them in whole buckets.
+def find(
+    places: DataFrame, shared: DataFrame, docs: DataFrame, size: int, within: bool, bucket: Callable[[pa.Table, int], pa.RecordBatch]
+) -> DataFrame:
+    """(doc_id, row, start, n, kind) of windows that stand elsewhere.
+
+    ``places`` has all stretches, ``shared`` (key, hot) the keys worth a look and which of them are too frequent for
+    one bucket; ``bucket`` finds repeats in whole buckets.
 
     REMOVED: the same window stands in a smaller doc_id or, if ``within``, at an earlier place (doc_id, start).
     FIRST (only if ``within``): the window's first place, and there are others.
     """
-    return _in_buckets(rows.filter(~F.col("hot")), size, bucket).unionByName(_by_window(rows.filter("hot"), size, within))
+    cold, hot = (cut(places.join(shared.filter(which), "key"), docs, size) for which in (~F.col("hot"), F.col("hot")))
+    return _in_buckets(cold, size, bucket).unionByName(_by_window(hot, size, within))
 
 
 def covered(starts: np.ndarray, counts: np.ndarray, size: int, n_words: int) -> np.ndarray:
