@@ -9,6 +9,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from sentencepiece import sentencepiece_model_pb2
@@ -21,8 +22,8 @@ SPACE_MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 
-#: Distinct pre-tokens that a worker remembers, and the longest that it does.
-REMEMBERED, REMEMBERED_CHARS = 200_000, 64
+#: Bytes of pre-tokens and ids that a worker remembers, and pre-tokens that are encoded in one string.
+REMEMBERED_BYTES, TOGETHER = 48 << 20, 64
 
 
 class PieceModel:
@@ -100,6 +101,11 @@ class PieceModel:
         out.decoder = decoders.Sequence([*steps, decoders.Strip(" ", 1, 0)] if self.dummy_prefix else steps)
         return out
 
+    @cached_property
+    def marker(self) -> int:
+        """The id of the lone space marker."""
+        return [p for p, _, _ in self.pieces].index(SPACE_MARK)
+
     @cached_property
     def library(self) -> sentencepiece.SentencePieceProcessor:
         return sentencepiece.SentencePieceProcessor(model_proto=self.raw)
@@ -133,52 +139,93 @@ _RUNS = re.compile(f"{SPACE_MARK}+[^{SPACE_MARK}]*")
 
 
 class Encoder:
-    """Encodes texts by their distinct pre-tokens, in multithreaded batches, and remembers short ones."""
+    """Encodes texts by their distinct pre-tokens and remembers those that it has met, as arrays of bounded size."""
 
     def __init__(self, model: PieceModel, verify: bool = True):
         self.model, self.verify = model, verify
-        self.known: dict[str, tuple[list[int], bool]] = {}
-
-    def look_up(self, tokens: list[str]) -> list[tuple[list[int], bool]]:
-        """Ids of each pre-token, and whether the original library gives the same."""
-        known = self.known
-        new = [t for t in tokens if t not in known]
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = tokens
-        ids = [e.ids for e in self.model.core.encode_batch_fast(new, add_special_tokens=False)]
-        same = [True] * len(new)
-        if self.verify and self.model.cuts:
-            raw = [t[1:].replace(SPACE_MARK, " ") for t in new]
-            # the library adds the first space itself, except before nothing
-            same = [a == b or (not r and a == self.single) for r, a, b in zip(raw, ids, self.model.library.encode(raw), strict=True)]
-        fresh = dict(zip(new, zip(ids, same, strict=True), strict=True))
-        out = [fresh[t] if t in fresh else known[t] for t in tokens]
-        known.update((t, v) for t, v in fresh.items() if len(t) <= REMEMBERED_CHARS)
-        return out
-
-    @cached_property
-    def single(self) -> list[int]:
-        return [next(i for i, p in enumerate(self.model.pieces) if p[0] == SPACE_MARK)]
+        #: UTF-8 bytes that each id covers in normalised text; a byte piece covers one
+        self.covers = np.array([1 if kind == BYTE else len(p.encode()) for p, _, kind in model.pieces], dtype=np.int64)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.tokens = pa.array([], pa.large_string())
+        self.begin, self.length, self.same = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        self.bank = np.zeros(0, np.int32)
+
+    def _fresh(self, tokens: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all pre-tokens in a row, how many each has, and whether the original library gives the same.
+
+        Pre-tokens are encoded in strings of many, as nothing joins across their borders; which ids belong to which
+        is read off the bytes that ids cover. That needs byte fallback: an unknown piece covers any number of bytes.
+        """
+        texts = tokens.to_pylist()
+        if not (self.model.cuts and self.model.byte_fallback):
+            each = [e.ids for e in self.model.core.encode_batch_fast(texts, add_special_tokens=False)]
+            lengths = np.array([len(x) for x in each], dtype=np.int64)
+            return np.array([i for x in each for i in x], dtype=np.int32), lengths, np.ones(len(texts), bool)
+        joined = _together(texts)
+        ids = _flat(e.ids for e in self.model.core.encode_batch_fast(joined, add_special_tokens=False))
+        lengths = self._lengths(ids, tokens)
+        if not self.verify:
+            return ids, lengths, np.ones(len(texts), bool)
+        raw = [x[1:].replace(SPACE_MARK, " ") for x in joined]  # the library puts the first space itself
+        encoded = self.model.library.encode(raw)
+        theirs = _flat(x if r else [self.model.marker] for r, x in zip(raw, encoded, strict=True))  # but not before nothing
+        same = np.ones(len(texts), bool)
+        if len(theirs) != len(ids) or (theirs != ids).any():
+            own, other = np.concatenate([[0], np.cumsum(lengths)]), np.concatenate([[0], np.cumsum(self._lengths(theirs, tokens))])
+            same = np.array([np.array_equal(ids[a:b], theirs[c:d]) for a, b, c, d in zip(own[:-1], own[1:], other[:-1], other[1:], strict=True)])
+        return ids, lengths, same
+
+    def _lengths(self, ids: np.ndarray, tokens: pa.Array) -> np.ndarray:
+        ends = np.cumsum(pc.binary_length(tokens).to_numpy().astype(np.int64))
+        return np.diff(np.searchsorted(np.cumsum(self.covers[ids]), ends) + 1, prepend=0)
+
+    def look_up(self, tokens: pa.Array) -> np.ndarray:
+        """Where each pre-token stands in the remembered arrays."""
+        at = pc.index_in(tokens, self.tokens)
+        new = tokens.filter(pc.is_null(at))
+        at = pc.fill_null(at, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        if len(new):
+            ids, lengths, same = self._fresh(new)
+            at[at < 0] = len(self.tokens) + np.arange(len(new))
+            self.tokens = pa.concat_arrays([self.tokens, new])
+            self.begin = np.concatenate([self.begin, len(self.bank) + np.cumsum(lengths) - lengths])
+            self.length, self.same = np.concatenate([self.length, lengths]), np.concatenate([self.same, same])
+            self.bank = np.concatenate([self.bank, ids])
+        return at
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids one after another, offsets of each text's first, and each text's parity."""
+        if self.tokens.nbytes + self.bank.nbytes + 17 * len(self.tokens) > REMEMBERED_BYTES:
+            self._forget()
         parts = [self.model.pre_tokens(t or "") for t in texts]
         flat = pa.array([t for p in parts for t in p], pa.large_string()).dictionary_encode()
         ends = np.cumsum([0, *map(len, parts)])
-        codes = flat.indices.to_numpy()
-        found = self.look_up(flat.dictionary.to_pylist())
-        lengths = np.array([len(x[0]) for x in found], dtype=np.int64)
-        bank = np.array([i for x in found for i in x[0]], dtype=np.int32)
-        begins = np.cumsum(lengths) - lengths
-        each = lengths[codes] if len(codes) else np.zeros(0, np.int64)
-        sums = np.concatenate([[0], np.cumsum(each)])
-        ids = bank[np.repeat(begins[codes] - sums[:-1], each) + np.arange(sums[-1])] if len(codes) else bank
-        wrong = np.array([not x[1] for x in found], dtype=bool)
-        bad = np.concatenate([[0], np.cumsum(wrong[codes])]) if len(codes) else np.zeros(1, np.int64)
+        at = self.look_up(flat.dictionary)[flat.indices.to_numpy()] if len(flat) else np.zeros(0, np.int64)
+        lengths, begins = self.length[at], self.begin[at]
+        sums = np.concatenate([[0], np.cumsum(lengths)])
+        ids = self.bank[np.repeat(begins - sums[:-1], lengths) + np.arange(sums[-1])]
+        bad = np.concatenate([[0], np.cumsum(~self.same[at])])
         return ids, sums[ends], np.diff(bad[ends]) == 0
 
 
+def _together(tokens: list[str]) -> list[str]:
+    """Pre-tokens in strings of up to TOGETHER; one that is spaces to its end is the last, as more spaces would join it."""
+    out: list[str] = []
+    current: list[str] = []
+    for t in tokens:
+        current.append(t)
+        if len(current) == TOGETHER or t.endswith(SPACE_MARK):
+            out.append("".join(current))
+            current = []
+    return [*out, "".join(current)] if current else out
+
+
+def _flat(lists) -> np.ndarray:
+    return np.array([i for x in lists for i in x], dtype=np.int32)
+
+
 def encode(docs: DataFrame, model: PieceModel, verify: bool = True) -> DataFrame:
     """``docs`` with ids, n_tokens, decoded_sha256, round_trip and parity.
 
@@ -196,7 +243,7 @@ def encode(docs: DataFrame, model: PieceModel, verify: bool = True) -> DataFrame
         own = PieceModel(shared.value)
         encoder, table = Encoder(own, verify), np.array(own.piece_bytes, dtype=object)
         for whole in batches:
-            for b in slices(whole, "text", 1 << 20):
+            for b in slices(whole, "text", 2 << 20):
                 texts = b.column("text").to_pylist()
                 ids, ends, parity = encoder.encode(texts)
                 digests, trips = [], []
