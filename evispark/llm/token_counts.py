@@ -14,7 +14,7 @@ from .common import slices, written
 from .pieces import SPACE_MARK, PieceModel
 
 #: Bytes of pre-tokens that are broadcast at most.
-HOT_BYTES = 4 << 20
+HOT_BYTES = 32 << 20
 
 
 def _pieces(batches: Iterator[pd.DataFrame], model: PieceModel) -> Iterator[pd.DataFrame]:
