@@ -42,8 +42,13 @@ def learn(docs: DataFrame, dict_bytes: int = DICT_BYTES, dict_docs: int = DICT_D
     Equal texts count once, so a much copied one doesn't fill a dictionary. Rows without text or lang are left out.
     """
     known = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.xxhash64("text").alias("h"))
+    distinct = known.select("lang", "h").distinct()
+    counts = distinct.groupBy("lang").agg(F.count("*").alias("n"))  # a row for each language
+    # hashes under a threshold that some 20 times dict_docs of a language pass; few rows of a language meet in a task
+    share = F.least(F.lit(1.0), F.lit(20.0 * dict_docs) / F.col("n"))
+    near = distinct.join(F.broadcast(counts), "lang").filter(F.shiftrightunsigned("h", 33) < share * F.lit(float(1 << 31)))
     rank = Window.partitionBy("lang").orderBy("h")
-    chosen = known.select("lang", "h").distinct().withColumn("place", F.row_number().over(rank)).filter(F.col("place") <= dict_docs)
+    chosen = near.withColumn("place", F.row_number().over(rank)).filter(F.col("place") <= dict_docs).select("lang", "h", "place")
     picked = (
         known.join(F.broadcast(chosen), ["lang", "h"])  # dict_docs rows for each language
         .groupBy("lang", "h")
