@@ -1,0 +1,202 @@
+"""A versioned table: Parquet data, one JSON file for each commit, schema enforcement, time travel."""
+
+from __future__ import annotations
+
+import json
+import uuid
+from datetime import UTC, datetime
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
+
+from ..schemas import COMMIT, parsed
+
+
+class SchemaEnforcementError(ValueError):
+    """A batch whose columns are not the table's."""
+
+
+class CommitConflict(RuntimeError):
+    """Too many writers took the version at the same time."""
+
+
+class Lakehouse:
+    """A table at ``path``. Data is visible only through the log, so what a failed write leaves is harmless.
+
+    Commit files are created with put-if-absent through Hadoop's FileSystem: of two writers of one version one fails
+    and takes the next. ``clock`` gives timestamps, so that jobs can be repeated.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, check_types: bool = False, clock=lambda: datetime.now(UTC).isoformat()):
+        self.spark, self.path, self.check_types, self.clock = spark, path.rstrip("/"), check_types, clock
+        self.log = f"{self.path}/_delta_log"
+
+    # the log: a few small files, handled by the driver
+    def _fs(self, path: str):
+        jvm = self.spark._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+
+    def versions(self) -> list[int]:
+        fs, at = self._fs(self.log)
+        if not fs.exists(at):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(at)]
+        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and n[0].isdigit())
+
+    def _commit_path(self, version: int) -> str:
+        return f"{self.log}/{version:020d}.json"
+
+    def _put(self, version: int, commit: dict) -> bool:
+        fs, at = self._fs(self._commit_path(version))
+        try:
+            out = fs.create(at, False)
+        except Exception as e:
+            if fs.exists(at):
+                return False
+            raise e
+        out.write(bytearray(json.dumps(commit).encode()))
+        out.close()
+        return True
+
+    def _commits(self) -> list[dict]:
+        found = self.versions()
+        if not found:
+            return []
+        read = self.spark.read.schema(parsed(COMMIT)).json([self._commit_path(v) for v in found])
+        return [r.asDict(recursive=True) for r in read.orderBy("version").collect()]
+
+    def schema(self) -> T.StructType | None:
+        """The columns of commit 0."""
+        commits = self._commits()
+        return parsed(", ".join(f"`{n}` {t}" for n, t in commits[0]["schema"].items())) if commits else None
+
+    def check_schema(self, df: DataFrame) -> None:
+        """Raise if the set of column names differs from commit 0's (with ``check_types``, the types as well)."""
+        blueprint = self.schema()
+        if blueprint is None:
+            return
+        old, new = {f.name: f.dataType.simpleString() for f in blueprint}, dict(df.dtypes)
+        extra, missing = sorted(new.keys() - old.keys()), sorted(old.keys() - new.keys())
+        if extra or missing:
+            raise SchemaEnforcementError(f"extra columns {extra}, missing columns {missing}")
+        retyped = sorted(n for n in old if self.check_types and old[n] != new[n])
+        if retyped:
+            raise SchemaEnforcementError(f"other types for {retyped}")
+
+    def write(self, df: DataFrame, mode: str = "append", operation: str = "WRITE", batch_id: str | None = None) -> int:
+        """Commit the rows and give the version. ``overwrite`` starts the history anew, once the new data is there.
+
+        With ``batch_id`` a batch that is already in the log is not written again; its version is given.
+        """
+        if mode not in ("append", "overwrite"):
+            raise ValueError(f"mode {mode!r}")
+        if mode == "append":
+            self.check_schema(df)
+        label = f"{operation}#{batch_id}" if batch_id is not None else operation
+        if batch_id is not None:
+            done = [c["version"] for c in self._commits() if c["operation"] == label]
+            if done:
+                return done[0]
+        folder = f"{self.path}/data/part-{uuid.uuid4().hex}"
+        blueprint = self.schema() if mode == "append" else None
+        rows = df.select(*[F.col(f.name).cast(f.dataType) for f in blueprint]) if blueprint else df
+        rows.write.parquet(folder)
+        count = self.spark.read.schema(rows.schema).parquet(folder).count()  # from the files' footers
+        commit = {
+            "timestamp": self.clock(),
+            "operation": label,
+            "operationParameters": {"mode": mode, "numRecords": count},
+            "schema": dict(rows.dtypes),
+            "files": [folder],
+        }
+        if mode == "overwrite":
+            self._clear(keep=folder)
+        for _ in range(100):
+            version = max(self.versions(), default=-1) + 1
+            if self._put(version, {"version": version, **commit}):
+                return version
+        raise CommitConflict(self.path)
+
+    def _clear(self, keep: str) -> None:
+        for v in self.versions():
+            fs, at = self._fs(self._commit_path(v))
+            fs.delete(at, False)
+        fs, at = self._fs(f"{self.path}/data")
+        for s in fs.listStatus(at):
+            if s.getPath().getName() != keep.rpartition("/")[2]:
+                fs.delete(s.getPath(), True)
+
+    def read(self, version: int | None = None) -> DataFrame:
+        """The rows of all commits up to ``version`` (the latest by default); an empty table has no columns and rows."""
+        commits = self._commits()
+        if not commits and version is None:
+            return self.spark.createDataFrame([], T.StructType([]))
+        known = [c["version"] for c in commits]
+        if version is not None and version not in known:
+            raise ValueError(f"no version {version}; there are {known}")
+        files = [f for c in commits if version is None or c["version"] <= version for f in c["files"]]
+        return self.spark.read.schema(self.schema()).parquet(*files)
+
+    def history(self) -> DataFrame:
+        """(version, timestamp, operation, numRecords, mode) in order of versions."""
+        commits = self.spark.read.schema(parsed(COMMIT)).json([self._commit_path(v) for v in self.versions()])
+        return commits.select(
+            "version", "timestamp", "operation", F.col("operationParameters.numRecords").alias("numRecords"), F.col("operationParameters.mode").alias("mode")
+        ).orderBy("version")
+
+
+def normalise_for_commit(df: DataFrame, numeric: list[str]) -> DataFrame:
+    """Numeric columns as double, null where a value is no number; text columns as string; the others as they are."""
+    out = []
+    for name, kind in df.dtypes:
+        c = F.col(name)
+        out.append(c.try_cast("double").alias(name) if name in numeric else c.cast("string").alias(name) if kind in ("string", "void") else c)
+    return df.select(*out)
+
+
+def incremental_load(df: DataFrame, lake: Lakehouse, order: str, ratio: float = 0.75) -> list[int]:
+    """Commit the first ``ratio`` of the rows by ``order`` (one at least), then the rest if there is one; the versions.
+
+    The cut is found by a count and quantiles of ``order``, not by a global sort: rows are ranked only among those
+    that share the value at the cut, where ties go by a hash of the row. ``order`` is numeric and without nulls.
+    """
+    count = df.count()
+    first = max(1, int(count * ratio)) if count else 0
+    if not count:
+        return [lake.write(df, "overwrite", "INITIAL_LOAD")]
+    if not df.filter(F.col(order).isNull()).isEmpty():
+        raise ValueError(f"{order} has nulls")
+    at, below, equal = _value_at(df, order, first)
+    early = F.col(order) < F.lit(at)
+    if below == first:
+        head, tail = df.filter(early), df.filter(~F.coalesce(early, F.lit(False)))
+    elif below + equal == first:
+        head, tail = df.filter(F.col(order) <= F.lit(at)), df.filter(~F.coalesce(F.col(order) <= F.lit(at), F.lit(False)))
+    else:  # some of the rows that share the value
+        tied = df.filter(F.col(order) == F.lit(at)).withColumn("_n", F.row_number().over(Window.orderBy(F.xxhash64(*df.columns))))
+        take = first - below
+        head = df.filter(early).unionByName(tied.filter(F.col("_n") <= take).drop("_n"))
+        tail = df.filter((F.col(order) > F.lit(at)) | F.col(order).isNull()).unionByName(tied.filter(F.col("_n") > take).drop("_n"))
+    versions = [lake.write(head, "overwrite", "INITIAL_LOAD")]
+    return versions + ([lake.write(tail, "append", "INCREMENTAL_DELTA")] if count > first else [])
+
+
+def _value_at(df: DataFrame, order: str, place: int) -> tuple[object, int, int]:
+    """The value of the row at ``place`` in order, the number of rows below it, and of those equal to it: approximate
+    quantiles of an ever smaller range, each checked by exact counts."""
+    under, inside, low, high = 0, *df.agg(F.count("*"), F.min(order), F.max(order)).first()
+    while True:
+        share = (place - under) / inside
+        guess = df.filter(F.col(order).between(low, high)).agg(F.percentile_approx(order, share, 100_000)).first()[0]
+        below, equal = df.agg(F.count_if(F.col(order) < F.lit(guess)), F.count_if(F.col(order) == F.lit(guess))).first()
+        if below < place <= below + equal:
+            return guess, below, equal
+        if place <= below:
+            high = df.filter(F.col(order) < F.lit(guess)).agg(F.max(order)).first()[0]
+            inside = below - under
+        else:
+            low = df.filter(F.col(order) > F.lit(guess)).agg(F.min(order)).first()[0]
+            under, inside = below + equal, inside - (below + equal - under)
