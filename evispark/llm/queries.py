@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from . import fingerprints, language, minhash, mixing, pieces, quality, sharding, substrings, suffixes, token_counts
 from .common import documents
+from .oracles import ORACLES  # noqa: F401
 
 MODEL = "piece_bpe_32k.model"
 
@@ -60,4 +61,3 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_minhash_dedup, op3_fingerprints, op4_quality_rules, op5_language_id, op6_sharding, op7_mixing, op8_sentencepiece, op9_token_counts, op10_suffix_array_dedup)}
-ORACLES: dict[str, str] = {}

@@ -14,33 +14,37 @@ from .common import Words, extended, grams, slices, sliding_min, written
 from .windows import BUCKET, FIRST, REMOVED, covered, find, place_frame, split_rows, stretches, text_key, with_stretches
 
 #: Words of the shortest repeat, and of the seed that starts a retained suffix.
-LEAST, SEED = 50, 20
+LEAST, SEED = 50, 12
+
+_PLACE = np.uint64((1 << 24) - 1)
 
 
 def sparse_suffixes(words: Words, size: int, seed: int) -> tuple[np.ndarray, ...]:
     """(row, seed hash, start, n, lead) of every retained suffix.
 
-    A position is retained if its seed has the smallest hash of all seeds in some ``size`` words of the text; so all
-    copies of a passage of ``size`` words retain the same place in it. The suffix travels with the words before it
-    that a passage over its seed could begin with: start is the first of them, lead their number, n the number of
-    passages of ``size`` words that hold the seed.
+    A position is retained if its seed has the smallest hash of all seeds in some ``size`` words of the text, the
+    first such position where several do; so all copies of a passage of ``size`` words retain the same place in it.
+    The suffix travels with the words before it that such passages begin with: ``n`` passages begin at ``start`` and
+    the words after it, and ``lead`` words of theirs stand before the suffix.
     """
     h, none = words.hashes(), np.zeros(0, np.int64)
     rows, width = words.rows(), size - seed + 1
-    hashed = np.maximum(grams(h, seed), np.uint64(1))
-    least = sliding_min(hashed, width)
-    if not len(least):
+    hashed = grams(h, seed)
+    if len(hashed) < width:
+        return none, none.astype(np.uint64), none, none, none
+    place = np.arange(len(hashed)) - words.offsets[rows[: len(hashed)]]
+    # the order is by 40 bits of the hash, then by place in the text
+    ranked = (hashed & ~_PLACE) | (place.astype(np.uint64) & _PLACE)
+    least = sliding_min(ranked, width)
+    at = np.flatnonzero(rows[: len(least)] == rows[size - 1 : size - 1 + len(least)])  # passages within one text
+    if not len(at):
         return none, none.astype(np.uint64), none, none, none
-    least = np.where(rows[: len(least)] == rows[size - 1 : size - 1 + len(least)], least, np.uint64(0))
-    # the greatest minimum over the windows that hold a seed is the seed itself if any has it for minimum
-    pad = np.zeros(width - 1, np.uint64)
-    most = ~sliding_min(~np.concatenate([pad, least, pad]), width)
-    at = np.flatnonzero(most[: len(hashed)] == hashed)
-    row = rows[at]
-    place = at - words.offsets[row]
-    lead = np.minimum(place, size - seed)
-    last = np.minimum(place, words.counts[row] - size)
-    return row, hashed[at], place - lead, last - (place - lead) + 1, lead
+    row, start = rows[at], place[at]
+    lead = ((least[at] & _PLACE) - (start.astype(np.uint64) & _PLACE) & _PLACE).astype(np.int64)
+    new = np.ones(len(at), bool)
+    new[1:] = (np.diff(at + lead) != 0) | (np.diff(row) != 0) | (np.diff(at) > 1)
+    begin = np.flatnonzero(new)
+    return row[begin], hashed[at[begin] + lead[begin]], start[begin], np.diff(np.append(begin, len(at))), lead[begin]
 
 
 def sorted_suffixes(t: pa.Table, size: int) -> pa.RecordBatch:

@@ -132,29 +132,31 @@ def _by_window(rows: DataFrame, size: int, within: bool) -> DataFrame:
     """
     named = rows.select("doc_id", "row", "start", "n", "packed", F.md5("packed").alias("name"))
     place = F.struct("doc_id", "start")
-    strings = named.groupBy("name", "packed").agg(F.min(place).alias("first"), F.count("*").alias("times"))
+    strings = named.groupBy("name", "packed").agg(F.min(place).alias("first"), F.max(place).alias("last"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "packed", 1 << 20):
-                out: dict[str, list] = {"name": [], "i": [], "window": [], "doc_id": [], "start": [], "times": []}
-                for name, packed, first, times in zip(*(b.column(c).to_pylist() for c in ("name", "packed", "first", "times")), strict=True):
+                out: dict[str, list] = {"name": [], "i": [], "window": [], "first": [], "last": []}
+                for name, packed, first, last in zip(*(b.column(c).to_pylist() for c in ("name", "packed", "first", "last")), strict=True):
                     n = packed.count(" ") + 2 - size
                     for i, w in enumerate(window_strings(packed, size, n)):
                         out["window"].append(hashlib.blake2b(w.encode(), digest_size=16).digest())
                         out["i"].append(i)
-                        out["start"].append(first["start"] + i)
+                        out["first"].append({"doc_id": first["doc_id"], "start": first["start"] + i})
+                        out["last"].append({"doc_id": last["doc_id"], "start": last["start"] + i})
                     out["name"] += [name] * n
-                    out["doc_id"] += [first["doc_id"]] * n
-                    out["times"] += [times] * n
-                types = {"name": pa.string(), "i": pa.int32(), "window": pa.binary(), "doc_id": pa.int64(), "start": pa.int32(), "times": pa.int64()}
+                kind = pa.struct([("doc_id", pa.int64()), ("start", pa.int32())])
+                types = {"name": pa.string(), "i": pa.int32(), "window": pa.binary(), "first": kind, "last": kind}
                 yield pa.RecordBatch.from_arrays([pa.array(v, types[k]) for k, v in out.items()], list(out))
 
-    each = strings.mapInArrow(windows, "name string, i int, window binary, doc_id long, start int, times long")
-    best = each.groupBy("window").agg(F.min(place).alias("lead"), F.sum("times").alias("times"))
+    spot = "struct<doc_id: long, start: int>"
+    each = strings.mapInArrow(windows, f"name string, i int, window binary, first {spot}, last {spot}")
+    # a place may come in several strings, so places are compared, not counted
+    best = each.groupBy("window").agg(F.min("first").alias("lead"), F.max("last").alias("last")).filter("lead < last")
     known = (
         each.select("name", "i", "window")
-        .join(best.filter("times > 1"), "window")
+        .join(best.select("window", "lead"), "window")
         .groupBy("name")
         .agg(F.collect_list(F.struct("i", "lead")).alias("known"))  # as many as a string has windows: RUN at most
     )
