@@ -336,11 +336,11 @@ _CLEAN = r"trim(regexp_replace({0}, '[\x00-\x08\x0B\x0C\x0E-\x1F\r]', ' ', 'g'),
 
 @query(
     rf"""WITH t AS ({ARTICLES}) SELECT seq, pmid, {_CLEAN.format("title")} AS title,
-    CASE WHEN abstract IS NOT NULL THEN 'SUMMARY: all of it' || chr(10) || {_CLEAN.format("abstract")} END AS abstract, journal, pub_year, 'Doe J' AS authors,
+    CASE WHEN abstract IS NOT NULL THEN 'SUMMARY: all of it' || chr(10) || {_CLEAN.format("abstract")} END AS abstract, journal, pub_year::VARCHAR AS pub_year, 'Doe J' AS authors,
     publication_types, doi, CASE WHEN pmid IS NOT NULL THEN 'https://pubmed.ncbi.nlm.nih.gov/' || pmid || '/' ELSE '' END AS source_url FROM t"""
 )
 def flatten_articles(spark, sf_dir):
-    return flatten.flatten_articles(article_xml(spark, sf_dir), keep=("seq",))
+    return flatten.flatten_articles(article_xml(spark, sf_dir), keep=("seq",)).withColumn("pub_year", F.col("pub_year").cast("string"))
 
 
 # --- governance --------------------------------------------------------------------------------------------------------
