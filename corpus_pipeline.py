@@ -18,24 +18,27 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or the trees fitted to ``labels`` go."""
+    docs = docs.select(COLUMNS)
     model = quality.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.grade(docs, model).filter("kept").select(COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, 0.8) the document with the smallest doc_id stays."""
+    docs = docs.select(COLUMNS)
     gone = minhash.near_duplicates(docs, n=5, percent=80).filter("NOT kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of 50-word passages that a smaller doc_id has go; so does a document of which no word is left."""
-    cut = substrings.dedup(docs).filter("n_words = 0 OR n_removed < n_words")
+    cut = substrings.dedup(docs.select(COLUMNS)).filter("n_words = 0 OR n_removed < n_words")
     return cut.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are brought to their weights: each document is left out or stands once or up to three times."""
+    docs = docs.select(COLUMNS)
     sized = written(mixing.measured(docs).select("skey", "source", "size", "h"), "mix-sizes")
     mixed = mixing.copies(mixing.measured(docs), mixing.plan(sized)).filter("copies > 0")
     return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(COLUMNS)

@@ -59,7 +59,8 @@ def dedup(docs: DataFrame, size: int = WINDOW, k: int = KMER) -> DataFrame:
     never saves or costs another's. kept_text is the text itself where nothing goes, else the kept words joined by one
     space; kept_sha256 is of the kept words joined by one space. Null and empty texts have no words; a text shorter
     than a window keeps all. A null doc_id is neither smaller nor larger than any: its text is kept and removes
-    nothing. Rows with one doc_id do not remove one another. Columns named like the result's are replaced.
+    nothing. Rows with one doc_id do not remove one another. Columns named like the result's are replaced,
+    and so are row and stretches, which are used on the way.
     """
     docs = docs.drop("n_words", "n_removed", "kept_sha256", "kept_text", "row", "stretches")
     held = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("row", text_key(F.col("text")))

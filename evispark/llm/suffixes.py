@@ -98,7 +98,8 @@ def dedup(docs: DataFrame, size: int = LEAST, seed: int = SEED, bucket: int = BU
     repeated passage, first places included. removed has [start, end) word numbers. Null and empty texts have no
     words, texts shorter than ``size`` keep all. Null doc_ids take no part. Rows that share a doc_id and a text are
     one place; other texts under the same doc_id are compared by their place in the text alone. kept_text is the text
-    itself where nothing goes. Columns named like the result's are replaced.
+    itself where nothing goes. Columns named like the result's are replaced,
+    and so are row and stretches, which are used on the way.
     """
     docs = docs.drop("n_words", "n_repeated", "n_removed", "removed", "kept_sha256", "kept_text", "row", "stretches")
     held = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("row", text_key(F.col("text")))
