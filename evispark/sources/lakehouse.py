@@ -86,6 +86,10 @@ class Lakehouse:
         if retyped:
             raise SchemaEnforcementError(f"other types for {retyped}")
 
+    def version_of(self, operation: str, batch_id: str) -> int | None:
+        """The version that a batch was committed as, if it was."""
+        return next((c["version"] for c in self._commits() if c["operation"] == f"{operation}#{batch_id}"), None)
+
     def write(self, df: DataFrame, mode: str = "append", operation: str = "WRITE", batch_id: str | None = None) -> int:
         """Commit the rows and give the version. ``overwrite`` starts the history anew, once the new data is there.
 
@@ -96,10 +100,8 @@ class Lakehouse:
         if mode == "append":
             self.check_schema(df)
         label = f"{operation}#{batch_id}" if batch_id is not None else operation
-        if batch_id is not None:
-            done = [c["version"] for c in self._commits() if c["operation"] == label]
-            if done:
-                return done[0]
+        if batch_id is not None and (done := self.version_of(operation, batch_id)) is not None:
+            return done
         folder = f"{self.path}/data/part-{uuid.uuid4().hex}"
         blueprint = self.schema() if mode == "append" else None
         rows = df.select(*[F.col(f.name).cast(f.dataType) for f in blueprint]) if blueprint else df

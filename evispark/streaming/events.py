@@ -15,6 +15,9 @@ from ..sources.files import quarantine
 from ..sources.lakehouse import Lakehouse
 
 
+OPERATION = "STREAM_INGEST"
+
+
 def event_id(topic: str, source: str, seq: Column, digits: int = 10) -> Column:
     """``EVT_`` and the first hex digits of md5(topic, sequence number, source)."""
     return F.concat(F.lit("EVT_"), F.upper(F.substring(F.md5(F.concat(F.lit(topic), seq.cast("string"), F.lit(source))), 1, digits)))
@@ -70,6 +73,8 @@ def ingest_batch(gate: Gate, lake: Lakehouse, quarantine_path: str, label: str,
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
+        if lake.version_of(OPERATION, str(batch_id)) is not None:
+            return
         graded = grade(batch, gate, order)
         if lake.versions():
             before = unseen(graded, gate.key, lake.read())
@@ -88,7 +93,7 @@ def ingest_batch(gate: Gate, lake: Lakehouse, quarantine_path: str, label: str,
             if row["halt_pipeline"]:
                 raise BatchHalted(f"batch {batch_id}: {row['rejected']} of {row['evaluated']} rows are fatal")
             if row["clean"]:
-                lake.write(clean_rows(graded), "append", "STREAM_INGEST", batch_id=str(batch_id))
+                lake.write(clean_rows(graded), "append", OPERATION, batch_id=str(batch_id))
         finally:
             graded.unpersist()
 
