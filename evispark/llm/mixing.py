@@ -37,14 +37,14 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most
     )
     # by rising cap per weight: if the first i are capped, the level is (all - their caps) / weights of the rest
     ratio = F.col("cap") / F.col("weight")
-    before = Window.orderBy(ratio, F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    by_ratio = Window.orderBy(ratio, F.col("source").asc_nulls_last())
+    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy()
     level = (F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (
         F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
     )
-    fits = weighted.withColumn("ratio", ratio).withColumn("level", level)
-    first = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "source", "level"))).over(every)
-    chosen = first["level"]
+    fits = weighted.withColumn("ratio", ratio).withColumn("level", level).withColumn("place", F.row_number().over(by_ratio))
+    chosen = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("place", "level"))).over(every)["level"]
     return fits.withColumn("chosen", F.coalesce(chosen, F.lit(0.0))).select(
         "skey", "source_size", F.least(F.col("cap"), F.col("chosen") * F.col("weight")).alias("target")
     )
