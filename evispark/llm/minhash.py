@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -103,21 +103,44 @@ def sketches(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_hi long, set_lo long, keys array<long>")
 
 
-def candidates(classes: DataFrame, ring: int = RING) -> DataFrame:
-    """(a, b), a < b: each bucket's members with its smallest, and each member with the next one in order.
+def bucket_members(classes: DataFrame) -> DataFrame:
+    """(key, rep, n, central): members of buckets of two or more, with the bucket's size.
 
-    So a bucket of g gives 2 g pairs, not g * g. Most pairs of a group of near copies have the same smallest member
-    in every band and meet again there; pairs are made distinct. ``classes``: (rep, keys).
+    ``central`` is the sum of the sizes of a member's buckets. A text that many near copies were made from shares more
+    buckets with them than they do with one another, so it is the most central of a bucket. ``classes``: (rep, keys).
     """
     members = classes.select("rep", F.explode("keys").alias("key"))
-    stats = members.groupBy("key").agg(F.min("rep").alias("centre"), F.count("*").alias("n")).filter("n > 1")
-    held = members.join(stats, "key")
-    star = held.filter("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b"))
+    held = members.join(members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key")
+    return held.join(held.groupBy("rep").agg(F.sum("n").alias("central")), "rep").select("key", "rep", "n", "central")
+
+
+def _ordered(a: Column, b: Column) -> tuple[Column, Column]:
+    return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
+
+
+def candidates(held: DataFrame, ring: int = RING) -> DataFrame:
+    """(a, b), a < b: each bucket's members with its most central one, and each with the next less central.
+
+    So a bucket of g gives 2 g pairs, not g * g. Most pairs of a group of near copies have the same centre in every
+    band and meet again there; pairs are made distinct.
+    """
+    centre = held.groupBy("key").agg(F.max(F.struct("central", (-F.col("rep")).alias("col2"))).alias("c")).select("key", (-F.col("c.col2")).alias("centre"))
+    star = held.join(centre, "key").filter("rep <> centre").select(*_ordered(F.col("centre"), F.col("rep")))
     # neighbours in order; a bucket of many thousands is dealt to windows of about ``ring``
     part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / F.lit(ring)))
-    order = Window.partitionBy("key", part).orderBy("rep")
-    chain = held.filter("n > 2 AND rep <> centre").select(F.lag("rep").over(order).alias("a"), F.col("rep").alias("b")).filter("a IS NOT NULL")
-    return star.unionAll(chain).distinct()
+    order = Window.partitionBy("key", part).orderBy(F.desc("central"), "rep")
+    chain = held.filter("n > 2").select("rep", F.lag("rep").over(order).alias("before")).filter("before IS NOT NULL")
+    return star.unionAll(chain.select(*_ordered(F.col("before"), F.col("rep")))).distinct()
+
+
+def across(held: DataFrame, found: DataFrame) -> DataFrame:
+    """(a, b): in buckets with members of several components, the most central member of each component with the most
+    central one of all and with that of the next component in order."""
+    placed = held.join(found, F.col("rep") == F.col("node"), "left").select("key", "rep", "central", F.coalesce("component", "rep").alias("component"))
+    best = F.max(F.struct("central", (-F.col("rep")).alias("col2")))
+    heads = placed.groupBy("key", "component").agg(best.alias("h")).select("key", F.col("h.central").alias("central"), (-F.col("h.col2")).alias("rep"))
+    mixed_keys = heads.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    return candidates(heads.join(mixed_keys, "key"))
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -150,7 +173,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     Returns doc_id, n_shingles, component_id (the smallest doc_id that links lead to, itself included) and kept
     (doc_id = component_id). Documents are linked when their sets of n-word shingles are alike by ``percent`` or
     more. Documents with equal sets are one class with its smallest doc_id as representative, so copies are never
-    paired; candidates between classes come from buckets and are confirmed on full sets.
+    paired; candidates between classes come from buckets and are confirmed on full sets. Rounds end with one that joins
+    no more components.
 
     Null and empty texts have no shingles and are linked with nothing. A null doc_id is linked with nothing either
     (component_id null, kept true). Rows that share a doc_id are one node: each keeps its row, with the component
@@ -161,16 +185,25 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     # any() of equal lists; all members of a class have the same keys
     classes = known.groupBy("set_hi", "set_lo", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min("keys").alias("keys"))
     classes = written(classes, "classes")
-    pairs = written(candidates(classes.select("rep", "keys")), "pairs")
-    ends = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ends")
-    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    texts = held.join(ends, "doc_id", "left_semi")
-    links = confirm(pairs, texts, n, percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    held = written(bucket_members(classes.select("rep", "keys")), "buckets")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
     own = known.select("doc_id", "set_hi", "set_lo", "n_shingles").join(
         classes.select("set_hi", "set_lo", "n_shingles", "rep"), ["set_hi", "set_lo", "n_shingles"]
     )
     copies = own.filter("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    found = components(links.unionAll(copies))
+    links, tried, pairs, found = copies, None, candidates(held), None
+    while True:
+        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        ends = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ends")
+        new = confirm(pairs, texts.join(ends, "doc_id", "left_semi"), n, percent)
+        new = written(new.select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+        if found is not None and new.isEmpty():
+            break
+        links = links.unionAll(new)
+        found = components(links)
+        tried = pairs if tried is None else tried.unionAll(pairs)
+        # buckets in which components still stand apart are looked at again, until that joins none
+        pairs = across(held, found)
     grouped = base.select("doc_id", "n_shingles").join(found, F.col("doc_id") == F.col("node"), "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     return grouped.select(

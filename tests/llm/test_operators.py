@@ -61,12 +61,27 @@ def test_near_duplicates(docs, empty, n):
 
 def test_large_buckets_give_two_pairs_a_member(spark):
     members = spark.range(1000).select(F.col("id").alias("rep"), F.array(F.lit(7).cast("long")).alias("keys"))
-    pairs = minhash.candidates(members, ring=64)
+    pairs = minhash.candidates(minhash.bucket_members(members), ring=64)
     assert 1000 <= pairs.count() <= 2000
     ends = pairs.select(F.explode(F.array("a", "b")).alias("x")).distinct().count()
     assert ends == 1000
 
 
+def test_a_hub_with_spokes_that_are_not_alike_is_one_group(spark):
+    """Copies with edits of their own are alike to the text they come from, less so to one another; it has the largest id."""
+    rng = random.Random(9)
+    base = H.prose(rng, 300, 10**6).split()
+    rows = [(1000, " ".join(base), "en", "s", 1)]
+    for i in range(60):
+        w = list(base)
+        for at in rng.sample(range(300), 6):
+            w[at] = f"edit{i}-{at}"
+        rows.append((i, " ".join(w), "en", "s", 1))
+    got = minhash.near_duplicates(H.frame(spark, rows), n=5)
+    assert by_id(got, "n_shingles", "component_id") == H.groups(rows, 5)
+    assert got.filter("kept").count() < 20
+
+
 def test_signatures_estimate_likeness():
     rng = np.random.default_rng(0)
     for share in (0.5, 0.8, 0.95):
