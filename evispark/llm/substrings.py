@@ -48,6 +48,7 @@ def repeats(docs: DataFrame, size: int = WINDOW, k: int = KMER, bucket: int = BU
         .filter("low < high")
         .select("key", (F.col("times") > bucket).alias("hot"))
     )
+    shared = written(shared, "shared-minimisers")  # so that a frequent key is split where places are joined to it
     return find(places, shared, docs, size, False, sorted_windows)
 
 

@@ -105,6 +105,7 @@ def dedup(docs: DataFrame, size: int = LEAST, seed: int = SEED, bucket: int = BU
     held = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("row", text_key(F.col("text")))
     places = written(place_frame(held, lambda words: sparse_suffixes(words, size, seed)), "suffixes")
     shared = places.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1").select("key", (F.col("times") > bucket).alias("hot"))
+    shared = written(shared, "shared-seeds")  # so that a frequent key is split where places are joined to it
     found = find(places, shared, held, size, True, sorted_suffixes)
     out = extended(
         docs.schema, "n_words long, n_repeated long, n_removed long, removed array<struct<start: int, end: int>>, kept_sha256 string, kept_text string"

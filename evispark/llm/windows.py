@@ -160,12 +160,20 @@ def _by_window(rows: DataFrame, size: int, within: bool) -> DataFrame:
         .groupBy("name")
         .agg(F.collect_list(F.struct("i", "lead")).alias("known"))  # as many as a string has windows: RUN at most
     )
-    spread = named.join(known, "name").select("doc_id", "row", "start", F.explode("known").alias("k"))
-    own = F.struct("doc_id", (F.col("start") + F.col("k.i")).alias("start"))
-    removed = (own > F.col("k.lead")) if within else (F.col("doc_id") > F.col("k.lead.doc_id"))
-    kind = F.when(removed, F.lit(REMOVED)).otherwise(F.lit(FIRST))
-    flagged = spread.select("doc_id", "row", own["start"].cast("int").alias("start"), F.lit(1).alias("n"), kind.alias("kind"))
-    return flagged if within else flagged.filter(F.col("kind") == REMOVED)
+    def flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            doc, row, start = (b.column(c).to_numpy() for c in ("doc_id", "row", "start"))
+            known = b.column("known")
+            which = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(known.offsets)))
+            flat = known.flatten()
+            lead = flat.field("lead")
+            at, lead_doc, lead_start = start[which] + flat.field("i").to_numpy(), lead.field("doc_id").to_numpy(), lead.field("start").to_numpy()
+            later = (doc[which] > lead_doc) | (within & (doc[which] == lead_doc) & (at > lead_start))
+            keep = later | within
+            yield stretches(doc[which][keep], row[which][keep], at[keep], np.where(later, REMOVED, FIRST)[keep])
+
+    # windows of an occurrence that follow one another become one row again
+    return named.join(known, "name").select("doc_id", "row", "start", "known").mapInArrow(flagged, _FOUND)
 
 
 def find(
