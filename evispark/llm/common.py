@@ -91,6 +91,11 @@ class Words:
             return np.zeros(0, np.uint64)
         return pd.util.hash_array(names, categorize=False)[coded.indices.to_numpy()]
 
+    def joined(self, values: pa.Array, counts: np.ndarray) -> pa.Array:
+        """Texts of ``counts`` words each from ``values``, with one space between words."""
+        lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)])), values)
+        return pc.binary_join(lists, pa.scalar(" ", values.type))
+
     def rows(self) -> np.ndarray:
         """For each word the number of its text."""
         return np.repeat(np.arange(len(self.offsets) - 1), self.counts)

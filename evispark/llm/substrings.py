@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, extended, grams, slices, sliding_min, written
-from .windows import BUCKET, RUN, covered, find, place_frame, sorted_windows, split_rows, text_key, with_stretches
+from .windows import BUCKET, RUN, Removal, find, place_frame, sorted_windows, text_key, with_stretches, without_stretches
 
 #: Words of a window, and of the k-mers whose smallest hash is its minimiser.
 WINDOW, KMER = 50, 12
@@ -74,19 +73,9 @@ def _remover(size: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "text"):
-                n_words, n_removed, digests, kept = [], [], [], []
-                texts = b.column("text")
-                for k, words, starts, counts, _ in split_rows(b):
-                    gone = covered(starts, counts, size, len(words))
-                    left = [w for w, g in zip(words, gone.tolist(), strict=True) if not g] if gone.any() else words
-                    text = " ".join(left)
-                    n_words.append(len(words))
-                    n_removed.append(int(gone.sum()))
-                    digests.append(hashlib.sha256(text.encode()).hexdigest())
-                    kept.append(text if gone.any() else texts[k].as_py())
-                own = [b.column(i) for i, c in enumerate(b.schema.names) if c != "stretches"]
-                yield pa.RecordBatch.from_arrays(
-                    [*own, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.string())], names
-                )
+                r = Removal(b, size)
+                kept = r.kept()
+                new = [pa.array(r.n_words, pa.int64()), pa.array(r.n_gone, pa.int64()), r.digests(kept), r.texts(kept, b.column("text"))]
+                yield pa.RecordBatch.from_arrays([*without_stretches(b), *new], names)
 
     return run

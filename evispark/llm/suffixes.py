@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, extended, grams, slices, sliding_min, written
-from .windows import BUCKET, FIRST, REMOVED, covered, find, place_frame, split_rows, stretches, text_key, with_stretches
+from .windows import BUCKET, FIRST, REMOVED, Removal, find, place_frame, stretches, text_key, with_stretches, without_stretches
 
 #: Words of the shortest repeat, and of the seed that starts a retained suffix.
 LEAST, SEED = 50, 12
@@ -114,27 +113,13 @@ def dedup(docs: DataFrame, size: int = LEAST, seed: int = SEED, bucket: int = BU
 
 
 def _remover(size: int, names: list[str]):
-    spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "text"):
-                n_words, n_repeated, n_removed, removed, digests, kept = [], [], [], [], [], []
-                texts = b.column("text")
-                for k, words, starts, counts, kinds in split_rows(b):
-                    seen = covered(starts, counts, size, len(words))
-                    gone = covered(starts[kinds == REMOVED], counts[kinds == REMOVED], size, len(words))
-                    left = [w for w, g in zip(words, gone.tolist(), strict=True) if not g] if gone.any() else words
-                    text = " ".join(left)
-                    edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-                    n_words.append(len(words))
-                    n_repeated.append(int(seen.sum()))
-                    n_removed.append(int(gone.sum()))
-                    removed.append([{"start": int(x), "end": int(y)} for x, y in zip(edges[::2], edges[1::2], strict=True)])
-                    digests.append(hashlib.sha256(text.encode()).hexdigest())
-                    kept.append(text if gone.any() else texts[k].as_py())
-                own = [b.column(i) for i, c in enumerate(b.schema.names) if c != "stretches"]
-                new = [*(pa.array(x, pa.int64()) for x in (n_words, n_repeated, n_removed)), pa.array(removed, spans)]
-                yield pa.RecordBatch.from_arrays([*own, *new, pa.array(digests, pa.string()), pa.array(kept, pa.string())], names)
+                r = Removal(b, size)
+                kept = r.kept()
+                counts = [pa.array(x, pa.int64()) for x in (r.n_words, r.n_seen, r.n_gone)]
+                new = [*counts, r.spans(), r.digests(kept), r.texts(kept, b.column("text"))]
+                yield pa.RecordBatch.from_arrays([*without_stretches(b), *new], names)
 
     return run

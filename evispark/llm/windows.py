@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,15 +53,15 @@ def cut(places: DataFrame, docs: DataFrame, size: int) -> DataFrame:
         for whole in batches:
             for b in slices(whole.filter(whole.column("places").is_valid()), "text"):
                 words, places = Words(b.column("text")), b.column("places")
-                values, at = words.values.to_pylist(), np.asarray(places.offsets)
+                which = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(places.offsets)))
                 flat = places.flatten()
-                which = np.repeat(np.arange(b.num_rows), np.diff(at))
-                start, n = flat.field("start").to_numpy(), flat.field("n").to_numpy()
-                first = words.offsets[which] + start
-                packed = [" ".join(values[a:z]) for a, z in zip(first.tolist(), (first + n + size - 1).tolist(), strict=True)]
+                first = words.offsets[which] + flat.field("start").to_numpy()
+                counts = flat.field("n").to_numpy().astype(np.int64) + size - 1
+                at = np.repeat(first - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+                packed = words.joined(words.values.take(pa.array(at)), counts).cast(pa.string())
                 take = pa.array(which)
                 yield pa.RecordBatch.from_arrays(
-                    [flat.field("key"), b.column("doc_id").take(take), b.column("row").take(take), flat.field("start"), flat.field("n"), flat.field("lead"), pa.array(packed, pa.string())],
+                    [flat.field("key"), b.column("doc_id").take(take), b.column("row").take(take), flat.field("start"), flat.field("n"), flat.field("lead"), packed],
                     ["key", "doc_id", "row", "start", "n", "lead", "packed"],
                 )
 
@@ -191,14 +192,6 @@ def find(
     return _in_buckets(cold, size, bucket).unionByName(_by_window(hot, size, within))
 
 
-def covered(starts: np.ndarray, counts: np.ndarray, size: int, n_words: int) -> np.ndarray:
-    """Which of a text's words stand in the windows of the stretches."""
-    marks = np.zeros(n_words + 1, np.int64)
-    np.add.at(marks, starts, 1)
-    np.add.at(marks, np.minimum(starts + counts + size - 1, n_words), -1)
-    return np.cumsum(marks[:-1]) > 0
-
-
 def with_stretches(docs: DataFrame, found: DataFrame) -> DataFrame:
     """Every document with the stretches found in it, or null."""
     mine = found.groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "n", "kind")).alias("stretches"))
@@ -221,15 +214,53 @@ def place_frame(docs: DataFrame, cutter: Callable[[Words], tuple[np.ndarray, ...
     return docs.filter("doc_id IS NOT NULL").select("doc_id", "row", "text").mapInArrow(run, "key long, doc_id long, row long, start int, n int, lead int")
 
 
-def split_rows(b: pa.RecordBatch) -> Iterator[tuple[int, list[str], np.ndarray, np.ndarray, np.ndarray]]:
-    """For each row its number, words, and its stretches' starts, numbers of windows and kinds."""
-    words = Words(b.column("text"))
-    lists = b.column("stretches")
-    at = np.asarray(lists.offsets)
-    full = lists.is_valid().to_numpy(zero_copy_only=False)
-    flat = lists.values
-    start, n, kind = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("start", "n", "kind"))
-    values, ends = words.values.to_pylist(), words.offsets.tolist()
-    for k in range(b.num_rows):
-        a, z = (at[k], at[k + 1]) if full[k] else (0, 0)
-        yield k, values[ends[k] : ends[k + 1]], start[a:z].astype(np.int64), n[a:z].astype(np.int64), kind[a:z]
+class Removal:
+    """What stretches take from the texts of a batch (text, stretches): ``gone`` and ``seen`` say of each word whether
+    a removed window, or any window of the stretches, covers it."""
+
+    def __init__(self, b: pa.RecordBatch, size: int):
+        self.words = words = Words(b.column("text"))
+        lists = b.column("stretches").combine_chunks() if isinstance(b.column("stretches"), pa.ChunkedArray) else b.column("stretches")
+        lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+        doc, flat = np.repeat(np.arange(len(lists)), lengths), lists.flatten()
+        start, n, kind = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "n", "kind"))
+        begin = words.offsets[doc] + start
+        end = begin + n + size - 1
+        self.seen = self._cover(begin, end)
+        self.gone = self._cover(begin[kind == REMOVED], end[kind == REMOVED])
+        self.n_words = words.counts
+        self.n_seen, self.n_gone = (np.diff(np.concatenate([[0], np.cumsum(m)])[words.offsets]) for m in (self.seen, self.gone))
+
+    def _cover(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        marks = np.zeros(len(self.words) + 1, np.int64)
+        np.add.at(marks, begin, 1)
+        np.add.at(marks, end, -1)
+        return np.cumsum(marks[:-1]) > 0
+
+    def kept(self) -> pa.Array:
+        """What is left of each text, its words joined by one space."""
+        return self.words.joined(self.words.values.filter(pa.array(~self.gone)), self.n_words - self.n_gone)
+
+    def digests(self, kept: pa.Array) -> pa.Array:
+        return pa.array([hashlib.sha256(t).hexdigest() for t in kept.cast(pa.large_binary()).to_pylist()], pa.string())
+
+    def texts(self, kept: pa.Array, texts: pa.Array) -> pa.Array:
+        """The texts themselves where nothing goes, else what is left."""
+        return pc.if_else(pa.array(self.n_gone > 0), kept.cast(texts.type), texts)
+
+    def spans(self) -> pa.Array:
+        """[start, end) word numbers of what goes from each text."""
+        rows, first = self.words.rows(), np.zeros(len(self.words), bool)
+        first[self.words.offsets[:-1][self.n_words > 0]] = True
+        opens = self.gone & (first | ~np.concatenate([[False], self.gone[:-1]]))
+        last = np.concatenate([first[1:], [True]])[: len(first)]
+        closes = self.gone & (last | ~np.concatenate([self.gone[1:], [False]]))
+        at, to = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+        base = self.words.offsets[rows[at]]
+        ends = np.concatenate([[0], np.cumsum(np.bincount(rows[at], minlength=len(self.n_words)))])
+        pair = pa.StructArray.from_arrays([pa.array(at - base, pa.int32()), pa.array(to - base, pa.int32())], names=["start", "end"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pair)
+
+
+def without_stretches(b: pa.RecordBatch) -> list[pa.Array]:
+    return [b.column(i) for i, c in enumerate(b.schema.names) if c != "stretches"]
