@@ -108,6 +108,15 @@ def test_drain_reads_each_event_once(spark, tmp_path):
     assert spark.read.parquet(f"{at}/out").select("event_id").distinct().count() == 6
 
 
+def test_unique_within_a_delay(spark, tmp_path):
+    at = str(tmp_path)
+    rows = spark.createDataFrame([(0, "2024-01-01 00:00:00"), (1, "2024-01-01 01:00:00"), (0, "2024-01-01 02:00:00")], "seq long, t string")
+    ev.publish(ev.to_envelope(rows, "raw_literature", "s", "seq", F.col("t").cast("timestamp")), f"{at}/e")
+    once = ev.unique_within(ev.read_topic(spark, f"{at}/e", "raw_literature"), "event_id")
+    once.writeStream.format("parquet").option("path", f"{at}/o").option("checkpointLocation", f"{at}/c").trigger(availableNow=True).start().awaitTermination()
+    assert spark.read.parquet(f"{at}/o").count() == 2
+
+
 def test_workloads_end_to_end(spark, tmp_path):
     at = str(tmp_path)
     lineage = Lineage(spark, f"{at}/lineage", "r")
