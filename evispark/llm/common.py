@@ -69,8 +69,9 @@ class Words:
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word, of its form with a-z for A-Z if ``lower``; alike in every process."""
         coded = self.values.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        names = np.array([w.translate(_LOWER) for w in distinct] if self.lower else distinct, dtype=object)
+        names = coded.dictionary.to_numpy(zero_copy_only=False)
+        if self.lower:
+            names = np.array([w.translate(_LOWER) for w in names], dtype=object)
         if not len(names):
             return np.zeros(0, np.uint64)
         return pd.util.hash_array(names, categorize=False)[coded.indices.to_numpy()]
