@@ -66,10 +66,9 @@ def term_stats(posted: DataFrame, n_docs: DataFrame, epsilon: float = 0.25) -> D
     ``n_docs``: one row (n).
     """
     df = posted.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.crossJoin(F.broadcast(n_docs)).withColumn("raw", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))  # one row
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    idf = F.when(F.col("raw") < 0, F.lit(epsilon) * F.col("mean")).otherwise(F.col("raw"))
-    return raw.crossJoin(F.broadcast(mean)).select("term", "df", idf.alias("idf"))
+    raw = df.withColumn("raw", F.log((n_docs.scalar() - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    mean = raw.agg(F.avg("raw")).scalar()
+    return raw.select("term", "df", F.when(F.col("raw") < 0, F.lit(epsilon) * mean).otherwise(F.col("raw")).alias("idf"))
 
 
 def corpus_stats(chunks: DataFrame, text: str = "text") -> DataFrame:

@@ -104,11 +104,8 @@ def sparse_topk(terms: DataFrame, posted: DataFrame, idf: DataFrame, stats: Data
     small and splits frequent terms otherwise. Scores are rounded before ranking, ties go by key.
     """
     wanted = terms.join(idf.select("term", "idf"), "term")
-    weighed = (
-        posted.join(wanted, "term")
-        .crossJoin(F.broadcast(stats))  # one row
-        .withColumn("part", F.col("times") * bm25_weight(F.col("tf"), F.col("doc_len"), F.col("avg_len"), F.col("idf"), k1, b))
-    )
+    weight = bm25_weight(F.col("tf"), F.col("doc_len"), stats.select("avg_len").scalar(), F.col("idf"), k1, b)
+    weighed = posted.join(wanted, "term").withColumn("part", F.col("times") * weight)
     scores = weighed.groupBy("query_id", key).agg(F.round(F.sum("part"), digits).alias("sparse_score")).filter("sparse_score > 0")
     return top_by(scores, k, F.desc("sparse_score"), F.asc(key), name="sparse_rank")
 
@@ -127,7 +124,7 @@ def rrf_fuse(dense: DataFrame, sparse: DataFrame, k0: int = 60, key: str = "chun
 
 def rerank_idf(df_by_term: DataFrame, stats: DataFrame) -> DataFrame:
     """(term, weight): ln(1 + N / (1 + df)), as the lexical reranker weighs terms."""
-    return df_by_term.crossJoin(F.broadcast(stats)).select("term", F.log(1 + F.col("n") / (1 + F.col("df"))).alias("weight"))  # one row
+    return df_by_term.select("term", F.log(1 + stats.select("n").scalar() / (1 + F.col("df"))).alias("weight"))
 
 
 def lexical_rerank(candidates: DataFrame, queries: DataFrame, weights: DataFrame, key: str = "chunk_id") -> DataFrame:
