@@ -19,7 +19,7 @@ from ..scratch import scratch as written  # noqa: F401
 SPACE = r"[\x20\x09-\x0D]+"
 
 #: Bytes of text that a Python worker turns into numpy arrays at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
