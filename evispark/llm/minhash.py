@@ -1,4 +1,4 @@
-"""Near-duplicate documents: one-permutation hashing, banded buckets, star-shaped candidate edges, exact confirmation."""
+"""Near-duplicate documents: one-permutation hashing, banded buckets, star-shaped candidate edges, a prefix join, exact confirmation."""
 
 from __future__ import annotations
 
@@ -13,8 +13,8 @@ from pyspark.sql.window import Window
 from .common import Words, grams, mixed, signed, slices, written
 from .components import components
 
-#: Bins of a signature and bands of a bucket key: at a likeness of 0.8 a pair misses all of 32 buckets of 4 bins with
-#: a probability of (1 - 0.8**4)**32, 5 in 10**8.
+#: Bins of a signature and bands of a bucket key: a pair that agrees in 0.8 of its bins misses all of 32 buckets of 4
+#: with a probability of (1 - 0.8**4)**32, 5 in 10**8; as that share varies, pairs at 0.8 do with 2 to 11 in 10**6.
 BINS, BANDS = 128, 32
 #: Members of a bucket that are ordered in one window; larger buckets are dealt to several.
 RING = 4096
@@ -143,6 +143,65 @@ def across(held: DataFrame, found: DataFrame) -> DataFrame:
     return candidates(heads.join(mixed_keys, "key"))
 
 
+def apart(held: DataFrame, found: DataFrame) -> DataFrame:
+    """(rep, component): members of buckets in which several components meet."""
+    placed = held.join(found, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    met = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
+    return placed.join(met, "key", "left_semi").select("rep", "component").distinct()
+
+
+def _size_class(size: Column) -> Column:
+    return F.floor(F.log(size) * 20)
+
+
+def prefix_pairs(pool: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """(a, b), a < b: every pair of different components of ``pool`` (rep, component) that can be alike by ``percent``.
+
+    Shingles are put in one order, rare ones first. If the first that two sets share stands at places i and j, they
+    share min(size - i, size - j) at most, so each set is found by the few shingles at its beginning that leave enough.
+    A shingle that a whole family has stands behind what its members have alone, where it is not looked at unless
+    they are alike. The longer set goes to the classes of size of the partners that a place allows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, "text"):
+                row, value, size = shingle_sets(b.column("text"), n)
+                name = np.zeros(b.num_rows, np.uint64)
+                np.add.at(name, row, mixed(value + np.uint64(0xA5A5)))
+                rep, component = (b.column(c).take(pa.array(row)) for c in ("rep", "component"))
+                yield pa.RecordBatch.from_arrays(
+                    [rep, component, pa.array(signed(name)[row]), pa.array(size[row], pa.int64()), pa.array(signed(value))],
+                    ["rep", "component", "name", "size", "h"],
+                )
+
+    percent = max(percent, 1)
+    own = texts.join(pool, F.col("doc_id") == F.col("rep")).select("rep", "component", "text")
+    shingles = written(own.mapInArrow(run, "rep long, component long, name long, size long, h long"), "shingles")
+    often = shingles.groupBy("h").agg(F.count("*").alias("often")).filter("often > 1")
+    # what one set has alone leads nowhere, but holds its place
+    first = shingles.join(often, "h", "left").withColumn("often", F.coalesce("often", F.lit(1)))
+    sets = first.groupBy("rep", "component", "name", "size").agg(F.collect_set(F.struct("often", "h")).alias("all"))
+    kept = F.slice(F.sort_array("all"), F.lit(1), (F.col("size") - F.floor(F.col("size") * percent / F.lit(100)) + 1).cast("int"))
+    placed = sets.select("rep", "component", "size", F.posexplode(kept).alias("i", "s")).filter("s.often > 1")
+    placed = written(placed.select("rep", "component", "size", (F.col("size") - F.col("i")).alias("rest"), F.col("s.h").alias("h")), "prefixes")
+    most = F.least("size", F.floor((100 + percent) * F.col("rest") / F.lit(percent)) - F.col("size"))
+    least = F.greatest(F.lit(1), F.floor(F.col("size") * percent / F.lit(100)))
+    longer = placed.withColumn("most", most).withColumn("least", least).filter("most >= least")
+    longer = longer.select(
+        "h",
+        F.explode(F.sequence(_size_class(F.col("least")), _size_class(F.col("most")))).alias("c"),
+        F.col("rep").alias("x"), F.col("component").alias("of_x"), F.col("size").alias("size_x"), F.col("most"),
+    )
+    shorter = placed.filter((100 + percent) * F.col("rest") >= 2 * percent * F.col("size"))
+    shorter = shorter.select("h", _size_class(F.col("size")).alias("c"), F.col("rep").alias("y"), F.col("component").alias("of_y"), F.col("size").alias("size_y"), "rest")
+    meet = (
+        (longer["h"] == shorter["h"]) & (longer["c"] == shorter["c"]) & (F.col("of_x") != F.col("of_y")) & (F.col("size_y") <= F.col("most"))
+        & ((100 + percent) * F.col("rest") >= percent * (F.col("size_x") + F.col("size_y"))) & (100 * F.col("size_y") >= percent * F.col("size_x"))
+    )
+    return longer.join(shorter, meet).select(*_ordered(F.col("x"), F.col("y"))).distinct()
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs whose full shingle sets are alike enough: 100 * intersection >= percent * union.
 
@@ -174,7 +233,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     (doc_id = component_id). Documents are linked when their sets of n-word shingles are alike by ``percent`` or
     more. Documents with equal sets are one class with its smallest doc_id as representative, so copies are never
     paired; candidates between classes come from buckets and are confirmed on full sets. Rounds end with one that joins
-    no more components.
+    no more components; then every pair that shares a bucket across components is looked for exactly (prefix_pairs).
 
     Null and empty texts have no shingles and are linked with nothing. A null doc_id is linked with nothing either
     (component_id null, kept true). Rows that share a doc_id are one node: each keeps its row, with the component
@@ -191,19 +250,22 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
         classes.select("set_hi", "set_lo", "n_shingles", "rep"), ["set_hi", "set_lo", "n_shingles"]
     )
     copies = own.filter("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    links, tried, pairs, found = copies, None, candidates(held), None
+    links, tried, pairs, found, last = copies, None, candidates(held), None, False
     while True:
         pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         ends = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ends")
         new = confirm(pairs, texts.join(ends, "doc_id", "left_semi"), n, percent)
         new = written(new.select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
-        if found is not None and new.isEmpty():
+        none = found is not None and new.isEmpty()
+        if not none:
+            links = links.unionAll(new)
+            found = components(links)
+        if last:
             break
-        links = links.unionAll(new)
-        found = components(links)
         tried = pairs if tried is None else tried.unionAll(pairs)
-        # buckets in which components still stand apart are looked at again, until that joins none
-        pairs = across(held, found)
+        # buckets in which components still stand apart are looked at again, until that joins none; then all pairs there
+        last = none
+        pairs = prefix_pairs(written(apart(held, found), "apart"), texts, n, percent) if last else across(held, found)
     grouped = base.select("doc_id", "n_shingles").join(found, F.col("doc_id") == F.col("node"), "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     return grouped.select(

@@ -82,6 +82,24 @@ def test_a_hub_with_spokes_that_are_not_alike_is_one_group(spark):
     assert got.filter("kept").count() < 20
 
 
+def test_links_between_members_that_are_not_alike_to_the_centre(spark):
+    """A template whose copies are too far from one another shares buckets; among them stand pairs that are alike."""
+    rng = random.Random(4)
+    base, rows = H.prose(rng, 300, 10**6).split(), []
+    for k in range(200):
+        shared = list(base)
+        for at in rng.sample(range(300), 3):
+            shared[at] = f"edit{k}-{at}"
+        for own in (0, 1):
+            w = list(shared)
+            for at in rng.sample(range(300), 3):
+                w[at] = f"own{k}-{own}-{at}"
+            rows.append((2 * k + own, " ".join(w), "en", "s", 1))
+    got = minhash.near_duplicates(H.frame(spark, rows), n=5)
+    assert by_id(got, "n_shingles", "component_id") == H.groups(rows, 5)
+    assert got.filter("kept").count() < 300
+
+
 def test_signatures_estimate_likeness():
     rng = np.random.default_rng(0)
     for share in (0.5, 0.8, 0.95):
