@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..policy import GATED_FAMILIES, PHI_PATTERNS
 
-#: Every family needs a digit or an @; texts without either skip all patterns.
-_HINT = "[0-9@]|(?i:mrn)"
+#: Every family needs a digit (of any script, as the patterns do), an @ or the letters of MRN; other texts skip all patterns.
+_HINT = r"(?U)[\d@]|(?i:mrn)"
 _TRIAL_ID = r"NCT\d{8}"
 _BEFORE_ID = rf"(?={_TRIAL_ID})"
 

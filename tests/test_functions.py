@@ -59,6 +59,19 @@ def test_scan_and_gate(spark):
     assert values(spark, ["call 212-555-0123", None], found_families(F.col("v")))[0] == ["PHONE"]
 
 
+def test_digits_of_other_scripts_alone_are_identifiers(spark):
+    """No text has an ASCII digit, an @ or the letters MRN."""
+    ssn = ["".join(chr(zero + int(c)) if c.isdigit() else c for c in "123-45-6789") for zero in (0x660, 0x966, 0xFF10)]
+    texts = [f"id {x} end" for x in ssn] + ["lives at ४२ Oak Street now", "call ٢١٢-٥٥٥-٠١٢٣"]
+    types = [{h["type"] for h in hits} for hits in values(spark, texts, scan_phi(F.col("v")))]
+    assert all("SSN" in t for t in types[:3]) and "STREET_ADDRESS" in types[3] and types[4] == {"PHONE"}
+    assert values(spark, texts, is_gated(F.col("v"))) == [True] * 4 + [False]
+    for keep in (False, True):
+        redacted = values(spark, texts, redact_phi(F.col("v"), protect_ids=keep))
+        assert redacted[:3] == ["id [REDACTED_SSN] end"] * 3
+        assert redacted[3:] == ["lives at [REDACTED_STREET_ADDRESS] now", "call [REDACTED_PHONE]"]
+
+
 def reference_split(text, size, depth=0):
     """An independent model: cut at the separator, join while it fits, go deeper for what doesn't."""
     if len(text) <= size or depth == len(SEPARATORS):
