@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 
 from ..schemas import ARTICLE_PARTS, parsed
 
-#: Longest fragment that is parsed, in characters.
-LONGEST = 5_000_000
-
 
 def _text(node: ElementTree.Element | None) -> str | None:
     return None if node is None else "".join(node.itertext()).strip()
@@ -23,8 +20,8 @@ def _all(node: ElementTree.Element, path: str) -> list[ElementTree.Element]:
 
 
 def parse_article(xml: str | None) -> dict | None:
-    """Parts of one ``<PubmedArticle>``. Broken or over-long XML, and any with a DTD or entity declaration, gives None."""
-    if not xml or len(xml) > LONGEST or "<!DOCTYPE" in xml or "<!ENTITY" in xml:
+    """Parts of one ``<PubmedArticle>``. Broken XML, and any with a DTD or entity declaration, gives None."""
+    if not xml or "<!DOCTYPE" in xml or "<!ENTITY" in xml:
         return None
     try:
         root = ElementTree.fromstring(xml)

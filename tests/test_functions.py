@@ -117,3 +117,12 @@ def test_xml_is_parsed_with_care():
     )
     got = parse_article(article)
     assert got["title"] == "q w & e" and got["sections"] == [{"label": "AIM", "body": "a b c"}] and got["ids"] == []
+
+
+def test_a_very_long_article_is_parsed(spark):
+    from evispark.operators.flatten import flatten_articles
+
+    body = "word &amp; " * 550_000
+    one = f"<PubmedArticle><MedlineCitation><PMID>1</PMID><Article><Abstract><AbstractText>{body}</AbstractText></Abstract></Article></MedlineCitation></PubmedArticle>"
+    got = flatten_articles(spark.createDataFrame([(one,)], "xml string")).select("pmid", F.length("abstract")).collect()
+    assert len(one) > 5_000_000 and [tuple(r) for r in got] == [("1", len("word & ") * 550_000 - 1)]
