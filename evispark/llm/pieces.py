@@ -143,6 +143,8 @@ class Encoder:
 
     def __init__(self, model: PieceModel, verify: bool = True):
         self.model, self.verify = model, verify
+        #: whether pre-tokens can be compared with the original library one by one; otherwise whole texts are
+        self.by_pre_token = bool(model.cuts and model.byte_fallback)
         #: UTF-8 bytes that each id covers in normalised text; a byte piece covers one
         self.covers = np.array([1 if kind == BYTE else len(p.encode()) for p, _, kind in model.pieces], dtype=np.int64)
         self._forget()
@@ -159,7 +161,7 @@ class Encoder:
         is read off the bytes that ids cover. That needs byte fallback: an unknown piece covers any number of bytes.
         """
         texts = tokens.to_pylist()
-        if not (self.model.cuts and self.model.byte_fallback):
+        if not self.by_pre_token:  # compared text by text in encode()
             each = [e.ids for e in self.model.core.encode_batch_fast(texts, add_special_tokens=False)]
             lengths = np.array([len(x) for x in each], dtype=np.int64)
             return np.array([i for x in each for i in x], dtype=np.int32), lengths, np.ones(len(texts), bool)
@@ -207,7 +209,11 @@ class Encoder:
         sums = np.concatenate([[0], np.cumsum(lengths)])
         ids = self.bank[np.repeat(begins - sums[:-1], lengths) + np.arange(sums[-1])]
         bad = np.concatenate([[0], np.cumsum(~self.same[at])])
-        return ids, sums[ends], np.diff(bad[ends]) == 0
+        parity = np.diff(bad[ends]) == 0
+        if self.verify and not self.by_pre_token:
+            theirs = self.model.library.encode([t or "" for t in texts])
+            parity = np.array([np.array_equal(ids[a:b], x) for a, b, x in zip(sums[ends[:-1]], sums[ends[1:]], theirs, strict=True)], dtype=bool)
+        return ids, sums[ends], parity
 
 
 def _together(tokens: list[str]) -> list[str]:
@@ -231,7 +237,8 @@ def encode(docs: DataFrame, model: PieceModel, verify: bool = True) -> DataFrame
 
     ids are the whole text's, without special tokens; a null or empty text has none. decoded_sha256 (lowercase hex,
     UTF-8) is of the text that the ids decode to, round_trip says that it is the input (the marker character itself
-    decodes as a space), parity that the original library gives the same ids for each of the text's pre-tokens.
+    decodes as a space), parity that the original library gives the same ids: for each of the text's pre-tokens, or for the whole text where the
+    model has no safe cuts or no byte fallback; it is null without ``verify``, as nothing is compared.
     Rows are encoded alone: nothing is shuffled, copies and ties get equal results, columns named like the result's
     are replaced.
     """
@@ -258,7 +265,7 @@ def encode(docs: DataFrame, model: PieceModel, verify: bool = True) -> DataFrame
                     pa.array(np.diff(ends), pa.int64()),
                     pa.array(digests, pa.string()),
                     pa.array(trips, pa.bool_()),
-                    pa.array(parity, pa.bool_()),
+                    pa.array(parity, pa.bool_()) if verify else pa.nulls(b.num_rows, pa.bool_()),
                 ]
                 yield pa.RecordBatch.from_arrays([*b.columns, *arrays], out.names)
 

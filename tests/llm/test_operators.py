@@ -302,6 +302,21 @@ def test_unigram_models_are_rebuilt():
     assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)] == sp.encode(texts)
 
 
+def test_parity_is_compared_where_pre_tokens_cannot_be(model):
+    """A library that gives other ids for one text is noticed; so it must have been called."""
+
+    class Other:
+        def encode(self, texts):
+            return [[*x, 7] if t == "c b" else x for t, x in zip(texts, real.encode(texts), strict=True)]
+
+    own = pieces.PieceModel(model.raw)
+    real, own.cuts = own.library, None
+    texts = ["ab abc", "c b", None, "", "  two  spaces "]
+    assert pieces.Encoder(own).encode(texts)[2].tolist() == [True] * 5
+    own.library = Other()
+    assert pieces.Encoder(own).encode(texts)[2].tolist() == [True, False, True, True, True]
+
+
 # 10
 @pytest.mark.parametrize("bucket", [1000, 2])
 def test_suffixes(docs, empty, bucket):
