@@ -56,8 +56,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = suffixes.dedup(documents(spark, sf_dir).select("doc_id", "text"))
-    return found.filter("n_repeated > 0").drop("text", "kept_text")
+    return suffixes.dedup(documents(spark, sf_dir).select("doc_id", "text")).drop("text", "kept_text")
 
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_minhash_dedup, op3_fingerprints, op4_quality_rules, op5_language_id, op6_sharding, op7_mixing, op8_sentencepiece, op9_token_counts, op10_suffix_array_dedup)}

@@ -45,10 +45,10 @@ def repeats(docs: DataFrame, size: int = WINDOW, k: int = KMER, bucket: int = BU
         places.groupBy("key")
         .agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("times"))
         .filter("low < high")
-        .select("key", (F.col("times") > bucket).alias("hot"))
+        .select("key", "times")
     )
     shared = written(shared, "shared-minimisers")  # so that a frequent key is split where places are joined to it
-    return find(places, shared, docs, size, False, sorted_windows)
+    return find(places, shared, docs, size, False, sorted_windows, bucket)
 
 
 def dedup(docs: DataFrame, size: int = WINDOW, k: int = KMER) -> DataFrame:
@@ -56,10 +56,10 @@ def dedup(docs: DataFrame, size: int = WINDOW, k: int = KMER) -> DataFrame:
 
     Words are runs of characters other than ASCII white space. Each word in a window of ``size`` words that also
     starts in a document with a smaller doc_id goes; windows are judged on the input, so what one document loses
-    never saves or costs another's. kept_text is the text itself where nothing goes, else the kept words joined by one
+    never saves or costs another's. Texts are compared as a whole, however long they are. kept_text is the text itself where nothing goes, else the kept words joined by one
     space; kept_sha256 is of the kept words joined by one space. Null and empty texts have no words; a text shorter
     than a window keeps all. A null doc_id is neither smaller nor larger than any: its text is kept and removes
-    nothing. Rows with one doc_id do not remove one another. Columns named like the result's are replaced,
+    nothing. Rows with one doc_id do not remove one another. An empty table gives no rows. Columns named like the result's are replaced,
     and so are row and stretches, which are used on the way.
     """
     docs = docs.drop("n_words", "n_removed", "kept_sha256", "kept_text", "row", "stretches")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, extended, grams, slices, sliding_min, written
-from .windows import BUCKET, FIRST, REMOVED, Removal, find, place_frame, stretches, text_key, with_stretches, without_stretches
+from .windows import BUCKET, Removal, find, place_frame, text_key, with_stretches, without_stretches
 
 #: Words of the shortest repeat, and of the seed that starts a retained suffix.
 LEAST, SEED = 50, 12
@@ -46,17 +46,17 @@ def sparse_suffixes(words: Words, size: int, seed: int) -> tuple[np.ndarray, ...
     return row[begin], hashed[at[begin] + lead[begin]], start[begin], np.diff(np.append(begin, len(at))), lead[begin]
 
 
-def sorted_suffixes(t: pa.Table, size: int) -> pa.RecordBatch:
-    """Repeats of ``size`` words in whole buckets: sort suffixes, compare neighbours, extend to the left.
+def sorted_suffixes(t: pa.Table, size: int, alone: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal passages of ``size`` words in whole buckets: sort suffixes, compare neighbours, extend to the left.
 
     Suffixes that share r words stand together in the sorted order, with r or more words in common between all
     neighbours. A passage that begins a words before its seed stands twice where suffixes of such an interval for
-    r = size - a also have the same a words before.
+    r = size - a also have the same a words before. Without ``alone`` passages that stand once are left out.
     """
-    doc, row, start, lead = (t.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "row", "start", "lead"))
+    m, lead = t.num_rows, t.column("lead").to_numpy().astype(np.int64)
     words = Words(t.column("packed").combine_chunks())
     code = words.values.dictionary_encode().indices.to_numpy().astype(np.int64) + 1
-    m, first, count = len(doc), words.offsets[:-1], words.counts
+    first, count = words.offsets[:-1], words.counts
     most = int(lead.max()) if m else 0
     columns = np.arange(size)
     right = np.where(columns < (count - lead)[:, None], code[np.minimum((first + lead)[:, None] + columns, len(code) - 1)], 0)
@@ -65,28 +65,26 @@ def sorted_suffixes(t: pa.Table, size: int) -> pa.RecordBatch:
     same = (a == b) & (a != 0)
     common = np.concatenate([np.where(same.all(axis=1), size, np.argmin(same, axis=1)), [0]]) if m > 1 else np.zeros(m, np.int64)
     found: list[tuple[np.ndarray, ...]] = []
-    left = np.zeros(m, np.int64)  # names of equal words before the seed, as far as looked
+    left, groups = np.zeros(m, np.int64), 0  # names of equal words before the seed, as far as looked
     for back in range(min(most, size) + 1):
         if back:
             word = code[np.maximum(first + lead - back, 0)]
             _, left = np.unique(np.stack([left, word]), axis=1, return_inverse=True)
             left = left.ravel()
         need = size - back
-        fits = (lead >= back) & (count - lead >= need)
         interval = np.zeros(m, np.int64)
         interval[order] = np.concatenate([[0], np.cumsum(common[:-1] < need)]) if m else interval
-        at = np.flatnonzero(fits)
-        at = at[np.lexsort((start[at] + lead[at], doc[at], left[at], interval[at]))]
+        at = np.flatnonzero((lead >= back) & (count - lead >= need))
+        at = at[np.lexsort((left[at], interval[at]))]
         new = np.ones(len(at), bool)
         new[1:] = (np.diff(interval[at]) != 0) | (np.diff(left[at]) != 0)
-        begin = np.flatnonzero(new)
         group = np.cumsum(new) - 1
-        several = np.diff(np.append(begin, len(at)))[group] > 1 if len(at) else np.zeros(0, bool)
-        lead_doc, lead_place = doc[at][begin][group] if len(at) else at, (start + lead)[at][begin][group] if len(at) else at
-        removed = (doc[at] > lead_doc) | ((start + lead)[at] > lead_place)
-        at, removed = at[several], removed[several]
-        found.append((doc[at], row[at], start[at] + lead[at] - back, np.where(removed, REMOVED, FIRST)))
-    return stretches(*(np.concatenate(x) for x in zip(*found, strict=True)))
+        several = np.bincount(group)[group] > 1 if len(at) else np.zeros(0, bool)
+        keep = np.ones(len(at), bool) if alone else several
+        found.append((at[keep], lead[at[keep]] - back, groups + group[keep]))
+        groups += int(group[-1]) + 1 if len(at) else 0
+    source, place, group = (np.concatenate(x) for x in zip(*found, strict=True))
+    return source, place, group
 
 
 def dedup(docs: DataFrame, size: int = LEAST, seed: int = SEED, bucket: int = BUCKET) -> DataFrame:
@@ -94,8 +92,9 @@ def dedup(docs: DataFrame, size: int = LEAST, seed: int = SEED, bucket: int = BU
 
     A passage of ``size`` words or more that stands at several places keeps its first, by doc_id and place in the
     text; the words of the others go, within a document as well. n_repeated counts the words that stand in any
-    repeated passage, first places included. removed has [start, end) word numbers. Null and empty texts have no
-    words, texts shorter than ``size`` keep all. Null doc_ids take no part. Rows that share a doc_id and a text are
+    repeated passage, first places included. removed has [start, end) word numbers. Every document has its row. Null and
+    empty texts have no words, texts shorter than ``size`` keep all, long ones are compared as a whole; an empty table
+    gives no rows. Null doc_ids take no part. Rows that share a doc_id and a text are
     one place; other texts under the same doc_id are compared by their place in the text alone. kept_text is the text
     itself where nothing goes. Columns named like the result's are replaced,
     and so are row and stretches, which are used on the way.
@@ -103,9 +102,9 @@ def dedup(docs: DataFrame, size: int = LEAST, seed: int = SEED, bucket: int = BU
     docs = docs.drop("n_words", "n_repeated", "n_removed", "removed", "kept_sha256", "kept_text", "row", "stretches")
     held = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("row", text_key(F.col("text")))
     places = written(place_frame(held, lambda words: sparse_suffixes(words, size, seed)), "suffixes")
-    shared = places.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1").select("key", (F.col("times") > bucket).alias("hot"))
+    shared = places.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1")
     shared = written(shared, "shared-seeds")  # so that a frequent key is split where places are joined to it
-    found = find(places, shared, held, size, True, sorted_suffixes)
+    found = find(places, shared, held, size, True, sorted_suffixes, bucket)
     out = extended(
         docs.schema, "n_words long, n_repeated long, n_removed long, removed array<struct<start: int, end: int>>, kept_sha256 string, kept_text string"
     )

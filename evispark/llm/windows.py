@@ -1,9 +1,14 @@
 """Where word windows stand first: the part that substring dedup and suffix-array dedup share.
 
 An *occurrence* is a stretch of a document that holds several consecutive windows and travels as one packed string:
-(key, doc_id, row, start, n, lead, packed). ``key`` is equal wherever a window is equal, ``row`` tells apart texts of one
-doc_id, ``start`` is the first window's word number, ``n`` the number of windows, ``packed`` their n + size - 1 words
-joined by one space, and ``lead`` how many of them stand before the one that the key was taken at.
+(key, doc_id, row, start, n, lead, times, packed). ``key`` is equal wherever a window is equal, ``row`` tells apart texts
+of one doc_id, ``start`` is the first window's word number, ``n`` the number of windows, ``packed`` their n + size - 1
+words joined by one space, ``lead`` how many of them stand before the one that the key was taken at, and ``times`` how
+many occurrences the key has.
+
+Buckets are given a function ``groups(t, size, alone)``: (source row, number of the window in its row, group) of windows of
+the rows of ``t``, whole buckets; windows are equal where their groups are. Windows that are equal to no other may be left
+out unless ``alone``.
 """
 
 from __future__ import annotations
@@ -17,9 +22,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, signed, slices
+from .common import Words, signed, slices, written
 
-#: Occurrences that one bucket holds at most; a key with more is dealt by window.
+#: Occurrences that one bucket holds at most. Those of a key with more are combined to different strings first, which
+#: are sorted in a bucket likewise; only a key with more different strings is dealt by window.
 BUCKET = 1000
 #: Windows of one occurrence at most.
 RUN = 256
@@ -28,6 +34,8 @@ RUN = 256
 REMOVED, FIRST = 0, 1
 
 _FOUND = "doc_id long, row long, start int, n int, kind int"
+_PLACE = "struct<doc_id: long, start: int>"
+_KNOWN = f"name string, known array<struct<i: int, lead: {_PLACE}>>"
 
 
 def text_key(text: Column) -> Column:
@@ -44,8 +52,8 @@ def window_strings(packed: str, size: int, n: int) -> list[str]:
 
 
 def cut(places: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """Occurrences with their packed strings, from places (key, doc_id, row, start, n, lead) and documents' texts."""
-    wanted = places.groupBy("doc_id", "row").agg(F.collect_set(F.struct("key", "start", "n", "lead")).alias("places"))
+    """Occurrences with their packed strings, from places (key, doc_id, row, start, n, lead, times) and documents' texts."""
+    wanted = places.groupBy("doc_id", "row").agg(F.collect_set(F.struct("key", "start", "n", "lead", "times")).alias("places"))
     # a left join, as the removal at the end uses: both read one shuffle of the texts
     joined = docs.join(wanted, ["doc_id", "row"], "left").select("doc_id", "row", "text", "places")
 
@@ -61,11 +69,11 @@ def cut(places: DataFrame, docs: DataFrame, size: int) -> DataFrame:
                 packed = words.joined(words.values.take(pa.array(at)), counts).cast(pa.string())
                 take = pa.array(which)
                 yield pa.RecordBatch.from_arrays(
-                    [flat.field("key"), b.column("doc_id").take(take), b.column("row").take(take), flat.field("start"), flat.field("n"), flat.field("lead"), packed],
-                    ["key", "doc_id", "row", "start", "n", "lead", "packed"],
+                    [flat.field("key"), b.column("doc_id").take(take), b.column("row").take(take), *(flat.field(c) for c in ("start", "n", "lead", "times")), packed],
+                    ["key", "doc_id", "row", "start", "n", "lead", "times", "packed"],
                 )
 
-    return joined.mapInArrow(run, "key long, doc_id long, row long, start int, n int, lead int, packed string")
+    return joined.mapInArrow(run, "key long, doc_id long, row long, start int, n int, lead int, times long, packed string")
 
 
 def stretches(doc, row, start, kind) -> pa.RecordBatch:
@@ -85,27 +93,65 @@ def stretches(doc, row, start, kind) -> pa.RecordBatch:
     )
 
 
-def sorted_windows(t: pa.Table, size: int) -> pa.RecordBatch:
-    """All windows of whole buckets, sorted: equal ones stand together, the smallest doc_id leading."""
-    t = t.sort_by([("doc_id", "ascending"), ("start", "ascending")])
-    doc, row, start = (t.column(c).to_numpy() for c in ("doc_id", "row", "start"))
-    counts = t.column("n").to_numpy().astype(np.int64)
+def sorted_windows(t: pa.Table, size: int, alone: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All windows of whole buckets, sorted, so that equal ones stand together."""
     strings: list[str] = []
+    counts = t.column("n").to_numpy().astype(np.int64)
     for p, n in zip(t.column("packed").to_pylist(), counts.tolist(), strict=True):
         strings += window_strings(p, size, n)
     source = np.repeat(np.arange(len(counts)), counts)
     place = np.arange(len(source)) - np.repeat(np.cumsum(counts) - counts, counts)
-    order = np.array(sorted(range(len(strings)), key=strings.__getitem__), np.int64)  # stable, so by doc_id among equals
+    order = np.array(sorted(range(len(strings)), key=strings.__getitem__), np.int64)
     new = np.ones(len(order), bool)
     new[1:] = [strings[a] != strings[b] for a, b in zip(order[:-1].tolist(), order[1:].tolist(), strict=True)]
-    docs = doc[source[order]]
-    removed = docs > docs[new][np.cumsum(new) - 1]
-    at = order[removed]
-    return stretches(docs[removed], row[source[at]], start[source[at]] + place[at], np.full(len(at), REMOVED))
+    return source[order], place[order], np.cumsum(new) - 1
+
+
+Groups = Callable[[pa.Table, int, bool], tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def _edges(group: np.ndarray, doc: np.ndarray, at: np.ndarray, last: bool) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the smallest (or ``last``: largest) (doc, at) of its group; groups count from 0 without gaps."""
+    order = np.lexsort((at, doc, group))
+    ends = np.flatnonzero(np.diff(group[order], append=-1)) if last else np.flatnonzero(np.diff(group[order], prepend=-1))
+    pick = order[ends]
+    return doc[pick][group], at[pick][group]
+
+
+def _gapless(group: np.ndarray) -> np.ndarray:
+    return np.unique(group, return_inverse=True)[1] if len(group) else group
+
+
+def found_in(t: pa.Table, size: int, groups: Groups, within: bool) -> pa.RecordBatch:
+    """What find() says of the occurrences of whole buckets."""
+    source, place, group = groups(t, size, False)
+    doc, row, start = (t.column(c).to_numpy().astype(np.int64)[source] for c in ("doc_id", "row", "start"))
+    at, group = start + place, _gapless(group)
+    lead_doc, lead_at = _edges(group, doc, at, last=False)
+    last_doc, last_at = _edges(group, doc, at, last=True)
+    removed = (doc > lead_doc) | (within & (doc == lead_doc) & (at > lead_at))
+    keep = removed | (within & ((last_doc > lead_doc) | (last_at > lead_at)))
+    return stretches(doc[keep], row[keep], at[keep], np.where(removed, REMOVED, FIRST)[keep])
 
 
-def _in_buckets(rows: DataFrame, size: int, bucket: Callable[[pa.Table, int], pa.RecordBatch]) -> DataFrame:
-    """Keys with few occurrences: each key's are in one task, whose sort is over whole keys a few at a time."""
+def known_of(t: pa.Table, size: int, groups: Groups) -> pa.RecordBatch:
+    """The first place of every window of different strings (name, first, last), where it has several; whole buckets."""
+    source, place, group = groups(t, size, True)
+    group = _gapless(group)
+    ends = {c: [f.to_numpy().astype(np.int64)[source] for f in t.column(c).combine_chunks().flatten()] for c in ("first", "last")}
+    lead_doc, lead_at = _edges(group, ends["first"][0], ends["first"][1] + place, last=False)
+    last_doc, last_at = _edges(group, ends["last"][0], ends["last"][1] + place, last=True)
+    keep = np.flatnonzero((last_doc > lead_doc) | (last_at > lead_at))
+    keep = keep[np.lexsort((place[keep], source[keep]))]
+    mine, sizes = np.unique(source[keep], return_counts=True)
+    lead = pa.StructArray.from_arrays([pa.array(lead_doc[keep]), pa.array(lead_at[keep], pa.int32())], names=["doc_id", "start"])
+    known = pa.StructArray.from_arrays([pa.array(place[keep], pa.int32()), lead], names=["i", "lead"])
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), known)
+    return pa.RecordBatch.from_arrays([t.column("name").combine_chunks().take(pa.array(mine)), lists], ["name", "known"])
+
+
+def _in_buckets(rows: DataFrame, schema: str, bucket: Callable[[pa.Table], pa.RecordBatch]) -> DataFrame:
+    """Rows of keys that have few: each key's are in one task, whose sort is over whole keys a few at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -116,30 +162,26 @@ def _in_buckets(rows: DataFrame, size: int, bucket: Callable[[pa.Table, int], pa
                 keys = t.column("key").to_numpy()
                 last = int(np.searchsorted(keys, keys[-1]))  # the last key may go on
                 if last:
-                    yield bucket(t.slice(0, last), size)
+                    yield bucket(t.slice(0, last).combine_chunks())
                     held = t.slice(last).to_batches()
         if held:
-            yield bucket(pa.Table.from_batches(held), size)
+            yield bucket(pa.Table.from_batches(held).combine_chunks())
 
-    dealt = rows.select("key", "doc_id", "row", "start", "n", "lead", "packed").repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, _FOUND)
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, schema)
 
 
-def _by_window(rows: DataFrame, size: int, within: bool) -> DataFrame:
-    """Keys with many occurrences: equal strings meet first, then each different string's windows by a 128-bit name.
+def _by_window(strings: DataFrame, size: int, most: int) -> DataFrame:
+    """(name, known) of strings (name, packed, times, first, last) by a 128-bit name of each window.
 
-    Nothing here gathers a key: strings and windows are combined before they are shuffled, and what is known of a
-    window goes back to its strings, and of a string to its occurrences, by joins.
+    What is known of a window goes back to its strings by a join. A window may stand in very many of them, so each is
+    dealt to one of times / ``most`` parts by its string's name, and the window's row goes to the parts where it is.
     """
-    named = rows.select("doc_id", "row", "start", "n", "packed", F.md5("packed").alias("name"))
-    place = F.struct("doc_id", "start")
-    strings = named.groupBy("name", "packed").agg(F.min(place).alias("first"), F.max(place).alias("last"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "packed", 1 << 20):
-                out: dict[str, list] = {"name": [], "i": [], "window": [], "first": [], "last": []}
-                for name, packed, first, last in zip(*(b.column(c).to_pylist() for c in ("name", "packed", "first", "last")), strict=True):
+                out: dict[str, list] = {"name": [], "i": [], "window": [], "part": [], "first": [], "last": []}
+                for name, packed, times, first, last in zip(*(b.column(c).to_pylist() for c in ("name", "packed", "times", "first", "last")), strict=True):
                     n = packed.count(" ") + 2 - size
                     for i, w in enumerate(window_strings(packed, size, n)):
                         out["window"].append(hashlib.blake2b(w.encode(), digest_size=16).digest())
@@ -147,20 +189,38 @@ def _by_window(rows: DataFrame, size: int, within: bool) -> DataFrame:
                         out["first"].append({"doc_id": first["doc_id"], "start": first["start"] + i})
                         out["last"].append({"doc_id": last["doc_id"], "start": last["start"] + i})
                     out["name"] += [name] * n
+                    out["part"] += [int(name[:8], 16) % (times // most + 1)] * n
                 kind = pa.struct([("doc_id", pa.int64()), ("start", pa.int32())])
-                types = {"name": pa.string(), "i": pa.int32(), "window": pa.binary(), "first": kind, "last": kind}
+                types = {"name": pa.string(), "i": pa.int32(), "window": pa.binary(), "part": pa.int32(), "first": kind, "last": kind}
                 yield pa.RecordBatch.from_arrays([pa.array(v, types[k]) for k, v in out.items()], list(out))
 
-    spot = "struct<doc_id: long, start: int>"
-    each = strings.mapInArrow(windows, f"name string, i int, window binary, first {spot}, last {spot}")
+    each = strings.mapInArrow(windows, f"name string, i int, window binary, part int, first {_PLACE}, last {_PLACE}")
+    parts = each.groupBy("window", "part").agg(F.min("first").alias("first"), F.max("last").alias("last"))
     # a place may come in several strings, so places are compared, not counted
-    best = each.groupBy("window").agg(F.min("first").alias("lead"), F.max("last").alias("last")).filter("lead < last")
-    known = (
-        each.select("name", "i", "window")
-        .join(best.select("window", "lead"), "window")
-        .groupBy("name")
-        .agg(F.collect_list(F.struct("i", "lead")).alias("known"))  # as many as a string has windows: RUN at most
-    )
+    best = parts.groupBy("window").agg(F.min("first").alias("lead"), F.max("last").alias("last")).filter("lead < last").select("window", "lead")
+    dealt = parts.select("window", "part").join(best, "window")
+    known = each.select("name", "i", "window", "part").join(dealt, ["window", "part"]).groupBy("name")
+    return known.agg(F.collect_list(F.struct("i", "lead")).alias("known"))  # as many as a string has windows: RUN at most
+
+
+def _frequent(rows: DataFrame, size: int, within: bool, groups: Groups, most: int) -> DataFrame:
+    """Keys with many occurrences. Equal strings meet first; the different strings of a key are sorted in its bucket if
+    they are few, else dealt by window; what is known of a string goes back to its occurrences.
+
+    Nothing here gathers a key: strings and windows are combined before they are shuffled. An occurrence is dealt to
+    one of times / ``most`` parts, and its string's row goes to the parts where it is, so no string gathers them either.
+    """
+    part = F.pmod(F.xxhash64("doc_id", "row", "start"), F.floor(F.col("times") / F.lit(most)) + 1).cast("int")
+    name = F.md5(F.concat_ws(" ", "key", "lead", "packed"))
+    named = written(rows.withColumns({"name": name, "part": part}), "frequent")
+    place = F.struct("doc_id", "start")
+    strings = named.groupBy("key", "name", "lead", "n", "times", "packed").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    strings = written(strings, "strings")
+    few = written(strings.groupBy("key").agg(F.count("*").alias("different")).filter(F.col("different") <= most).select("key"), "few-strings")
+    known = _in_buckets(strings.join(few, "key", "left_semi"), _KNOWN, lambda t: known_of(t, size, groups))
+    known = known.unionByName(_by_window(strings.join(few, "key", "left_anti"), size, most))
+    dealt = named.select("name", "part").distinct().join(known, "name")
+
     def flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             doc, row, start = (b.column(c).to_numpy() for c in ("doc_id", "row", "start"))
@@ -174,22 +234,22 @@ def _by_window(rows: DataFrame, size: int, within: bool) -> DataFrame:
             yield stretches(doc[which][keep], row[which][keep], at[keep], np.where(later, REMOVED, FIRST)[keep])
 
     # windows of an occurrence that follow one another become one row again
-    return named.join(known, "name").select("doc_id", "row", "start", "known").mapInArrow(flagged, _FOUND)
+    back = named.select("name", "part", "doc_id", "row", "start").join(dealt, ["name", "part"])
+    return back.select("doc_id", "row", "start", "known").mapInArrow(flagged, _FOUND)
 
 
-def find(
-    places: DataFrame, shared: DataFrame, docs: DataFrame, size: int, within: bool, bucket: Callable[[pa.Table, int], pa.RecordBatch]
-) -> DataFrame:
+def find(places: DataFrame, shared: DataFrame, docs: DataFrame, size: int, within: bool, groups: Groups, most: int = BUCKET) -> DataFrame:
     """(doc_id, row, start, n, kind) of windows that stand elsewhere.
 
-    ``places`` has all stretches, ``shared`` (key, hot) the keys worth a look and which of them are too frequent for
-    one bucket; ``bucket`` finds repeats in whole buckets.
+    ``places`` has all stretches, ``shared`` (key, times) the keys worth a look and how often they stand; ``groups``
+    finds equal windows in whole buckets, of ``most`` rows at most.
 
     REMOVED: the same window stands in a smaller doc_id or, if ``within``, at an earlier place (doc_id, start).
     FIRST (only if ``within``): the window's first place, and there are others.
     """
-    cold, hot = (cut(places.join(shared.filter(which), "key"), docs, size) for which in (~F.col("hot"), F.col("hot")))
-    return _in_buckets(cold, size, bucket).unionByName(_by_window(hot, size, within))
+    rare = F.col("times") <= most
+    cold, hot = (cut(places.join(shared.filter(which), "key"), docs, size) for which in (rare, ~rare))
+    return _in_buckets(cold, _FOUND, lambda t: found_in(t, size, groups, within)).unionByName(_frequent(hot, size, within, groups, most))
 
 
 def with_stretches(docs: DataFrame, found: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ def test_same_rows(spark, name):
     assert spark_rows(df) == expected
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"op10_suffix_array_dedup"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) ))
 def test_a_row_for_each_document(spark, name):
     df = QUERIES[name](spark, SF)
     assert df.count() == df.select("doc_id").distinct().count() == 200
