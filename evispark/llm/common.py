@@ -123,3 +123,21 @@ def extended(schema: T.StructType, added: str) -> T.StructType:
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
+
+
+#: Copies of one row that are made in one place; more are dealt to several tasks first.
+COPIES = 1000
+
+
+def spread(rows: DataFrame, times: str, number: str) -> DataFrame:
+    """Each row as often as its column ``times`` says, with the copy's number from 0 instead of it.
+
+    Rows with many copies are dealt by blocks of copies before these are made, so no task makes them all.
+    """
+    columns = [c for c in rows.columns if c != times]
+    n, block = F.col(times).cast("long"), F.lit(COPIES).cast("long")
+    few = rows.filter(n.between(1, COPIES)).select(*columns, F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias(number))
+    blocks = rows.filter(n > COPIES).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / block))).alias(number))
+    begin, end = F.col(number) * block, F.least(n, (F.col(number) + 1) * block) - 1
+    many = blocks.repartition(*columns, number).select(*columns, F.explode(F.sequence(begin, end)).alias(number))
+    return few.unionAll(many)
