@@ -6,16 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import words_of, written
+from .common import spread, words_of, written
 
 #: Bits of a document's hash that name its bucket, and those that split the boundary bucket.
 BITS = 12
 HASH_BITS = 52
 
 
-def hash_of(doc_id: Column) -> Column:
-    """52 bits of a document's md5; the same for the same doc_id in every run."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 13), 16, 10).cast("long")
+def row_key(source: Column, *columns: str) -> Column:
+    """A name of a row: md5 of its doc_id, source, text and other ``columns``. Only rows alike in these share one."""
+    parts = [F.coalesce(c.cast("string"), F.lit("")) for c in (F.col("doc_id"), source, F.md5("text"), *map(F.col, columns))]
+    return F.md5(F.concat_ws("\x1f", *parts))
+
+
+def hash_of(key: Column, copy: Column) -> Column:
+    """52 bits that place a row in the mix, the same in every run; rows with one key have a number each, from 0."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", key, copy.cast("string"))), 1, 13), 16, 10).cast("long")
 
 
 def bucket_of(h: Column, level: int) -> Column:
@@ -82,15 +88,17 @@ def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     return _passed(second, ["bucket"]).select("skey", F.shiftleft(at, HASH_BITS - 2 * BITS).alias("threshold"), "left")
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """``docs`` with what decides about a row: skey (its source), size (words) and h (hash)."""
-    return docs.withColumns(
-        {
-            "skey": F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")),
-            "size": F.size(words_of(F.col("text"))).cast("long"),
-            "h": hash_of(F.col("doc_id")),
-        }
-    )
+def measured(docs: DataFrame, *columns: str) -> DataFrame:
+    """``docs`` with what decides about a row: skey (its source), size (words) and key (its name, see row_key)."""
+    skey = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
+    return docs.withColumns({"skey": skey, "size": F.size(words_of(F.col("text"))).cast("long"), "key": row_key(skey, *columns)})
+
+
+def sizes(rows: DataFrame) -> DataFrame:
+    """(doc_id, source, skey, size, key, times, copy, h): ``measured`` rows without text. Rows that are alike in all
+    are counted, and as many are made again with a number each, so that they have hashes of their own."""
+    counted = rows.groupBy("doc_id", "source", "skey", "size", "key").agg(F.count("*").alias("n")).withColumn("times", F.col("n"))
+    return spread(counted, "n", "copy").withColumn("h", hash_of(F.col("key"), F.col("copy")))
 
 
 def plan(sized: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: float = 3.0, fills: int = 3) -> DataFrame:
@@ -123,11 +131,11 @@ def _chosen(levels: int) -> Column:
 
 
 def copies(sized: DataFrame, by_source: DataFrame) -> DataFrame:
-    """Rows of ``measured`` documents with source_size, target and copies, as ``plan`` has it for their sources."""
+    """Rows of ``sizes`` with source_size, target and copies, as ``plan`` has it for their sources."""
     levels = sum(c.startswith("threshold") for c in by_source.columns)
     extra = [c for c in by_source.columns if c.startswith(("threshold", "gap")) or c == "rounds"]
     n = (F.col("rounds") + _chosen(levels).cast("long")).cast("long")
-    return sized.join(by_source, "skey").withColumn("copies", n).drop("skey", "h", *extra)
+    return sized.join(by_source, "skey").withColumn("copies", n).drop(*extra)
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: float = 3.0, fills: int = 3) -> DataFrame:
@@ -138,12 +146,31 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: flo
     subset of what a larger one takes. The threshold leaves a gap of less than the next cell's documents; it is
     closed ``fills`` times in the same way, among documents not yet taken that are no larger than the gap.
 
-    Null texts have size 0; a null source is one of its own; rows with one doc_id share a hash, so they go together
-    where their sizes do; an empty table gives no rows; other columns are not read. Sources are grouped only after
+    Null texts have size 0; a null source is one of its own; the hash is of doc_id, source, text and, for rows that are
+    alike in these, a number, so rows with one doc_id or none are chosen one by one; a long text is one document of its
+    size; an empty table gives no rows; other columns are not read. Sources are grouped only after
     partial sums, so a source with a third of the rows is no burden; tables with a row per source are not broadcast
     unless Spark has measured them.
     """
-    sized = written(measured(docs.select("doc_id", "source", "text")).drop("text"), "mix-sizes")  # holds no text
+    sized = written(sizes(measured(docs.select("doc_id", "source", "text"))), "mix-sizes")  # holds no text
     return copies(sized, plan(sized, weights, most, fills)).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies"
     )
+
+
+def mixed_rows(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: float = 3.0, fills: int = 3) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, each as often as it does (see ``mix``).
+
+    A row's own hash decides, so texts are not shuffled; rows that are alike in all columns are decided about together,
+    and one of them is repeated as often as all of them are taken. ``docs`` needs doc_id, source and text.
+    """
+    # the row travels as a struct, so that names of other columns clash with none here
+    rows = measured(docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("mine")), "mine")
+    sized = written(sizes(rows), "mix-sizes")
+    by_source = plan(sized, weights, most, fills)
+    alike = copies(sized.filter("times > 1"), by_source).groupBy("key").agg(F.sum("copies").alias("all_copies"))
+    marked = rows.join(written(alike, "mix-alike"), "key", "left")  # few keys, which Spark broadcasts by their size
+    alone = marked.filter("all_copies IS NULL").withColumns({"copy": F.lit(0), "h": hash_of(F.col("key"), F.lit(0))})
+    single = copies(alone, by_source).select("mine", "copies")
+    several = marked.filter("all_copies > 0").dropDuplicates(["key"]).select("mine", F.col("all_copies").alias("copies"))
+    return spread(single.unionAll(several), "copies", "copy").select("mine.*")

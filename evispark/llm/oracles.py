@@ -50,7 +50,8 @@ p{k + 1} AS (SELECT s.* EXCLUDE (taken), coalesce(left_over, 0) AS gap{k + 1},
     listed = ", ".join(f"{w}" for w in weights)
     return f"""
 WITH d AS (SELECT doc_id, source, coalesce('s' || source, 'n') AS skey, len({_WORDS})::BIGINT AS size,
-    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT AS h FROM documents),
+    md5(concat_ws(chr(31), coalesce(doc_id::VARCHAR, ''), skey, coalesce(md5(text), ''))) AS key,
+    row_number() OVER (PARTITION BY doc_id, source, text) - 1 AS copy, ('0x' || substr(md5(key || ':' || copy), 1, 13))::BIGINT AS h FROM documents),
 src AS (SELECT skey, source, sum(size)::BIGINT AS source_size FROM d GROUP BY ALL),
 wt AS (SELECT *, ([{listed}])[1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(weights)}]::DOUBLE AS weight, source_size * {most}::DOUBLE AS cap FROM src),
 lv AS (SELECT *, cap / weight AS ratio, row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS rn,
