@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import words_of
+from .common import spread, words_of, written
 
 #: Words in a shingle, hashes in a sketch.
 WORDS = 5
@@ -79,35 +79,73 @@ def as_text(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), "")
 
 
-def beside_next(docs: DataFrame, parts: int = 64) -> DataFrame:
-    """Rows with a struct ``next``: the (text, sk) of the row after in descending doc_id, after the last the first's.
+def _numbers(values: list[int]) -> Column:
+    """A constant array of longs, as one literal."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<long>") if values else F.array().cast("array<long>")
+
+
+def _place(points: list[tuple[int, int]], order: Column, tie: Column) -> Column:
+    """How many of the sorted split ``points`` (order, tie) are at or before a row: a binary search in built-in functions."""
+    if not points:
+        return F.lit(0)
+    orders, ties = _numbers([p for p, _ in points]), _numbers([t for _, t in points])
+    steps = [1 << i for i in range(len(points).bit_length() - 1, -1, -1)]
+
+    def step(at: Column, by: Column) -> Column:
+        o, t = F.get(orders, at + by - 1), F.get(ties, at + by - 1)  # null beyond the last
+        return F.when((o < order) | ((o == order) & (t <= tie)), at + by).otherwise(at)
+
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), step)
 
-    Ties go by the text's hash, null doc_ids come last. The order is cut in about ``parts`` ranges of equal numbers
-    of rows, more with more shuffle partitions, by split points that the driver computes from sampled quantiles of
-    doc_id; each range also gets the first row of the next range that has rows, so no window spans the table.
+
+#: Rows that are looked at for each split point.
+SAMPLED = 32
+
+
+def beside_next(docs: DataFrame, parts: int = 64) -> DataFrame:
+    """Rows (doc_id, text, tie, ...) with a struct ``next``: the (text, sk) of the row after in descending doc_id, after
+    the last the first's.
+
+    Ties go by the text's hash, null doc_ids come last. The order by (doc_id, hash) is cut in about ``parts`` ranges of
+    equal numbers of rows, more with more shuffle partitions, by split points from some SAMPLED rows for each; rows find
+    their range by binary search. Each range also gets the first row of the next one that has rows, so no window
+    spans the table, and rows with one doc_id or none spread over ranges. Rows alike in doc_id and text are counted
+    first: one of them stands in the order, the others are their own next rows.
     """
     spark = docs.sparkSession
     parts = max(parts, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    points = docs.agg(F.approx_percentile("doc_id", [i / parts for i in range(1, parts)], 10_000).alias("p")).first()["p"]
-    points = sorted(set(points or []))
-    # range 0 has the null doc_ids and those under the first split point
-    part = F.coalesce(F.array_size(F.filter(F.lit(points).cast("array<long>"), lambda p: p <= F.col("doc_id"))), F.lit(0)) if points else F.lit(0)
-    order = [F.col("doc_id").desc_nulls_last(), F.col("tie")]
-    dealt = docs.withColumn("part", part)
-    top = dealt.groupBy("part").agg(F.max(F.struct(F.col("doc_id").isNotNull(), "doc_id", -F.col("tie"))).alias("t")).collect()
-    firsts = sorted((r["part"], r["t"]["doc_id"], -r["t"][2]) for r in top)  # a row for each range
-    # the first row of a range is read by the range above it as well; that of the highest by the lowest
-    also = {p: firsts[(i + 1) % len(firsts)][0] for i, (p, _, _) in enumerate(firsts)}
-    copies = F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("ghost")))
-    if also:
-        to = F.create_map(*[F.lit(x) for kv in also.items() for x in kv])
-        heads = F.create_map(*[F.lit(x) for p, d, t in firsts for x in (p, f"{d}:{t}")])
-        is_head = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("None")), F.col("tie").cast("string")) == heads[F.col("part")]
-        ghost = F.struct(to[F.col("part")].alias("part"), F.lit(True).alias("ghost"))
-        copies = F.when(is_head, F.concat(copies, F.array(ghost))).otherwise(copies)
-    held = dealt.withColumn("c", F.explode(copies)).drop("part").select("*", "c.part", "c.ghost").drop("c")
-    within = Window.partitionBy("part").orderBy("ghost", *order)
-    return held.withColumn("next", F.lead(F.struct("text", "sk")).over(within)).filter(~F.col("ghost")).drop("part", "ghost")
+    # ascending in both: ~x falls as x rises and never overflows; the lowest value of all (so, the last) for null
+    order = F.when(F.col("doc_id").isNull(), F.lit(2**63 - 1)).otherwise(F.bitwise_not("doc_id"))
+    keys = docs.select(order.alias("order"), "tie")
+    counted = written(keys.groupBy("order", "tie").agg(F.count("*").alias("times")), "order")
+    n = counted.count()
+    every = max(1, n // (SAMPLED * parts))
+    drawn = counted.filter(F.pmod(F.xxhash64("order", "tie"), F.lit(every)) == 0).select("order", "tie")
+    sample = sorted((r["order"], r["tie"]) for r in drawn.collect())  # some SAMPLED * parts rows of two numbers
+    points = sorted({sample[len(sample) * i // parts] for i in range(1, parts)}) if sample else []
+
+    part = _place(points, F.col("order"), F.col("tie"))
+    top = counted.select(part.alias("part"), F.struct("order", "tie").alias("key")).groupBy("part").agg(F.min("key").alias("head"))
+    heads = sorted((r["part"], r["head"]["order"], r["head"]["tie"]) for r in top.collect())  # a row for each range
+    # the first row of a range is read by the range before it as well; that of the first by the last
+    at = {p: i for i, (p, _, _) in enumerate(heads)}
+    before = [heads[at[p] - 1][0] if p in at else -1 for p in range(len(points) + 1)]
+    head = {p: (o, t) for p, o, t in heads}
+    first = [head.get(p, (0, 0)) for p in range(len(points) + 1)]
+    is_head = (F.get(_numbers([o for o, _ in first]), F.col("part")) == F.col("order")) & (F.get(_numbers([t for _, t in first]), F.col("part")) == F.col("tie"))
+
+    repeated = written(counted.filter("times > 1"), "order-repeated")  # Spark broadcasts it by its size
+    held = docs.withColumn("order", order)
+    marked = held.join(repeated, ["order", "tie"], "left") if not repeated.isEmpty() else held.withColumn("times", F.lit(None).cast("long"))
+    several = marked.filter("times IS NOT NULL").dropDuplicates(["order", "tie"])
+    alike = spread(several.withColumn("times", F.col("times") - 1), "times", "copy").withColumn("next", F.struct("text", "sk"))
+    placed = marked.filter("times IS NULL").unionAll(several).withColumn("part", part)
+    own = F.struct("part", F.lit(False).alias("ghost"))
+    ghost = F.struct(F.get(_numbers(before), F.col("part")).cast("int").alias("part"), F.lit(True).alias("ghost"))
+    stood = placed.withColumn("c", F.explode(F.when(is_head, F.array(own, ghost)).otherwise(F.array(own)))).drop("part").select("*", "c.part", "c.ghost")
+    within = Window.partitionBy("part").orderBy("ghost", "order", "tie")
+    following = stood.withColumn("next", F.lead(F.struct("text", "sk")).over(within)).filter(~F.col("ghost"))
+    return following.select(*docs.columns, "next").unionAll(alike.select(*docs.columns, "next"))
 
 
 def fingerprint_edits(docs: DataFrame, k: int = K) -> DataFrame:
@@ -115,9 +153,9 @@ def fingerprint_edits(docs: DataFrame, k: int = K) -> DataFrame:
 
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many (or all) of the next
     document's. A null text is an empty one; empty texts have the empty fingerprint, and two of them are alike (1).
-    Rows that share doc_id and text are one another's next in any order, which gives the same results; if a whole
-    row stands several times at the head of a range, each of its copies is a candidate for the row after the range
-    above, with the same text. An empty table gives no rows; other columns are not read.
+    Rows that share doc_id and text are one another's next in any order, which gives the same results; those that
+    share doc_id alone go by a hash of the text, null doc_ids come last. A text has as many hashes as shingles while it
+    is in hand, whatever its length. An empty table gives no rows; other columns are not read.
     """
     text = F.coalesce("text", F.lit(""))
     own = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("tie")).withColumn("sk", sketch(shingle_hashes(F.col("text")), k))
