@@ -224,26 +224,29 @@ def fit(
 def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, **options) -> Trees:
     """Fit the trees to labelled documents: at most about ``rows`` of them, chosen by a hash of doc_id.
 
-    Labels without a doc_id or a quality are left out; a doc_id labelled twice counts twice.
+    Labels without a doc_id or a quality are left out; equal labels of a doc_id count once, different ones once each.
+    Of several documents under one doc_id the one whose text has the smallest hash is taken, so what reaches the driver
+    is a row of statistics for each chosen label. Null and empty texts have statistics of 0; whole texts are looked at.
+    Without labelled documents the model is a constant. Other columns are not read.
     """
-    known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").select("doc_id", "quality")
+    known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("quality").cast("int")).distinct()
     n = known.count()
     keep = min(1.0, rows / max(n, 1))
     chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int(keep * (1 << 20))))
-    joined = docs.select("doc_id", "text").join(chosen, "doc_id")
-    schema = "doc_id long, quality int, features array<double>"
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    joined = texts.join(F.broadcast(chosen), "doc_id")  # some ``rows`` rows of two numbers
+    schema = "doc_id long, quality int, tie long, features array<double>"
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "text"):
                 _, x = statistics(b.column("text"))
                 flat = pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.ravel()))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").cast(pa.int64()), b.column("quality").cast(pa.int32()), flat],
-                    ["doc_id", "quality", "features"],
-                )
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), b.column("tie"), flat], ["doc_id", "quality", "tie", "features"])
 
-    got = joined.mapInArrow(measured, schema).toPandas().sort_values(["doc_id", "quality"], kind="stable")
+    each = joined.select("doc_id", "quality", F.xxhash64("text").alias("tie"), "text").mapInArrow(measured, schema)
+    one = each.groupBy("doc_id", "quality").agg(F.min(F.struct("tie", "features")).alias("x")).select("doc_id", "quality", "x.features")
+    got = one.toPandas().sort_values(["doc_id", "quality"], kind="stable")
     x = np.array(got["features"].tolist(), dtype=float).reshape(len(got), len(FEATURES))
     return fit(x, got["quality"].to_numpy(dtype=float), list(FEATURES.values()), **options)
 
@@ -254,7 +257,8 @@ def grade(docs: DataFrame, model: Trees, keep_at: float = 0.5) -> DataFrame:
     A document fails the base rules with fewer than 10 words, or when over a fifth of its words stand in 5-word
     windows that it has twice. A null or empty text has no words, so it fails. Documents that pass are kept if the
     trees give ``keep_at`` or more. Columns of ``docs`` named like the result's are replaced; rows are graded alone,
-    so copies get equal grades and nothing is shuffled.
+    so copies and repeated rows get equal grades and nothing is shuffled. A text is looked at as a whole by one task,
+    however long it is. An empty table gives no rows.
     """
     added = [*COUNTS, "base_failed", "quality", "kept"]
     docs = docs.drop(*added)
