@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,10 +17,11 @@ from pyspark.sql.window import Window
 
 from .common import extended, slices
 
-#: Bytes of text in a language's dictionary, documents it is taken from at most, and characters taken of each.
+#: Bytes of a language's dictionary, and of the pieces of text that it is made of.
 DICT_BYTES = 32 << 10
-DICT_DOCS = 100
-DOC_CHARS = 512
+PIECE = 512
+#: Languages that can be told apart: each costs every text a compression, and every worker a dictionary.
+LANGUAGES = 256
 #: A text is compressed in blocks, so that its own beginning doesn't stand in for the dictionary.
 BLOCK = 4 << 10
 LEVEL = 6
@@ -35,29 +38,44 @@ def held_out(docs: DataFrame, parts: int = 4, part: int = 2) -> DataFrame:
     return docs.withColumn("held_out", key % parts == part)
 
 
-def learn(docs: DataFrame, dict_bytes: int = DICT_BYTES, dict_docs: int = DICT_DOCS, doc_chars: int = DOC_CHARS) -> dict[str, bytes]:
+def learn(docs: DataFrame, dict_bytes: int = DICT_BYTES, piece: int = PIECE) -> dict[str, bytes]:
     """A raw-content dictionary for each language of ``docs`` (text, lang).
 
-    The sample is bounded: for each language the beginnings of the ``dict_docs`` texts with the smallest hashes.
-    Equal texts count once, so a much copied one doesn't fill a dictionary. Rows without text or lang are left out.
+    All whole texts are cut into pieces of ``piece`` bytes, letters only. A dictionary is a sample of its language's
+    different pieces, those with the smallest hashes, as many as ``dict_bytes`` holds; so every part of every text is as
+    likely to be in it, and a much copied text counts once. Tasks keep that many for each language before they meet.
+    A text shorter than a piece is one; rows without text, letters or lang are left out; an empty table gives none.
+    Over LANGUAGES different values of lang are an error.
     """
-    known = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.xxhash64("text").alias("h"))
-    distinct = known.select("lang", "h").distinct()
-    counts = distinct.groupBy("lang").agg(F.count("*").alias("n"))  # a row for each language
-    # hashes under a threshold that some 20 times dict_docs of a language pass; few rows of a language meet in a task
-    share = F.least(F.lit(1.0), F.lit(20.0 * dict_docs) / F.col("n"))
-    near = distinct.join(F.broadcast(counts), "lang").filter(F.shiftrightunsigned("h", 33) < share * F.lit(float(1 << 31)))
-    rank = Window.partitionBy("lang").orderBy("h")
-    chosen = near.withColumn("place", F.row_number().over(rank)).filter(F.col("place") <= dict_docs).select("lang", "h", "place")
-    picked = (
-        known.join(F.broadcast(chosen), ["lang", "h"])  # dict_docs rows for each language
-        .groupBy("lang", "h")
-        .agg(F.min(F.substring("text", 1, doc_chars)).alias("piece"))
-    )
+    most = max(1, dict_bytes // piece)
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, dict[int, bytes]] = {}
+        for whole in batches:
+            for b in slices(whole, "text"):
+                for t, lang in zip(b.column("text"), b.column("lang").to_pylist(), strict=True):
+                    letters = plain(t.as_py()).strip()
+                    own = held.setdefault(lang, {})
+                    for i in range(0, len(letters), piece):
+                        part = letters[i : i + piece]
+                        own[xxhash.xxh3_64_intdigest(part) >> 1] = part
+                for lang, own in held.items():
+                    if len(own) > most:
+                        held[lang] = {h: own[h] for h in heapq.nsmallest(most, own)}
+        rows = [(lang, h, part) for lang, own in held.items() for h, part in own.items()]
+        types = (pa.string(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(types)], ["lang", "h", "part"])
+
+    known = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
+    few = known.mapInArrow(pieces, "lang string, h long, part binary").groupBy("lang", "h").agg(F.min("part").alias("part"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    chosen = few.withColumn("place", place).filter(F.col("place") <= most)
+    if chosen.select("lang").distinct().count() > LANGUAGES:
+        raise ValueError(f"over {LANGUAGES} languages")
     parts: dict[str, list[bytes]] = {}
-    for r in sorted(picked.collect(), key=lambda r: (r.lang, r.h)):
-        parts.setdefault(r.lang, []).append(plain(r.piece))
-    return {lang: b" ".join(p)[:dict_bytes] for lang, p in sorted(parts.items())}
+    for r in sorted(chosen.collect(), key=lambda r: (r.lang, r.h)):  # dict_bytes for each language
+        parts.setdefault(r.lang, []).append(bytes(r.part))
+    return {lang: b" ".join(p) for lang, p in sorted(parts.items()) if any(p)}
 
 
 def plain(text: str) -> bytes:
@@ -76,7 +94,9 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MA
     lang_pred has the smallest compressed size over the whole text, ties by code point of the name; ``und`` if the
     text is null or has no letter, or nothing was learned. score is the share of bytes saved against the next
     language, scaled to 0..1 (1 if only one was learned); sure is false where that share is under ``margin``, the
-    rejection: a caller who wants no narrow guesses keeps sure rows only. Only the text is looked at.
+    rejection: a caller who wants no narrow guesses keeps sure rows only. Only the text is looked at, as a whole,
+    however long it is; equal texts get equal results, and a text without letters is ``und`` like a null one. Rows are
+    named alone and nothing is shuffled. An empty table gives no rows; columns named like the result's are replaced.
     """
     docs = docs.drop("lang_pred", "score", "sure")
     out = extended(docs.schema, "lang_pred string, score double, sure boolean")
