@@ -44,6 +44,10 @@ class PieceModel:
             raise ValueError("only unigram and BPE models can be rebuilt")
         if any(kind == USER_DEFINED for _, _, kind in self.pieces):
             raise ValueError("user-defined symbols are not rebuilt")
+        if proto.trainer_spec.treat_whitespace_as_suffix or not proto.normalizer_spec.escape_whitespaces:
+            raise ValueError("only models with a space marker before words are rebuilt")
+        if proto.denormalizer_spec.precompiled_charsmap:
+            raise ValueError("denormalisers are not rebuilt")
 
     def __reduce__(self):
         return PieceModel, (self.raw,)
@@ -97,10 +101,27 @@ class PieceModel:
         out.normalizer = self.normalizer
         if self.cuts:
             out.pre_tokenizer = pre_tokenizers.Split(Regex(f"{SPACE_MARK}+[^{SPACE_MARK}]*"), "isolated")
-        steps = [decoders.Replace(SPACE_MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
+        steps = self._decoding
         out.decoder = decoders.Sequence([*steps, decoders.Strip(" ", 1, 0)] if self.dummy_prefix else steps)
         return out
 
+    @property
+    def _decoding(self) -> list:
+        return [decoders.Replace(SPACE_MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
+
+    @cached_property
+    def within(self) -> Tokenizer:
+        """The model with a decoder for parts of texts, which keeps the space that a text begins with."""
+        out = Tokenizer.from_str(self.core.to_str())
+        out.decoder = decoders.Sequence(self._decoding)
+        return out
+
+    def decode_parts(self, parts: list[list[int]]) -> list[str]:
+        """The text of the ids of each part of a text; an unknown piece is written as the original library does."""
+        if self.byte_fallback:
+            return self.within.decode_batch(parts, skip_special_tokens=False)
+        return [b"".join([self.piece_bytes[i] for i in ids]).decode("utf-8", "replace") for ids in parts]
+
     @cached_property
     def marker(self) -> int:
         """The id of the lone space marker."""
@@ -114,9 +135,8 @@ class PieceModel:
         """The parts that are encoded one by one, in normalised form. Joined they are the whole normalised text."""
         if not text:
             return []
-        if not self.cuts:
-            return [self.normalizer.normalize_str(text)]
-        return _RUNS.findall(SPACE_MARK + text.replace(" ", SPACE_MARK))
+        normal = self.normalizer.normalize_str(text)
+        return _RUNS.findall(normal) if self.cuts else [normal]
 
     @cached_property
     def piece_bytes(self) -> list[bytes]:
@@ -150,7 +170,7 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.tokens = pa.array([], pa.large_string())
+        self.tokens = self.decoded = pa.array([], pa.large_string())
         self.begin, self.length, self.same = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
         self.bank = np.zeros(0, np.int32)
 
@@ -191,15 +211,18 @@ class Encoder:
         if len(new):
             ids, lengths, same = self._fresh(new)
             at[at < 0] = len(self.tokens) + np.arange(len(new))
+            ends = np.cumsum(lengths).tolist()
+            parts = [ids[a:b].tolist() for a, b in zip([0, *ends], ends, strict=False)]
             self.tokens = pa.concat_arrays([self.tokens, new])
+            self.decoded = pa.concat_arrays([self.decoded, pa.array(self.model.decode_parts(parts), pa.large_string())])
             self.begin = np.concatenate([self.begin, len(self.bank) + np.cumsum(lengths) - lengths])
             self.length, self.same = np.concatenate([self.length, lengths]), np.concatenate([self.same, same])
             self.bank = np.concatenate([self.bank, ids])
         return at
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All ids one after another, offsets of each text's first, and each text's parity."""
-        if self.tokens.nbytes + self.bank.nbytes + 17 * len(self.tokens) > REMEMBERED_BYTES:
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """All ids one after another, offsets of each text's first, each text's parity, and what its ids decode to."""
+        if self.tokens.nbytes + self.decoded.nbytes + self.bank.nbytes + 17 * len(self.tokens) > REMEMBERED_BYTES:
             self._forget()
         parts = [self.model.pre_tokens(t or "") for t in texts]
         flat = pa.array([t for p in parts for t in p], pa.large_string()).dictionary_encode()
@@ -213,7 +236,9 @@ class Encoder:
         if self.verify and not self.by_pre_token:
             theirs = self.model.library.encode([t or "" for t in texts])
             parity = np.array([np.array_equal(ids[a:b], x) for a, b, x in zip(sums[ends[:-1]], sums[ends[1:]], theirs, strict=True)], dtype=bool)
-        return ids, sums[ends], parity
+        lists = pa.LargeListArray.from_arrays(pa.array(ends), self.decoded.take(pa.array(at)))
+        decoded = pc.binary_join(lists, pa.scalar("", pa.large_string()))
+        return ids, sums[ends], parity, pc.replace_substring_regex(decoded, "^ ", "") if self.model.dummy_prefix else decoded
 
 
 def _together(tokens: list[str]) -> list[str]:
@@ -237,10 +262,10 @@ def encode(docs: DataFrame, model: PieceModel, verify: bool = True) -> DataFrame
 
     ids are the whole text's, without special tokens; a null or empty text has none. decoded_sha256 (lowercase hex,
     UTF-8) is of the text that the ids decode to, round_trip says that it is the input (the marker character itself
-    decodes as a space), parity that the original library gives the same ids: for each of the text's pre-tokens, or for the whole text where the
-    model has no safe cuts or no byte fallback; it is null without ``verify``, as nothing is compared.
-    Rows are encoded alone: nothing is shuffled, copies and ties get equal results, columns named like the result's
-    are replaced.
+    decodes as a space), parity that the original library gives the same ids: for each of the text's pre-tokens, or for
+    the whole text where the model has no safe cuts or no byte fallback; it is null without ``verify``, as nothing is
+    compared. Rows are encoded alone: nothing is shuffled, copies, repeated rows and ties get equal results, a long text
+    is encoded whole by one task; an empty table gives no rows; columns named like the result's are replaced.
     """
     docs = docs.drop("ids", "n_tokens", "decoded_sha256", "round_trip", "parity")
     out = extended(docs.schema, "ids array<int>, n_tokens long, decoded_sha256 string, round_trip boolean, parity boolean")
@@ -248,23 +273,16 @@ def encode(docs: DataFrame, model: PieceModel, verify: bool = True) -> DataFrame
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = PieceModel(shared.value)
-        encoder, table = Encoder(own, verify), np.array(own.piece_bytes, dtype=object)
+        encoder = Encoder(own, verify)
         for whole in batches:
             for b in slices(whole, "text", 2 << 20):
-                texts = b.column("text").to_pylist()
-                ids, ends, parity = encoder.encode(texts)
-                digests, trips = [], []
-                for t, a, z in zip(texts, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                    raw = b"".join(table[ids[a:z]].tolist())
-                    raw = raw[1:] if own.dummy_prefix and raw.startswith(b" ") else raw
-                    text = raw.decode("utf-8", "replace")
-                    digests.append(hashlib.sha256(text.encode()).hexdigest())
-                    trips.append(text == (t or ""))
+                ids, ends, parity, decoded = encoder.encode(b.column("text").to_pylist())
+                trips = pc.equal(decoded, pc.fill_null(b.column("text"), "").cast(pa.large_string()))
                 arrays = [
                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32())),
                     pa.array(np.diff(ends), pa.int64()),
-                    pa.array(digests, pa.string()),
-                    pa.array(trips, pa.bool_()),
+                    pa.array([hashlib.sha256(t).hexdigest() for t in decoded.cast(pa.large_binary()).to_pylist()], pa.string()),
+                    trips,
                     pa.array(parity, pa.bool_()) if verify else pa.nulls(b.num_rows, pa.bool_()),
                 ]
                 yield pa.RecordBatch.from_arrays([*b.columns, *arrays], out.names)

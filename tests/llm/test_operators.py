@@ -281,7 +281,8 @@ def test_pieces_of_odd_strings(model):
     rng = random.Random(1)
     odd = [*" \t\n▁abé漢字😀==--.. \x00‍", "    ", "aaaa", "</s>", "<unk>", "<0x41>"]
     texts = ["".join(rng.choices(odd, k=rng.randint(0, 40))) for _ in range(3000)] + ["", " ", "  ", "▁"]
-    ids, ends, parity = pieces.Encoder(model).encode(texts)
+    ids, ends, parity, decoded = pieces.Encoder(model).encode(texts)
+    assert decoded.to_pylist() == sp.decode(sp.encode(texts))
     assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)] == sp.encode(texts) and parity.all()
     assert [e.ids for e in model.tokenizer.encode_batch(texts, add_special_tokens=False)] == sp.encode(texts)
     assert all(model.decode(x) == sp.decode(x) == model.tokenizer.decode(x) for x in sp.encode(texts))
@@ -298,7 +299,7 @@ def test_unigram_models_are_rebuilt():
     proto.normalizer_spec.add_dummy_prefix, proto.normalizer_spec.remove_extra_whitespaces = True, False
     own, sp = pieces.PieceModel(proto.SerializeToString()), sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
     texts = ["ab abc", "c é b", "", "aab ab"]
-    ids, ends, _ = pieces.Encoder(own).encode(texts)
+    ids, ends, *_ = pieces.Encoder(own).encode(texts)
     assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)] == sp.encode(texts)
 
 
