@@ -165,7 +165,8 @@ def mixed_rows(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), mo
     and one of them is repeated as often as all of them are taken. ``docs`` needs doc_id, source and text.
     """
     # the row travels as a struct, so that names of other columns clash with none here
-    rows = measured(docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("mine")), "mine")
+    others = [f"mine.`{c}`" for c in docs.columns if c not in ("doc_id", "source", "text")]
+    rows = measured(docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("mine")), *others)
     sized = written(sizes(rows), "mix-sizes")
     by_source = plan(sized, weights, most, fills)
     alike = copies(sized.filter("times > 1"), by_source).groupBy("key").agg(F.sum("copies").alias("all_copies"))
