@@ -18,6 +18,8 @@ from .components import components
 BINS, BANDS = 128, 32
 #: Members of a bucket that are ordered in one window; larger buckets are dealt to several.
 RING = 4096
+#: Rounds of star edges at most. What they leave apart is looked for exactly, so more only save pairs there.
+ROUNDS = 4
 
 
 def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -232,12 +234,13 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     Returns doc_id, n_shingles, component_id (the smallest doc_id that links lead to, itself included) and kept
     (doc_id = component_id). Documents are linked when their sets of n-word shingles are alike by ``percent`` or
     more. Documents with equal sets are one class with its smallest doc_id as representative, so copies are never
-    paired; candidates between classes come from buckets and are confirmed on full sets. Rounds end with one that joins
-    no more components; then every pair that shares a bucket across components is looked for exactly (prefix_pairs).
+    paired; candidates between classes come from buckets and are confirmed on full sets. ROUNDS of star edges at most
+    join components; then every pair that shares a bucket across components is looked for exactly (prefix_pairs).
 
     Null and empty texts have no shingles and are linked with nothing. A null doc_id is linked with nothing either
     (component_id null, kept true). Rows that share a doc_id are one node: each keeps its row, with the component
-    that any of them has. An empty table gives no rows; other columns are not read.
+    that any of them has. Whole texts are compared, however long. An empty table gives no rows; other columns are not
+    read.
     """
     base = written(sketches(docs, n), "sketches")
     known = base.filter("doc_id IS NOT NULL AND keys IS NOT NULL")
@@ -250,22 +253,26 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
         classes.select("set_hi", "set_lo", "n_shingles", "rep"), ["set_hi", "set_lo", "n_shingles"]
     )
     copies = own.filter("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    links, tried, pairs, found, last = copies, None, candidates(held), None, False
-    while True:
+    links, tried, found = copies, None, None
+
+    def tested(pairs: DataFrame) -> DataFrame:
+        """Links among pairs that haven't been looked at before."""
+        nonlocal tried
         pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = pairs if tried is None else tried.unionAll(pairs)
         ends = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ends")
         new = confirm(pairs, texts.join(ends, "doc_id", "left_semi"), n, percent)
-        new = written(new.select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
-        none = found is not None and new.isEmpty()
-        if not none:
-            links = links.unionAll(new)
-            found = components(links)
-        if last:
+        return written(new.select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+
+    for turn in range(ROUNDS):  # after the first, buckets in which components still stand apart
+        new = tested(across(held, found) if turn else candidates(held))
+        if turn and new.isEmpty():
             break
-        tried = pairs if tried is None else tried.unionAll(pairs)
-        # buckets in which components still stand apart are looked at again, until that joins none; then all pairs there
-        last = none
-        pairs = prefix_pairs(written(apart(held, found), "apart"), texts, n, percent) if last else across(held, found)
+        links = links.unionAll(new)
+        found = components(links)
+    new = tested(prefix_pairs(written(apart(held, found), "apart"), texts, n, percent))
+    if not new.isEmpty():
+        found = components(links.unionAll(new))
     grouped = base.select("doc_id", "n_shingles").join(found, F.col("doc_id") == F.col("node"), "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     return grouped.select(
