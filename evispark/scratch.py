@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir; only a session without that setting, as in tests, gets a local one."""
+    """A new path under spark.checkpoint.dir. Only a local session without that setting, as in tests, gets a folder of
+    its own; executors of a cluster would each write to their own disk there, so that is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", at)
     return f"{at.rstrip('/')}/evispark/{name}-{uuid.uuid4().hex}"
