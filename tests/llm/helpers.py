@@ -5,8 +5,12 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import struct
+import zlib
 from collections import Counter, defaultdict
 
+import xxhash
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -121,6 +125,56 @@ def base_counts(text):
     return len(w), sum(map(len, w)), sum((text or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered)
 
 
-def shingles_as_is(text, n=5):
-    w = words(text)
-    return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} or ({tuple(w)} if w else set())
+def _signed(x):
+    return x - (1 << 64) if x >= 1 << 63 else x
+
+
+def hash64(*values):
+    """Spark's xxhash64 of longs, texts and lists of longs; nulls are passed over."""
+    seed = 42
+    for v in values:
+        for x in v if isinstance(v, list) else [v]:
+            if x is not None:
+                seed = xxhash.xxh64_intdigest(x.encode() if isinstance(x, str) else struct.pack("<q", x), seed)
+    return _signed(seed)
+
+
+def fingerprint(text, n=5, k=64):
+    h = [hash64(w) for w in words(text)]
+    every = [hash64(h[i : i + n]) for i in range(len(h) - n + 1)] or ([hash64(h)] if h else [])
+    return sorted(set(every))[:k]
+
+
+def likeness(a, b, k=64):
+    both = sorted(set(a) | set(b))[:k]
+    return len(set(both) & set(a) & set(b)) / len(both) if both else 1.0
+
+
+def edits(rows):
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) in descending doc_id, ties by the text's hash."""
+    held = sorted(((i, t or "") for i, t, *_ in rows), key=lambda r: (r[0] is None, -(r[0] or 0), hash64(r[1])))
+    hexed = lambda s: "".join(f"{x % (1 << 64):016x}" for x in s)
+    out = []
+    for k, (i, t) in enumerate(held):
+        after = held[(k + 1) % len(held)][1]
+        half = len(t) // 2
+        edited = t[: len(t) - half] + after[:half]
+        a, b, c = fingerprint(t), fingerprint(edited), fingerprint(after)
+        out.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), hexed(a), hexed(b), likeness(a, b), likeness(a, c)))
+    return sorted(out, key=str)
+
+
+def shards(rows, n, slots):
+    """(doc_id, size, checksum, shard): virtual slots by hash, dealt by falling bytes to the lightest shard."""
+    seen, records = Counter(), []
+    for i, t, *_ in rows:
+        r = (i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode()))
+        records.append((*r, hash64(i, r[2], r[1], seen[r]) % slots))
+        seen[r] += 1
+    totals, loads, shard = Counter(), [0] * n, {}
+    for _, size, _, slot in records:
+        totals[slot] += size
+    for slot, size in sorted(totals.items(), key=lambda x: (-x[1], x[0])):
+        shard[slot] = min(range(n), key=lambda s: (loads[s], s))
+        loads[shard[slot]] += size
+    return sorted(((i, size, crc, shard[slot]) for i, size, crc, slot in records), key=str)

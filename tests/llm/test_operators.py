@@ -8,6 +8,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer, models
 
 from evispark.llm import components, fingerprints, language, minhash, mixing, oracles, pieces, quality, sharding, substrings, suffixes, token_counts
 from evispark.llm.queries import MODEL
@@ -119,31 +120,40 @@ def test_components_of_chains_and_stars(spark):
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+@pytest.mark.parametrize(("texts", "length", "shared", "own"), [(160, 1000, 3, 10), (300, 200, 1, 2)])
+def test_families_just_under_the_threshold_lose_no_link(spark, texts, length, shared, own):
+    """Most pairs of a family are alike by less than 0.8, some by a little more, and no text is the centre of them all."""
+    rng = random.Random(11)
+    base, rows = H.prose(rng, length, 10**6).split(), []
+    for k in range(texts // 2):
+        both = list(base)
+        for at in rng.sample(range(length), shared):
+            both[at] = f"both{k}-{at}"
+        for one in (0, 1):
+            w = list(both)
+            for at in rng.sample(range(length), own):
+                w[at] = f"own{rng.randrange(40)}"
+            rows.append((2 * k + one, " ".join(w), "en", "s", 1))
+    expected = H.groups(rows, 5)
+    assert by_id(minhash.near_duplicates(H.frame(spark, rows), n=5), "n_shingles", "component_id") == expected
+    assert len({c for *_, c in expected}) > 1
+
+
 # 3
-def test_fingerprints(docs, spark, empty):
-    got = fingerprints.fingerprint_edits(docs).collect()
-    assert len(got) == len(ROWS)
-    order = sorted(ROWS, key=lambda r: (r[0] is None, -(r[0] or 0)))
-    texts = [r[1] or "" for r in order]
-    alone = {r[0] for r in ROWS if sum(x[0] == r[0] for x in ROWS) == 1}
-    expected = {}
-    for k, r in enumerate(order):
-        t, after = texts[k], texts[(k + 1) % len(texts)]
-        half = len(t) // 2
-        expected[r[0]] = (t, t[: len(t) - half] + after[:half], after, order[(k + 1) % len(order)][0])
-    for r in got:
-        if r.doc_id not in alone or expected[r.doc_id][3] not in alone:
-            continue
-        t, edited, after, _ = expected[r.doc_id]
-        assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        for near, other in ((r.near_edited, edited), (r.near_next, after)):
-            a, b = H.shingles_as_is(t), H.shingles_as_is(other)
-            assert abs(near - (len(a & b) / len(a | b) if a | b else 1.0)) < 0.25
-    same = {r.fingerprint for r in got if 100 <= (r.doc_id or 0) < 106}
-    assert len(same) == 1
+def test_fingerprints(docs, empty):
+    columns = ("n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    assert by_id(fingerprints.fingerprint_edits(docs), *columns) == H.edits(ROWS)
     assert fingerprints.fingerprint_edits(empty).count() == 0
 
 
+def test_fingerprints_of_many_rows_that_share_a_doc_id_or_all(spark):
+    rng = random.Random(3)
+    rows = [(7, H.prose(rng, 12), "en", "s", 1) for _ in range(150)] + [(None, H.prose(rng, 12), "en", "s", 1) for _ in range(150)]
+    rows += [(9, "one and the same text of seven words", "en", "s", 1)] * 1500 + [(i, H.prose(rng, 9), "en", "s", 1) for i in range(100, 200)]
+    got = fingerprints.fingerprint_edits(H.frame(spark, rows))
+    assert by_id(got, "n_chars", "edited_sha256", "near_edited", "near_next") == sorted(((i, n, e, x, y) for i, n, e, _, _, x, y in H.edits(rows)), key=str)
+
+
 def test_fingerprints_merge(spark):
     rng = random.Random(5)
     a, b = H.prose(rng, 3000, 10**6), H.prose(rng, 1000, 10**6)
@@ -207,6 +217,8 @@ def test_language(spark, docs, empty):
     assert named.filter("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.97
     got = {r.doc_id: r for r in language.identify(docs, dictionaries).collect()}
     assert all(got[i].lang_pred == "und" and not got[i].sure for i in (400, 401, 402, 404)) and all(0 <= r.score <= 1 for r in got.values())
+    tail = spark.createDataFrame([("xx", "a b c " * 400 + "zebra quagga okapi " * 400), ("yy", "d e f " * 800)], "lang string, text string")
+    assert b"quagga" in language.learn(tail)["xx"]  # from anywhere in a text
     assert language.learn(empty) == {} and {r.lang_pred for r in language.identify(docs, {}).collect()} == {"und"}
 
 
@@ -219,12 +231,26 @@ def test_sharding(docs, empty):
         loads.setdefault(r.shard, []).append(r)
     assert all(sorted(r.slot for r in rows) == list(range(len(rows))) for rows in loads.values())
     assert sorted(r["size"] for r in got) == sorted(len((t or "").encode()) + 1 for _, t, *_ in ROWS)
-    import zlib
-
-    assert sorted(r.text_crc32 for r in got) == sorted(zlib.crc32((t or "").encode()) for _, t, *_ in ROWS)
+    assert sorted(((r.doc_id, r["size"], r.text_crc32, r.shard) for r in got), key=str) == H.shards(ROWS, 4, 64)
     assert sharding.shard(empty).count() == 0
 
 
+def test_rows_alike_in_all_spread_over_shards(spark):
+    rows = [(1, "the same", "en", "s", 8)] * 4000 + [(i, "the same", "en", "s", 8) for i in range(4000)]
+    got = [r["count"] for r in sharding.shard(H.frame(spark, rows), shards=8).groupBy("shard").count().collect()]
+    assert len(got) == 8 and sum(got) == 8000 and max(got) - min(got) <= 20
+
+
+def test_shards_move_little_when_documents_are_added(spark, tmp_path):
+    rng, at = random.Random(6), str(tmp_path / "map")
+    rows = [(i, H.prose(rng, rng.randrange(1, 60)), "en", "s", 1) for i in range(3000)]
+    first = {r.doc_id: r.shard for r in sharding.shard(H.frame(spark, rows[:2800]), shards=8, slots=512, path=at).collect()}
+    then = sharding.shard(H.frame(spark, rows), shards=8, slots=512, path=at).collect()
+    loads = [sum(r["size"] for r in then if r.shard == s) for s in range(8)]
+    assert sum(first[r.doc_id] != r.shard for r in then if r.doc_id in first) < 280 and max(loads) < 1.03 * sum(loads) / 8
+    assert sharding.latest_version(spark, at) == 2
+
+
 def test_slot_maps_balance_and_move_little(spark, tmp_path):
     rng = random.Random(2)
     totals = [(s, rng.randrange(1, 1000), 1) for s in range(4096)]
@@ -252,6 +278,17 @@ def test_mixing_is_what_sql_gives(spark, docs, empty, tmp_path):
     assert sum({r.source_size: r.target for r in rows}.values()) > 0 and all(r.taken <= 3 * r["size"] for r in rows)
 
 
+def test_rows_without_a_doc_id_are_mixed_one_by_one(spark):
+    rng = random.Random(2)
+    rows = [(None, H.prose(rng, 10), "en", "a", 1) for _ in range(300)] + [(5, "ten words " * 5, "en", "b", 1)] * 2000 + [(i, H.prose(rng, 10), "en", "c", 1) for i in range(400)]
+    got = mixing.mix(H.frame(spark, rows)).groupBy("source_size").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.count("*").alias("n")).collect()
+    assert sorted(r.n for r in got) == [300, 400, 2000] and all(abs(r.taken - r.target) <= 10 for r in got)
+    mixed = mixing.mixed_rows(H.frame(spark, rows, clash=True))
+    taken = {r.source: r.n for r in mixed.groupBy("source").agg((10 * F.count("*")).alias("n")).collect()}
+    targets = {len([r for r in rows if r[3] == s]) * 10: n for s, n in taken.items()}
+    assert all(abs(targets[r.source_size] - r.target) <= 10 for r in got) and "skey" in mixed.columns
+
+
 def test_targets_fill_up_to_three_times(spark):
     sizes = spark.createDataFrame([("sa", "a", 10), ("sb", "b", 1000), ("sc", "c", 2000), ("n", None, 500)], "skey string, source string, source_size long")
     got = {r.skey: r.target for r in mixing.targets(sizes).collect()}
@@ -318,6 +355,25 @@ def test_parity_is_compared_where_pre_tokens_cannot_be(model):
     assert pieces.Encoder(own).encode(texts)[2].tolist() == [True, False, True, True, True]
 
 
+def test_a_wrong_model_has_no_parity(spark, model):
+    own = pieces.PieceModel(model.raw)
+    vocab = {p: i for i, (p, *_) in enumerate(own.pieces)}
+    own.core = Tokenizer(models.BPE(vocab, own.merges()[: len(own.merges()) // 50], unk_token="<unk>", fuse_unk=True, byte_fallback=True))
+    assert pieces.Encoder(own).encode(["considerable differences", "a"])[2].tolist() == [False, True]
+
+
+@pytest.mark.parametrize("option", ["suffix", "plain"])
+def test_models_that_are_not_rebuilt_are_refused(option):
+    from sentencepiece import sentencepiece_model_pb2
+
+    proto = sentencepiece_model_pb2.ModelProto()
+    proto.pieces.add(piece="<unk>", score=0.0, type=2)
+    proto.trainer_spec.treat_whitespace_as_suffix = option == "suffix"
+    proto.normalizer_spec.escape_whitespaces = option != "plain"
+    with pytest.raises(ValueError, match="marker before words"):
+        pieces.PieceModel(proto.SerializeToString())
+
+
 # 10
 @pytest.mark.parametrize("bucket", [1000, 2])
 def test_suffixes(docs, empty, bucket):
