@@ -25,3 +25,13 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """A table that was just read, dealt to all cores if its files give less than half of them a task.
+
+    Small files with one row group are read by one task, however much work follows. A table with enough tasks, as any
+    large one, is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df

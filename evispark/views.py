@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .scratch import dealt
+
 #: The day that all checks count from.
 AS_OF = "2026-01-01"
 
@@ -93,7 +95,7 @@ FROM documents
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return dealt(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def view(spark: SparkSession, sf_dir: str, sql: str, name: str = "documents") -> DataFrame:
