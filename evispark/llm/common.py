@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..scratch import dealt
 from ..scratch import scratch as written  # noqa: F401
 
 #: White space between words: space, tab, newline, vertical tab, form feed, carriage return.
@@ -23,7 +24,7 @@ SLICE_BYTES = 2 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return dealt(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def words_of(text: Column) -> Column:
