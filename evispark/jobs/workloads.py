@@ -17,11 +17,11 @@ from ..operators.quality import Gate, clean_rows, enforce, grade, rejected_rows,
 from ..scratch import scratch
 from ..sources.files import quarantine
 from ..sources.journal import Lineage
-from ..sources.lakehouse import Lakehouse, incremental_load, normalise_for_commit
+from ..sources.versions import VersionedTable, incremental_load, normalise_for_commit
 
 
 def load_governed(
-    df: DataFrame, gate: Gate, lake: Lakehouse, quarantine_path: str, label: str, stamp: str, lineage: Lineage, numeric: list[str], order: str = "seq", halt: bool = True
+    df: DataFrame, gate: Gate, lake: VersionedTable, quarantine_path: str, label: str, stamp: str, lineage: Lineage, numeric: list[str], order: str = "seq", halt: bool = True
 ) -> list[int]:
     """Grade rows, quarantine the rejected, halt if too many are, and commit the clean ones; the new versions."""
     graded = grade(df, gate, order).persist()
@@ -32,7 +32,7 @@ def load_governed(
         checked = lineage.record("QUALITY_GATE", [label], [f"clean_{label}"], counts["clean"], {"rejected": counts["rejected"]})
         if halt:
             enforce(row)
-        clean = normalise_for_commit(clean_rows(graded), [*numeric, order])
+        clean = normalise_for_commit(clean_rows(graded), numeric)
         versions = incremental_load(clean, lake, order)
         lineage.record("LAKEHOUSE_COMMIT", [checked], [f"{lake.path}@v{versions[-1]}"], counts["clean"])
         return versions

@@ -15,7 +15,7 @@ from .operators import chunking, fhir, flatten, governance, index, quality, retr
 from .operators.answers import rag_triad
 from .scratch import new_path, scratch
 from .sources.journal import chain_text, tail
-from .sources.lakehouse import Lakehouse, SchemaEnforcementError, incremental_load
+from .sources.versions import SchemaEnforcementError, VersionedTable, incremental_load
 from .streaming import events as ev
 from .views import ARTICLES, AS_OF, NOTES, PATIENTS, TRIALS, articles, notes, patients, table, trials
 
@@ -680,11 +680,11 @@ def age_conflicts(spark, sf_dir):
 
 
 # --- lakehouse, events, journal ----------------------------------------------------------------------------------------
-def _order_lake(spark: SparkSession, sf_dir: str) -> Lakehouse:
+def _order_table(spark: SparkSession, sf_dir: str) -> VersionedTable:
     """Orders as a table of two commits, the first three quarters by key and the rest."""
-    lake = Lakehouse(spark, new_path(spark, "orders"), clock=lambda: AS_OF)
-    incremental_load(table(spark, sf_dir, "orders"), lake, "o_orderkey")
-    return lake
+    orders = VersionedTable(spark, new_path(spark, "orders"), clock=lambda: AS_OF)
+    incremental_load(table(spark, sf_dir, "orders"), orders, "o_orderkey")
+    return orders
 
 
 _CUT = "(SELECT greatest(1, floor(count(*) * 0.75)) FROM orders)"
@@ -692,12 +692,12 @@ _CUT = "(SELECT greatest(1, floor(count(*) * 0.75)) FROM orders)"
 
 @query(f"SELECT o_orderkey, o_custkey, o_totalprice FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS rn FROM orders) WHERE rn <= {_CUT}")
 def lakehouse_time_travel(spark, sf_dir):
-    return _order_lake(spark, sf_dir).read(version=0).select("o_orderkey", "o_custkey", "o_totalprice")
+    return _order_table(spark, sf_dir).read(version=0).select("o_orderkey", "o_custkey", "o_totalprice")
 
 
 @query("SELECT o_orderstatus, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_orderstatus")
 def lakehouse_latest(spark, sf_dir):
-    latest = _order_lake(spark, sf_dir).read()
+    latest = _order_table(spark, sf_dir).read()
     return latest.groupBy("o_orderstatus").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
@@ -706,13 +706,13 @@ def lakehouse_latest(spark, sf_dir):
     UNION ALL SELECT 1, '{AS_OF}', 'INCREMENTAL_DELTA', (count(*) - {_CUT})::BIGINT, 'append' FROM orders"""
 )
 def lakehouse_history(spark, sf_dir):
-    return _order_lake(spark, sf_dir).history()
+    return _order_table(spark, sf_dir).history()
 
 
 @query("SELECT count(*) AS orders, true AS refused FROM orders")
 def lakehouse_drift(spark, sf_dir):
     """A batch with another column is refused and leaves the table as it was."""
-    lake = _order_lake(spark, sf_dir)
+    lake = _order_table(spark, sf_dir)
     try:
         lake.write(table(spark, sf_dir, "orders").withColumn("extra", F.lit(1)))
         refused = False
@@ -762,7 +762,7 @@ def stream_gate(spark, sf_dir):
     at = new_path(spark, "ingest")
     t = trials(spark, sf_dir)
     ev.publish(ev.to_envelope(t, "raw_clinical_trials", "registry", "seq", F.lit(AS_OF).cast("timestamp")), f"{at}/events")
-    lake = Lakehouse(spark, f"{at}/trials")
+    lake = VersionedTable(spark, f"{at}/trials")
     handle = ev.ingest_batch(quality.trial_gate(AS_OF), lake, f"{at}/quarantine", "trials", "seq")
     for _ in range(2):
         rows = ev.from_envelope(ev.read_topic(spark, f"{at}/events", "raw_clinical_trials"), t.schema)

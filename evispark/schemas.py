@@ -39,10 +39,6 @@ ARTICLE_PARTS = (
     "ids array<struct<kind: string, value: string>>"
 )
 ENVELOPE = "event_id string, event_time timestamp, topic string, source_system string, payload string"
-COMMIT = (
-    "version long, timestamp string, operation string, operationParameters struct<mode: string, numRecords: long>, "
-    "schema map<string, string>, files array<string>"
-)
 LINEAGE = (
     "lineage_id string, timestamp string, operation string, inputs array<string>, outputs array<string>, record_count long, "
     "details string, run_id string"

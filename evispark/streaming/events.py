@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,10 +13,11 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.quality import BatchHalted, Gate, clean_rows, grade, rejected_rows, verdict
 from ..schemas import ENVELOPE, parsed
 from ..sources.files import quarantine
-from ..sources.lakehouse import Lakehouse
-
+from ..sources.versions import VersionedTable
 
 OPERATION = "STREAM_INGEST"
+#: Folders that committed keys are dealt to, so that a batch reads those of its own keys only.
+BUCKETS = 16
 
 
 def event_id(topic: str, source: str, seq: Column, digits: int = 10) -> Column:
@@ -60,31 +62,44 @@ def drain_topic(spark: SparkSession, path: str, topic: str, out: str, checkpoint
     stream.trigger(availableNow=True).start().awaitTermination()
 
 
-def unseen(batch: DataFrame, key: str, known: DataFrame) -> DataFrame:
-    """``batch`` with _seen: whether the committed table has the key; null keys equal one another."""
-    keys = known.select(F.col(key).alias("_k")).distinct().withColumn("_seen", F.lit(True))
+def _bucket(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+
+
+def keep_keys(clean: DataFrame, key: str, path: str, batch_id: int) -> None:
+    """Note the keys of a batch that is about to be committed; a batch that runs again replaces its own."""
+    keys = clean.select(F.col(key).alias("key"), _bucket(key).alias("bucket")).distinct()
+    keys.write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+
+def unseen(batch: DataFrame, key: str, path: str, batch_id: int) -> DataFrame:
+    """``batch`` with _seen: whether an earlier batch has the key; null keys equal one another."""
+    try:
+        kept = batch.sparkSession.read.parquet(path)
+    except AnalysisException:  # no batch has been committed
+        return batch.withColumn("_seen", F.lit(False))
+    mine = [r[0] for r in batch.select(_bucket(key).alias("bucket")).distinct().collect()]  # BUCKETS at most
+    keys = kept.filter(F.col("bucket").isin(mine) & (F.col("batch") < batch_id)).select(F.col("key").alias("_k")).distinct().withColumn("_seen", F.lit(True))
     return batch.join(keys, batch[key].eqNullSafe(keys["_k"]), "left").withColumn("_seen", F.coalesce("_seen", F.lit(False))).drop("_k")
 
 
-def ingest_batch(gate: Gate, lake: Lakehouse, quarantine_path: str, label: str, order: str, threshold: float = 0.30) -> Callable[[DataFrame, int], None]:
+def ingest_batch(gate: Gate, table: VersionedTable, quarantine_path: str, label: str, order: str, threshold: float = 0.30) -> Callable[[DataFrame, int], None]:
     """What a micro-batch goes through: grade, quarantine, halt or commit. A batch that runs again commits nothing twice.
 
-    Rows whose key an earlier batch has committed count as duplicates.
+    Rows whose key an earlier batch has committed count as duplicates; keys are kept beside the table, by hash.
     """
+    keys_path = f"{table.path}-keys"
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        if lake.version_of(OPERATION, str(batch_id)) is not None:
+        if table.version_of(OPERATION, str(batch_id)) is not None:
             return
-        graded = grade(batch, gate, order)
-        if lake.versions():
-            before = unseen(graded, gate.key, lake.read())
-            code = f"DUPLICATE_{gate.key.upper()}"
-            failed = F.when(
-                F.col("_seen") & ~F.array_contains(F.split("quality_failures", r"\|"), code),
-                F.concat_ws("|", F.nullif("quality_failures", F.lit("")), F.lit(code)),
-            ).otherwise(F.col("quality_failures"))
-            graded = before.withColumn("quality_failures", failed).drop("_seen")
-        graded = graded.persist()
+        before = unseen(grade(batch, gate, order), gate.key, keys_path, batch_id)
+        code = f"DUPLICATE_{gate.key.upper()}"
+        failed = F.when(
+            F.col("_seen") & ~F.array_contains(F.split("quality_failures", r"\|"), code),
+            F.concat_ws("|", F.nullif("quality_failures", F.lit("")), F.lit(code)),
+        ).otherwise(F.col("quality_failures"))
+        graded = before.withColumn("quality_failures", failed).drop("_seen").persist()
         try:
             row = verdict(graded, threshold).first()
             if not row["evaluated"]:
@@ -93,7 +108,8 @@ def ingest_batch(gate: Gate, lake: Lakehouse, quarantine_path: str, label: str,
             if row["halt_pipeline"]:
                 raise BatchHalted(f"batch {batch_id}: {row['rejected']} of {row['evaluated']} rows are fatal")
             if row["clean"]:
-                lake.write(clean_rows(graded), "append", OPERATION, batch_id=str(batch_id))
+                keep_keys(clean_rows(graded), gate.key, keys_path, batch_id)
+                table.write(clean_rows(graded), "append", OPERATION, batch_id=str(batch_id))
         finally:
             graded.unpersist()
 

@@ -6,7 +6,7 @@ from evispark.operators.governance import UnknownRole
 from evispark.operators.quality import BatchHalted, trial_gate
 from evispark.sources.files import land_raw, quarantine, read_patients
 from evispark.sources.journal import Audit, Lineage, ancestry, chain_text, tail, trace
-from evispark.sources.lakehouse import Lakehouse, SchemaEnforcementError, incremental_load, normalise_for_commit
+from evispark.sources.versions import SchemaEnforcementError, VersionedTable, incremental_load, normalise_for_commit
 from evispark.streaming import events as ev
 from evispark.views import AS_OF, articles, patients, trials
 
@@ -14,8 +14,8 @@ from .conftest import SF
 from .test_operators import trial, trial_frame
 
 
-def test_lakehouse(spark, tmp_path):
-    lake = Lakehouse(spark, str(tmp_path / "t"), check_types=True)
+def test_versions(spark, tmp_path):
+    lake = VersionedTable(spark, str(tmp_path / "t"), check_types=True)
     assert lake.read().count() == 0 and lake.versions() == []
     df = spark.range(4).withColumn("x", F.lit("a"))
     assert [lake.write(df), lake.write(df.select("x", "id"))] == [0, 1]
@@ -32,16 +32,24 @@ def test_lakehouse(spark, tmp_path):
     assert lake.write(df.limit(1), "overwrite") == 0 and lake.read().count() == 1
 
 
-def test_a_taken_version_is_not_overwritten(spark, tmp_path):
-    lake = Lakehouse(spark, str(tmp_path / "t"))
-    lake.write(spark.range(1))
-    assert not lake._put(0, {"version": 0})
-    assert lake.write(spark.range(1)) == 1
+def test_a_failed_write_is_made_good(spark, tmp_path):
+    table = VersionedTable(spark, str(tmp_path / "t"))
+    table.write(spark.range(3))
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+        table.write(spark.range(3).select((F.lit(1) / (F.col("id") - 1)).cast("long").alias("id")))
+    assert table.versions() == [0] and table.read().count() == 3
+    assert table.write(spark.range(2)) == 1 and table.read().count() == 5
+
+
+def test_incremental_load_of_rows_that_all_tie(spark, tmp_path):
+    table = VersionedTable(spark, str(tmp_path / "t"))
+    assert incremental_load(spark.range(101).select(F.lit(5).alias("k"), F.lit("same").alias("t")).repartition(7), table, "k") == [0, 1]
+    assert table.read(0).count() == 75 and table.read().count() == 101
 
 
 @pytest.mark.parametrize("rows", [1, 2, 4, 103])
 def test_incremental_load(spark, tmp_path, rows):
-    lake = Lakehouse(spark, str(tmp_path / "t"))
+    lake = VersionedTable(spark, str(tmp_path / "t"))
     df = spark.range(rows).select(((F.col("id") * 37) % 11).alias("k"), "id")
     incremental_load(df, lake, "k")
     first = lake.read(0)
@@ -83,7 +91,7 @@ def test_journal(spark, tmp_path):
 
 def test_stream_gate_is_idempotent_and_unique_across_batches(spark, tmp_path):
     at = str(tmp_path)
-    lake = Lakehouse(spark, f"{at}/lake")
+    lake = VersionedTable(spark, f"{at}/lake")
     handle = ev.ingest_batch(trial_gate(AS_OF), lake, f"{at}/q", "trials", "seq")
     first = trial_frame(spark, [trial(i) for i in range(5)])
     handle(first, 0)
@@ -120,7 +128,7 @@ def test_unique_within_a_delay(spark, tmp_path):
 def test_workloads_end_to_end(spark, tmp_path):
     at = str(tmp_path)
     lineage = Lineage(spark, f"{at}/lineage", "r")
-    trial_lake, article_lake = Lakehouse(spark, f"{at}/t"), Lakehouse(spark, f"{at}/a")
+    trial_lake, article_lake = VersionedTable(spark, f"{at}/t"), VersionedTable(spark, f"{at}/a")
     versions = load_governed(trials(spark, SF), trial_gate(AS_OF), trial_lake, f"{at}/q", "trials", "t0", lineage, ["enrollment", "min_age_years", "max_age_years"])
     assert versions == [0, 1]
     from evispark.operators.quality import literature_gate
