@@ -2,23 +2,29 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import hash_embed
 from ..operators import answers as A
+from ..operators import fhir
 from ..operators import retrieval as R
 from ..operators.chunking import ARTICLE_FACTS, TRIAL_FACTS, all_chunks, chunk_articles, chunk_trials, enrich_chunks
-from ..operators.governance import check_role, phi_gate, redact_queries
-from ..operators.index import corpus_stats, embed, postings, term_stats, write_index
+from ..operators.governance import check_role, deidentify, phi_gate, phi_summary, redact_queries
+from ..operators.index import check_dimensions, embed, encoder_width, index_stats, posted_stats, postings, term_stats, write_index
 from ..operators.quality import Gate, clean_rows, enforce, grade, rejected_rows, verdict
 from ..scratch import scratch
 from ..sources.files import quarantine
-from ..sources.journal import Lineage
+from ..sources.journal import Audit, Lineage
 from ..sources.versions import VersionedTable, incremental_load, normalise_for_commit
 
+#: A column of texts to a column of vectors.
+Encoder = Callable[[Column], Column]
+
 
 def load_governed(
     df: DataFrame, gate: Gate, lake: VersionedTable, quarantine_path: str, label: str, stamp: str, lineage: Lineage, numeric: list[str], order: str = "seq", halt: bool = True
@@ -40,43 +46,75 @@ def load_governed(
         graded.unpersist()
 
 
-def build_index(trials: DataFrame, articles: DataFrame, path: str, lineage_id: str) -> tuple[DataFrame, DataFrame]:
+def govern(trials: DataFrame, patients: DataFrame, salt: str, lineage: Lineage, audit: Audit, after: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Check both kinds of records against their profiles, then de-identify the patients.
+
+    Returns (conformance of both, safe patients, findings by family), records a lineage node and an audit entry for each
+    step; the first follows the node ``after``.
+    """
+    reports = scratch(
+        fhir.conformance_report(fhir.validated(patients, "Patient")).unionByName(fhir.conformance_report(fhir.validated(trials, "ResearchStudy"))), "conformance"
+    )
+    details = {r["resource_type"]: r.asDict() for r in reports.collect()}  # two rows
+    n = sum(r["resources_validated"] for r in details.values())
+    checked = lineage.record("FHIR_VALIDATION", [after], ["fhir_conformance_report"], n, details)
+    audit.log("pipeline", "data_engineer", "FHIR_VALIDATION", details, audit.count())
+    safe, findings = deidentify(patients, salt)
+    hits = scratch(phi_summary(findings), "findings")
+    removed = {r["type"]: r["hits"] for r in hits.collect()}  # a row for each family
+    records = details["Patient"]["resources_validated"]
+    lineage.record("PHI_DEIDENTIFICATION", [checked], ["deidentified_patient_profiles"], records, {"phi_removed": sum(removed.values())})
+    payload = {"records": records, "phi_removed": sum(removed.values()), "phi_types": sorted(removed)}
+    audit.log("pipeline", "data_engineer", "PHI_DEIDENTIFICATION", payload, audit.count())
+    return reports, safe, hits
+
+
+def build_index(
+    trials: DataFrame, articles: DataFrame, path: str, lineage_id: str, encoder: Encoder | None = None, lineage: Lineage | None = None, after: tuple[str, ...] = ()
+) -> tuple[DataFrame, DataFrame]:
     """Chunk, gate, embed and write both sources; (index, blocked chunks).
 
-    Chunks are gated before they are embedded, so blocked text is never encoded. Term statistics are written beside
-    the index.
+    Chunks are gated before they are embedded, so blocked text is never encoded; ``encoder`` stands in for the hashed
+    embedding. Term statistics and the vectors' width are written beside the index. With ``lineage`` a node is recorded
+    that follows the nodes ``after``, and the chunks carry its id instead of ``lineage_id``.
     """
     spark = trials.sparkSession
+    lineage_id = lineage.next_id("CHUNK_EMBED") if lineage else lineage_id
     chunks = all_chunks(chunk_trials(trials, TRIAL_FACTS), chunk_articles(articles, ARTICLE_FACTS))
     admitted, blocked = phi_gate(enrich_chunks(chunks, lineage_id))
-    write_index(embed(admitted), f"{path}/chunks", reset=True)
+    write_index(embed(admitted, encoder), f"{path}/chunks", reset=True)
     index = spark.read.parquet(f"{path}/chunks")
+    index_stats(index).write.mode("overwrite").parquet(f"{path}/dims")
     postings(index).write.mode("overwrite").parquet(f"{path}/postings")
-    corpus_stats(index).write.mode("overwrite").parquet(f"{path}/stats")
+    posted_stats(spark.read.parquet(f"{path}/postings")).write.mode("overwrite").parquet(f"{path}/stats")
     stats = spark.read.parquet(f"{path}/stats")
     term_stats(spark.read.parquet(f"{path}/postings"), stats.select("n")).write.mode("overwrite").parquet(f"{path}/terms")
+    if lineage:
+        dims = spark.read.parquet(f"{path}/dims").first()
+        lineage.record("CHUNK_EMBED", list(after), [path], dims["chunks"], {"dimensions": dims["max_dim"]})
     return index, blocked
 
 
 @dataclass
 class Index:
-    """A written index: chunks with vectors, postings, term weights, corpus statistics."""
+    """A written index: chunks with vectors, postings, term weights, corpus statistics, the vectors' width."""
 
     chunks: DataFrame
     postings: DataFrame
     terms: DataFrame
     stats: DataFrame
+    dims: DataFrame
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> Index:
-        return cls(*(spark.read.parquet(f"{path}/{t}") for t in ("chunks", "postings", "terms", "stats")))
+        return cls(*(spark.read.parquet(f"{path}/{t}") for t in ("chunks", "postings", "terms", "stats", "dims")))
 
     @classmethod
     def over(cls, chunks: DataFrame) -> Index:
         """An index that isn't written."""
         posted = postings(chunks)
-        stats = corpus_stats(chunks)
-        return cls(chunks, posted, term_stats(posted, stats.select("n")), stats)
+        stats = posted_stats(posted)
+        return cls(chunks, posted, term_stats(posted, stats.select("n")), stats, index_stats(chunks))
 
 
 @dataclass
@@ -91,25 +129,48 @@ class Answers:
     audit: DataFrame
 
 
-def candidates(queries: DataFrame, index: Index, k: int = 25) -> DataFrame:
+def candidates(queries: DataFrame, index: Index, k: int = 25, encoder: Encoder | None = None) -> DataFrame:
     """(query_id, chunk_id, ...): dense and sparse lists of k, fused; no text yet."""
-    dense = R.dense_topk(queries.select("query_id", hash_embed(F.col("query")).alias("vector")), index.chunks, k, digits=6)
+    dense = R.dense_topk(queries.select("query_id", (encoder or hash_embed)(F.col("query")).alias("vector")), index.chunks, k, digits=6)
     sparse = R.sparse_topk(R.query_terms(queries), index.postings, index.terms, index.stats, k)
     return R.rrf_fuse(dense, sparse)
 
 
-def answer(queries: DataFrame, index: Index, role: str, k: int = 25, n: int = 5, protect_ids: bool = False) -> Answers:
-    """Answer a table of questions (query_id, query); an unknown role is refused before anything is read."""
+def answer(
+    queries: DataFrame,
+    index: Index,
+    role: str,
+    k: int = 25,
+    n: int = 5,
+    protect_ids: bool = False,
+    encoder: Encoder | None = None,
+    scorer: Callable[[Column, Column], Column] | None = None,
+    audit: Audit | None = None,
+    actor: str = "researcher",
+) -> Answers:
+    """Answer a table of questions (query_id, query); an unknown role, or an encoder of another width than the index has,
+    is refused before anything else is read.
+
+    ``encoder`` (text to vector column) must be the one that the index was built with, ``scorer`` (question and text to
+    score column) stands in for the lexical reranking. With ``audit`` an entry for each question is appended, with the
+    time that answering all of them took.
+    """
     check_role(role)
+    check_dimensions(index.dims, encoder_width(queries.sparkSession, encoder))
+    began = time.perf_counter()
     redacted = redact_queries(queries, protect_ids)
     asked = redacted.select("query_id", F.col("query_redacted").alias("query"))
-    found = candidates(asked, index, k)
+    found = scratch(candidates(asked, index, k, encoder), "candidates")  # 2 k rows for each question
     facts = [c for c in index.chunks.columns if c != "vector"]
-    weights = R.rerank_idf(index.terms.select("term", "df"), index.stats)
     texts = found.join(index.chunks.select(*facts), "chunk_id").join(asked, "query_id")
-    top = scratch(R.rerank(R.lexical_rerank(texts, asked, weights), n), "top")  # n rows for each question, read five times
+    if scorer is None:
+        texts = R.lexical_rerank(texts, asked, R.rerank_idf(index.terms.select("term", "df"), index.stats))
+    top = scratch(R.rerank(texts, n, scorer), "top")  # n rows for each question, read five times
     alerts = R.age_conflicts(top.dropDuplicates(["chunk_id"])).join(top.select("query_id", "chunk_id"), "chunk_id")
     given = A.extractive_answer(top)
-    triad = A.rag_triad(asked.join(given, "query_id", "left").fillna("", ["answer"]), top.select("query_id", "text"))
+    triad = scratch(A.rag_triad(asked.join(given, "query_id", "left").fillna("", ["answer"]), top.select("query_id", "text"), encoder or hash_embed), "triad")
     cited = A.evidence(top)
-    return Answers(asked, top, alerts, A.build_context(top), given, cited, triad, A.audit_rows(redacted, cited, triad, alerts))
+    entries = A.audit_rows(redacted, cited, triad, alerts, latency_ms=round((time.perf_counter() - began) * 1000, 1))
+    if audit is not None:
+        audit.log_rows(entries.select(F.xxhash64("query_id").alias("seq"), "payload"), actor, role, "RAG_QUERY")
+    return Answers(asked, top, alerts, A.build_context(top), given, cited, triad, entries)

@@ -83,8 +83,9 @@ def rag_triad(answers: DataFrame, contexts: DataFrame, embed=hash_embed, digits:
     )
 
 
-def audit_rows(redacted: DataFrame, found: DataFrame, triad: DataFrame, alerts: DataFrame, backend: str = "extractive") -> DataFrame:
-    """(query_id, payload): what the audit keeps of each question, as JSON; never its raw text."""
+def audit_rows(redacted: DataFrame, found: DataFrame, triad: DataFrame, alerts: DataFrame, backend: str = "extractive", latency_ms: float | None = None) -> DataFrame:
+    """(query_id, payload): what the audit keeps of each question, as JSON; never its raw text. ``latency_ms`` is that of
+    the job that answered them all."""
     cited = found.groupBy("query_id").agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("citation", F.concat_ws(":", "source_type", "record_id").alias("s")))), lambda x: x["s"]
@@ -97,10 +98,11 @@ def audit_rows(redacted: DataFrame, found: DataFrame, triad: DataFrame, alerts:
         F.col("query_redacted"),
         F.col("query_hash"),
         F.col("phi_stripped").alias("phi_stripped_from_query"),
-        "sources_returned",
-        "chunks_returned",
+        F.coalesce("sources_returned", F.array().cast("array<string>")).alias("sources_returned"),
+        F.coalesce("chunks_returned", F.array().cast(dict(found.select(F.array("chunk_id").alias("c")).dtypes)["c"])).alias("chunks_returned"),
         F.struct("context_relevance", "groundedness", "answer_relevance").alias("rag_triad"),
         F.coalesce("contradiction_alerts", F.lit(0)).alias("contradiction_alerts"),
-        F.lit(backend).alias("backend"),
+        F.lit(backend).alias("llm_backend"),
+        F.lit(latency_ms).cast("double").alias("latency_ms"),
     )
     return joined.select("query_id", F.to_json(payload).alias("payload"))

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,8 +41,19 @@ def sanitise_metadata(df: DataFrame, columns: list[str] | None = None) -> DataFr
     return df.select(*out)
 
 
+class DuplicateChunks(ValueError):
+    """Chunks whose ids the index already has."""
+
+
 def write_index(chunks: DataFrame, path: str, reset: bool = False) -> None:
-    """Write chunks once for each chunk_id; with ``reset`` what was there before goes."""
+    """Write chunks once for each chunk_id; with ``reset`` what was there before goes, else ids that are there are refused."""
+    if not reset:
+        try:
+            there = chunks.sparkSession.read.parquet(path).select("chunk_id")
+        except AnalysisException:  # nothing has been written
+            there = None
+        if there is not None and not chunks.select("chunk_id").join(there, "chunk_id", "left_semi").isEmpty():
+            raise DuplicateChunks(path)
     chunks.dropDuplicates(["chunk_id"]).write.mode("overwrite" if reset else "append").parquet(path)
 
 
@@ -45,19 +62,38 @@ def index_stats(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("chunks"), F.min(F.size("vector")).alias("min_dim"), F.max(F.size("vector")).alias("max_dim"))
 
 
-def check_dimensions(df: DataFrame, dim: int) -> None:
-    row = index_stats(df).first()
+def check_dimensions(stats: DataFrame, dim: int) -> None:
+    """Raise if vectors of an index with these ``stats`` (see index_stats) have another width than ``dim``."""
+    row = stats.first()
     if row["chunks"] and (row["min_dim"], row["max_dim"]) != (dim, dim):
         raise DimensionMismatch(f"the index has vectors of {row['min_dim']} to {row['max_dim']} values, the encoder {dim}")
 
 
+def encoder_width(spark: SparkSession, encoder=None) -> int:
+    """How many values the vectors of an encoder have."""
+    return spark.range(1).select(F.size((encoder or hash_embed)(F.lit("width"))).alias("n")).first()["n"]
+
+
 def postings(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
-    """(key, term, tf, doc_len): how often each term stands in each text, and the text's length in tokens.
+    """(key, doc_len, terms): each text's length in tokens, and how often it has each of its terms, as (term, tf).
 
-    The counts of one text are made by one task as it reads it, so the shuffle holds distinct terms only.
+    The task that reads a text counts its terms, so nothing is shuffled.
     """
-    tokens = chunks.select(key, tokenize(F.col(text)).alias("tokens")).withColumn("doc_len", F.size("tokens"))
-    return tokens.select(key, "doc_len", F.explode("tokens").alias("term")).groupBy(key, "term", "doc_len").agg(F.count("*").alias("tf"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.struct([("term", pa.string()), ("tf", pa.int64())])
+        for b in batches:
+            lists = b.column("tokens")
+            counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            coded = lists.flatten().dictionary_encode()
+            names, width = coded.dictionary, max(1, len(coded.dictionary))
+            cell, tf = np.unique(np.repeat(np.arange(b.num_rows), counts) * width + coded.indices.to_numpy(), return_counts=True)
+            flat = pa.StructArray.from_arrays([names.take(pa.array(cell % width)), pa.array(tf, pa.int64())], fields=list(kind))
+            ends = np.concatenate([[0], np.cumsum(np.bincount(cell // width, minlength=b.num_rows))])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], [key, "doc_len", "terms"])
+
+    kind = dict(chunks.select(key).dtypes)[key]
+    return chunks.select(key, tokenize(F.col(text)).alias("tokens")).mapInArrow(count, f"{key} {kind}, doc_len int, terms array<struct<term: string, tf: long>>")
 
 
 def term_stats(posted: DataFrame, n_docs: DataFrame, epsilon: float = 0.25) -> DataFrame:
@@ -65,7 +101,7 @@ def term_stats(posted: DataFrame, n_docs: DataFrame, epsilon: float = 0.25) -> D
 
     ``n_docs``: one row (n).
     """
-    df = posted.groupBy("term").agg(F.count("*").alias("df"))
+    df = posted.select(F.explode("terms").alias("t")).groupBy(F.col("t.term").alias("term")).agg(F.count("*").alias("df"))
     raw = df.withColumn("raw", F.log((n_docs.scalar() - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     mean = raw.agg(F.avg("raw")).scalar()
     return raw.select("term", "df", F.when(F.col("raw") < 0, F.lit(epsilon) * mean).otherwise(F.col("raw")).alias("idf"))
@@ -76,5 +112,10 @@ def corpus_stats(chunks: DataFrame, text: str = "text") -> DataFrame:
     return chunks.agg(F.count("*").alias("n"), F.avg(F.size(tokenize(F.col(text)))).alias("avg_len"))
 
 
+def posted_stats(posted: DataFrame) -> DataFrame:
+    """The same as corpus_stats, from postings, which know each text's length."""
+    return posted.agg(F.count("*").alias("n"), F.avg("doc_len").alias("avg_len"))
+
+
 def bm25_weight(tf: Column, doc_len: Column, avg_len: Column, idf: Column, k1: float = 1.5, b: float = 0.75) -> Column:
     return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * doc_len / avg_len))

@@ -6,16 +6,24 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from .. import policy
 from ..functions.text import tokenize
+from ..schemas import parsed
+from ..scratch import scratch
 from .index import bm25_weight
 
-#: Questions whose vectors are held in memory at once.
+#: Questions that one task holds at once; with no more in all, they are broadcast. Their terms likewise.
 QUESTION_BLOCK = 4096
+QUESTION_TERMS = 1 << 17
+#: Chunks in a part that meets a block of questions, and scores that are in hand at once.
+PART, CELLS = 1 << 16, 1 << 20
 
 
 def top_by(df: DataFrame, k: int, *order: Column, name: str = "rank") -> DataFrame:
@@ -24,37 +32,10 @@ def top_by(df: DataFrame, k: int, *order: Column, name: str = "rank") -> DataFra
     return ranked.filter(F.col(name) <= k)
 
 
-def dense_topk(queries: DataFrame, chunks: DataFrame, k: int = 25, digits: int | None = None, key: str = "chunk_id") -> DataFrame:
-    """(query_id, key, dense_score, dense_rank): the k chunks with the largest cosine for each question, exactly.
-
-    Questions are taken in blocks of QUESTION_BLOCK vectors, which is what a task holds; each task multiplies a batch
-    of chunk vectors with a block and keeps k for each question, so questions times chunks never exist as rows. Ties
-    go by key. With ``digits`` scores are rounded before they are ranked.
-    """
-    vectors = queries.select("query_id", "vector").orderBy("query_id")
-    width = F.size("vector")
-    vectors = vectors.filter(width > 0)
-    out = None
-    for block in _blocks(vectors):
-        part = _dense_block(block, chunks, k, digits, key)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        kind = dict(chunks.dtypes)[key]
-        return queries.sparkSession.createDataFrame([], f"query_id {dict(queries.dtypes)['query_id']}, {key} {kind}, dense_score double, dense_rank int")
-    return out
-
-
-def _blocks(vectors: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
-    """Ids and unit vectors of questions, a bounded number at a time."""
-    ids, rows = [], []
-    for r in vectors.toLocalIterator():
-        ids.append(r["query_id"])
-        rows.append(r["vector"])
-        if len(ids) == QUESTION_BLOCK:
-            yield ids, _unit(np.array(rows, dtype=np.float64))
-            ids, rows = [], []
-    if ids:
-        yield ids, _unit(np.array(rows, dtype=np.float64))
+def few(rows: DataFrame, limit: int) -> list | None:
+    """The rows, if there are ``limit`` at most."""
+    got = rows.limit(limit + 1).collect()
+    return got if len(got) <= limit else None
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -62,34 +43,101 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
 
-def _dense_block(block: tuple[list, np.ndarray], chunks: DataFrame, k: int, digits: int | None, key: str) -> DataFrame:
-    spark = chunks.sparkSession
-    shared = spark.sparkContext.broadcast(block)  # QUESTION_BLOCK vectors
+class _Best:
+    """The k best (score, key) of each of n questions among those seen, ties by key."""
+
+    def __init__(self, k: int, n: int):
+        self.k, self.limit = k, max(1 << 18, 4 * n * k)
+        self.floor, self.parts, self.size = np.full(n, -np.inf), [], 0
+
+    def add(self, keys: np.ndarray, scores: np.ndarray, above: float = -np.inf) -> None:
+        """``scores`` (keys x questions); of each question only those over ``above`` that can be among its k stay."""
+        for j in range(0, scores.shape[1], 256):
+            s = scores[:, j : j + 256]
+            at = min(self.k, len(s)) - 1
+            low = np.maximum(-np.partition(-s, at, axis=0)[at], self.floor[j : j + 256])
+            row, col = np.nonzero((s >= low) & (s > above))  # ties with the last one stay
+            self.parts.append(pd.DataFrame({"q": col + j, "key": keys[row], "score": s[row, col]}))
+            self.size += len(row)
+        if self.size > self.limit:
+            self._compact()
+
+    def _compact(self) -> None:
+        held = pd.concat(self.parts).sort_values(["q", "score", "key"], ascending=[True, False, True]).groupby("q").head(self.k)
+        self.parts, self.size = [held], len(held)
+        full = held.groupby("q")["score"].agg(["size", "min"])
+        full = full[full["size"] == self.k]
+        self.floor[full.index.to_numpy()] = full["min"].to_numpy()
+
+    def frame(self, ids: list, key: str, score: str) -> pd.DataFrame:
+        if not self.parts:
+            return pd.DataFrame({"query_id": [], key: [], score: []})
+        self._compact()
+        held = self.parts[0]
+        return pd.DataFrame({"query_id": [ids[i] for i in held["q"]], key: held["key"].to_numpy(), score: held["score"].to_numpy()})
+
+
+def _add_vectors(best: _Best, keys: np.ndarray, vectors: pd.Series, q: np.ndarray, digits: int | None) -> None:
+    scores = _unit(np.stack(vectors.to_numpy()).astype(np.float64)) @ q.T
+    best.add(keys, scores if digits is None else np.round(scores, digits))
+
+
+def dense_topk(queries: DataFrame, chunks: DataFrame, k: int = 25, digits: int | None = None, key: str = "chunk_id", block: int = QUESTION_BLOCK) -> DataFrame:
+    """(query_id, key, dense_score, dense_rank): the k chunks with the largest cosine for each question, exactly.
+
+    Up to ``block`` question vectors are broadcast, so that chunks are read where they are. More are dealt to blocks, and
+    chunks to parts; each pair of block and part is one task. Every task multiplies chunk vectors with its questions' and
+    keeps k for each, so questions times chunks never exist as rows. Ties go by key. With ``digits`` scores are rounded
+    before they are ranked.
+    """
+    kinds = {**dict(chunks.select(key).dtypes), **dict(queries.select("query_id").dtypes)}
+    schema = f"query_id {kinds['query_id']}, {key} {kinds[key]}, dense_score double"
+    asked = scratch(queries.select("query_id", "vector").filter(F.size("vector") > 0), "questions")
+    held = chunks.select(key, "vector").filter(F.size("vector") > 0)
+    rows = few(asked, block)
+    if rows is not None:
+        found = _dense_broadcast(rows, held, k, digits, key, schema)
+    else:
+        found = _dense_grid(asked, held, k, digits, key, schema, block)
+    return top_by(found, k, F.desc("dense_score"), F.asc(key), name="dense_rank")
+
+
+def _dense_broadcast(rows: list, chunks: DataFrame, k: int, digits: int | None, key: str, schema: str) -> DataFrame:
+    shared = chunks.sparkSession.sparkContext.broadcast(([r["query_id"] for r in rows], [r["vector"] for r in rows]))  # QUESTION_BLOCK vectors
 
     def local_top(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, q = shared.value
-        best = None
+        ids, vectors = shared.value
+        if not ids:
+            return
+        q, best = _unit(np.array(vectors, dtype=np.float64)), _Best(k, len(ids))
         for b in batches:
-            if not len(b):
-                continue
-            scores = _unit(np.stack(b["vector"].to_numpy()).astype(np.float64)) @ q.T
-            scores = scores if digits is None else np.round(scores, digits)
-            keys = b[key].to_numpy()
-            for j in range(0, len(ids), 256):
-                s = scores[:, j : j + 256]
-                floor = -np.partition(-s, min(k, len(s)) - 1, axis=0)[min(k, len(s)) - 1]
-                row, col = np.nonzero(s >= floor)  # ties with the last one stay
-                part = pd.DataFrame({"q": col + j, key: keys[row], "dense_score": s[row, col]})
-                best = part if best is None else pd.concat([best, part])
-            best = best.sort_values(["q", "dense_score", key], ascending=[True, False, True]).groupby("q").head(k)
-        if best is not None:
-            yield pd.DataFrame({"query_id": [ids[i] for i in best["q"]], key: best[key].to_numpy(), "dense_score": best["dense_score"].to_numpy()})
-
-    kinds = dict(chunks.dtypes)
-    found = chunks.select(key, "vector").filter(F.size("vector") > 0).mapInPandas(
-        local_top, f"query_id {'long' if all(isinstance(i, int) for i in block[0]) else 'string'}, {key} {kinds[key]}, dense_score double"
-    )
-    return top_by(found, k, F.desc("dense_score"), F.asc(key), name="dense_rank")
+            if len(b):
+                _add_vectors(best, b[key].to_numpy(), b["vector"], q, digits)
+        if best.parts:
+            yield best.frame(ids, key, "dense_score")
+
+    return chunks.mapInPandas(local_top, schema)
+
+
+def _dense_grid(asked: DataFrame, chunks: DataFrame, k: int, digits: int | None, key: str, schema: str, block: int) -> DataFrame:
+    """Blocks of questions against parts of chunks. A block has one row for each part, so a question's vector travels as
+    often as there are parts, and a chunk's as often as there are blocks."""
+    blocks = max(1, -(-asked.count() * 2 // block))  # dealt by hash to about half of ``block`` each
+    held = scratch(chunks, "vectors")
+    parts = max(1, -(-held.count() // PART))
+    mine = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    theirs = held.withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def pair(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        best = _Best(k, len(q))
+        if len(q) and len(c):
+            vectors = _unit(np.stack(q["vector"].to_numpy()).astype(np.float64))
+            for i in range(0, len(c), 4096):
+                _add_vectors(best, c[key].to_numpy()[i : i + 4096], c["vector"].iloc[i : i + 4096], vectors, digits)
+        return best.frame(q["query_id"].tolist(), key, "dense_score")
+
+    on = ["block", "part"]
+    return mine.withColumn("block", F.col("block").cast("int")).groupBy(*on).cogroup(theirs.groupBy(*on)).applyInPandas(pair, schema)
 
 
 def query_terms(queries: DataFrame, text: str = "query") -> DataFrame:
@@ -97,19 +145,67 @@ def query_terms(queries: DataFrame, text: str = "query") -> DataFrame:
     return queries.select("query_id", F.explode(tokenize(F.col(text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
 
 
-def sparse_topk(terms: DataFrame, posted: DataFrame, idf: DataFrame, stats: DataFrame, k: int = 25, k1: float = 1.5, b: float = 0.75, digits: int = 6, key: str = "chunk_id") -> DataFrame:
+def sparse_topk(
+    terms: DataFrame, posted: DataFrame, idf: DataFrame, stats: DataFrame, k: int = 25, k1: float = 1.5, b: float = 0.75, digits: int = 6, key: str = "chunk_id", most: int = QUESTION_TERMS
+) -> DataFrame:
     """(query_id, key, sparse_score, sparse_rank): the k chunks with the largest BM25 score over 0 for each question.
 
-    The questions' terms with their idf are the small side of the join on term; Spark broadcasts them if they are
-    small and splits frequent terms otherwise. Scores are rounded before ranking, ties go by key.
+    ``posted`` has a row for each chunk (see index.postings). Up to ``most`` terms of questions with their idf are
+    broadcast: a task scores the chunks that it reads and keeps k for each question, so a term that stands in every
+    chunk and question gives no rows. More are joined by term, and scores added up by a shuffle. Scores are rounded
+    before ranking, ties go by key.
     """
-    wanted = terms.join(idf.select("term", "idf"), "term")
-    weight = bm25_weight(F.col("tf"), F.col("doc_len"), stats.select("avg_len").scalar(), F.col("idf"), k1, b)
-    weighed = posted.join(wanted, "term").withColumn("part", F.col("times") * weight)
-    scores = weighed.groupBy("query_id", key).agg(F.round(F.sum("part"), digits).alias("sparse_score")).filter("sparse_score > 0")
+    wanted = scratch(terms.join(idf.select("term", "idf"), "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("weight")), "question-terms")
+    average = stats.select("avg_len").first()[0]
+    rows = few(wanted, most)
+    if rows is not None:
+        scores = _sparse_broadcast(rows, wanted, posted, average, k, k1, b, digits, key)
+    else:
+        each = posted.select(key, "doc_len", F.explode("terms").alias("t")).select(key, "doc_len", "t.term", "t.tf")
+        part = bm25_weight(F.col("tf"), F.col("doc_len"), F.lit(average), F.col("weight"), k1, b)
+        scores = each.join(wanted, "term").groupBy("query_id", key).agg(F.round(F.sum(part), digits).alias("sparse_score")).filter("sparse_score > 0")
     return top_by(scores, k, F.desc("sparse_score"), F.asc(key), name="sparse_rank")
 
 
+def _sparse_broadcast(rows: list, wanted: DataFrame, posted: DataFrame, average: float | None, k: int, k1: float, b: float, digits: int, key: str) -> DataFrame:
+    ids = sorted({r["query_id"] for r in rows})
+    number = {q: i for i, q in enumerate(ids)}
+    listed = sorted((r["term"], number[r["query_id"]], r["weight"]) for r in rows)
+    names = sorted({t for t, *_ in listed})
+    begin = np.searchsorted(np.array([t for t, *_ in listed], dtype=object), np.array([*names], dtype=object)) if names else np.zeros(0, np.int64)
+    table = (ids, names, np.append(begin, len(listed)), np.array([q for _, q, _ in listed], dtype=np.int64), np.array([w for *_, w in listed]))
+    shared = posted.sparkSession.sparkContext.broadcast(table)  # QUESTION_TERMS rows at most
+    kinds = {**dict(posted.select(key).dtypes), **dict(wanted.select("query_id").dtypes)}
+
+    def local_top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, names, begin, question, weight = shared.value
+        if not ids:
+            return
+        known, best, step = pa.array(names, pa.string()), _Best(k, len(ids)), max(1, CELLS // len(ids))
+        for whole in batches:
+            for i in range(0, whole.num_rows, step):
+                batch = whole.take(pa.array(np.arange(i, min(i + step, whole.num_rows))))
+                lists = batch.column("terms")
+                doc = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+                flat = lists.flatten()
+                at = pc.index_in(flat.field("term"), known)
+                hit = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
+                term, doc = at.take(pa.array(hit)).to_numpy().astype(np.int64), doc[hit]
+                tf, length = flat.field("tf").to_numpy()[hit].astype(float), batch.column("doc_len").to_numpy()[doc]
+                share = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / average))
+                asked = begin[term + 1] - begin[term]  # questions with the term
+                place = np.repeat(begin[term] - np.cumsum(asked) + asked, asked) + np.arange(asked.sum())
+                cell = np.repeat(doc, asked) * len(ids) + question[place]
+                scores = np.round(np.bincount(cell, weight[place] * np.repeat(share, asked), batch.num_rows * len(ids)), digits)
+                best.add(np.array(batch.column(key).to_pylist()), scores.reshape(batch.num_rows, len(ids)), above=0.0)
+        if best.parts:
+            yield pa.RecordBatch.from_pandas(best.frame(ids, key, "sparse_score"), schema=out, preserve_index=False)
+
+    schema = f"query_id {kinds['query_id']}, {key} {kinds[key]}, sparse_score double"
+    out = to_arrow_schema(parsed(schema))
+    return posted.select(key, "doc_len", "terms").mapInArrow(local_top, schema)
+
+
 def rrf_fuse(dense: DataFrame, sparse: DataFrame, k0: int = 60, key: str = "chunk_id") -> DataFrame:
     """(query_id, key, rrf_score, retrieved_by, dense_rank, sparse_rank, fused_rank) of both lists together."""
     none = F.lit(None).cast("int")

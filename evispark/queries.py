@@ -554,7 +554,8 @@ def doc_index(spark: SparkSession, sf_dir: str) -> Index:
     )
     built = Index.over(scratch(docs, "chunks"))
     posted = scratch(built.postings, "postings")
-    return Index(built.chunks, posted, scratch(index.term_stats(posted, built.stats.select("n")), "terms"), built.stats)
+    stats = scratch(index.posted_stats(posted), "stats")
+    return Index(built.chunks, posted, scratch(index.term_stats(posted, stats.select("n")), "terms"), stats, built.dims)
 
 
 _POSTED = f"""tok AS (SELECT doc_id AS chunk_id, {_TOKENS.format("text")} AS ts FROM documents),
@@ -590,8 +591,8 @@ top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
 
 @query(f"WITH {_POSTED} SELECT term, df, round(idf, 6) AS idf FROM idfs")
 def bm25_terms(spark, sf_dir):
-    docs = corpus(spark, sf_dir)
-    out = index.term_stats(scratch(index.postings(docs), "postings"), index.corpus_stats(docs).select("n"))
+    posted = scratch(index.postings(corpus(spark, sf_dir)), "postings")
+    out = index.term_stats(posted, index.posted_stats(posted).select("n"))
     return out.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
@@ -602,8 +603,8 @@ def corpus_stats(spark, sf_dir):
 
 @query(f"WITH {_POSTED}, {_SPARSE} SELECT query_id, chunk_id, sparse_score, sparse_rank FROM sparse")
 def sparse_topk(spark, sf_dir):
-    docs = corpus(spark, sf_dir)
-    posted, stats = scratch(index.postings(docs), "postings"), index.corpus_stats(docs)
+    posted = scratch(index.postings(corpus(spark, sf_dir)), "postings")
+    stats = scratch(index.posted_stats(posted), "stats")
     terms = retrieval.query_terms(questions(spark, sf_dir))
     return retrieval.sparse_topk(terms, posted, index.term_stats(posted, stats.select("n")), stats, 25)
 

@@ -6,10 +6,12 @@ import json
 import uuid
 from datetime import UTC, datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import AUDIT, LINEAGE, parsed
+from ..scratch import scratch
 
 
 def _now() -> str:
@@ -23,8 +25,12 @@ class Lineage:
         self.spark, self.path, self.clock = spark, path, clock
         self.run_id, self.count = run_id or uuid.uuid4().hex, 0
 
+    def next_id(self, operation: str) -> str:
+        """The id that the next node will have."""
+        return f"LIN_{self.count:04d}_{operation}"
+
     def record(self, operation: str, inputs: list[str], outputs: list[str], record_count: int, details: dict | None = None) -> str:
-        lineage_id = f"LIN_{self.count:04d}_{operation}"
+        lineage_id = self.next_id(operation)
         row = (lineage_id, self.clock(), operation, inputs, outputs, record_count, json.dumps(details or {}, sort_keys=True), self.run_id)
         self.spark.createDataFrame([row], parsed(LINEAGE)).coalesce(1).write.mode("append").json(self.path)
         self.count += 1
@@ -49,15 +55,13 @@ def trace(evidence: DataFrame, nodes: DataFrame) -> DataFrame:
     return evidence.join(nodes.select("lineage_id", "outputs"), "lineage_id", "left")
 
 
-def ancestry(nodes: DataFrame, lineage_id: str, run_id: str, depth: int = 50) -> DataFrame:
-    """All nodes of a run that a node's inputs lead to, itself included."""
+def ancestry(nodes: DataFrame, lineage_id: str, run_id: str) -> DataFrame:
+    """All nodes of a run that a node's inputs lead to, itself included; one step back at a time, to the end."""
     own = nodes.filter(F.col("run_id") == run_id)
-    found = frontier = own.filter(F.col("lineage_id") == lineage_id)
-    for _ in range(depth):
+    found = frontier = scratch(own.filter(F.col("lineage_id") == lineage_id), "ancestors")
+    while not frontier.isEmpty():  # ends, as each step finds nodes that weren't there
         ids = frontier.select(F.explode("inputs").alias("lineage_id")).distinct()
-        frontier = own.join(ids, "lineage_id").join(found.select("lineage_id"), "lineage_id", "left_anti").select(*own.columns)
-        if frontier.isEmpty():
-            break
+        frontier = scratch(own.join(ids, "lineage_id").join(found.select("lineage_id"), "lineage_id", "left_anti").select(*own.columns), "ancestors")
         found = found.unionByName(frontier)
     return found
 
@@ -71,6 +75,13 @@ class Audit:
     def load(self) -> DataFrame:
         return self.spark.read.schema(parsed(AUDIT)).json(self.path)
 
+    def count(self) -> int:
+        """How many entries there are; the next sequence number of a single writer."""
+        try:
+            return self.load().count()
+        except AnalysisException:  # nothing has been written
+            return 0
+
     def log(self, actor: str, role: str, action: str, payload: dict, seq: int) -> str:
         audit_id = f"AUD_{uuid.uuid4().hex[:12].upper()}"
         row = (audit_id, self.clock(), seq, actor, role, action, json.dumps(payload, sort_keys=True))

@@ -208,8 +208,8 @@ def test_triad_without_contexts_is_zero(spark):
 def test_index_dimensions(spark):
     df = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [1.0])], "chunk_id string, vector array<float>")
     with pytest.raises(index.DimensionMismatch):
-        index.check_dimensions(df, 2)
-    index.check_dimensions(df.filter("chunk_id = 'a'"), 2)
+        index.check_dimensions(index.index_stats(df), 2)
+    index.check_dimensions(index.index_stats(df.filter("chunk_id = 'a'")), 2)
 
 
 def test_literature_gate(spark):
