@@ -99,7 +99,7 @@ def _place(points: list[tuple[int, int]], order: Column, tie: Column) -> Column:
 
 
 #: Rows that are looked at for each split point.
-SAMPLED = 32
+SAMPLED = 16
 
 
 def beside_next(docs: DataFrame, parts: int = 64) -> DataFrame:
@@ -113,7 +113,7 @@ def beside_next(docs: DataFrame, parts: int = 64) -> DataFrame:
     first: one of them stands in the order, the others are their own next rows.
     """
     spark = docs.sparkSession
-    parts = max(parts, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(parts, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     # ascending in both: ~x falls as x rises and never overflows; the lowest value of all (so, the last) for null
     order = F.when(F.col("doc_id").isNull(), F.lit(2**63 - 1)).otherwise(F.bitwise_not("doc_id"))
     keys = docs.select(order.alias("order"), "tie")
