@@ -8,14 +8,16 @@ from pyspark.sql.window import Window
 
 from . import policy
 from .functions.phi import redact_phi, scan_phi
+from .functions.splitting import split_text
 from .functions.text import parse_age_years, tokenize
 from .functions.vectors import hash_embed
-from .jobs.workloads import Index, answer, candidates
+from .jobs.workloads import Index, answer, build_index, candidates, govern, load_governed
 from .operators import chunking, fhir, flatten, governance, index, quality, retrieval
-from .operators.answers import rag_triad
+from .operators.answers import EXTRACTIVE, rag_triad
 from .scratch import new_path, scratch
-from .sources.journal import chain_text, tail
-from .sources.versions import SchemaEnforcementError, VersionedTable, incremental_load
+from .sources.files import land_raw, quarantine, read_articles_xml, read_patients, read_quarantine, read_studies
+from .sources.journal import Audit, Lineage, ancestry, chain_text, tail, trace
+from .sources.versions import SchemaEnforcementError, VersionedTable, incremental_load, normalise_for_commit
 from .streaming import events as ev
 from .views import ARTICLES, AS_OF, NOTES, PATIENTS, TRIALS, articles, notes, patients, table, trials
 
@@ -343,6 +345,59 @@ def flatten_articles(spark, sf_dir):
     return flatten.flatten_articles(article_xml(spark, sf_dir), keep=("seq",)).withColumn("pub_year", F.col("pub_year").cast("string"))
 
 
+@query(f"WITH t AS ({TRIALS}) SELECT seq, nct_id, brief_title FROM t WHERE nct_id IS NOT NULL AND nct_id <> ''")
+def trials_with_id(spark, sf_dir):
+    return flatten.with_identifier(trials(spark, sf_dir), "nct_id").select("seq", "nct_id", "brief_title")
+
+
+# --- landing zone ------------------------------------------------------------------------------------------------------
+@query(
+    rf"""WITH t AS ({TRIALS}) SELECT nct_id, brief_title, overall_status, brief_summary, eligibility_criteria, min_age_years, {_DRUGS} AS interventions,
+    sponsor, count(*) AS records FROM t GROUP BY ALL"""
+)
+def landed_studies(spark, sf_dir):
+    """Studies landed as JSON lines, read back and flattened."""
+    at = new_path(spark, "landing")
+    land_raw(nested_studies(spark, sf_dir).drop("seq"), at)
+    back = flatten.flatten_studies(read_studies(spark, at))
+    columns = ["nct_id", "brief_title", "overall_status", "brief_summary", "eligibility_criteria", "min_age_years", "interventions", "sponsor"]
+    return back.groupBy(*columns).agg(F.count("*").alias("records"))
+
+
+@query(
+    rf"""WITH t AS ({ARTICLES}) SELECT pmid, {_CLEAN.format("title")} AS title,
+    CASE WHEN abstract IS NOT NULL THEN 'SUMMARY: all of it' || chr(10) || {_CLEAN.format("abstract")} END AS abstract, doi, count(*) AS records FROM t GROUP BY ALL"""
+)
+def landed_articles(spark, sf_dir):
+    """Articles landed as XML text, read back fragment by fragment and flattened."""
+    at = new_path(spark, "landing")
+    land_raw(article_xml(spark, sf_dir).select("xml"), at)
+    back = flatten.flatten_articles(read_articles_xml(spark, at))
+    return back.groupBy("pmid", "title", "abstract", "doi").agg(F.count("*").alias("records"))
+
+
+@query(f"WITH t AS ({PATIENTS}) SELECT * EXCLUDE (seq, hba1c), round(hba1c, 3) AS hba1c FROM t")
+def landed_patients(spark, sf_dir):
+    at = new_path(spark, "landing")
+    land_raw(patients(spark, sf_dir).drop("seq"), at)
+    return read_patients(spark, at, "json").withColumn("hba1c", F.round("hba1c", 3))
+
+
+@query(_GRADED_T + "SELECT seq::STRING AS seq, nct_id, quality_failures FROM g WHERE quality_failures <> ''")
+def quarantined_trials(spark, sf_dir):
+    """Rejected trials written to quarantine as CSV and read back."""
+    rejected = quality.rejected_rows(graded_trials(spark, sf_dir))
+    at = quarantine(rejected, "trials", new_path(spark, "quarantine"), AS_OF, rejected.count())
+    return read_quarantine(spark, at).select("seq", "nct_id", "quality_failures")
+
+
+@query("SELECT c_custkey, c_acctbal AS balance, NULL::DOUBLE AS name, c_nationkey::STRING AS nation FROM customer")
+def normalised_customers(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    raw = c.select("c_custkey", F.col("c_acctbal").cast("string").alias("balance"), F.col("c_name").alias("name"), F.col("c_nationkey").cast("string").alias("nation"))
+    return normalise_for_commit(raw, ["balance", "name"])
+
+
 # --- governance --------------------------------------------------------------------------------------------------------
 def _quoted(p: str) -> str:
     return "'" + p.replace("'", "''") + "'"
@@ -446,6 +501,18 @@ def mask_by_role(spark, sf_dir):
     return governance.masked_for_roles(held, "seq", list(policy.ROLE_CLASSES))
 
 
+@query(
+    f"""WITH t AS ({PATIENTS}), """
+    + "c AS (" + " UNION ALL ".join(f"SELECT '{c}' AS field, '{policy.FIELD_CLASS[c]}' AS class, count({c}) AS filled FROM t" for c in _PATIENT_COLUMNS) + ")"
+    + " SELECT field, class, filled FROM c UNION ALL SELECT 'seq', 'CONFIDENTIAL', count(seq) FROM t"
+)
+def classified_fields(spark, sf_dir):
+    """The class of each patient column, with how many rows fill it."""
+    p = patients(spark, sf_dir)
+    filled = p.agg(F.array(*[F.struct(F.lit(c).alias("field"), F.count(c).alias("filled")) for c in p.columns]).alias("c")).select(F.explode("c").alias("c")).select("c.*")
+    return governance.classify(p).join(filled, "field")
+
+
 # --- chunks ------------------------------------------------------------------------------------------------------------
 @query()
 def chunk_trials(spark, sf_dir):
@@ -473,6 +540,69 @@ def chunk_interventions(spark, sf_dir):
     return chunks.filter("section = 'interventions'").select("chunk_id", "text")
 
 
+_T_HEADER = "'Trial ' || coalesce(nct_id, '') || ' - ' || coalesce(brief_title, '') || chr(10) || 'Status: ' || coalesce(overall_status, '') || ' | Phase: ' || coalesce(nullif(phase, ''), 'N/A') || ' | Conditions: ' || coalesce(conditions, '') || chr(10)"
+_L_HEADER = "'Article PMID ' || coalesce(pmid, '') || ' - ' || coalesce(title, '') || chr(10) || coalesce(nullif(journal, ''), 'Unknown journal') || ' (' || coalesce(pub_year::STRING, 'n.d.') || ') | ' || coalesce(nullif(publication_types, ''), 'Journal Article') || chr(10)"
+_CITATION = "coalesce(nullif(authors, ''), 'Unknown authors') || '. ' || coalesce(title, '') || '. ' || coalesce(journal, '') || ' ' || coalesce(pub_year::STRING, '') || '. doi:' || coalesce(nullif(doi, ''), 'n/a')"
+_SPACES = "E' \\t\\n\\r\\x0b\\x0c'"
+_SHORT = "length({0}) <= 900 AND regexp_matches({0}, '\\S')"
+
+
+@query(f"WITH t AS ({ARTICLES}) SELECT 'PMID' || pmid || '::citation::0' AS chunk_id, {_L_HEADER} || '[CITATION] ' || {_CITATION} AS text FROM t WHERE pmid IS NOT NULL AND length({_CITATION}) <= 900")
+def chunk_citations(spark, sf_dir):
+    chunks = chunking.chunk_articles(articles(spark, sf_dir).filter("pmid IS NOT NULL"))
+    return chunks.filter("section = 'citation'").select("chunk_id", "text")
+
+
+@query(
+    f"""WITH t AS ({TRIALS}), l AS ({ARTICLES}), a AS (
+    SELECT nct_id || '::summary::0' AS chunk_id, {_T_HEADER} || '[SUMMARY] ' || brief_summary AS text FROM t WHERE nct_id IS NOT NULL AND {_SHORT.format("brief_summary")}
+    UNION ALL SELECT 'PMID' || pmid || '::abstract::0', {_L_HEADER} || '[ABSTRACT] ' || abstract FROM l WHERE pmid IS NOT NULL AND {_SHORT.format("abstract")})
+    SELECT chunk_id, trim(text, {_SPACES}) AS text FROM a"""
+)
+def chunk_short_texts(spark, sf_dir):
+    """Chunks of summaries and abstracts that are one piece."""
+    t = chunking.chunk_trials(trials(spark, sf_dir).filter("nct_id IS NOT NULL AND length(brief_summary) <= 900"), ["nct_id"])
+    a = chunking.chunk_articles(articles(spark, sf_dir).filter("pmid IS NOT NULL AND length(abstract) <= 900"), ["pmid"])
+    return chunking.all_chunks(t, a).filter("section IN ('summary', 'abstract')").select("chunk_id", "text")
+
+
+@query(
+    f"""WITH t AS ({TRIALS}), l AS ({ARTICLES}), s AS (
+    SELECT 'trial' AS source_type, 'summary' AS section FROM t WHERE regexp_matches(brief_summary, '\\S')
+    UNION ALL SELECT 'trial', 'eligibility' FROM t UNION ALL SELECT 'trial', 'interventions' FROM t WHERE regexp_matches(interventions, '\\S')
+    UNION ALL SELECT 'literature', 'abstract' FROM l WHERE regexp_matches(abstract, '\\S') UNION ALL SELECT 'literature', 'citation' FROM l)
+    SELECT source_type, section, 'LIN_0002_EMBED' AS lineage_id, 'PUBLIC' AS classification, count(*) AS records FROM s GROUP BY ALL"""
+)
+def chunk_sections(spark, sf_dir):
+    """Sections of both sources that have chunks, after they are put together and enriched; the first chunk of each counts."""
+    t = chunking.chunk_trials(trials(spark, sf_dir), chunking.TRIAL_FACTS[:-1])
+    every = chunking.enrich_chunks(chunking.all_chunks(t, chunking.chunk_articles(articles(spark, sf_dir), chunking.ARTICLE_FACTS[:-1])), "LIN_0002_EMBED")
+    return every.filter("chunk_index = 0").groupBy("source_type", "section", "lineage_id", "classification").agg(F.count("*").alias("records"))
+
+
+@query("SELECT doc_id, md5(regexp_replace(text, '[.\\s]', '', 'g')) AS letters, false AS oversize FROM documents")
+def split_letters(spark, sf_dir):
+    """Splitting loses nothing but separators, and no piece is too long."""
+    pieces = table(spark, sf_dir, "documents").select("doc_id", split_text(F.col("text"), overlap=0).alias("p"))
+    return pieces.select("doc_id", F.md5(F.regexp_replace(F.array_join("p", ""), r"[.\s]", "")).alias("letters"), (F.array_max(F.transform("p", F.length)) > 900).alias("oversize"))
+
+
+@query(
+    _GRADED_T
+    + f"""SELECT 'interventions' AS section, count(*) FILTER (NOT ({_GATED})) AS admitted, count(*) FILTER ({_GATED}) AS blocked
+    FROM (SELECT {_T_HEADER} || '[INTERVENTIONS] ' || interventions AS text FROM g WHERE quality_failures = '')
+    UNION ALL SELECT 'citation', count(*) FILTER (NOT ({_GATED})), count(*) FILTER ({_GATED})
+    FROM ({_GRADED_L} SELECT {_L_HEADER} || '[CITATION] ' || {_CITATION} AS text FROM g WHERE quality_failures = '')"""
+)
+def index_job(spark, sf_dir):
+    """The index job over the clean rows of both sources: chunks of the short sections that it admitted and blocked."""
+    t, a = quality.clean_rows(graded_trials(spark, sf_dir)), quality.clean_rows(graded_articles(spark, sf_dir))
+    built, blocked = build_index(t, a, new_path(spark, "index"), "LIN_0002_EMBED")
+    mine = built.select("section", F.lit(1).alias("admitted"), F.lit(0).alias("blocked")).unionAll(blocked.select("section", F.lit(0), F.lit(1)))
+    counted = mine.filter("section IN ('interventions', 'citation')").groupBy("section")
+    return counted.agg(F.sum("admitted").alias("admitted"), F.sum("blocked").alias("blocked"))
+
+
 # --- tokens and vectors ------------------------------------------------------------------------------------------------
 _TOKENS = "regexp_extract_all(lower({0}), '[a-z0-9]+')"
 _MD5_BUCKET = (
@@ -519,11 +649,11 @@ def index_stats(spark, sf_dir):
     return index.index_stats(table(spark, sf_dir, "embeddings").withColumnRenamed("embedding", "vector"))
 
 
-@query("SELECT vec_id::STRING AS vec_id, to_json(embedding[1:2]) AS embedding, coalesce(label::STRING, '') AS label FROM (SELECT vec_id, [round(embedding[1]*100)::INT, round(embedding[2]*100)::INT] AS embedding, label FROM embeddings)")
+@query("SELECT vec_id::STRING AS vec_id, to_json(list_transform(embedding, lambda x: round(x::DOUBLE * 100)::INT)) AS embedding, coalesce(label::STRING, '') AS label FROM embeddings")
 def sanitise_metadata(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    two = F.array(*[F.round(F.col("embedding")[i] * 100).cast("int") for i in (0, 1)])
-    return index.sanitise_metadata(e.select("vec_id", two.alias("embedding"), "label"))
+    whole = F.transform("embedding", lambda x: F.round(x.cast("double") * 100).cast("int"))
+    return index.sanitise_metadata(e.select("vec_id", whole.alias("embedding"), "label"))
 
 
 # --- retrieval ---------------------------------------------------------------------------------------------------------
@@ -627,26 +757,74 @@ def rrf_fuse(spark, sf_dir):
 
 @query(
     _HYBRID
-    + f""", {_TOP} SELECT query_id, rank AS citation, 'literature' AS source_type, 'PMID' || chunk_id AS record_id, chunk_id, retrieved_by,
-    round(rrf_score, 6) AS rrf_score, round(rerank_score, 4) AS rerank_score, source AS source_url FROM top JOIN documents ON doc_id = chunk_id"""
+    + f""", {_TOP} SELECT query_id, rank AS citation, 'literature' AS source_type, 'PMID' || chunk_id AS record_id, NULL::STRING AS nct_id, chunk_id, 'abstract' AS section,
+    'LIN_0000_EMBED' AS lineage_id, retrieved_by, round(rrf_score, 6) AS rrf_score, round(rerank_score, 4) AS rerank_score, source AS source_url, '' AS quality_flags,
+    '' AS last_update FROM top JOIN documents ON doc_id = chunk_id"""
 )
 def hybrid_answer(spark, sf_dir):
-    out = answer(questions(spark, sf_dir), doc_index(spark, sf_dir), "clinical_researcher").evidence
-    return out.select("query_id", "citation", "source_type", "record_id", "chunk_id", "retrieved_by", "rrf_score", "rerank_score", "source_url")
+    return answer(questions(spark, sf_dir), doc_index(spark, sf_dir), "clinical_researcher").evidence
 
 
-@query()
-def answer_texts(spark, sf_dir):
+_ANSWERED = f"""{_HYBRID}, {_TOP},
+ctx AS (SELECT query_id, string_agg('[' || rank || '] ' || text, chr(10) || chr(10) ORDER BY rank) AS context,
+    '{EXTRACTIVE}' || chr(10) || chr(10) || string_agg(substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 400) || ' [' || rank || ']', chr(10) || chr(10) ORDER BY rank) AS answer,
+    list(chunk_id::STRING ORDER BY rank) AS chunks FROM top JOIN documents ON doc_id = chunk_id GROUP BY query_id)"""
+
+
+@query(_ANSWERED + " SELECT query_id, md5(context) AS context_md5, md5(chr(10) || chr(10) || 'Context passages:' || chr(10) || context || chr(10) || chr(10) || 'Researcher question: ' || text || chr(10) || chr(10) || 'Answer:') AS prompt_md5, answer FROM ctx JOIN benchmark ON item_id = query_id")
+def answer_contexts(spark, sf_dir):
     out = answer(questions(spark, sf_dir), doc_index(spark, sf_dir), "clinical_researcher")
-    return out.context.join(out.answers, "query_id").join(out.triad, "query_id").select(
-        "query_id", "answer", "context_relevance", "groundedness", "answer_relevance"
-    )
+    return out.context.join(out.answers, "query_id").select("query_id", F.md5("context").alias("context_md5"), F.md5("prompt").alias("prompt_md5"), "answer")
 
 
 _STOP = ", ".join(f"'{w}'" for w in policy.STOP_WORDS)
 _CONTENT = f"list_distinct(list_filter({_TOKENS}, lambda t: length(t) > 2 AND t NOT IN ({_STOP})))"
 
 
+@query(f"""{_ANSWERED}, av AS ({_vectors_sql("ctx", "query_id", "answer")}), an AS (SELECT key, sqrt(sum(val * val)) AS n FROM av GROUP BY key),
+qa AS (SELECT q.key, sum(q.val * v.val) AS s FROM qv q JOIN av v USING (key, bucket) GROUP BY q.key),
+near AS (SELECT t.query_id, avg(coalesce(s / (qn.n * dn.n), 0)) AS near FROM top t LEFT JOIN dots USING (query_id, chunk_id)
+  LEFT JOIN qn ON qn.key = t.query_id LEFT JOIN dn ON dn.key = t.chunk_id GROUP BY t.query_id),
+words AS (SELECT t.query_id, list_distinct(flatten(list({_CONTENT.format("text")}))) AS seen FROM top t JOIN documents ON doc_id = chunk_id GROUP BY t.query_id)
+SELECT c.query_id, md5(answer) AS answer_md5, round(greatest(near, 0), 4) AS context_relevance,
+  CASE WHEN len({_CONTENT.format("answer")}) > 0 THEN round(len(list_intersect({_CONTENT.format("answer")}, seen)) / len({_CONTENT.format("answer")}), 4) ELSE 0 END AS groundedness,
+  round(greatest(coalesce(s / (qn.n * an.n), 0), 0), 4) AS answer_relevance
+FROM ctx c JOIN near USING (query_id) JOIN words USING (query_id) LEFT JOIN qa ON qa.key = c.query_id LEFT JOIN qn ON qn.key = c.query_id LEFT JOIN an ON an.key = c.query_id""")
+def answer_texts(spark, sf_dir):
+    out = answer(questions(spark, sf_dir), doc_index(spark, sf_dir), "clinical_researcher")
+    return out.answers.join(out.triad, "query_id").select("query_id", F.md5("answer").alias("answer_md5"), "context_relevance", "groundedness", "answer_relevance")
+
+
+@query(
+    _ANSWERED
+    + """ SELECT 'ward' AS actor, 'clinical_researcher' AS role, 'RAG_QUERY' AS action, substr(sha256(text), 1, 16) AS query_hash, array_to_string(chunks, ',') AS chunks,
+    len(chunks) AS sources, 0::BIGINT AS alerts, 'extractive' AS backend, true AS timed FROM ctx JOIN benchmark ON item_id = query_id"""
+)
+def answer_audit(spark, sf_dir):
+    """The audit entries that answering leaves, as they are read back."""
+    audit = Audit(spark, new_path(spark, "audit"))
+    answer(questions(spark, sf_dir), doc_index(spark, sf_dir), "clinical_researcher", audit=audit, actor="ward")
+    kind = "query_hash string, chunks_returned array<string>, sources_returned array<string>, contradiction_alerts long, llm_backend string, latency_ms double"
+    p = F.from_json("payload", kind)
+    return audit.load().select(
+        *("actor", "role", "action", p["query_hash"].alias("query_hash"), F.array_join(p["chunks_returned"], ",").alias("chunks")),
+        *(F.size(p["sources_returned"]).cast("long").alias("sources"), p["contradiction_alerts"].alias("alerts"), p["llm_backend"].alias("backend")),
+        (p["latency_ms"] > 0).alias("timed"),
+    )
+
+
+@query(
+    _HYBRID
+    + """ SELECT * FROM (SELECT f.query_id, chunk_id, row_number() OVER (PARTITION BY f.query_id ORDER BY abs(length(d.text) - length(b.text)), fused_rank)::INT AS rank
+    FROM fused f JOIN documents d ON doc_id = chunk_id JOIN benchmark b ON item_id = f.query_id) WHERE rank <= 5"""
+)
+def rerank_by_scorer(spark, sf_dir):
+    """Reranking by a scorer that is given: texts that are about as long as the question come first."""
+    by_length = lambda q, t: -F.abs(F.length(t) - F.length(q)).cast("double")
+    out = answer(questions(spark, sf_dir), doc_index(spark, sf_dir), "clinical_researcher", scorer=by_length)
+    return out.top.select("query_id", "chunk_id", "rank")
+
+
 @query(f"""
 WITH u AS (SELECT conv_id, turn, text AS q FROM conversations WHERE role = 'user'),
 a AS (SELECT u.conv_id, u.turn, q, c.text AS a FROM u JOIN conversations c ON c.conv_id = u.conv_id AND c.turn = u.turn + 1 AND c.role = 'assistant'),
@@ -771,25 +949,83 @@ def stream_gate(spark, sf_dir):
     return lake.read().select("seq", "nct_id", "data_quality_flags")
 
 
+@query(_GRADED_T + "SELECT seq, nct_id, data_quality_flags FROM g WHERE quality_failures = ''")
+def stream_gate_batches(spark, sf_dir):
+    """Trials that come in two batches, of which the second has all of the first again: its rows are duplicates there."""
+    at = new_path(spark, "ingest")
+    t = trials(spark, sf_dir)
+    half = t.agg(F.percentile_approx("seq", 0.5)).first()[0]
+    committed = VersionedTable(spark, f"{at}/trials")
+    handle = ev.ingest_batch(quality.trial_gate(AS_OF), committed, f"{at}/quarantine", "trials", "seq", threshold=1.0)
+    for part in (t.filter(F.col("seq") <= half), t):
+        ev.publish(ev.to_envelope(part, "raw_clinical_trials", "registry", "seq", F.lit(AS_OF).cast("timestamp")), f"{at}/events")
+        rows = ev.from_envelope(ev.read_topic(spark, f"{at}/events", "raw_clinical_trials"), t.schema)
+        ev.run_ingest_stream(rows, handle, f"{at}/checkpoint").awaitTermination()
+    return committed.read().select("seq", "nct_id", "data_quality_flags")
+
+
 @query("""WITH s AS (SELECT lang, source, count(*) AS n, row_number() OVER (PARTITION BY lang ORDER BY source) - 1 AS i FROM documents GROUP BY lang, source),
 l AS (SELECT lang, i, 'LIN_' || lpad(i::STRING, 4, '0') || '_' || upper(source) AS id, source, n FROM s)
 SELECT lang AS run_id, string_agg(id || ': ' || coalesce(prev, '') || ' -> ' || source || '@v0 (' || n || ')', chr(10) ORDER BY id) AS chain
 FROM (SELECT *, lag(id) OVER (PARTITION BY lang ORDER BY i) AS prev FROM l) GROUP BY lang""")
 def lineage_chain(spark, sf_dir):
     """Each language's sources as a chain of operations, rendered."""
+    return chain_text(source_nodes(spark, sf_dir))
+
+
+def source_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("lang").orderBy("source")
     counted = table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count("*").alias("record_count"))
     named = counted.withColumn(
         "lineage_id", F.concat(F.lit("LIN_"), F.lpad((F.row_number().over(order) - 1).cast("string"), 4, "0"), F.lit("_"), F.upper("source"))
     )
-    nodes = named.select(
+    return named.select(
         F.col("lang").alias("run_id"),
         "lineage_id",
         F.array_compact(F.array(F.lag("lineage_id").over(order))).alias("inputs"),
         F.array(F.concat("source", F.lit("@v0"))).alias("outputs"),
         "record_count",
     )
-    return chain_text(nodes)
+
+
+_NODES = """WITH s AS (SELECT lang, source, count(*) AS n, row_number() OVER (PARTITION BY lang ORDER BY source) - 1 AS i FROM documents GROUP BY lang, source),
+l AS (SELECT lang, i, 'LIN_' || lpad(i::STRING, 4, '0') || '_' || upper(source) AS id, source, n FROM s)"""
+
+
+@query(_NODES + " SELECT id AS lineage_id, n AS record_count FROM l WHERE lang = (SELECT min(lang) FROM l)")
+def lineage_ancestry(spark, sf_dir):
+    """All that the last node of the first language's run comes from."""
+    nodes = source_nodes(spark, sf_dir)
+    last = nodes.orderBy("run_id", F.desc("lineage_id")).select("run_id", "lineage_id").first()
+    return ancestry(nodes, last["lineage_id"], last["run_id"]).select("lineage_id", "record_count")
+
+
+@query(_NODES + " SELECT doc_id AS citation, id AS lineage_id, l.source || '@v0' AS outputs FROM documents d JOIN l ON d.source = l.source AND d.lang = l.lang WHERE l.lang = (SELECT min(lang) FROM l)")
+def lineage_trace(spark, sf_dir):
+    """Documents of the first language as evidence, each with what its node wrote."""
+    nodes = source_nodes(spark, sf_dir)
+    run = nodes.agg(F.min("run_id")).first()[0]
+    mine = nodes.filter(F.col("run_id") == run)
+    of_source = mine.select(F.lower(F.substring("lineage_id", 10, 100)).alias("source"), "lineage_id")
+    cited = table(spark, sf_dir, "documents").filter(F.col("lang") == run).join(of_source, "source").select(F.col("doc_id").alias("citation"), "lineage_id")
+    return trace(cited, mine).select("citation", "lineage_id", F.array_join("outputs", ",").alias("outputs"))
+
+
+@query(
+    _GRADED_T
+    + """, c AS (SELECT count(*) AS n FROM g WHERE quality_failures = '')
+    SELECT 'LIN_0000_QUALITY_GATE' AS lineage_id, 'QUALITY_GATE' AS operation, 'trials' AS inputs, n AS record_count FROM c
+    UNION ALL SELECT 'LIN_0001_LAKEHOUSE_COMMIT', 'LAKEHOUSE_COMMIT', 'LIN_0000_QUALITY_GATE', n FROM c
+    UNION ALL SELECT 'LIN_0002_FHIR_VALIDATION', 'FHIR_VALIDATION', 'LIN_0001_LAKEHOUSE_COMMIT', n + (SELECT count(*) FROM customer) FROM c
+    UNION ALL SELECT 'LIN_0003_PHI_DEIDENTIFICATION', 'PHI_DEIDENTIFICATION', 'LIN_0002_FHIR_VALIDATION', count(*) FROM customer"""
+)
+def lineage_of_jobs(spark, sf_dir):
+    """The nodes that loading trials and governing patients leave, as they are read back."""
+    at = new_path(spark, "jobs")
+    lineage, audit, lake = Lineage(spark, f"{at}/lineage", "r"), Audit(spark, f"{at}/audit"), VersionedTable(spark, f"{at}/trials")
+    load_governed(trials(spark, sf_dir), quality.trial_gate(AS_OF), lake, f"{at}/quarantine", "trials", AS_OF, lineage, [], halt=False)
+    govern(lake.read(), patients(spark, sf_dir), SALT, lineage, audit, "LIN_0001_LAKEHOUSE_COMMIT")
+    return lineage.load().select("lineage_id", "operation", F.array_join("inputs", ",").alias("inputs"), "record_count")
 
 
 @query("SELECT event_id AS seq, event_type AS action, user_id::STRING AS actor FROM events ORDER BY ts DESC, event_id DESC LIMIT 50")
@@ -799,3 +1035,12 @@ def audit_tail(spark, sf_dir):
         F.col("event_id").alias("seq"), F.col("ts").alias("timestamp"), F.col("event_type").alias("action"), F.col("user_id").cast("string").alias("actor")
     )
     return tail(entries, 50).select("seq", "action", "actor")
+
+
+@query("SELECT event_id AS seq, 'data_engineer' AS role, 'EVENT' AS action, event_type AS kind FROM events ORDER BY event_id DESC LIMIT 50")
+def audit_log(spark, sf_dir):
+    """Events appended to an audit as entries, and the last 50 of what is read back."""
+    audit = Audit(spark, new_path(spark, "audit"), clock=lambda: AS_OF)
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.to_json(F.struct("event_type")).alias("payload"))
+    audit.log_rows(rows, "pipeline", "data_engineer", "EVENT")
+    return tail(audit.load(), 50).select("seq", "role", "action", F.get_json_object("payload", "$.event_type").alias("kind"))

@@ -42,5 +42,10 @@ def quarantine(rejected: DataFrame, label: str, path: str, stamp: str, count: in
     if not count:
         return None
     at = f"{path.rstrip('/')}/corrupt_{label}_{stamp}"
-    rejected.write.mode("overwrite").option("header", True).csv(at)
+    rejected.write.mode("overwrite").option("header", True).option("escape", '"').csv(at)
     return at
+
+
+def read_quarantine(spark: SparkSession, path: str) -> DataFrame:
+    """What quarantine() wrote, as text columns; a value may go over several lines."""
+    return spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
