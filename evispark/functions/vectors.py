@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,29 +16,32 @@ DIM = 384
 #: Tokens whose bucket a worker remembers.
 REMEMBERED = 1_000_000
 
-_TOKEN = re.compile(r"[a-z0-9]+")
-
-
-def hash_vectors(texts: list[str], dim: int = DIM, buckets: dict[str, int] | None = None) -> np.ndarray:
+def hash_vectors(texts: list[str | None], dim: int = DIM, buckets: dict[str, int] | None = None) -> np.ndarray:
     """(texts x dim) float32: 1 + ln(occurrences) in each token's bucket (md5 modulo dim), each row of length 1 or 0."""
     buckets = {} if buckets is None else buckets
-    out = np.zeros((len(texts), dim))
-    for row, text in enumerate(texts):
-        found = []
-        for token in _TOKEN.findall((text or "").lower()):
-            at = buckets.get(token)
-            if at is None:
-                at = int.from_bytes(hashlib.md5(token.encode()).digest(), "big") % dim
-                if len(buckets) < REMEMBERED:
-                    buckets[token] = at
-            found.append(at)
-        if found:
-            out[row] = np.bincount(found, minlength=dim)
+    parts = pc.split_pattern_regex(pa.array([(t or "").lower() for t in texts], pa.large_string()), "[^a-z0-9]+")
+    row = np.repeat(np.arange(len(texts)), pc.list_value_length(parts).to_numpy(zero_copy_only=False))
+    coded = parts.flatten().dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    at = np.array([_bucket(t, dim, buckets) for t in names], dtype=np.int64)[coded.indices.to_numpy()] if names else np.zeros(0, np.int64)
+    at, row = at[at >= 0], row[at >= 0]  # what stands before the first token and after the last is empty
+    out = np.bincount(row * dim + at, minlength=len(texts) * dim).astype(float).reshape(len(texts), dim)
     full = out > 0
     out[full] = 1 + np.log(out[full])
     return _unit(out).astype(np.float32)
 
 
+def _bucket(token: str, dim: int, buckets: dict[str, int]) -> int:
+    if not token:
+        return -1
+    at = buckets.get(token)
+    if at is None:
+        at = int.from_bytes(hashlib.md5(token.encode()).digest(), "big") % dim
+        if len(buckets) < REMEMBERED:
+            buckets[token] = at
+    return at
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     norm = np.linalg.norm(x, axis=1, keepdims=True)
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)

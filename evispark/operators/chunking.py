@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.splitting import OVERLAP, SIZE, split_text
+from ..functions.splitting import OVERLAP, SIZE, split_text, with_overlap
 from ..functions.text import blank, number_text, strip
 
 
@@ -26,7 +26,7 @@ def _chunks(df: DataFrame, record_id: Column, source: str, header: Column, secti
         .drop("s")
         .filter(~blank(F.col("body")))
     )
-    pieces = parts.withColumn("_pieces", split_text(F.col("body"), size, overlap)).drop("body")
+    pieces = parts.withColumn("_pieces", split_text(F.col("body"), size)).drop("body").withColumn("_pieces", with_overlap("_pieces", overlap))
     return pieces.select("*", F.posexplode("_pieces").alias("chunk_index", "_piece")).select(
         F.concat_ws("::", "record_id", "section", F.col("chunk_index").cast("string")).alias("chunk_id"),
         F.lit(source).alias("source_type"),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import policy
 from ..functions.text import blank
+from ..scratch import scratch
 
 FATAL, ADVISORY = "FATAL", "ADVISORY"
 
@@ -38,9 +39,14 @@ class Gate:
 
 def duplicate_of_earlier(df: DataFrame, key: str, order: str, name: str = "_duplicate") -> DataFrame:
     """Adds ``name``: whether a row with the same key comes earlier. Null keys equal one another; rows that tie for
-    the first place are all first. Keys are grouped after partial sums, so a hot key (nulls, say) is no task of its own."""
-    first = df.groupBy(F.col(key).alias("_key")).agg(F.min(order).alias("_first"))
-    joined = df.join(first, df[key].eqNullSafe(first["_key"]), "left")
+    the first place are all first.
+
+    Keys that stand more than once are found first and written aside; there are few, so that Spark broadcasts them by
+    their size and rows are not shuffled. Keys are grouped after partial sums, so a hot key (nulls, say) is no task's work.
+    """
+    counted = df.groupBy(F.col(key).alias("_key")).agg(F.min(order).alias("_first"), F.count("*").alias("_times"))
+    repeated = scratch(counted.filter("_times > 1").select("_key", "_first"), "repeated")
+    joined = df.join(repeated, df[key].eqNullSafe(repeated["_key"]), "left")
     return joined.withColumn(name, F.coalesce(F.col(order) > F.col("_first"), F.lit(False))).drop("_key", "_first")
 
 

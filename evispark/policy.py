@@ -2,16 +2,51 @@
 
 # Data class of each field; a field that is not listed is CONFIDENTIAL.
 PUBLIC_FIELDS = (
-    "nct_id brief_title brief_summary conditions eligibility_criteria interventions overall_status phase sponsor locations "
-    "min_age_years max_age_years sex enrollment last_update pmid title abstract journal pub_year authors publication_types "
-    "doi source_url"
+    "nct_id",
+    "brief_title",
+    "brief_summary",
+    "conditions",
+    "eligibility_criteria",
+    "interventions",
+    "overall_status",
+    "phase",
+    "sponsor",
+    "locations",
+    "min_age_years",
+    "max_age_years",
+    "sex",
+    "enrollment",
+    "last_update",
+    "pmid",
+    "title",
+    "abstract",
+    "journal",
+    "pub_year",
+    "authors",
+    "publication_types",
+    "doi",
+    "source_url",
+)
+RESTRICTED_FIELDS = (
+    "patient_name",
+    "medical_record_number",
+    "date_of_birth",
+    "phone",
+    "email",
+    "address",
+)
+INTERNAL_FIELDS = (
+    "patient_pseudonym",
+    "gender",
+    "age_years",
+    "diagnosis",
+    "hba1c",
+    "comorbidities",
 )
-RESTRICTED_FIELDS = "patient_name medical_record_number date_of_birth phone email address"
-INTERNAL_FIELDS = "patient_pseudonym gender age_years diagnosis hba1c comorbidities"
 FIELD_CLASS = {
     name: label
     for label, names in (("PUBLIC", PUBLIC_FIELDS), ("RESTRICTED", RESTRICTED_FIELDS), ("INTERNAL", INTERNAL_FIELDS))
-    for name in names.split()
+    for name in names
 }
 UNLISTED_CLASS = "CONFIDENTIAL"
 
@@ -65,9 +100,18 @@ STUDY_STATUS_OF = {
     "UNKNOWN": "in-review",
 }
 STUDY_STATUSES = (
-    "active administratively-completed approved closed-to-accrual closed-to-accrual-and-intervention completed disapproved "
-    "in-review temporarily-closed-to-accrual temporarily-closed-to-accrual-and-intervention withdrawn"
-).split()
+    "active",
+    "administratively-completed",
+    "approved",
+    "closed-to-accrual",
+    "closed-to-accrual-and-intervention",
+    "completed",
+    "disapproved",
+    "in-review",
+    "temporarily-closed-to-accrual",
+    "temporarily-closed-to-accrual-and-intervention",
+    "withdrawn",
+)
 GENDERS = ("male", "female", "other", "unknown")
 
 # Forms of identifiers, dates and addresses.
@@ -92,7 +136,31 @@ EVIDENCE_TYPES = (
 )
 
 # Words that do not count as content.
-STOP_WORDS = "the a an of for in on to and or is are with that this it as be by at from was were".split()
+STOP_WORDS = (
+    "the",
+    "a",
+    "an",
+    "of",
+    "for",
+    "in",
+    "on",
+    "to",
+    "and",
+    "or",
+    "is",
+    "are",
+    "with",
+    "that",
+    "this",
+    "it",
+    "as",
+    "be",
+    "by",
+    "at",
+    "from",
+    "was",
+    "were",
+)
 
 # Topics of events.
 TOPICS = ("raw_clinical_trials", "raw_literature", "raw_patient_records", "validated_records")

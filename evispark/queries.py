@@ -469,7 +469,7 @@ def deidentify(spark, sf_dir):
     return governance.deidentify(patients(spark, sf_dir), SALT)[0]
 
 
-_FIELD_HITS = " UNION ALL ".join(f"SELECT 'FIELD:{c}' AS type FROM t WHERE {c} IS NOT NULL" for c in policy.RESTRICTED_FIELDS.split())
+_FIELD_HITS = " UNION ALL ".join(f"SELECT 'FIELD:{c}' AS type FROM t WHERE {c} IS NOT NULL" for c in policy.RESTRICTED_FIELDS)
 _TEXT_HITS = " UNION ALL ".join(
     f"SELECT '{k}' AS type FROM (SELECT unnest(regexp_extract_all({c}, {_quoted(p)})) FROM t)"
     for c in ("gender", "diagnosis", "comorbidities")
@@ -583,7 +583,7 @@ def chunk_sections(spark, sf_dir):
 @query("SELECT doc_id, md5(regexp_replace(text, '[.\\s]', '', 'g')) AS letters, false AS oversize FROM documents")
 def split_letters(spark, sf_dir):
     """Splitting loses nothing but separators, and no piece is too long."""
-    pieces = table(spark, sf_dir, "documents").select("doc_id", split_text(F.col("text"), overlap=0).alias("p"))
+    pieces = table(spark, sf_dir, "documents").select("doc_id", split_text(F.col("text")).alias("p"))
     return pieces.select("doc_id", F.md5(F.regexp_replace(F.array_join("p", ""), r"[.\s]", "")).alias("letters"), (F.array_max(F.transform("p", F.length)) > 900).alias("oversize"))
 
 

@@ -97,9 +97,10 @@ def test_splitting_matches_a_model():
         assert "".join("".join(pieces).split()).replace(".", "") == "".join(text.split()).replace(".", "")
 
 
-def test_overlap():
-    assert with_overlap(["abcdef", "gh", "ij"], 3) == ["abcdef", "def gh", "gh ij"]
-    assert with_overlap(["a"], 3) == ["a"] and with_overlap([], 3) == [] and with_overlap(["a", "b"], 0) == ["a", "b"]
+def test_overlap(spark):
+    df = spark.createDataFrame([(["abcdef", "gh", "ij"],), (["a"],), ([],), (None,)], "p array<string>")
+    assert [r.p for r in df.select(with_overlap("p", 3).alias("p")).collect()] == [["abcdef", "def gh", "gh ij"], ["a"], [], None]
+    assert [r.p for r in df.select(with_overlap("p", 0).alias("p")).collect()] == [r.p for r in df.collect()]
 
 
 def test_hash_vectors_have_length_one_or_none():

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from evispark.functions.splitting import split_pieces, split_text, with_overlap
 from evispark.operators import answers, fhir, flatten, governance, index, quality, retrieval
 from evispark.operators.chunking import chunk_articles, chunk_trials
 from evispark.queries import articles, notes, trials
@@ -215,3 +216,43 @@ def test_index_dimensions(spark):
 def test_literature_gate(spark):
     g = quality.grade(articles(spark, SF), quality.literature_gate(2026))
     assert g.filter("pub_year = 1700 AND NOT contains(quality_failures, 'IMPOSSIBLE')").count() == 0
+
+
+def test_dense_blocks_and_parts_give_what_a_broadcast_gives(spark, monkeypatch):
+    rows = spark.range(900).select(F.col("id").alias("vec_id"), F.array(*[F.round(F.rand(i + 1) - 0.5, 1) for i in range(4)]).alias("vector"))
+    rows = rows.unionByName(spark.createDataFrame([(1000, [0.0] * 4), (1001, [])], "vec_id long, vector array<double>")).cache()
+    asked = rows.filter("vec_id % 10 = 0").withColumnRenamed("vec_id", "query_id")
+    monkeypatch.setattr(retrieval, "PART", 200)
+    one, many = (sorted(tuple(r) for r in retrieval.dense_topk(asked, rows, 7, digits=3, key="vec_id", block=n).collect()) for n in (4096, 20))
+    assert one == many and len(one) == 91 * 7
+
+
+def test_sparse_join_gives_what_a_broadcast_gives(spark):
+    words = "ada bab cac dad eae faf the the the".split()
+    texts = [(i, " ".join(words[(i * k) % 9] for k in range(1, 2 + i % 12)) + " rare" * (i % 30 == 0)) for i in range(300)] + [(300, None), (301, "")]
+    posted = index.postings(spark.createDataFrame(texts, "chunk_id long, text string")).cache()
+    stats = index.posted_stats(posted)
+    terms = retrieval.query_terms(spark.createDataFrame([(1, "the the bab"), (2, "rare zzz"), (3, "???")], "query_id long, query string"))
+    idf = index.term_stats(posted, stats.select("n"))
+    one, many = (sorted(tuple(r) for r in retrieval.sparse_topk(terms, posted, idf, stats, 7, most=n).collect()) for n in (1000, 1))
+    assert one == many and len(one) == 14
+    assert retrieval.sparse_topk(terms, posted.limit(0), idf, stats, 7).count() == 0
+
+
+def test_overlap(spark):
+    text = "\n\n".join(f"part {i} " + "word " * 60 for i in range(5))
+    got = spark.createDataFrame([(text,), ("short",), (None,), ("",)], "t string").select(split_text(F.col("t"), 400).alias("p"))
+    got = got.select(with_overlap("p", 20).alias("p")).collect()
+    plain = split_pieces(text, 400)
+    assert got[0].p == plain[:1] + [f"{a[-20:]} {b}".strip() for a, b in zip(plain, plain[1:], strict=False)] and len(plain) == 5
+    assert [r.p for r in got[1:]] == [["short"], None, [""]]
+
+
+def test_a_chunk_is_not_added_twice(spark, tmp_path):
+    at = str(tmp_path / "i")
+    rows = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2)], "chunk_id string, n int")
+    index.write_index(rows, at)
+    with pytest.raises(index.DuplicateChunks):
+        index.write_index(rows.filter("chunk_id = 'b'"), at)
+    index.write_index(spark.createDataFrame([("c", 3)], "chunk_id string, n int"), at)
+    assert spark.read.parquet(at).count() == 3

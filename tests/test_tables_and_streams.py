@@ -1,8 +1,13 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
+from evispark.functions.vectors import encode_with, hash_vectors
+
 from evispark.jobs.workloads import Index, answer, build_index, load_governed
 from evispark.operators.governance import UnknownRole
+from evispark.operators.index import DimensionMismatch
 from evispark.operators.quality import BatchHalted, trial_gate
 from evispark.sources.files import land_raw, quarantine, read_patients
 from evispark.sources.journal import Audit, Lineage, ancestry, chain_text, tail, trace
@@ -149,3 +154,24 @@ def test_workloads_end_to_end(spark, tmp_path):
     assert out.audit.count() == 2
     with pytest.raises(UnknownRole):
         answer(queries, Index.open(spark, f"{at}/index"), "nobody")
+    with pytest.raises(DimensionMismatch):
+        answer(queries, Index.open(spark, f"{at}/index"), "public", encoder=narrow)
+
+
+def narrow(c):
+    return encode_with(lambda: lambda texts: hash_vectors(texts, 16), c)
+
+
+def test_an_index_of_another_encoder(spark, tmp_path):
+    at = str(tmp_path)
+    lineage, audit = Lineage(spark, f"{at}/lineage", "r"), Audit(spark, f"{at}/audit")
+    flagged = [f(spark, SF).withColumn("data_quality_flags", F.lit("")) for f in (trials, articles)]
+    build_index(*flagged, f"{at}/index", "", encoder=narrow, lineage=lineage, after=("LIN_X",))
+    queries = spark.createDataFrame([(1, "asthma trials"), (2, "mail a.b@clinic.example")], "query_id long, query string")
+    out = answer(queries, Index.open(spark, f"{at}/index"), "public", encoder=narrow, audit=audit, actor="me")
+    assert {r.lineage_id for r in out.evidence.collect()} == {"LIN_0000_CHUNK_EMBED"}
+    node = lineage.load().first()
+    assert node.inputs == ["LIN_X"] and node.record_count == spark.read.parquet(f"{at}/index/chunks").count()
+    entries = [json.loads(r.payload) for r in audit.load().collect()]
+    assert len(entries) == 2 and all(e["latency_ms"] > 0 and len(e["chunks_returned"]) == 5 for e in entries)
+    assert sorted(e["phi_stripped_from_query"] for e in entries) == [[], ["EMAIL"]]
