@@ -15,6 +15,21 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_r
 FROM d LEFT JOIN marks USING (doc_id)
 """
 
+SUFFIX_DEDUP = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+w AS (SELECT doc_id, s, array_to_string(ws[s:s + 49], ' ') AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS s FROM d)),
+first AS (SELECT win, min((doc_id, s)) AS place FROM w GROUP BY win HAVING count(*) > 1),
+hit AS (SELECT doc_id, s, (doc_id, s) > place AS later FROM w JOIN first USING (win)),
+seen AS (SELECT doc_id, count(DISTINCT i) AS n FROM (SELECT doc_id, unnest(range(s, s + 50)) AS i FROM hit) GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 50)) AS i FROM hit WHERE later),
+runs AS (SELECT doc_id, min(i) - 1 AS a, max(i) AS b FROM (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS g FROM gone) GROUP BY doc_id, g),
+spans AS (SELECT doc_id, string_agg(a || '-' || b, ',' ORDER BY a) AS removed FROM runs GROUP BY doc_id),
+marks AS (SELECT doc_id, list(i) AS gone FROM gone GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_repeated, coalesce(len(gone), 0)::BIGINT AS n_removed, coalesce(removed, '') AS removed,
+  sha256(array_to_string(list_filter(ws, lambda x, i: NOT list_contains(coalesce(gone, []), i)), ' ')) AS kept_sha256
+FROM d LEFT JOIN seen USING (doc_id) LEFT JOIN marks USING (doc_id) LEFT JOIN spans USING (doc_id)
+"""
+
 MINHASH_DEDUP = rf"""
 WITH RECURSIVE low AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
 d AS (SELECT doc_id, {_WORDS} AS ws FROM low),
@@ -69,4 +84,5 @@ ORACLES = {
     "op1_substring_dedup": SUBSTRING_DEDUP.strip(),
     "op2_minhash_dedup": MINHASH_DEDUP.strip(),
     "op7_mixing": mixing().strip(),
+    "op10_suffix_array_dedup": SUFFIX_DEDUP.strip(),
 }

@@ -56,7 +56,9 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.dedup(documents(spark, sf_dir).select("doc_id", "text")).drop("text", "kept_text")
+    found = suffixes.dedup(documents(spark, sf_dir).select("doc_id", "text")).drop("text", "kept_text")
+    spans = F.transform("removed", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string")))
+    return found.withColumn("removed", F.array_join(spans, ","))  # as 3-60,90-140
 
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_minhash_dedup, op3_fingerprints, op4_quality_rules, op5_language_id, op6_sharding, op7_mixing, op8_sentencepiece, op9_token_counts, op10_suffix_array_dedup)}
