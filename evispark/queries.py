@@ -844,6 +844,30 @@ def rag_triad_self(spark, sf_dir):
     return rag_triad(pairs, pairs.select("query_id", F.col("answer").alias("text")))
 
 
+@query(f"""
+WITH c AS (SELECT conv_id * 1000 + turn AS id, conv_id, turn, role, text FROM conversations),
+p AS (SELECT u.id AS query_id, u.conv_id, a.id AS answer_id, a.text AS a FROM c u JOIN c a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant'),
+pairs AS (SELECT query_id, c.id AS ctx, c.text FROM p JOIN c ON c.conv_id = p.conv_id AND c.id <> answer_id),
+v AS ({_vectors_sql("c", "id", "text")}), n AS (SELECT key, sqrt(sum(val * val)) AS n FROM v GROUP BY key),
+dots AS (SELECT x.query_id, x.ctx, sum(a.val * b.val) AS s FROM pairs x JOIN v a ON a.key = x.query_id JOIN v b ON b.key = x.ctx AND b.bucket = a.bucket GROUP BY ALL),
+near AS (SELECT x.query_id, avg(coalesce(s / (qn.n * cn.n), 0)) AS near FROM pairs x LEFT JOIN dots USING (query_id, ctx)
+  LEFT JOIN n qn ON qn.key = x.query_id LEFT JOIN n cn ON cn.key = x.ctx GROUP BY x.query_id),
+words AS (SELECT query_id, list_distinct(flatten(list({_CONTENT.format("text")}))) AS seen FROM pairs GROUP BY query_id),
+qa AS (SELECT p.query_id, sum(a.val * b.val) AS s FROM p JOIN v a ON a.key = p.query_id JOIN v b ON b.key = p.answer_id AND b.bucket = a.bucket GROUP BY ALL)
+SELECT query_id, round(greatest(near, 0), 4) AS context_relevance,
+  CASE WHEN len({_CONTENT.format("a")}) > 0 THEN round(len(list_intersect({_CONTENT.format("a")}, seen)) / len({_CONTENT.format("a")}), 4) ELSE 0 END AS groundedness,
+  round(greatest(coalesce(qa.s / (qn.n * an.n), 0), 0), 4) AS answer_relevance
+FROM p JOIN near USING (query_id) JOIN words USING (query_id) LEFT JOIN qa USING (query_id) LEFT JOIN n qn ON qn.key = query_id LEFT JOIN n an ON an.key = answer_id""")
+def rag_triad_turns(spark, sf_dir):
+    """Each assistant turn against the user turn before it, with the other turns of the conversation as contexts."""
+    c = table(spark, sf_dir, "conversations")
+    asked = c.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("query"))
+    given = c.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+    pairs = asked.join(given, ["conv_id", "turn"]).withColumn("query_id", F.col("conv_id") * 1000 + F.col("turn"))
+    others = c.select("conv_id", F.col("turn").alias("other"), "text").join(pairs.select("conv_id", "turn", "query_id"), "conv_id")
+    return rag_triad(pairs.select("query_id", "query", "answer"), others.filter("other <> turn + 1").select("query_id", "text"))
+
+
 _AGE_IN_TEXT = policy.AGE_IN_TEXT
 
 

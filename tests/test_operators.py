@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from evispark import queries
 from evispark.functions.splitting import split_pieces, split_text, with_overlap
 from evispark.operators import answers, fhir, flatten, governance, index, quality, retrieval
 from evispark.operators.chunking import chunk_articles, chunk_trials
@@ -256,3 +257,36 @@ def test_a_chunk_is_not_added_twice(spark, tmp_path):
         index.write_index(rows.filter("chunk_id = 'b'"), at)
     index.write_index(spark.createDataFrame([("c", 3)], "chunk_id string, n int"), at)
     assert spark.read.parquet(at).count() == 3
+
+
+def plain_chunks(record, header, sections):
+    out = []
+    for name, body in sections.items():
+        pieces = split_pieces(body, 900) if (body or "").strip() else []
+        pieces = pieces[:1] + [f"{a[-150:]} {b}".strip() for a, b in zip(pieces, pieces[1:], strict=False)]
+        out += [(f"{record}::{name}::{i}", name, i, f"{header}[{name.upper()}] {x}".strip()) for i, x in enumerate(pieces)]
+    return out
+
+
+def test_every_chunk_of_both_sources(spark):
+    """All chunks of whole tables against plain Python."""
+    number = lambda v, absent: absent if v is None else f"{v:g}"
+    expected = []
+    for t in trials(spark, SF).collect():
+        header = f"Trial {t.nct_id or ''} - {t.brief_title or ''}\nStatus: {t.overall_status or ''} | Phase: {t.phase or 'N/A'} | Conditions: {t.conditions}\n"
+        facts = f"Eligible ages: {number(t.min_age_years, 'unspecified')} to {number(t.max_age_years, 'no upper limit')} years. Sex eligible: {t.sex or 'unspecified'}. "
+        facts += f"Enrollment target: {number(t.enrollment, 'unspecified')}.\n"
+        if t.nct_id:
+            expected += plain_chunks(t.nct_id, header, {"summary": t.brief_summary, "eligibility": facts + t.eligibility_criteria, "interventions": t.interventions})
+    got = queries.chunk_trials(spark, SF).collect()
+    assert sorted(map(tuple, got)) == sorted(expected) and len(got) > 600
+    expected = []
+    for a in articles(spark, SF).collect():
+        header = f"Article PMID {a.pmid or ''} - {a.title or ''}\n{a.journal or 'Unknown journal'} ({a.pub_year or 'n.d.'}) | {a.publication_types or 'Journal Article'}\n"
+        citation = f"{a.authors or 'Unknown authors'}. {a.title or ''}. {a.journal or ''} {a.pub_year or ''}. doi:{a.doi or 'n/a'}"
+        if a.pmid:
+            expected += plain_chunks(f"PMID{a.pmid}", header, {"abstract": a.abstract, "citation": citation})
+    got = queries.chunk_articles(spark, SF).collect()
+    assert sorted(map(tuple, got)) == sorted(expected) and len(got) > 400
+    counted = {r.source_type: r.chunks for r in queries.chunk_counts(spark, SF).collect()}
+    assert counted["literature"] >= len(got)
