@@ -9,9 +9,6 @@ from .. import policy
 from ..functions.text import tokenize
 from ..functions.vectors import cosine, hash_embed
 
-#: First line of an extractive answer (fixed value).
-EXTRACTIVE = "[EXTRACTIVE MODE - no generative model configured; evidence quoted verbatim]"
-
 
 def _ordered(value: Column) -> Column:
     """Values of a question's rows in order of rank: at most as many as were reranked."""
@@ -22,7 +19,7 @@ def build_context(top: DataFrame, system: str = "") -> DataFrame:
     """(query_id, context, prompt): numbered blocks with blank lines between, and the whole prompt."""
     numbered = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.col("text"))
     context = F.array_join(_ordered(numbered), "\n\n")
-    prompt = F.concat(F.lit(system), F.lit("\n\nContext passages:\n"), F.col("context"), F.lit("\n\nResearcher question: "), F.col("query"), F.lit("\n\nAnswer:"))
+    prompt = F.format_string(policy.PROMPT, F.lit(system), F.col("context"), F.coalesce("query", F.lit("")))
     return top.groupBy("query_id", "query").agg(context.alias("context")).withColumn("prompt", prompt).select("query_id", "context", "prompt")
 
 
@@ -30,7 +27,7 @@ def extractive_answer(top: DataFrame, length: int = 400) -> DataFrame:
     """(query_id, answer): each block's beginning, white space collapsed, with its number, under a fixed first line."""
     squeezed = F.trim(F.regexp_replace("text", r"(?U)\s+", " "))
     quoted = F.concat(F.substring(squeezed, 1, length), F.lit(" ["), F.col("rank").cast("string"), F.lit("]"))
-    return top.groupBy("query_id").agg(F.concat(F.lit(EXTRACTIVE + "\n\n"), F.array_join(_ordered(quoted), "\n\n")).alias("answer"))
+    return top.groupBy("query_id").agg(F.concat(F.lit(policy.EXTRACTIVE + "\n\n"), F.array_join(_ordered(quoted), "\n\n")).alias("answer"))
 
 
 def evidence(top: DataFrame) -> DataFrame:

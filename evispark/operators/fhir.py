@@ -62,43 +62,30 @@ def _missing(c: Column) -> Column:
 def patient_issues(r: Column) -> Column:
     """array<string>: what keeps a Patient struct from conforming; empty if nothing does."""
     email = F.try_element_at(F.filter(r["telecom"], lambda t: t["system"] == "email"), F.lit(1))["value"]
-    codes = "|".join(sorted(policy.GENDERS))
+    says = policy.PATIENT_ISSUES
     return F.array_compact(
         F.array(
-            F.when(_missing(r["identifier"][0]["value"]), "Patient.identifier is required (1..*) and must carry a value"),
-            F.when(_missing(r["name"][0]["family"]), "Patient.name.family is required for an official name"),
-            F.when(
-                ~r["gender"].isin(*policy.GENDERS),
-                F.concat(F.lit("Patient.gender '"), r["gender"], F.lit(f"' is outside the bound value set administrative-gender ({codes})")),
-            ),
-            F.when(~r["birthDate"].rlike(policy.FHIR_DATE), F.concat(F.lit("Patient.birthDate '"), r["birthDate"], F.lit("' is not a valid FHIR date"))),
-            F.when(
-                (email != "") & ~email.rlike(f"(?U){policy.EMAIL_ADDRESS}"),
-                F.concat(F.lit("Patient.telecom(email) '"), email, F.lit("' is not a valid address")),
-            ),
+            F.when(_missing(r["identifier"][0]["value"]), says["identifier"]),
+            F.when(_missing(r["name"][0]["family"]), says["family"]),
+            F.when(~r["gender"].isin(*policy.GENDERS), F.format_string(says["gender"], r["gender"])),
+            F.when(~r["birthDate"].rlike(policy.FHIR_DATE), F.format_string(says["birth_date"], r["birthDate"])),
+            F.when((email != "") & ~email.rlike(f"(?U){policy.EMAIL_ADDRESS}"), F.format_string(says["email"], email)),
         )
     )
 
 
 def study_issues(r: Column) -> Column:
     """array<string>: what keeps a ResearchStudy struct from conforming; empty if nothing does."""
-    enrolled, status = r["enrollment"].cast("string"), r["status"]
+    enrolled, status, says = r["enrollment"].cast("string"), r["status"], policy.STUDY_ISSUES
     number = enrolled.try_cast("double")
     return F.array_compact(
         F.array(
-            F.when(_missing(r["identifier"][0]["value"]), "ResearchStudy.identifier is required and must carry a value"),
-            F.when(_missing(r["title"]), "ResearchStudy.title is required for a citable study"),
-            F.when(
-                status.isNull(),
-                F.concat(
-                    F.lit("ResearchStudy.status could not be derived from registry status '"),
-                    r["sourceStatus"],
-                    F.lit("' - no mapping into the FHIR value set"),
-                ),
-            ).when(~status.isin(*policy.STUDY_STATUSES), F.concat(F.lit("ResearchStudy.status '"), status, F.lit("' is outside the R4 value set"))),
-            F.when(number < 0, "ResearchStudy.enrollment must not be negative").when(
-                enrolled.isNotNull() & number.isNull(), F.concat(F.lit("ResearchStudy.enrollment '"), enrolled, F.lit("' is not a number"))
+            F.when(_missing(r["identifier"][0]["value"]), says["identifier"]),
+            F.when(_missing(r["title"]), says["title"]),
+            F.when(status.isNull(), F.format_string(says["no_status"], r["sourceStatus"])).when(
+                ~status.isin(*policy.STUDY_STATUSES), F.format_string(says["status"], status)
             ),
+            F.when(number < 0, says["negative"]).when(enrolled.isNotNull() & number.isNull(), F.format_string(says["number"], enrolled)),
         )
     )
 

@@ -256,11 +256,7 @@ def age_conflicts(chunks: DataFrame, text: str = "text", key: str = "chunk_id")
     declared = F.col("min_age_years").try_cast("double")
     off = F.filter(stated, lambda x: F.abs(x - declared) >= 3)
     whole = lambda c: F.bround(c, 0).cast("long").cast("string")
-    message = F.concat(
-        *(F.lit("Trial "), F.coalesce("nct_id", F.lit("None")), F.lit(" declares a minimum age of "), whole(F.col("structured_min_age"))),
-        *(F.lit(" in its structured eligibility field, but its criteria text states "), whole(F.col("stated_in_text"))),
-        F.lit(" years. Verify against the registry before screening."),
-    )
+    message = F.format_string(policy.AGE_ALERT, F.coalesce("nct_id", F.lit("None")), whole(F.col("structured_min_age")), whole(F.col("stated_in_text")))
     return (
         chunks.select("nct_id", key, declared.alias("structured_min_age"), F.try_element_at(off, F.lit(1)).alias("stated_in_text"))
         .filter("stated_in_text IS NOT NULL")

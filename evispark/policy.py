@@ -164,3 +164,28 @@ STOP_WORDS = (
 
 # Topics of events.
 TOPICS = ("raw_clinical_trials", "raw_literature", "raw_patient_records", "validated_records")
+
+# What conformance checks say; %s stands for the value.
+PATIENT_ISSUES = {
+    "identifier": "Patient.identifier is required (1..*) and must carry a value",
+    "family": "Patient.name.family is required for an official name",
+    "gender": "Patient.gender '%s' is outside the bound value set administrative-gender (female|male|other|unknown)",
+    "birth_date": "Patient.birthDate '%s' is not a valid FHIR date",
+    "email": "Patient.telecom(email) '%s' is not a valid address",
+}
+STUDY_ISSUES = {
+    "identifier": "ResearchStudy.identifier is required and must carry a value",
+    "title": "ResearchStudy.title is required for a citable study",
+    "no_status": "ResearchStudy.status could not be derived from registry status '%s' - no mapping into the FHIR value set",
+    "status": "ResearchStudy.status '%s' is outside the R4 value set",
+    "negative": "ResearchStudy.enrollment must not be negative",
+    "number": "ResearchStudy.enrollment '%s' is not a number",
+}
+
+# The frame of a prompt (system, context, question), the first line of an extractive answer, the age alert.
+PROMPT = "%s\n\nContext passages:\n%s\n\nResearcher question: %s\n\nAnswer:"
+EXTRACTIVE = "[EXTRACTIVE MODE - no generative model configured; evidence quoted verbatim]"
+AGE_ALERT = (
+    "Trial %s declares a minimum age of %s in its structured eligibility field, but its criteria text states %s years. "
+    "Verify against the registry before screening."
+)

@@ -13,7 +13,7 @@ from .functions.text import parse_age_years, tokenize
 from .functions.vectors import hash_embed
 from .jobs.workloads import Index, answer, build_index, candidates, govern, load_governed
 from .operators import chunking, fhir, flatten, governance, index, quality, retrieval
-from .operators.answers import EXTRACTIVE, rag_triad
+from .operators.answers import rag_triad
 from .scratch import new_path, scratch
 from .sources.files import land_raw, quarantine, read_articles_xml, read_patients, read_quarantine, read_studies
 from .sources.journal import Audit, Lineage, ancestry, chain_text, tail, trace
@@ -767,7 +767,7 @@ def hybrid_answer(spark, sf_dir):
 
 _ANSWERED = f"""{_HYBRID}, {_TOP},
 ctx AS (SELECT query_id, string_agg('[' || rank || '] ' || text, chr(10) || chr(10) ORDER BY rank) AS context,
-    '{EXTRACTIVE}' || chr(10) || chr(10) || string_agg(substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 400) || ' [' || rank || ']', chr(10) || chr(10) ORDER BY rank) AS answer,
+    '{policy.EXTRACTIVE}' || chr(10) || chr(10) || string_agg(substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 400) || ' [' || rank || ']', chr(10) || chr(10) ORDER BY rank) AS answer,
     list(chunk_id::STRING ORDER BY rank) AS chunks FROM top JOIN documents ON doc_id = chunk_id GROUP BY query_id)"""
 
 
