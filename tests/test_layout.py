@@ -5,11 +5,13 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from evispark.functions.vectors import encode_with, hash_vectors
 from evispark.operators.index import embed
 from evispark.operators.retrieval import rerank
+from evispark.scratch import new_path
 
 ROOT = Path(__file__).resolve().parent.parent
 
@@ -32,6 +34,27 @@ def test_the_entry_works_without_llm():
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)
 
 
+def test_a_missing_package_is_not_hidden():
+    code = "import sys\nsys.modules['sentencepiece'] = None\nimport __spark_entry__\n"
+    done = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=120)
+    if (ROOT / "evispark" / "llm").exists() and (ROOT / "corpus_pipeline.py").exists():
+        assert done.returncode and "sentencepiece" in done.stderr
+    else:
+        assert not done.returncode
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Conf:
+        def get(self, name, default=None):
+            return {"spark.master": "spark://host:7077"}.get(name, default)
+
+    class Session:
+        conf = Conf()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        new_path(Session(), "x")
+
+
 def test_encoders_and_scorers_plug_in(spark):
     chunks = spark.createDataFrame([("a", "some text"), ("b", None)], "chunk_id string, text string")
     mine = embed(chunks, encoder=lambda c: encode_with(lambda: lambda texts: hash_vectors(texts, 8), c)).collect()
