@@ -2,11 +2,16 @@
 
 import hashlib
 import random
+import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+import xxhash
+import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models
 
@@ -183,6 +188,32 @@ def test_quality_counts(spark, docs, empty):
     assert quality.grade(empty, nothing).count() == 0 and quality.grade(docs, nothing).count() == len(ROWS)
 
 
+def plain_features(text):
+    n, chars, symbols, dup_lines, repeated = H.base_counts(text)
+    w, raw = H.words(text), (text or "").encode()
+    lines = len([x for x in (text or "").split("\n") if H.WORD.search(x)])
+    some, seen = max(n, 1), max(sum(b > 32 for b in raw), 1)
+    letters = sum(b >= 128 or chr(b).isalpha() for b in raw)
+    top = max(Counter(w).values(), default=0)
+    rates = [symbols / some, dup_lines / max(lines, 1), repeated / some, letters / seen, sum(chr(b) in "0123456789" for b in raw) / seen]
+    rates += [sum(65 <= b <= 90 for b in raw) / seen, len(set(w)) / some, top / some, n / max(lines, 1)]
+    return [np.log1p(n), chars / some, *rates, sum(len(x) <= 3 for x in w) / some, sum(len(x) == 1 for x in w) / some]
+
+
+def test_verdicts_are_those_of_the_trees_walked_one_by_one(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = quality.fit_quality(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    assert len(model.roots) > 0
+    for r in quality.grade(docs, model).collect():
+        x, total = plain_features(r.text), model.base
+        for node in model.roots:
+            while model.left[node] != node:
+                node = model.left[node] if x[model.feature[node]] <= model.cut[node] else model.right[node]
+            total += model.value[node]
+        assert r.quality == pytest.approx(1 / (1 + np.exp(-total)), abs=1e-9) and r.kept == (not r.base_failed and r.quality >= 0.5)
+
+
 def test_trees_are_monotonic_where_asked_and_learn():
     rng = np.random.default_rng(1)
     x = rng.random((3000, 3))
@@ -222,6 +253,36 @@ def test_language(spark, docs, empty):
     assert language.learn(empty) == {} and {r.lang_pred for r in language.identify(docs, {}).collect()} == {"und"}
 
 
+def test_language_is_that_of_the_smallest_text(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").collect()
+    plain = lambda t: re.sub(r"[\W\d_]+", " ", (t or "").lower())
+    parts = {}
+    for r in rows:
+        letters = plain(r.text).encode().strip()
+        if r.lang and zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
+            for i in range(0, len(letters), 512):
+                parts.setdefault(r.lang, {})[xxhash.xxh3_64_intdigest(letters[i : i + 512]) >> 1] = letters[i : i + 512]
+    dictionaries = {lang: b" ".join(p[h] for h in sorted(p)[:64]) for lang, p in parts.items()}
+    every = language.held_out(spark.read.parquet(f"{sf}/documents.parquet"))
+    assert language.learn(every.filter("NOT held_out")) == dictionaries
+    got = {r.doc_id: r for r in language.identify(every, dictionaries).collect()}
+    names = sorted(dictionaries)
+    packers = []
+    for n in names:
+        d = zstandard.ZstdCompressionDict(dictionaries[n], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        packers.append(zstandard.ZstdCompressor(level=6, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
+    for r in rows:
+        text = plain(r.text).encode()
+        if not any(c.isalpha() for c in r.text or ""):
+            assert got[r.doc_id].lang_pred == "und"
+            continue
+        size = [sum(len(p.compress(text[i : i + 4096])) for i in range(0, len(text), 4096)) for p in packers]
+        order = sorted(range(len(names)), key=lambda k: (size[k], names[k]))
+        assert got[r.doc_id].lang_pred == names[order[0]] and got[r.doc_id].score == pytest.approx(max(0, 1 - size[order[0]] / size[order[1]]))
+        assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
 # 6
 def test_sharding(docs, empty):
     got = sharding.shard(docs, shards=4, slots=64).collect()
