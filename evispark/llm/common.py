@@ -20,7 +20,7 @@ from ..scratch import scratch as written  # noqa: F401
 SPACE = r"[\x20\x09-\x0D]+"
 
 #: Bytes of text that a Python worker turns into numpy arrays at once.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +41,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts, cuts[1:], strict=False):
         yield batch.take(pa.array(np.arange(a, b)))  # a copy: kernels that overlook an offset meet none
+    pa.default_memory_pool().release_unused()  # workers live on through the stages of a job
 
 
 _LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
