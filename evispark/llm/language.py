@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import extended, slices
+from .common import extended, slices, written
 
 #: Bytes of a language's dictionary, and of the pieces of text that it is made of.
 DICT_BYTES = 32 << 10
@@ -69,7 +69,7 @@ def learn(docs: DataFrame, dict_bytes: int = DICT_BYTES, piece: int = PIECE) ->
     known = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
     few = known.mapInArrow(pieces, "lang string, h long, part binary").groupBy("lang", "h").agg(F.min("part").alias("part"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    chosen = few.withColumn("place", place).filter(F.col("place") <= most)
+    chosen = written(few.withColumn("place", place).filter(F.col("place") <= most), "pieces")
     if chosen.select("lang").distinct().count() > LANGUAGES:
         raise ValueError(f"over {LANGUAGES} languages")
     parts: dict[str, list[bytes]] = {}
