@@ -689,7 +689,7 @@ def doc_index(spark: SparkSession, sf_dir: str) -> Index:
 
 
 _POSTED = f"""tok AS (SELECT doc_id AS chunk_id, {_TOKENS.format("text")} AS ts FROM documents),
-posted AS (SELECT chunk_id, term, len(ts) AS doc_len, count(*) AS tf FROM (SELECT chunk_id, ts, unnest(ts) AS term FROM tok) GROUP BY chunk_id, term, ts),
+posted AS (SELECT chunk_id, term, doc_len, count(*) AS tf FROM (SELECT chunk_id, len(ts) AS doc_len, unnest(ts) AS term FROM tok) GROUP BY chunk_id, term, doc_len),
 stats AS (SELECT count(*) AS n, avg(len(ts)) AS avg_len FROM tok),
 dfs AS (SELECT term, count(*) AS df FROM posted GROUP BY term),
 raws AS (SELECT term, df, ln((n - df + 0.5) / (df + 0.5)) AS raw FROM dfs, stats),
