@@ -376,11 +376,11 @@ def landed_articles(spark, sf_dir):
     return back.groupBy("pmid", "title", "abstract", "doi").agg(F.count("*").alias("records"))
 
 
-@query(f"WITH t AS ({PATIENTS}) SELECT * EXCLUDE (seq, hba1c), round(hba1c, 3) AS hba1c FROM t")
+@query(f"WITH t AS ({PATIENTS}) SELECT * EXCLUDE (seq, hba1c), round(hba1c, 6) AS hba1c FROM t")
 def landed_patients(spark, sf_dir):
     at = new_path(spark, "landing")
     land_raw(patients(spark, sf_dir).drop("seq"), at)
-    return read_patients(spark, at, "json").withColumn("hba1c", F.round("hba1c", 3))
+    return read_patients(spark, at, "json").withColumn("hba1c", F.round("hba1c", 6))
 
 
 @query(_GRADED_T + "SELECT seq::STRING AS seq, nct_id, quality_failures FROM g WHERE quality_failures <> ''")
