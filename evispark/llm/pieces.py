@@ -138,6 +138,10 @@ class PieceModel:
         normal = self.normalizer.normalize_str(text)
         return _RUNS.findall(normal) if self.cuts else [normal]
 
+    def cut_plainly(self, text: str) -> list[str]:
+        """The same as pre_tokens; where a model has cuts, its normaliser only puts the marker, which is quicker done here."""
+        return _RUNS.findall(SPACE_MARK + text.replace(" ", SPACE_MARK)) if text and self.cuts else self.pre_tokens(text)
+
     @cached_property
     def piece_bytes(self) -> list[bytes]:
         """What each id adds to a decoded text."""

@@ -49,7 +49,7 @@ def count_tokens(docs: DataFrame, model: PieceModel, limit: int = 4096, hot_byte
             for b in slices(whole, "text"):
                 seen: Counter = Counter()
                 for t in b.column("text").to_pylist():
-                    seen.update(own.pre_tokens(t or ""))
+                    seen.update(own.cut_plainly(t or ""))
                 yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["token", "n"])
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -74,7 +74,7 @@ def count_tokens(docs: DataFrame, model: PieceModel, limit: int = 4096, hot_byte
                 size, tokens, rest = [], [], []
                 for t in b.column("text").to_pylist():
                     found, others = 0, []
-                    for token, n in Counter(own.pre_tokens(t or "")).items():
+                    for token, n in Counter(own.cut_plainly(t or "")).items():
                         if (pieces := known.get(token)) is not None:
                             found += n * pieces
                         else:
