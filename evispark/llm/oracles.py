@@ -80,9 +80,25 @@ SELECT doc_id, size, source_size, target, (size * (rounds + taken::INT))::BIGINT
 """
 
 
+#: Lines by number, their keys, and what stays; islands of equal verdicts give the compressed bitmap.
+LINE_DEDUP = r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, ls[i] AS line, i, translate(trim(ls[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)),
+f AS (SELECT key, min(doc_id) AS first FROM l WHERE length(key) >= 10 GROUP BY key),
+v AS (SELECT doc_id, i, line, coalesce(first < doc_id, false) AS gone FROM l LEFT JOIN f USING (key)),
+r AS (SELECT doc_id, gone, min(i) AS low, count(*) AS n FROM (
+  SELECT *, i - row_number() OVER (PARTITION BY doc_id, gone ORDER BY i) AS island FROM v) GROUP BY doc_id, gone, island),
+b AS (SELECT doc_id, CASE WHEN min_by(gone, low) THEN '0,' ELSE '' END || string_agg(n::VARCHAR, ',' ORDER BY low) AS keep FROM r GROUP BY doc_id)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256, any_value(keep) AS keep
+FROM v JOIN b USING (doc_id) GROUP BY doc_id
+"""
+
 ORACLES = {
     "op1_substring_dedup": SUBSTRING_DEDUP.strip(),
     "op2_minhash_dedup": MINHASH_DEDUP.strip(),
     "op7_mixing": mixing().strip(),
     "op10_suffix_array_dedup": SUFFIX_DEDUP.strip(),
+    "op11_line_dedup": LINE_DEDUP.strip(),
 }

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language, minhash, mixing, pieces, quality, sharding, substrings, suffixes, token_counts
+from . import fingerprints, language, lines, minhash, mixing, periods, pieces, quality, sharding, substrings, suffixes, token_counts
 from .common import documents
 from .oracles import ORACLES  # noqa: F401
 
@@ -61,4 +61,15 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("removed", F.array_join(spans, ","))  # as 3-60,90-140
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_minhash_dedup, op3_fingerprints, op4_quality_rules, op5_language_id, op6_sharding, op7_mixing, op8_sentencepiece, op9_token_counts, op10_suffix_array_dedup)}
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.dedup(documents(spark, sf_dir).select("doc_id", "text"))
+    keep = F.array_join(F.col("keep").cast("array<string>"), ",")  # as 0,2,5
+    return found.select("doc_id", "n_lines", "n_dropped", "kept_sha256", keep.alias("keep"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return periods.run_digests(periods.collapse(docs.select("doc_id", periods.looped(F.col("doc_id"), F.col("text")).alias("text"))))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_minhash_dedup, op3_fingerprints, op4_quality_rules, op5_language_id, op6_sharding, op7_mixing, op8_sentencepiece, op9_token_counts, op10_suffix_array_dedup, op11_line_dedup, op13_periodic_runs)}
