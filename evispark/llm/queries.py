@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language, lines, minhash, mixing, periods, pieces, quality, sharding, substrings, suffixes, token_counts
+from . import align, fingerprints, language, lines, minhash, mixing, periods, pieces, quality, sharding, substrings, suffixes, token_counts
 from .common import documents
 from .oracles import ORACLES  # noqa: F401
 
 MODEL = "piece_bpe_32k.model"
+BYTE_MODEL = "byte_bpe_50k.json"
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,9 +68,14 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", "kept_sha256", keep.alias("keep"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = align.ByteModel.load(public_tokenizers.path(BYTE_MODEL)), pieces.PieceModel.load(public_tokenizers.path(MODEL))
+    return align.align(documents(spark, sf_dir).select("doc_id", "text"), a, b)
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return periods.run_digests(periods.collapse(docs.select("doc_id", periods.looped(F.col("doc_id"), F.col("text")).alias("text"))))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_minhash_dedup, op3_fingerprints, op4_quality_rules, op5_language_id, op6_sharding, op7_mixing, op8_sentencepiece, op9_token_counts, op10_suffix_array_dedup, op11_line_dedup, op13_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_minhash_dedup, op3_fingerprints, op4_quality_rules, op5_language_id, op6_sharding, op7_mixing, op8_sentencepiece, op9_token_counts, op10_suffix_array_dedup, op11_line_dedup, op12_alignment, op13_periodic_runs)}
