@@ -172,13 +172,17 @@ def looped(doc_id: Column, text: Column) -> Column:
     the checksum. A null doc_id has none, so its text stays.
     """
     h = F.crc32(doc_id.cast("string").cast("binary"))
-    g = F.floor(h / 10)
-    w = words_of(text)
-    n = F.size(w)
-    a = g % n
-    p = 1 + F.floor((n - a) / (3 + g % 8))
-    repeated = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(w, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")))
-    return F.when((h % 10 == 0) & (n > 0), F.array_join(repeated, " ")).otherwise(text)
+
+    def repeated(x: Column) -> Column:
+        n = F.size(x["w"])
+        a = x["g"] % n
+        p = 1 + F.floor((n - a) / (3 + x["g"] % 8))
+        places = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(x["w"], F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")))
+        return F.when(n > 0, F.array_join(places, " ")).otherwise(text)
+
+    # a lambda's variable is evaluated once, an expression within a lambda for each element
+    once = F.array(F.struct(words_of(text).alias("w"), F.floor(h / 10).alias("g")))
+    return F.when(h % 10 == 0, F.transform(once, repeated)[0]).otherwise(text)
 
 
 def run_digests(docs: DataFrame) -> DataFrame:
