@@ -30,6 +30,8 @@ A, B = 0, 1
 WINDOW = 1 << 16
 #: Segments that a worker remembers the tokens of.
 REMEMBERED = 1 << 18
+#: Segments that are encoded in one string.
+TOGETHER = 64
 #: Links of one group that are written out one by one; larger groups are counted by distinct ids.
 SPREAD = 1 << 14
 #: Different pairs that a task counts before it hands them on.
@@ -37,7 +39,7 @@ COUNTED = 1 << 21
 #: Pairs whose counts are broadcast at most.
 HOT_PAIRS = 1 << 20
 
-_SPACE, _COMMA, _BAR, _SEMICOLON = (pa.scalar(c, pa.large_string()) for c in " ,|;")
+_NOTHING, _SPACE, _COMMA, _BAR, _SEMICOLON = (pa.scalar(c, pa.large_string()) for c in ("", " ", ",", "|", ";"))
 _EVENT = "row long, doc_id long, offset long, side int, ids binary"
 _LINKED = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<int>, times array<int>"
 
@@ -78,8 +80,8 @@ class ByteModel:
         names = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
         return [bytes(byte[c] for c in t) if all(c in byte for c in t) else t.encode() for t in names]
 
-    def encode(self, segments: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast([f" {s}" for s in segments], add_special_tokens=False)]
+    def encode(self, parts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
 
 def piece_bytes(model: PieceModel) -> list[bytes]:
@@ -87,33 +89,48 @@ def piece_bytes(model: PieceModel) -> list[bytes]:
     return [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(SPACE_MARK, " ").encode() if kind == NORMAL else b"" for p, _, kind in model.pieces]
 
 
+def _clear(words: pa.Array) -> np.ndarray:
+    """Whether each word ends in something that is white space in nobody's eyes."""
+    last = pc.binary_slice(words.cast(pa.large_binary()), -1)
+    out = np.array(pc.and_(pc.greater(last, b" "), pc.less(last, b"\x7f")))
+    other = np.flatnonzero(np.array(pc.greater(last, b"\x7f")))
+    out[other] = ~np.array(pc.match_substring_regex(words.take(pa.array(other)), r"[\x{80}-\x{A0}\p{Z}]$"))
+    return out
+
+
 def segments_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """Parts of space + text that no token crosses, each without the space that it begins with, and where each text's begin.
+    """Parts of space + text that no token crosses, and where each text's begin.
 
-    Cuts are before a space that follows anything but white space: neither model has a token with that after another
-    character. What may be white space in either library's eyes is taken for it.
+    Cuts are before a space or newline that follows anything but white space: neither model has a token with these after
+    another character. A text with a NUL, which marks the cuts here, is one part.
     """
-    lists = pc.split_pattern(texts, " ")
+    spaced = pc.binary_join_element_wise(_SPACE, texts, _NOTHING)
+    marked = pc.replace_substring(pc.replace_substring(spaced, " ", "\x00 "), "\n", "\x00\n")
+    odd = pc.match_substring(texts, "\x00")
+    lists = pc.split_pattern(pc.if_else(odd, "", marked), "\x00")
     words, ends = lists.flatten(), np.asarray(lists.offsets, np.int64) - lists.offsets[0].as_py()
-    last = pc.binary_slice(words.cast(pa.large_binary()), -1)
-    clear = np.array(pc.and_(pc.greater(last, b" "), pc.less(last, b"\x7f")))
-    other = np.flatnonzero(np.array(pc.greater(last, b"\x7f")))
-    clear[other] = ~np.array(pc.match_substring_regex(words.take(pa.array(other)), r"[\x{80}-\x{A0}\p{Z}]$"))
     new = np.ones(len(words), bool)
-    new[1:] = clear[:-1]
+    new[1:] = _clear(words)[:-1]
     new[ends[:-1]] = True  # every text has a word, if only an empty one
     starts = np.append(np.flatnonzero(new), len(words))
-    return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(starts), words), _SPACE), np.searchsorted(starts, ends)
+    parts, begin = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(starts), words), _NOTHING), np.searchsorted(starts, ends)
+    if pc.any(odd).as_py():
+        at = np.flatnonzero(np.array(odd))
+        where = np.full(len(parts), -1)
+        where[begin[at]] = np.arange(len(at))
+        parts = pc.if_else(pa.array(where >= 0), spaced.take(pa.array(at[np.maximum(where, 0)])), parts)
+    return parts, begin
 
 
 class Tokens:
     """Ids of both models for texts, by their distinct segments, of which REMEMBERED or so are kept."""
 
     def __init__(self, a: ByteModel, b: PieceModel):
-        if not b.cuts:
-            raise ValueError("only models without pieces across spaces are aligned")
+        if not b.cuts or not b.byte_fallback or any("\n" in p for p, _, _ in b.pieces):
+            raise ValueError("only models with byte fallback and without pieces across spaces or newlines are aligned")
         self.a, self.b = a, b
         self.bytes = (a.token_bytes, piece_bytes(b))
+        self.covers = [np.array([len(x) for x in t], np.int64) for t in self.bytes]
         self._forget()
 
     def _forget(self) -> None:
@@ -121,20 +138,38 @@ class Tokens:
         self.whole = np.zeros(0, bool)
         self.begin, self.length, self.bank = ([np.zeros(0, np.int64)] * 2, [np.zeros(0, np.int64)] * 2, [np.zeros(0, np.uint16)] * 2)
 
-    def _encode_b(self, segments: list[str]) -> list[list[int]]:
-        # the library puts the first space itself, but not before nothing
-        return [x or [self.b.marker] for x in self.b.library.encode(segments, num_threads=1)]
-
-    def _learn(self, fresh: list[str]) -> None:
-        both = (self.a.encode(fresh), self._encode_b(fresh))
-        whole = [all(b"".join([t[i] for i in ids]) == b" " + s.encode() for ids, t in zip(x, self.bytes, strict=True)) for s, *x in zip(fresh, *both, strict=True)]
-        for side, lists in enumerate(both):
-            length = np.array([len(x) for x in lists], np.int64)
-            self.begin[side] = np.concatenate([self.begin[side], len(self.bank[side]) + np.cumsum(length) - length])
-            self.length[side] = np.concatenate([self.length[side], length])
-            self.bank[side] = np.concatenate([self.bank[side], np.array([i for x in lists for i in x], np.uint16)])
-        self.whole = np.concatenate([self.whole, np.array(whole, bool)])
-        self.names.update(zip(fresh, range(len(self.names), len(self.names) + len(fresh)), strict=True))
+    def _encode_b(self, parts: list[str]) -> list[list[int]]:
+        # the library puts the first space itself: one too many before a newline, and none before nothing
+        lists = self.b.library.encode([p[1:] if p[0] == " " else p for p in parts], num_threads=1)
+        return [(x or [self.b.marker]) if p[0] == " " else x[1:] for p, x in zip(parts, lists, strict=True)]
+
+    def _encode(self, side: int, segments: pa.Array, together: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids one after another, how many each segment has, and whether they spell it. ``together`` segments are encoded in
+        one string, as no token crosses their borders; if that is not spelt, each is encoded alone."""
+        held = segments.to_pylist()
+        parts = ["".join(held[i : i + together]) for i in range(0, len(held), together)]
+        lists = (self.a.encode if side == A else self._encode_b)(parts)
+        ids, table = np.array([i for x in lists for i in x], np.uint16), self.bytes[side]
+        if together == 1:
+            whole = np.array([b"".join([table[i] for i in x]) == p.encode() for x, p in zip(lists, parts, strict=True)], bool)
+            return ids, np.array([len(x) for x in lists], np.int64), whole
+        if b"".join([table[i] for x in lists for i in x]) != "".join(parts).encode():
+            return self._encode(side, segments, 1)
+        ends = np.searchsorted(np.cumsum(self.covers[side][ids]), np.cumsum(pc.binary_length(segments).to_numpy())) + 1
+        return ids, np.diff(ends, prepend=0).astype(np.int64), np.ones(len(held), bool)
+
+    def _learn(self, fresh: pa.Array) -> None:
+        """Segments that end in what may be white space, which others could join, and those with B's marker go alone."""
+        alone = ~_clear(fresh) | np.array(pc.match_substring(fresh, SPACE_MARK))
+        for these, together in ((fresh.filter(pa.array(~alone)), TOGETHER), (fresh.filter(pa.array(alone)), 1)):
+            if len(these):
+                both = [self._encode(side, these, together) for side in (A, B)]
+                for side, (ids, length, _) in enumerate(both):
+                    self.begin[side] = np.concatenate([self.begin[side], len(self.bank[side]) + np.cumsum(length) - length])
+                    self.length[side] = np.concatenate([self.length[side], length])
+                    self.bank[side] = np.concatenate([self.bank[side], ids])
+                self.whole = np.concatenate([self.whole, both[A][2] & both[B][2]])
+                self.names.update(zip(these.to_pylist(), range(len(self.names), len(self.names) + len(these)), strict=True))
 
     def of(self, texts: pa.Array) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
         """Whether each text has tokens that spell it on both sides, and for each side all ids and where each text's begin."""
@@ -143,8 +178,8 @@ class Tokens:
         segments, ends = segments_of(texts)
         coded = segments.dictionary_encode()
         names = coded.dictionary.to_pylist()
-        if fresh := [s for s in names if s not in self.names]:
-            self._learn(fresh)
+        known = np.array([s in self.names for s in names], bool)
+        self._learn(coded.dictionary.filter(pa.array(~known)))
         at = np.array([self.names[s] for s in names], np.int64)[coded.indices.to_numpy()] if names else np.zeros(0, np.int64)
         bad = np.concatenate([[0], np.cumsum(~self.whole[at])])
         out = []
@@ -164,7 +199,6 @@ def end_events(docs: DataFrame, a: ByteModel, b: PieceModel, window: int = WINDO
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens(*shared.value)
-        covers = [np.array([len(x) for x in t], np.int64) for t in tokens.bytes]
         for whole in batches:
             for part in slices(whole, "text"):
                 texts = pc.fill_null(part.column("text").cast(pa.large_string()), "")
@@ -178,7 +212,7 @@ def end_events(docs: DataFrame, a: ByteModel, b: PieceModel, window: int = WINDO
                         runs = max(1, -(-n // window))
                         cuts = [lo, hi if n else lo]
                         if runs > 1:
-                            ends = np.cumsum(covers[k][all_ids[lo:hi]])
+                            ends = np.cumsum(tokens.covers[k][all_ids[lo:hi]])
                             cuts = (lo + np.searchsorted(ends, np.arange(runs + 1) * window, "right")).tolist()
                         source += [i] * runs
                         side += [k] * runs
