@@ -8,7 +8,7 @@ only where two equal grams stand so far apart on a grid that no run of that peri
 from __future__ import annotations
 
 import hashlib
-import zlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -103,7 +103,7 @@ def long_lags(hashes: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, in
         here = offsets[text[pair]] + at
         hit = np.flatnonzero(gram[here] == gram[here + lag[pair]])
         first = np.flatnonzero(np.diff(pair[hit], prepend=-1))
-        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(hit)], strict=True):
+        for a, b in itertools.pairwise([*first.tolist(), len(hit)]):
             p = pair[hit[a]]
             yield int(text[p]), int(lag[p]), at[hit[a:b]]
 
