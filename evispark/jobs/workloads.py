@@ -16,7 +16,7 @@ from ..operators import retrieval as R
 from ..operators.chunking import ARTICLE_FACTS, TRIAL_FACTS, all_chunks, chunk_articles, chunk_trials, enrich_chunks
 from ..operators.governance import check_role, deidentify, phi_gate, phi_summary, redact_queries
 from ..operators.index import check_dimensions, embed, encoder_width, index_stats, posted_stats, postings, term_stats, write_index
-from ..operators.quality import Gate, clean_rows, enforce, grade, rejected_rows, verdict
+from ..operators.quality import Gate, clean_rows, enforce, grade_once, rejected_rows
 from ..scratch import scratch
 from ..sources.files import quarantine
 from ..sources.journal import Audit, Lineage
@@ -30,20 +30,17 @@ def load_governed(
     df: DataFrame, gate: Gate, lake: VersionedTable, quarantine_path: str, label: str, stamp: str, lineage: Lineage, numeric: list[str], order: str = "seq", halt: bool = True
 ) -> list[int]:
     """Grade rows, quarantine the rejected, halt if too many are, and commit the clean ones; the new versions."""
-    graded = grade(df, gate, order).persist()
-    try:
-        row = verdict(graded)
-        counts = row.first()
-        quarantine(rejected_rows(graded), label, quarantine_path, stamp, counts["rejected"])
-        checked = lineage.record("QUALITY_GATE", [label], [f"clean_{label}"], counts["clean"], {"rejected": counts["rejected"]})
-        if halt:
-            enforce(row)
-        clean = normalise_for_commit(clean_rows(graded), numeric)
-        versions = incremental_load(clean, lake, order)
-        lineage.record("LAKEHOUSE_COMMIT", [checked], [f"{lake.path}@v{versions[-1]}"], counts["clean"])
-        return versions
-    finally:
-        graded.unpersist()
+    graded = grade_once(df, gate, order)
+    counts = graded.verdict.first()
+    quarantine(rejected_rows(graded.rows), label, quarantine_path, stamp, counts["rejected"])
+    report = {r["metric"]: r["violations"] for r in graded.report.collect()}  # a row for each check
+    checked = lineage.record("QUALITY_GATE", [label], [f"clean_{label}"], counts["clean"], {"rejected": counts["rejected"], "violations": report})
+    if halt:
+        enforce(graded.verdict)
+    clean = normalise_for_commit(clean_rows(graded.rows), numeric)
+    versions = incremental_load(clean, lake, order)
+    lineage.record("LAKEHOUSE_COMMIT", [checked], [f"{lake.path}@v{versions[-1]}"], counts["clean"])
+    return versions
 
 
 def govern(trials: DataFrame, patients: DataFrame, salt: str, lineage: Lineage, audit: Audit, after: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .. import policy
@@ -37,17 +37,24 @@ class Gate:
     checks: Callable[[Column], list[Check]]
 
 
-def duplicate_of_earlier(df: DataFrame, key: str, order: str, name: str = "_duplicate") -> DataFrame:
+def duplicate_of_earlier(df: DataFrame, key: str, order: str, name: str = "_duplicate", ever: DataFrame | None = None) -> DataFrame:
     """Adds ``name``: whether a row with the same key comes earlier. Null keys equal one another; rows that tie for
     the first place are all first.
 
+    ``ever`` (_key, _ever) says how often each key has come so far, ``df`` included; a key that has come more often than it
+    stands in ``df`` has come before.
+
     Keys that stand more than once are found first and written aside; there are few, so that Spark broadcasts them by
     their size and rows are not shuffled. Keys are grouped after partial sums, so a hot key (nulls, say) is no task's work.
     """
-    counted = df.groupBy(F.col(key).alias("_key")).agg(F.min(order).alias("_first"), F.count("*").alias("_times"))
-    repeated = scratch(counted.filter("_times > 1").select("_key", "_first"), "repeated")
-    joined = df.join(repeated, df[key].eqNullSafe(repeated["_key"]), "left")
-    return joined.withColumn(name, F.coalesce(F.col(order) > F.col("_first"), F.lit(False))).drop("_key", "_first")
+    counted = df.groupBy(F.col(key).alias("_k")).agg(F.min(order).alias("_first"), F.count("*").alias("_times"))
+    before = F.lit(False)
+    if ever is not None:
+        counted = counted.join(ever, F.col("_k").eqNullSafe(F.col("_key")), "left")
+        before = F.coalesce(F.col("_ever") > F.col("_times"), F.lit(False))
+    repeated = scratch(counted.select("_k", "_first", "_times", before.alias("_before")).filter("_times > 1 OR _before"), "repeated")
+    joined = df.join(repeated, df[key].eqNullSafe(repeated["_k"]), "left")
+    return joined.withColumn(name, F.coalesce(F.col("_before") | (F.col(order) > F.col("_first")), F.lit(False))).drop("_k", "_first", "_times", "_before")
 
 
 def trial_gate(as_of: str) -> Gate:
@@ -97,9 +104,11 @@ def literature_gate(year: int) -> Gate:
     return Gate("pmid", checks)
 
 
-def grade(df: DataFrame, gate: Gate, order: str = "seq") -> DataFrame:
-    """``df`` with quality_failures and data_quality_flags: codes of violated checks, in order, joined by ``|``."""
-    marked = duplicate_of_earlier(df, gate.key, order)
+def grade(df: DataFrame, gate: Gate, order: str = "seq", ever: DataFrame | None = None) -> DataFrame:
+    """``df`` with quality_failures and data_quality_flags: codes of violated checks, in order, joined by ``|``.
+
+    ``ever`` tells of rows that came before ``df``, see duplicate_of_earlier."""
+    marked = duplicate_of_earlier(df, gate.key, order, ever=ever)
     checks = gate.checks(F.col("_duplicate"))
 
     def codes(severity: str) -> Column:
@@ -116,39 +125,54 @@ def rejected_rows(graded: DataFrame) -> DataFrame:
     return graded.filter(F.col("quality_failures") != "").drop("data_quality_flags")
 
 
+def _counts(gate: Gate | None = None) -> list[Column]:
+    """What report and verdict need to know, as aggregates over graded rows."""
+    fatal, flagged = F.col("quality_failures") != "", F.col("data_quality_flags") != ""
+    of_batch = {"evaluated": F.count(F.lit(1)), "rejected": F.count_if(fatal), "clean": F.count_if(~fatal), "advisory_flagged": F.count_if(~fatal & flagged), "_any": F.count_if(fatal | flagged)}
+    codes = {FATAL: "quality_failures", ADVISORY: "data_quality_flags"}
+    of_checks = {c.name: F.count_if(F.array_contains(F.split(codes[c.severity], r"\|"), c.code)) for c in (gate.checks(F.lit(False)) if gate else [])}
+    return [c.alias(n) for n, c in (of_batch | of_checks).items()]
+
+
+def _verdict(counted: DataFrame, threshold: float) -> DataFrame:
+    ratio = F.when(F.col("evaluated") > 0, F.col("rejected") / F.col("evaluated")).otherwise(F.lit(0.0))
+    shown = [F.bround(ratio, 4).alias("fatal_ratio"), (F.col("_any") == 0).alias("passed_all_gates"), (ratio > threshold).alias("halt_pipeline")]
+    return counted.select("evaluated", "rejected", "clean", "advisory_flagged", *shown)
+
+
+def _report(counted: DataFrame, gate: Gate) -> DataFrame:
+    checks = gate.checks(F.lit(False))
+    each = [F.struct(F.lit(c.name).alias("metric"), F.col(c.name).alias("violations"), F.lit(c.severity).alias("severity")) for c in checks]
+    return counted.select(F.explode(F.array(*each)).alias("r")).select("r.*", F.when(F.col("r.violations") > 0, "FAILED").otherwise("PASSED").alias("status"))
+
+
 def report(graded: DataFrame, gate: Gate) -> DataFrame:
     """(metric, violations, severity, status), a row for each check, from one pass over the graded rows."""
-    checks = gate.checks(F.lit(False))
-    hits = [
-        F.count_if(F.array_contains(F.split("quality_failures" if c.severity == FATAL else "data_quality_flags", r"\|"), c.code)).alias(c.name)
-        for c in checks
-    ]
-    rows = F.explode(
-        F.array(*[F.struct(F.lit(c.name).alias("metric"), F.col(c.name).alias("violations"), F.lit(c.severity).alias("severity")) for c in checks])
-    )
-    return graded.agg(*hits).select(rows.alias("r")).select("r.*", F.when(F.col("r.violations") > 0, "FAILED").otherwise("PASSED").alias("status"))
+    return _report(graded.agg(*_counts(gate)), gate)
 
 
 def verdict(graded: DataFrame, threshold: float = 0.30) -> DataFrame:
     """One row: counts, fatal_ratio (4 decimals), passed_all_gates, and halt_pipeline (unrounded ratio over the threshold)."""
-    fatal, flagged = F.col("quality_failures") != "", F.col("data_quality_flags") != ""
-    counted = graded.agg(
-        F.count("*").alias("evaluated"),
-        F.count_if(fatal).alias("rejected"),
-        F.count_if(~fatal).alias("clean"),
-        F.count_if(~fatal & flagged).alias("advisory_flagged"),
-        F.count_if(fatal | flagged).alias("_any"),
-    )
-    ratio = F.when(F.col("evaluated") > 0, F.col("rejected") / F.col("evaluated")).otherwise(F.lit(0.0))
-    return counted.select(
-        "evaluated",
-        "rejected",
-        "clean",
-        "advisory_flagged",
-        F.bround(ratio, 4).alias("fatal_ratio"),
-        (F.col("_any") == 0).alias("passed_all_gates"),
-        (ratio > threshold).alias("halt_pipeline"),
-    )
+    return _verdict(graded.agg(*_counts()), threshold)
+
+
+@dataclass(frozen=True)
+class Graded:
+    """Graded rows that are written, with the verdict and the report that writing them has counted."""
+
+    rows: DataFrame
+    verdict: DataFrame
+    report: DataFrame
+
+
+def grade_once(df: DataFrame, gate: Gate, order: str = "seq", threshold: float = 0.30, ever: DataFrame | None = None) -> Graded:
+    """Grade rows and write them aside; what is known of the batch is counted on the way, so nothing is read for it again."""
+    seen = Observation()
+    rows = scratch(grade(df, gate, order, ever).observe(seen, *_counts(gate)), "graded")
+    counts = seen.get
+    kind = ", ".join(f"`{n}` long" for n in counts)
+    counted = df.sparkSession.createDataFrame([tuple(counts.values())], kind)  # one row
+    return Graded(rows, _verdict(counted, threshold), _report(counted, gate))
 
 
 def enforce(verdict_row: DataFrame) -> None:

@@ -948,28 +948,41 @@ def events_topic_counts(spark, sf_dir):
     return ev.topic_counts(envelopes(spark, sf_dir))
 
 
-@query(f"SELECT {_EVENT_ID} AS event_id, event_id AS origin FROM (SELECT *, {_TOPIC} AS topic FROM events) WHERE topic = 'raw_literature'")
+@query(
+    """SELECT 'EVT_' || upper(substr(md5('raw_literature' || "offset"::STRING || 'registry'), 1, 10)) AS event_id, "offset", event_id AS origin
+    FROM (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS "offset" FROM events WHERE event_id % 3 = 1)"""
+)
 def stream_drain(spark, sf_dir):
-    """One topic drained by a stream, twice: the second run finds nothing new."""
+    """One topic, published in two parts and drained by a stream after each, and once more: offsets go on in order of arrival."""
     at = new_path(spark, "topics")
-    ev.publish(envelopes(spark, sf_dir), f"{at}/events")
-    for _ in range(2):
+    e = table(spark, sf_dir, "events").filter("event_id % 3 = 1")
+    half = e.agg(F.percentile_approx("event_id", 0.5)).first()[0]
+    for part in (F.col("event_id") <= half, F.col("event_id") > half, F.lit(False)):
+        ev.publish_rows(e.filter(part).orderBy("event_id"), f"{at}/events", "raw_literature", "registry", F.col("ts"))
         ev.drain_topic(spark, f"{at}/events", "raw_literature", f"{at}/drained", f"{at}/checkpoint")
     drained = spark.read.parquet(f"{at}/drained")
-    return drained.select("event_id", F.get_json_object("payload", "$.event_id").cast("long").alias("origin"))
+    return drained.select("event_id", "offset", F.get_json_object("payload", "$.event_id").cast("long").alias("origin"))
+
+
+def _trial_topic(spark: SparkSession, sf_dir: str, at: str, rows: DataFrame, topic: str = "raw_clinical_trials") -> DataFrame:
+    """Trials published to a topic, and the topic's rows as a stream."""
+    ev.publish(ev.to_envelope(rows, topic, "registry", "seq", F.lit(AS_OF).cast("timestamp")), f"{at}/events")
+    return ev.from_envelope(ev.read_topic(spark, f"{at}/events", topic), rows.schema)
+
+
+def _ingest(spark: SparkSession, rows: DataFrame, at: str, checkpoint: str, threshold: float = 1.0) -> VersionedTable:
+    lake = VersionedTable(spark, f"{at}/trials")
+    ev.ingest_stream(rows, quality.trial_gate(AS_OF), lake, f"{at}/quarantine", "trials", "seq", f"{at}/{checkpoint}", threshold).awaitTermination()
+    return lake
 
 
 @query(_GRADED_T + "SELECT seq, nct_id, data_quality_flags FROM g WHERE quality_failures = ''")
 def stream_gate(spark, sf_dir):
     """Trials as events, ingested by a stream through the gate into a table, twice."""
     at = new_path(spark, "ingest")
-    t = trials(spark, sf_dir)
-    ev.publish(ev.to_envelope(t, "raw_clinical_trials", "registry", "seq", F.lit(AS_OF).cast("timestamp")), f"{at}/events")
-    lake = VersionedTable(spark, f"{at}/trials")
-    handle = ev.ingest_batch(quality.trial_gate(AS_OF), lake, f"{at}/quarantine", "trials", "seq")
+    rows = _trial_topic(spark, sf_dir, at, trials(spark, sf_dir))
     for _ in range(2):
-        rows = ev.from_envelope(ev.read_topic(spark, f"{at}/events", "raw_clinical_trials"), t.schema)
-        ev.run_ingest_stream(rows, handle, f"{at}/checkpoint").awaitTermination()
+        lake = _ingest(spark, rows, at, "checkpoint", threshold=0.30)
     return lake.read().select("seq", "nct_id", "data_quality_flags")
 
 
@@ -979,13 +992,30 @@ def stream_gate_batches(spark, sf_dir):
     at = new_path(spark, "ingest")
     t = trials(spark, sf_dir)
     half = t.agg(F.percentile_approx("seq", 0.5)).first()[0]
-    committed = VersionedTable(spark, f"{at}/trials")
-    handle = ev.ingest_batch(quality.trial_gate(AS_OF), committed, f"{at}/quarantine", "trials", "seq", threshold=1.0)
     for part in (t.filter(F.col("seq") <= half), t):
-        ev.publish(ev.to_envelope(part, "raw_clinical_trials", "registry", "seq", F.lit(AS_OF).cast("timestamp")), f"{at}/events")
-        rows = ev.from_envelope(ev.read_topic(spark, f"{at}/events", "raw_clinical_trials"), t.schema)
-        ev.run_ingest_stream(rows, handle, f"{at}/checkpoint").awaitTermination()
-    return committed.read().select("seq", "nct_id", "data_quality_flags")
+        lake = _ingest(spark, _trial_topic(spark, sf_dir, at, part), at, "checkpoint")
+    return lake.read().select("seq", "nct_id", "data_quality_flags")
+
+
+@query(
+    f"""WITH t AS ({TRIALS}), v AS (SELECT *, seq % 2 AS stream, {_BLANK.format("brief_title")} AS untitled FROM t),
+    p AS (SELECT *, seq > min(seq) OVER (PARTITION BY nct_id, stream) AS again,
+      nct_id IS NULL OR untitled OR NOT regexp_matches(coalesce(nct_id, ''), '{policy.NCT_ID}') OR coalesce(min_age_years < 0, false) OR coalesce(min_age_years > 120, false)
+      OR coalesce(max_age_years < 0, false) OR coalesce(max_age_years > 120, false) OR coalesce(min_age_years > max_age_years, false) OR coalesce(enrollment < 0, false) AS fatal FROM v),
+    a AS (SELECT * FROM p WHERE stream = 0 AND NOT fatal AND NOT again),
+    b AS (SELECT * FROM p WHERE stream = 1 AND NOT fatal AND NOT again AND nct_id NOT IN (SELECT nct_id FROM a))
+    SELECT seq, nct_id, stream::INT AS stream FROM a UNION ALL SELECT seq, nct_id, stream::INT FROM b"""
+)
+def stream_gate_two_streams(spark, sf_dir):
+    """Two streams into one table, even trials and then odd ones, and the odd ones once more with a new checkpoint: each row that
+    has its key first is there once."""
+    at = new_path(spark, "ingest")
+    t = trials(spark, sf_dir)
+    even = _trial_topic(spark, sf_dir, at, t.filter("seq % 2 = 0"))
+    odd = _trial_topic(spark, sf_dir, at, t.filter("seq % 2 = 1"), "raw_literature")
+    for rows, checkpoint in ((even, "even"), (odd, "odd"), (odd, "anew")):
+        lake = _ingest(spark, rows, at, checkpoint)
+    return lake.read().select("seq", "nct_id", (F.col("seq") % 2).cast("int").alias("stream"))
 
 
 @query("""WITH s AS (SELECT lang, source, count(*) AS n, row_number() OVER (PARTITION BY lang ORDER BY source) - 1 AS i FROM documents GROUP BY lang, source),

@@ -38,7 +38,8 @@ ARTICLE_PARTS = (
     "authors array<struct<last_name: string, initials: string>>, publication_types array<string>, "
     "ids array<struct<kind: string, value: string>>"
 )
-ENVELOPE = "event_id string, event_time timestamp, topic string, source_system string, payload string"
+ENVELOPE = "event_id string, event_time timestamp, topic string, offset long, source_system string, payload string"
+COMMIT = "version long, timestamp string, operation string, batch string, mode string, numRecords long, schema string"
 LINEAGE = (
     "lineage_id string, timestamp string, operation string, inputs array<string>, outputs array<string>, record_count long, "
     "details string, run_id string"

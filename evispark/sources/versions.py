@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
+import json
 from datetime import UTC, datetime
+from urllib.parse import quote
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..schemas import COMMIT, parsed
 from ..scratch import scratch
-
-#: Columns that tell batches apart: the first two are folders, the others stand in the rows.
-OWN = ("_version", "_operation", "_committed_at", "_mode")
+from .folders import drop, found
 
 
 class SchemaEnforcementError(ValueError):
@@ -20,35 +20,46 @@ class SchemaEnforcementError(ValueError):
 
 
 class VersionedTable:
-    """Batches at ``path`` in folders ``_version=<n>/_operation=<name>``, written by one job at a time.
+    """Batches under ``path``: rows in ``rows/<generation>/<version>``, and for each a row in ``log/<generation>/<version>,<operation>,<batch>``.
 
-    A batch is there once Spark has committed its write; one that failed is written anew to the same folder. For
-    several writers at a time use a table format of the cluster. ``clock`` gives timestamps, so that jobs can be repeated.
+    Rows are written first; a version is there once its log row is, and one that failed is written anew to the same folder. An
+    overwrite is a new generation with versions from 0: until it is there the old one stays, then that goes. Rows are counted by the
+    write itself. One writer at a time; for several use a table format of the cluster. ``clock`` gives timestamps, so that jobs
+    can be repeated.
     """
 
     def __init__(self, spark: SparkSession, path: str, check_types: bool = False, clock=lambda: datetime.now(UTC).isoformat()):
         self.spark, self.path, self.check_types, self.clock = spark, path.rstrip("/"), check_types, clock
 
-    def _rows(self) -> DataFrame | None:
-        try:
-            return self.spark.read.parquet(self.path)
-        except AnalysisException:  # nothing has been written
-            return None
+    def _committed(self) -> tuple[int, dict[int, str]]:
+        """The newest generation that has versions, or -1, and the names of those; from the names of folders alone."""
+        by_generation: dict[int, dict[int, str]] = {}
+        for p in found(self.spark, f"{self.path}/log/*/*/part-*"):
+            generation, name = p.split("/")[-3:-1]
+            by_generation.setdefault(int(generation), {})[int(name.split(",")[0])] = name
+        newest = max(by_generation, default=-1)
+        return newest, by_generation.get(newest, {})
+
+    def _log(self, generation: int, name: str = "*") -> DataFrame:
+        return self.spark.read.schema(parsed(COMMIT)).json(f"{self.path}/log/{generation:08d}/{name}")
 
     def versions(self) -> list[int]:
-        """Versions that have rows; read from folders and the files' footers."""
-        rows = self._rows()
-        return [] if rows is None else sorted(r[0] for r in rows.select("_version").distinct().collect())
+        return sorted(self._committed()[1])
 
     def schema(self) -> T.StructType | None:
-        rows = self._rows()
-        return None if rows is None else T.StructType([f for f in rows.schema if f.name not in OWN])
+        generation, names = self._committed()
+        return self._schema(generation, names) if names else None
+
+    def _schema(self, generation: int, names: dict[int, str]) -> T.StructType:
+        return T.StructType.fromJson(json.loads(self._log(generation, names[max(names)]).first()["schema"]))
 
     def check_schema(self, df: DataFrame) -> None:
         """Raise if the set of column names differs from the table's (with ``check_types``, the types as well)."""
         blueprint = self.schema()
-        if blueprint is None:
-            return
+        if blueprint is not None:
+            self._compare(blueprint, df)
+
+    def _compare(self, blueprint: T.StructType, df: DataFrame) -> None:
         old, new = {f.name: f.dataType.simpleString() for f in blueprint}, dict(df.dtypes)
         extra, missing = sorted(new.keys() - old.keys()), sorted(old.keys() - new.keys())
         if extra or missing:
@@ -58,53 +69,57 @@ class VersionedTable:
             raise SchemaEnforcementError(f"other types for {retyped}")
 
     def version_of(self, operation: str, batch_id: str) -> int | None:
-        """The version that a batch was committed as, if it was."""
-        rows = self._rows()
-        if rows is None:
-            return None
-        found = rows.filter(F.col("_operation").cast("string") == f"{operation}-{batch_id}").select("_version").first()
-        return None if found is None else found[0]
+        """The version that a batch was committed as, if it was; no row is read."""
+        label = _label(operation, batch_id)
+        return next((v for v, name in self._committed()[1].items() if name.partition(",")[2] == label), None)
 
     def write(self, df: DataFrame, mode: str = "append", operation: str = "WRITE", batch_id: str | None = None) -> int:
-        """Commit the rows and give the version. ``overwrite`` drops what is there and starts again with version 0.
+        """Commit the rows and give the version; no rows are a version too. ``overwrite`` starts again with version 0, and what was
+        there goes once its rows are written.
 
         With ``batch_id`` a batch that is already there is not written again; its version is given.
         """
         if mode not in ("append", "overwrite"):
             raise ValueError(f"mode {mode!r}")
-        label = operation if batch_id is None else f"{operation}-{batch_id}"
         if batch_id is not None and (done := self.version_of(operation, batch_id)) is not None:
             return done
-        blueprint = None
-        if mode == "append":
-            self.check_schema(df)
-            blueprint = self.schema()
-        rows = df.select(*[F.col(f.name).cast(f.dataType) for f in blueprint]) if blueprint else df
-        stamped = rows.withColumns({"_committed_at": F.lit(self.clock()), "_mode": F.lit(mode)})
-        if mode == "overwrite":
-            stamped.withColumns({"_version": F.lit(0), "_operation": F.lit(label)}).write.partitionBy("_version", "_operation").mode("overwrite").parquet(self.path)
-            return 0
-        version = max(self.versions(), default=-1) + 1
-        stamped.write.mode("overwrite").parquet(f"{self.path}/_version={version}/_operation={label}")
+        generation, names = self._committed()
+        schema = df.schema
+        if mode == "append" and names:
+            schema = self._schema(generation, names)
+            self._compare(schema, df)
+            df = df.select(*[F.col(f"`{f.name}`").cast(f.dataType) for f in schema])
+        version = max(names) + 1 if mode == "append" and names else 0
+        old, generation = generation, generation if mode == "append" and names else generation + 1
+        counted = Observation()
+        df.observe(counted, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{self.path}/rows/{generation:08d}/{version:08d}")
+        row = (version, self.clock(), operation, batch_id, mode, counted.get["n"], schema.json())
+        log = self.spark.createDataFrame([row], parsed(COMMIT)).coalesce(1).write.mode("overwrite")
+        log.json(f"{self.path}/log/{generation:08d}/{version:08d},{_label(operation, batch_id)}")
+        if 0 <= old < generation:
+            for kind in ("log", "rows"):
+                drop(self.spark, f"{self.path}/{kind}/{old:08d}")
         return version
 
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of all batches up to ``version`` (the latest by default); an empty table has no columns and rows."""
-        rows = self._rows()
-        if rows is None and version is None:
+        generation, names = self._committed()
+        if version is not None and version not in names:
+            raise ValueError(f"no version {version}; there are {sorted(names)}")
+        if not names:
             return self.spark.createDataFrame([], T.StructType([]))
-        if version is not None:
-            known = self.versions()
-            if version not in known:
-                raise ValueError(f"no version {version}; there are {known}")
-            rows = rows.filter(F.col("_version") <= version)
-        return rows.drop(*OWN)
+        folders = [f"{self.path}/rows/{generation:08d}/{v:08d}" for v in sorted(names) if version is None or v <= version]
+        return self.spark.read.schema(self._schema(generation, names)).parquet(*folders)
 
     def history(self) -> DataFrame:
-        """(version, timestamp, operation, numRecords, mode) in order of versions."""
-        counted = self._rows().groupBy("_version", "_operation", "_mode").agg(F.min("_committed_at").alias("timestamp"), F.count("*").alias("numRecords"))
-        version, operation = F.col("_version").cast("long"), F.col("_operation").cast("string")
-        return counted.select(version.alias("version"), "timestamp", operation.alias("operation"), "numRecords", F.col("_mode").alias("mode")).orderBy("version")
+        """(version, timestamp, operation, numRecords, mode) in order of versions, from the log alone."""
+        generation, names = self._committed()
+        rows = self._log(generation) if names else self.spark.createDataFrame([], parsed(COMMIT))
+        return rows.select("version", "timestamp", "operation", "numRecords", "mode").orderBy("version")
+
+
+def _label(operation: str, batch_id: str | None) -> str:
+    return f"{quote(operation, safe='')},{quote(batch_id or '', safe='')}"
 
 
 def normalise_for_commit(df: DataFrame, numeric: list[str]) -> DataFrame:

@@ -1,23 +1,27 @@
-"""Topics of enveloped rows, drained once, and the quality gate on micro-batches."""
+"""Topics of enveloped rows in order of arrival, drained once, and the quality gate on micro-batches."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.quality import BatchHalted, Gate, clean_rows, grade, rejected_rows, verdict
+from ..operators.quality import BatchHalted, Gate, clean_rows, grade_once, rejected_rows
 from ..schemas import ENVELOPE, parsed
+from ..scratch import scratch
 from ..sources.files import quarantine
+from ..sources.folders import found
 from ..sources.versions import VersionedTable
 
 OPERATION = "STREAM_INGEST"
-#: Folders that committed keys are dealt to, so that a batch reads those of its own keys only.
-BUCKETS = 16
+#: A state store on executors' disks, so that state is not held in memory.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def event_id(topic: str, source: str, seq: Column, digits: int = 10) -> Column:
@@ -26,11 +30,12 @@ def event_id(topic: str, source: str, seq: Column, digits: int = 10) -> Column:
 
 
 def to_envelope(df: DataFrame, topic: str, source: str, seq: str, event_time: Column | None = None) -> DataFrame:
-    """Rows as immutable events; ``seq`` counts from 0 within the topic, the payload is the row as JSON."""
+    """Rows as immutable events; ``seq`` counts from 0 within the topic and is its offset, the payload is the row as JSON."""
     return df.select(
         event_id(topic, source, F.col(seq)).alias("event_id"),
         (F.current_timestamp() if event_time is None else event_time).alias("event_time"),
         F.lit(topic).alias("topic"),
+        F.col(seq).cast("long").alias("offset"),
         F.lit(source).alias("source_system"),
         F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("payload"),
     )
@@ -41,11 +46,46 @@ def from_envelope(events: DataFrame, schema: T.StructType) -> DataFrame:
     return events.select(F.from_json("payload", schema).alias("p")).select("p.*")
 
 
+def in_order(df: DataFrame, name: str = "seq", first: int = 0) -> DataFrame:
+    """With ``name``: numbers from ``first`` on, without gaps, in the order in which the rows stand.
+
+    Each task numbers its rows as they are written aside; from the tasks' counts, which are a small table, follow the numbers
+    that they begin with. Rows are neither sorted nor brought together.
+    """
+    written = scratch(df.withColumn("_n", F.monotonically_increasing_id()), "arrivals")  # task << 33, and on from there
+    task, at = F.shiftright("_n", 33), F.col("_n").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = scratch(written.groupBy(task.alias("_task")).agg(F.count("*").alias("_size")), "arrived")
+    earlier = counts.alias("a").join(counts.alias("b"), F.col("b._task") < F.col("a._task"), "left")  # a row for each pair of tasks
+    begins = scratch(earlier.groupBy("a._task").agg(F.coalesce(F.sum("b._size"), F.lit(0)).alias("_begin")), "begins")
+    numbered = written.withColumn("_task", task).join(begins, "_task")
+    return numbered.withColumn(name, F.col("_begin") + at + F.lit(first)).drop("_task", "_begin", "_n")
+
+
 def publish(events: DataFrame, path: str) -> None:
     """Append events under their topic's folder."""
     events.write.mode("append").partitionBy("topic").parquet(path)
 
 
+def publish_rows(rows: DataFrame, path: str, topic: str, source: str, event_time: Column | None = None) -> int:
+    """Publish rows as events of a topic, with offsets that go on from what it has, in the order in which they stand; the next
+    offset. One publisher to a topic at a time.
+
+    How far a topic has come is read from the names in ``path``-offsets, not from its events.
+    """
+    spark, marks = rows.sparkSession, f"{path.rstrip('/')}-offsets/topic={topic}"
+    first = max((int(p.rsplit("=", 1)[1]) for p in found(spark, f"{marks}/next=*")), default=0)
+    numbered = scratch(to_envelope(in_order(rows, "_offset", first), topic, source, "_offset", event_time), "events")
+    publish(numbered.withColumn("payload", _without("_offset")), path)
+    following = first + numbered.count()
+    spark.range(1).write.mode("overwrite").parquet(f"{marks}/next={following}")
+    return following
+
+
+def _without(field: str) -> Column:
+    """The payload without its last field."""
+    return F.regexp_replace("payload", rf',?"{field}":\d+\}}$', "}")
+
+
 def topic_counts(events: DataFrame) -> DataFrame:
     return events.groupBy("topic").agg(F.count("*").alias("published"))
 
@@ -57,68 +97,74 @@ def read_topic(spark: SparkSession, path: str, topic: str) -> DataFrame:
 
 
 def drain_topic(spark: SparkSession, path: str, topic: str, out: str, checkpoint: str) -> None:
-    """Move everything that is buffered in a topic to ``out``, each event once however often this runs."""
+    """Move everything that is buffered in a topic to ``out``, each event once however often this runs; their order is that
+    of ``offset``."""
     stream = read_topic(spark, path, topic).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
     stream.trigger(availableNow=True).start().awaitTermination()
 
 
-def _bucket(key: str) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
-
-
-def keep_keys(clean: DataFrame, key: str, path: str, batch_id: int) -> None:
-    """Note the keys of a batch that is about to be committed; a batch that runs again replaces its own."""
-    keys = clean.select(F.col(key).alias("key"), _bucket(key).alias("bucket")).distinct()
-    keys.write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-
-def unseen(batch: DataFrame, key: str, path: str, batch_id: int) -> DataFrame:
-    """``batch`` with _seen: whether an earlier batch has the key; null keys equal one another."""
-    try:
-        kept = batch.sparkSession.read.parquet(path)
-    except AnalysisException:  # no batch has been committed
-        return batch.withColumn("_seen", F.lit(False))
-    mine = [r[0] for r in batch.select(_bucket(key).alias("bucket")).distinct().collect()]  # BUCKETS at most
-    keys = kept.filter(F.col("bucket").isin(mine) & (F.col("batch") < batch_id)).select(F.col("key").alias("_k")).distinct().withColumn("_seen", F.lit(True))
-    return batch.join(keys, batch[key].eqNullSafe(keys["_k"]), "left").withColumn("_seen", F.coalesce("_seen", F.lit(False))).drop("_k")
+def _with_history(rows: DataFrame, key: str, earlier: DataFrame) -> DataFrame:
+    """A stream of (_row, _key, _ever): the rows, and for each key among them how often it has come so far, as a stateful count.
 
+    ``earlier`` is a stream of keys that count as come before. Counts are added up before they are shuffled and their
+    state is one number for each key, so a batch costs what its own rows cost, however many came before.
+    """
+    kind = dict(rows.dtypes)[key]
+    keys = rows.select(F.col(key).alias("_key")).unionByName(earlier.select("_key"))
+    counted = keys.groupBy("_key").agg(F.count("*").alias("_ever")).select(F.lit(None).cast(T.StructType(rows.schema.fields)).alias("_row"), "_key", "_ever")
+    return rows.select(F.struct(*rows.columns).alias("_row"), F.lit(None).cast(kind).alias("_key"), F.lit(None).cast("long").alias("_ever")).unionByName(counted)
 
-def ingest_batch(gate: Gate, table: VersionedTable, quarantine_path: str, label: str, order: str, threshold: float = 0.30) -> Callable[[DataFrame, int], None]:
-    """What a micro-batch goes through: grade, quarantine, halt or commit. A batch that runs again commits nothing twice.
 
-    Rows whose key an earlier batch has committed count as duplicates; keys are kept beside the table, by hash.
-    """
-    keys_path = f"{table.path}-keys"
+def _gated(gate: Gate, table: VersionedTable, quarantine_path: str, label: str, order: str, threshold: float) -> Callable[[DataFrame, int], None]:
+    """What a micro-batch goes through: grade, quarantine, halt or commit."""
 
-    def run(batch: DataFrame, batch_id: int) -> None:
-        if table.version_of(OPERATION, str(batch_id)) is not None:
+    def run(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        held = scratch(batch, "batch")  # the state moves on once, even if the batch is known
+        stream = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+        known = f"{stream}-{number}"
+        if table.version_of(OPERATION, known) is not None:
+            return
+        graded = grade_once(held.filter("_row IS NOT NULL").select("_row.*"), gate, order, threshold, held.filter("_row IS NULL").select("_key", "_ever"))
+        row = graded.verdict.first()
+        if not row["evaluated"]:
             return
-        before = unseen(grade(batch, gate, order), gate.key, keys_path, batch_id)
-        code = f"DUPLICATE_{gate.key.upper()}"
-        failed = F.when(
-            F.col("_seen") & ~F.array_contains(F.split("quality_failures", r"\|"), code),
-            F.concat_ws("|", F.nullif("quality_failures", F.lit("")), F.lit(code)),
-        ).otherwise(F.col("quality_failures"))
-        graded = before.withColumn("quality_failures", failed).drop("_seen").persist()
-        try:
-            row = verdict(graded, threshold).first()
-            if not row["evaluated"]:
-                return
-            quarantine(rejected_rows(graded), label, quarantine_path, f"batch{batch_id}", row["rejected"])
-            if row["halt_pipeline"]:
-                raise BatchHalted(f"batch {batch_id}: {row['rejected']} of {row['evaluated']} rows are fatal")
-            if row["clean"]:
-                keep_keys(clean_rows(graded), gate.key, keys_path, batch_id)
-                table.write(clean_rows(graded), "append", OPERATION, batch_id=str(batch_id))
-        finally:
-            graded.unpersist()
+        quarantine(rejected_rows(graded.rows), label, quarantine_path, known, row["rejected"])
+        if row["halt_pipeline"]:
+            raise BatchHalted(f"batch {known}: {row['rejected']} of {row['evaluated']} rows are fatal")
+        if row["clean"]:
+            table.write(clean_rows(graded.rows), "append", OPERATION, batch_id=known)
 
     return run
 
 
-def run_ingest_stream(rows: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Feed a stream of rows to ``handle`` until what is there has been read; an error in it ends the query."""
-    return rows.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def ingest_stream(
+    rows: DataFrame, gate: Gate, table: VersionedTable, quarantine_path: str, label: str, order: str, checkpoint: str, threshold: float = 0.30
+) -> StreamingQuery:
+    """Feed a stream of rows through the gate into ``table`` until what is there has been read; an error in it ends the query.
+
+    A batch is known by its stream and its number. The stream's id belongs to its checkpoint, so a stream that goes on commits
+    nothing twice, while another, or the same with a new checkpoint, commits its own. The first row of a key keeps it, wherever
+    batches are cut: the stream's rows are graded as one table would be. A new stream takes the keys that ``table`` has by then for
+    come before; streams that run at the same time know nothing of one another, so put their topics into one by union if they
+    can share keys. A batch that halts is neither committed nor remembered. ``table`` has one writer at a time.
+    """
+    spark = rows.sparkSession
+    seed = f"{checkpoint.rstrip('/')}-earlier"
+    kind = dict(rows.dtypes)[gate.key]
+    if not found(spark, f"{checkpoint}/metadata"):
+        there = table.read() if table.versions() else spark.createDataFrame([], T.StructType([T.StructField(gate.key, rows.schema[gate.key].dataType)]))
+        there.select(F.col(gate.key).alias("_key")).distinct().write.mode("overwrite").parquet(seed)
+    earlier = spark.readStream.schema(f"_key {kind}").parquet(seed)
+    before = {name: spark.conf.get(name, None) for name in STATE_STORE}
+    for name, value in STATE_STORE.items():  # a query keeps what it was started with
+        spark.conf.set(name, value)
+    try:
+        stream = _with_history(rows, gate.key, earlier).writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+        return stream.foreachBatch(_gated(gate, table, quarantine_path, label, order, threshold)).trigger(availableNow=True).start()
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def unique_within(stream: DataFrame, key: str, event_time: str = "event_time", delay: str = "1 day") -> DataFrame:

@@ -37,15 +37,48 @@ def test_versions(spark, tmp_path):
     assert lake.write(df.limit(1), "overwrite") == 0 and lake.read().count() == 1
 
 
+def failing(spark):
+    return spark.range(3).select((F.lit(1) / (F.col("id") - 1)).cast("long").alias("id"))
+
+
 def test_a_failed_write_is_made_good(spark, tmp_path):
     table = VersionedTable(spark, str(tmp_path / "t"))
     table.write(spark.range(3))
     with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
-        table.write(spark.range(3).select((F.lit(1) / (F.col("id") - 1)).cast("long").alias("id")))
+        table.write(failing(spark))
     assert table.versions() == [0] and table.read().count() == 3
     assert table.write(spark.range(2)) == 1 and table.read().count() == 5
 
 
+def test_a_failed_overwrite_leaves_what_was_there(spark, tmp_path):
+    table = VersionedTable(spark, str(tmp_path / "t"))
+    table.write(spark.range(6))
+    table.write(spark.range(4))
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+        table.write(failing(spark), "overwrite")
+    assert table.versions() == [0, 1] and table.read().count() == 10
+    assert table.write(table.read().filter("id > 2"), "overwrite") == 0  # even from its own rows
+    assert table.versions() == [0] and table.read().count() == 4
+    assert [(r.version, r.mode, r.numRecords) for r in table.history().collect()] == [(0, "overwrite", 4)]
+    assert len(list((tmp_path / "t" / "rows").iterdir())) == 1
+
+
+def test_no_rows_are_a_version(spark, tmp_path):
+    table = VersionedTable(spark, str(tmp_path / "t"))
+    for empty in (spark.range(3).filter("id > 5"), spark.createDataFrame([], "id long"), spark.range(3).filter("false")):
+        table.write(empty, operation="no/rows, at * all")
+    assert table.versions() == [0, 1, 2] and table.read(0).count() == 0 and table.read(0).columns == ["id"]
+    assert table.write(spark.range(2), operation="a/b", batch_id="x/y") == table.write(spark.range(2), operation="a/b", batch_id="x/y") == 3
+    assert [(r.operation, r.numRecords) for r in table.history().collect()] == [("no/rows, at * all", 0)] * 3 + [("a/b", 2)]
+    assert VersionedTable(spark, str(tmp_path / "u")).history().count() == 0
+
+
+def test_history_reads_no_rows(spark, tmp_path):
+    table = VersionedTable(spark, str(tmp_path / "t"))
+    table.write(spark.range(1000))
+    assert not any("/rows/" in f for f in table.history().inputFiles())
+
+
 def test_incremental_load_of_rows_that_all_tie(spark, tmp_path):
     table = VersionedTable(spark, str(tmp_path / "t"))
     assert incremental_load(spark.range(101).select(F.lit(5).alias("k"), F.lit("same").alias("t")).repartition(7), table, "k") == [0, 1]
@@ -94,20 +127,84 @@ def test_journal(spark, tmp_path):
     assert [r.seq for r in tail(audit.load(), 3).collect()] == [2, 3, 9]
 
 
-def test_stream_gate_is_idempotent_and_unique_across_batches(spark, tmp_path):
-    at = str(tmp_path)
-    lake = VersionedTable(spark, f"{at}/lake")
-    handle = ev.ingest_batch(trial_gate(AS_OF), lake, f"{at}/q", "trials", "seq")
-    first = trial_frame(spark, [trial(i) for i in range(5)])
-    handle(first, 0)
-    handle(first, 0)
-    handle(trial_frame(spark, [trial(4), *(trial(i) for i in range(5, 9))]), 1)
-    assert lake.read().count() == 9 and lake.versions() == [0, 1]
-    assert spark.read.option("header", True).csv(f"{at}/q/corrupt_trials_batch1").first().quality_failures == "DUPLICATE_NCT_ID"
-    with pytest.raises(BatchHalted):
-        handle(trial_frame(spark, [trial(20, nct_id="x"), trial(21)]), 2)
-    assert lake.versions() == [0, 1]
-    handle(first.limit(0), 3)
+class Stream:
+    """Trials that are published one batch after another and ingested into one table."""
+
+    def __init__(self, spark, at, name, threshold=0.30):
+        self.spark, self.at, self.name, self.threshold = spark, at, name, threshold
+        self.lake = VersionedTable(spark, f"{at}/lake")
+
+    def send(self, *seqs, checkpoint="checkpoint", **over):
+        rows = trial_frame(self.spark, [trial(i, **over) for i in seqs])
+        ev.publish(ev.to_envelope(rows, self.name, "s", "seq"), f"{self.at}/events")
+        self.drain(rows.schema, checkpoint)
+
+    def drain(self, schema, checkpoint="checkpoint"):
+        rows = ev.from_envelope(ev.read_topic(self.spark, f"{self.at}/events", self.name), schema)
+        query = ev.ingest_stream(rows, trial_gate(AS_OF), self.lake, f"{self.at}/q", "trials", "seq", f"{self.at}/{self.name}-{checkpoint}", self.threshold)
+        query.awaitTermination()
+
+    def seqs(self):
+        return sorted(r.seq for r in self.lake.read().collect())
+
+
+def test_a_stream_commits_once_and_knows_its_keys(spark, tmp_path):
+    s = Stream(spark, str(tmp_path), "raw_clinical_trials", threshold=0.6)
+    s.send(*range(5))
+    s.send(4, 5, 6, 7, 8)
+    assert s.seqs() == list(range(9)) and s.lake.versions() == [0, 1]
+    s.drain(s.lake.read().drop("data_quality_flags").schema)  # nothing new
+    assert s.lake.versions() == [0, 1]
+    rejected = spark.read.option("header", True).csv(f"{tmp_path}/q/corrupt_trials_*-1").collect()
+    assert [(r.seq, r.quality_failures) for r in rejected] == [("4", "DUPLICATE_NCT_ID")]
+
+
+def test_streams_into_one_table_keep_all_rows(spark, tmp_path):
+    one, two = (Stream(spark, str(tmp_path), name, threshold=1.0) for name in ("raw_clinical_trials", "raw_literature"))
+    one.send(0, 1)
+    two.send(2, 3)  # batch 0 of another stream
+    assert one.seqs() == [0, 1, 2, 3]
+    one.send(4)
+    two.send(5)
+    assert one.seqs() == list(range(6)) and len({r.operation for r in one.lake.history().collect()}) == 1
+    two.send(6, checkpoint="anew")  # reads 2, 3 and 5 again: the table has their keys
+    assert one.seqs() == list(range(7)) and one.lake.versions() == [0, 1, 2, 3, 4]
+
+
+def test_a_batch_that_halts_is_not_remembered(spark, tmp_path):
+    s = Stream(spark, str(tmp_path), "raw_clinical_trials")
+    with pytest.raises(Exception, match="1 of 1 rows are fatal"):
+        s.send(1, nct_id="x")
+    assert s.lake.versions() == []
+    s.threshold = 1.0  # what is wrong is let through, to quarantine
+    s.send(2, 3)
+    assert s.seqs() == [2, 3]
+
+
+def test_a_committed_batch_that_comes_again_is_passed_over(spark, tmp_path):
+    """The stream ends between its commit and its own note of it: that note is taken away here."""
+    s = Stream(spark, str(tmp_path), "raw_clinical_trials", threshold=1.0)
+    s.send(0, 1)
+    s.send(1, 2)
+    for kind in ("commits/1", "commits/.1.crc"):
+        (tmp_path / "raw_clinical_trials-checkpoint" / kind).unlink()
+    s.send(2, 3)
+    assert s.seqs() == [0, 1, 2, 3] and s.lake.versions() == [0, 1, 2]
+
+
+def test_rows_are_numbered_as_they_stand(spark):
+    rows = spark.range(0, 1000, 1, 7).filter("id % 7 <> 3 AND (id < 300 OR id > 500)")
+    numbered = ev.in_order(rows, "n", 5).orderBy("id").collect()
+    assert [r.n for r in numbered] == list(range(5, 5 + len(numbered)))
+    assert ev.in_order(spark.range(0)).count() == 0
+
+
+def test_offsets_go_on(spark, tmp_path):
+    at = f"{tmp_path}/events"
+    assert [ev.publish_rows(spark.range(n).withColumn("x", F.lit(None).cast("string")), at, "t", "s") for n in (4, 0, 3)] == [4, 4, 7]
+    assert ev.publish_rows(spark.range(2), at, "u", "s") == 2
+    events = spark.read.parquet(at).filter("topic = 't'").orderBy("offset").collect()
+    assert [r.offset for r in events] == list(range(7)) and json.loads(events[4].payload) == {"id": 0, "x": None}
 
 
 def test_drain_reads_each_event_once(spark, tmp_path):
