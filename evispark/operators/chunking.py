@@ -9,26 +9,36 @@ from ..functions.splitting import OVERLAP, SIZE, split_text, with_overlap
 from ..functions.text import blank, number_text, strip
 
 
+#: What the key of a record without id begins with.
+UNNAMED = "UNNAMED-"
+
+
 def _or(name: str, absent: str) -> Column:
     """A column's text, or ``absent`` for null and empty."""
     return F.coalesce(F.nullif(F.col(name).cast("string"), F.lit("")), F.lit(absent))
 
 
+def _key(record_id: Column, *parts: Column) -> Column:
+    unnamed = F.concat(F.lit(UNNAMED), F.substring(F.md5(F.concat_ws("\x1f", *[F.coalesce(p, F.lit("")) for p in parts])), 1, 20))
+    return F.coalesce(record_id, unnamed)
+
+
 def _chunks(df: DataFrame, record_id: Column, source: str, header: Column, sections: dict[str, Column], carry: list[str], size: int, overlap: int) -> DataFrame:
     """One row for each piece of each section that isn't blank; carried columns ride along, so nothing is joined.
 
-    Rows are dealt anew before the Python step, as a few long files would keep a few tasks busy.
+    A record without id has a key of its own in its chunks' ids, from its header and bodies; only records that are alike in all
+    of these share it.
     """
     listed = F.array(*[F.struct(F.lit(n).alias("section"), F.coalesce(c, F.lit("")).alias("body")) for n, c in sections.items()])
     parts = (
-        df.select(*carry, record_id.alias("record_id"), header.alias("_header"), F.explode(listed).alias("s"))
+        df.select(*carry, record_id.alias("record_id"), _key(record_id, header, *sections.values()).alias("_key"), header.alias("_header"), F.explode(listed).alias("s"))
         .select("*", "s.section", "s.body")
         .drop("s")
         .filter(~blank(F.col("body")))
     )
     pieces = parts.withColumn("_pieces", split_text(F.col("body"), size)).drop("body").withColumn("_pieces", with_overlap("_pieces", overlap))
     return pieces.select("*", F.posexplode("_pieces").alias("chunk_index", "_piece")).select(
-        F.concat_ws("::", "record_id", "section", F.col("chunk_index").cast("string")).alias("chunk_id"),
+        F.concat_ws("::", "_key", "section", F.col("chunk_index").cast("string")).alias("chunk_id"),
         F.lit(source).alias("source_type"),
         "record_id",
         "section",

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import tokenize
 from ..functions.vectors import hash_embed
+from ..scratch import scratch
+from ..sources.folders import create, drop, found
 
 
 class DimensionMismatch(ValueError):
@@ -42,19 +44,79 @@ def sanitise_metadata(df: DataFrame, columns: list[str] | None = None) -> DataFr
 
 
 class DuplicateChunks(ValueError):
-    """Chunks whose ids the index already has."""
-
-
-def write_index(chunks: DataFrame, path: str, reset: bool = False) -> None:
-    """Write chunks once for each chunk_id; with ``reset`` what was there before goes, else ids that are there are refused."""
-    if not reset:
-        try:
-            there = chunks.sparkSession.read.parquet(path).select("chunk_id")
-        except AnalysisException:  # nothing has been written
-            there = None
-        if there is not None and not chunks.select("chunk_id").join(there, "chunk_id", "left_semi").isEmpty():
-            raise DuplicateChunks(path)
-    chunks.dropDuplicates(["chunk_id"]).write.mode("overwrite" if reset else "append").parquet(path)
+    """Chunks whose ids stand more than once, or are in the index already."""
+
+
+class ChunkStore:
+    """Chunks under ``path`` in buckets by chunk_id, sorted within them, so that what is joined to them by id moves and they don't.
+
+    Ids are compared bucket by bucket, where the chunks are, and ids that clash are an error: nothing is dropped. A reset
+    writes a new generation and lets the old one go when that is there; until then, and if it fails, the old one stays.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def _ready(self) -> tuple[int, int]:
+        """The newest generation and its buckets; -1 if there is none."""
+        names = [p.rsplit("/", 1)[1] for p in found(self.spark, f"{self.path}/ready/*")]
+        return max(((int(g), int(n)) for g, n in (x.split("-") for x in names)), default=(-1, self.buckets))
+
+    def _name(self, generation: int) -> str:
+        return f"chunks_{hashlib.md5(self.path.encode()).hexdigest()[:16]}_{generation}"
+
+    def _at(self, generation: int) -> str:
+        return f"{self.path}/rows/{generation:08d}"
+
+    def _table(self, generation: int, buckets: int, schema: T.StructType | None = None) -> DataFrame:
+        """The chunks of a generation; a session that doesn't know their buckets is told."""
+        name = self._name(generation)
+        if not self.spark.catalog.tableExists(name):
+            schema = schema or self.spark.read.parquet(self._at(generation)).schema
+            columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+            clustered = f"CLUSTERED BY (chunk_id) SORTED BY (chunk_id) INTO {buckets} BUCKETS"
+            self.spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet {clustered} LOCATION '{self._at(generation)}'")
+        return self.spark.table(name)
+
+    def read(self) -> DataFrame:
+        generation, buckets = self._ready()
+        if generation < 0:
+            raise FileNotFoundError(f"no chunks at {self.path}")
+        return self._table(generation, buckets)
+
+    def write(self, chunks: DataFrame, reset: bool = False) -> DataFrame:
+        """Write chunks and give those that are there then; with ``reset`` those from before go."""
+        old, kept = self._ready()
+        if reset or old < 0:
+            generation, buckets = old + 1, self.buckets
+            drop(self.spark, self._at(generation))  # what a failed reset has left
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._name(generation)}")
+            self._save(chunks, generation, buckets)
+            self._refuse(self._table(generation, buckets).groupBy("chunk_id").agg(F.count("*").alias("n")).filter("n > 1"))
+            create(self.spark, f"{self.path}/ready/{generation}-{buckets}")
+            if old >= 0:
+                drop(self.spark, f"{self.path}/ready/{old}-{kept}")
+                self.spark.sql(f"DROP TABLE IF EXISTS {self._name(old)}")
+                drop(self.spark, self._at(old))
+            return self._table(generation, buckets)
+        there = self._table(old, kept)
+        fresh = scratch(chunks.repartition(kept, "chunk_id"), "chunks")
+        self._refuse(fresh.groupBy("chunk_id").agg(F.count("*").alias("n")).filter("n > 1"))
+        self._refuse(there.select("chunk_id").join(fresh.select("chunk_id").hint("shuffle_hash"), "chunk_id", "left_semi"))
+        self._save(fresh.select(*there.columns), old, kept)
+        self.spark.catalog.refreshTable(self._name(old))
+        return self._table(old, kept)
+
+    def _save(self, chunks: DataFrame, generation: int, buckets: int) -> None:
+        held = chunks.repartition(buckets, "chunk_id")  # a task has a bucket, so that each is one file
+        writer = held.write.bucketBy(buckets, "chunk_id").sortBy("chunk_id").mode("append").option("path", self._at(generation))
+        writer.format("parquet").saveAsTable(self._name(generation))
+
+    def _refuse(self, clashing: DataFrame) -> None:
+        some = [r["chunk_id"] for r in clashing.select("chunk_id").limit(5).collect()]
+        if some:
+            raise DuplicateChunks(f"{self.path}: {some}")
 
 
 def index_stats(df: DataFrame) -> DataFrame:

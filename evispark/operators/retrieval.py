@@ -24,6 +24,8 @@ QUESTION_BLOCK = 4096
 QUESTION_TERMS = 1 << 17
 #: Chunks in a part that meets a block of questions, and scores that are in hand at once.
 PART, CELLS = 1 << 16, 1 << 20
+#: Chunks that share an upper bound of what a term adds to their scores.
+BLOCK = 256
 
 
 def top_by(df: DataFrame, k: int, *order: Column, name: str = "rank") -> DataFrame:
@@ -44,20 +46,23 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 class _Best:
-    """The k best (score, key) of each of n questions among those seen, ties by key."""
+    """The k best (score, key) of each of n questions among those seen, ties by key. ``floor`` has a score of each question that k
+    of those seen reach."""
 
     def __init__(self, k: int, n: int):
         self.k, self.limit = k, max(1 << 18, 4 * n * k)
         self.floor, self.parts, self.size = np.full(n, -np.inf), [], 0
 
-    def add(self, keys: np.ndarray, scores: np.ndarray, above: float = -np.inf) -> None:
-        """``scores`` (keys x questions); of each question only those over ``above`` that can be among its k stay."""
+    def add(self, keys: np.ndarray, scores: np.ndarray, above: float = -np.inf, questions: np.ndarray | None = None) -> None:
+        """``scores`` (keys x questions, of all or of those numbered); of each only those over ``above`` that can be among its k stay."""
+        questions = np.arange(scores.shape[1]) if questions is None else questions
         for j in range(0, scores.shape[1], 256):
-            s = scores[:, j : j + 256]
-            at = min(self.k, len(s)) - 1
-            low = np.maximum(-np.partition(-s, at, axis=0)[at], self.floor[j : j + 256])
-            row, col = np.nonzero((s >= low) & (s > above))  # ties with the last one stay
-            self.parts.append(pd.DataFrame({"q": col + j, "key": keys[row], "score": s[row, col]}))
+            s, q = scores[:, j : j + 256], questions[j : j + 256]
+            if len(s) >= self.k:
+                kth = -np.partition(-s, self.k - 1, axis=0)[self.k - 1]
+                self.floor[q] = np.maximum(self.floor[q], np.where(kth > above, kth, -np.inf))
+            row, col = np.nonzero((s >= self.floor[q]) & (s > above))  # ties with the last one stay
+            self.parts.append(pd.DataFrame({"q": q[col], "key": keys[row], "score": s[row, col]}))
             self.size += len(row)
         if self.size > self.limit:
             self._compact()
@@ -67,7 +72,8 @@ class _Best:
         self.parts, self.size = [held], len(held)
         full = held.groupby("q")["score"].agg(["size", "min"])
         full = full[full["size"] == self.k]
-        self.floor[full.index.to_numpy()] = full["min"].to_numpy()
+        at = full.index.to_numpy()
+        self.floor[at] = np.maximum(self.floor[at], full["min"].to_numpy())
 
     def frame(self, ids: list, key: str, score: str) -> pd.DataFrame:
         if not self.parts:
@@ -125,8 +131,7 @@ def _dense_grid(asked: DataFrame, chunks: DataFrame, k: int, digits: int | None,
     blocks = max(1, -(-asked.count() * 2 // block))  # dealt by hash to about half of ``block`` each
     held = scratch(chunks, "vectors")
     parts = max(1, -(-held.count() // PART))
-    mine = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    theirs = held.withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    mine, theirs = _dealt(asked, "query_id", blocks, parts), _dealt(held, key, parts, blocks, "part", "block")
 
     def pair(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         best = _Best(k, len(q))
@@ -137,7 +142,7 @@ def _dense_grid(asked: DataFrame, chunks: DataFrame, k: int, digits: int | None,
         return best.frame(q["query_id"].tolist(), key, "dense_score")
 
     on = ["block", "part"]
-    return mine.withColumn("block", F.col("block").cast("int")).groupBy(*on).cogroup(theirs.groupBy(*on)).applyInPandas(pair, schema)
+    return mine.groupBy(*on).cogroup(theirs.groupBy(*on)).applyInPandas(pair, schema)
 
 
 def query_terms(queries: DataFrame, text: str = "query") -> DataFrame:
@@ -150,60 +155,133 @@ def sparse_topk(
 ) -> DataFrame:
     """(query_id, key, sparse_score, sparse_rank): the k chunks with the largest BM25 score over 0 for each question.
 
-    ``posted`` has a row for each chunk (see index.postings). Up to ``most`` terms of questions with their idf are
-    broadcast: a task scores the chunks that it reads and keeps k for each question, so a term that stands in every
-    chunk and question gives no rows. More are joined by term, and scores added up by a shuffle. Scores are rounded
-    before ranking, ties go by key.
+    ``posted`` has a row for each chunk (see index.postings). Up to ``most`` terms of questions with their idf are broadcast, so
+    that chunks are scored where they are read; more are dealt to blocks, and chunks to parts, and each pair of both is one
+    task. A task knows for each few hundred of its chunks how much each term adds at most, and scores for a question only
+    those that can reach its k best so far (see _Scorer), so neither a term's postings nor questions times chunks are ever
+    rows. Scores are rounded before ranking, ties go by key.
     """
     wanted = scratch(terms.join(idf.select("term", "idf"), "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("weight")), "question-terms")
     average = stats.select("avg_len").first()[0]
-    rows = few(wanted, most)
-    if rows is not None:
-        scores = _sparse_broadcast(rows, wanted, posted, average, k, k1, b, digits, key)
-    else:
-        each = posted.select(key, "doc_len", F.explode("terms").alias("t")).select(key, "doc_len", "t.term", "t.tf")
-        part = bm25_weight(F.col("tf"), F.col("doc_len"), F.lit(average), F.col("weight"), k1, b)
-        scores = each.join(wanted, "term").groupBy("query_id", key).agg(F.round(F.sum(part), digits).alias("sparse_score")).filter("sparse_score > 0")
-    return top_by(scores, k, F.desc("sparse_score"), F.asc(key), name="sparse_rank")
-
-
-def _sparse_broadcast(rows: list, wanted: DataFrame, posted: DataFrame, average: float | None, k: int, k1: float, b: float, digits: int, key: str) -> DataFrame:
-    ids = sorted({r["query_id"] for r in rows})
-    number = {q: i for i, q in enumerate(ids)}
-    listed = sorted((r["term"], number[r["query_id"]], r["weight"]) for r in rows)
-    names = sorted({t for t, *_ in listed})
-    begin = np.searchsorted(np.array([t for t, *_ in listed], dtype=object), np.array([*names], dtype=object)) if names else np.zeros(0, np.int64)
-    table = (ids, names, np.append(begin, len(listed)), np.array([q for _, q, _ in listed], dtype=np.int64), np.array([w for *_, w in listed]))
-    shared = posted.sparkSession.sparkContext.broadcast(table)  # QUESTION_TERMS rows at most
     kinds = {**dict(posted.select(key).dtypes), **dict(wanted.select("query_id").dtypes)}
+    schema = f"query_id {kinds['query_id']}, {key} {kinds[key]}, sparse_score double"
+    rows = few(wanted, most)
+    held = posted.select(key, "doc_len", "terms")
+    how = (average, k, k1, b, digits, key)
+    found = _sparse_grid(wanted, held, schema, most, how) if rows is None else _sparse_broadcast(rows, held, schema, how)
+    return top_by(found, k, F.desc("sparse_score"), F.asc(key), name="sparse_rank")
 
-    def local_top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, names, begin, question, weight = shared.value
-        if not ids:
+
+class _Scorer:
+    """The k best chunks for each question of a table of (query_id, term, weight), over batches of postings.
+
+    Of each BLOCK of chunks it knows the largest share that a term has in any; weighed and added up for a question, these are
+    more than any of its chunks can score. Blocks that promise most come first; a question skips those that promise less
+    than its floor.
+    """
+
+    def __init__(self, query_ids: list, terms: list, weights: list, how: tuple):
+        self.average, self.k, self.k1, self.b, self.digits, self.key = how
+        self.ids = sorted(set(query_ids))
+        number = {q: i for i, q in enumerate(self.ids)}
+        names = sorted(set(terms))
+        place = {t: i for i, t in enumerate(names)}
+        self.names = pa.array(names, pa.string())
+        question, term = np.array([number[q] for q in query_ids], np.int64), np.array([place[t] for t in terms], np.int64)
+        order = np.lexsort((question, term))
+        self.question, self.term, self.weight = question[order], term[order], np.array(weights, float)[order]
+        self.begin = np.searchsorted(self.term, np.arange(len(names) + 1))
+        self.best = _Best(self.k, len(self.ids))
+
+    def add(self, batch: pa.RecordBatch | pa.Table) -> None:
+        lists = batch.column("terms")
+        lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+        doc = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        flat = lists.flatten()
+        at = pc.index_in(flat.field("term"), self.names)
+        hit = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
+        if not len(hit):
             return
-        known, best, step = pa.array(names, pa.string()), _Best(k, len(ids)), max(1, CELLS // len(ids))
-        for whole in batches:
-            for i in range(0, whole.num_rows, step):
-                batch = whole.take(pa.array(np.arange(i, min(i + step, whole.num_rows))))
-                lists = batch.column("terms")
-                doc = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-                flat = lists.flatten()
-                at = pc.index_in(flat.field("term"), known)
-                hit = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
-                term, doc = at.take(pa.array(hit)).to_numpy().astype(np.int64), doc[hit]
-                tf, length = flat.field("tf").to_numpy()[hit].astype(float), batch.column("doc_len").to_numpy()[doc]
-                share = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / average))
-                asked = begin[term + 1] - begin[term]  # questions with the term
-                place = np.repeat(begin[term] - np.cumsum(asked) + asked, asked) + np.arange(asked.sum())
-                cell = np.repeat(doc, asked) * len(ids) + question[place]
-                scores = np.round(np.bincount(cell, weight[place] * np.repeat(share, asked), batch.num_rows * len(ids)), digits)
-                best.add(np.array(batch.column(key).to_pylist()), scores.reshape(batch.num_rows, len(ids)), above=0.0)
-        if best.parts:
-            yield pa.RecordBatch.from_pandas(best.frame(ids, key, "sparse_score"), schema=out, preserve_index=False)
+        term, doc = at.take(pa.array(hit)).to_numpy().astype(np.int64), doc[hit]
+        tf, length = flat.field("tf").to_numpy()[hit].astype(float), batch.column("doc_len").to_numpy()[doc]
+        share = tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * length / self.average))
+        keys, bounds = np.array(batch.column(self.key).to_pylist()), self._bounds(term, doc // BLOCK, share, -(-batch.num_rows // BLOCK))
+        for block in np.argsort(-bounds.sum(axis=0), kind="stable").tolist():
+            asking = np.flatnonzero((bounds[:, block] > 0) & (np.round(bounds[:, block] + 1e-9, self.digits) >= self.best.floor))
+            mine = slice(*np.searchsorted(doc, [block * BLOCK, (block + 1) * BLOCK]))
+            step = max(1, CELLS // BLOCK)
+            for j in range(0, len(asking), step):
+                self._score(term[mine], doc[mine] - block * BLOCK, share[mine], keys[block * BLOCK : (block + 1) * BLOCK], asking[j : j + step])
+
+    def _bounds(self, term: np.ndarray, block: np.ndarray, share: np.ndarray, blocks: int) -> np.ndarray:
+        """(questions x blocks) more than any chunk of the block scores."""
+        there, place = np.unique(term, return_inverse=True)
+        largest = np.zeros((len(there), blocks))
+        np.maximum.at(largest, (place, block), share)
+        out = np.zeros((len(self.ids), blocks))
+        asked = self.begin[there + 1] - self.begin[there]
+        entry = np.repeat(self.begin[there] - np.cumsum(asked) + asked, asked) + np.arange(asked.sum())
+        row = np.repeat(np.arange(len(there)), asked)
+        order = np.argsort(self.question[entry], kind="stable")
+        entry, row = entry[order], row[order]
+        first = np.flatnonzero(np.diff(self.question[entry], prepend=-1))
+        for j in range(0, blocks, 64):  # a chunk can lack a term that would take from its score
+            added = np.maximum(self.weight[entry], 0)[:, None] * largest[row, j : j + 64]
+            out[self.question[entry[first]], j : j + 64] = np.add.reduceat(added, first, axis=0)
+        return out
+
+    def _score(self, term: np.ndarray, doc: np.ndarray, share: np.ndarray, keys: np.ndarray, questions: np.ndarray) -> None:
+        column = np.full(len(self.ids), -1)
+        column[questions] = np.arange(len(questions))
+        asked = self.begin[term + 1] - self.begin[term]
+        entry = np.repeat(self.begin[term] - np.cumsum(asked) + asked, asked) + np.arange(asked.sum())
+        source = np.repeat(np.arange(len(term)), asked)
+        use = column[self.question[entry]] >= 0
+        entry, source = entry[use], source[use]
+        cell = doc[source] * len(questions) + column[self.question[entry]]
+        scores = np.round(np.bincount(cell, self.weight[entry] * share[source], len(keys) * len(questions)), self.digits)
+        self.best.add(keys, scores.reshape(len(keys), len(questions)), above=0.0, questions=questions)
+
+    def result(self, out: pa.Schema) -> pa.Table:
+        frame = self.best.frame(self.ids, self.key, "sparse_score")
+        return pa.Table.from_pandas(frame, schema=out, preserve_index=False) if len(frame) else out.empty_table()
+
+
+def _sparse_broadcast(rows: list, posted: DataFrame, schema: str, how: tuple) -> DataFrame:
+    table = ([r["query_id"] for r in rows], [r["term"] for r in rows], [r["weight"] for r in rows])
+    shared, out = posted.sparkSession.sparkContext.broadcast(table), to_arrow_schema(parsed(schema))  # QUESTION_TERMS rows at most
 
-    schema = f"query_id {kinds['query_id']}, {key} {kinds[key]}, sparse_score double"
+    def local_top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _Scorer(*shared.value, how)
+        for batch in batches if scorer.ids else ():
+            scorer.add(batch)
+        yield from scorer.result(out).to_batches()
+
+    return posted.mapInArrow(local_top, schema)
+
+
+def _sparse_grid(wanted: DataFrame, posted: DataFrame, schema: str, most: int, how: tuple) -> DataFrame:
+    """Blocks of questions, of about ``most`` / 2 terms each, against parts of chunks, as in _dense_grid."""
+    blocks = max(1, -(-wanted.count() * 2 // most))
+    parts = max(1, -(-posted.count() // PART))
+    mine, theirs = _dealt(wanted, "query_id", blocks, parts), _dealt(posted, how[-1], parts, blocks, "part", "block")
     out = to_arrow_schema(parsed(schema))
-    return posted.select(key, "doc_len", "terms").mapInArrow(local_top, schema)
+
+    def pair(q: pa.Table, c: pa.Table) -> pa.Table:
+        if not (q.num_rows and c.num_rows):
+            return out.empty_table()
+        scorer = _Scorer(q.column("query_id").to_pylist(), q.column("term").to_pylist(), q.column("weight").to_pylist(), how)
+        for batch in c.to_batches(1 << 13):
+            scorer.add(batch)
+        return scorer.result(out)
+
+    return mine.groupBy("block", "part").cogroup(theirs.groupBy("block", "part")).applyInArrow(pair, schema)
+
+
+def _dealt(rows: DataFrame, key: str, groups: int, copies: int, group: str = "block", copy: str = "part") -> DataFrame:
+    """Rows dealt to ``groups`` by a hash of their key, each once for every one of ``copies``."""
+    numbered = rows.withColumn(group, F.pmod(F.xxhash64(key), F.lit(groups)).cast("int"))
+    return numbered.withColumn(copy, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
 
 
 def rrf_fuse(dense: DataFrame, sparse: DataFrame, k0: int = 60, key: str = "chunk_id") -> DataFrame:

@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import policy
 from .functions.phi import redact_phi, scan_phi
-from .functions.splitting import split_text
+from .functions.splitting import OVERLAP, SEPARATORS, SIZE, split_text, with_overlap
 from .functions.text import parse_age_years, tokenize
-from .functions.vectors import hash_embed
-from .jobs.workloads import Index, answer, build_index, candidates, govern, load_governed
+from .functions.vectors import encode_with, hash_embed
+from .jobs.workloads import Feed, Index, answer, build_index, candidates, govern, ingest, load_governed
 from .operators import chunking, fhir, flatten, governance, index, quality, retrieval
 from .operators.answers import rag_triad
 from .scratch import new_path, scratch
 from .sources.files import land_raw, quarantine, read_articles_xml, read_patients, read_quarantine, read_studies
-from .sources.journal import Audit, Lineage, ancestry, chain_text, tail, trace
+from .sources.journal import Audit, Lineage, ancestry, chain_text, closure, table_versions, tail, trace
 from .sources.versions import SchemaEnforcementError, VersionedTable, incremental_load, normalise_for_commit
 from .streaming import events as ev
 from .views import ARTICLES, AS_OF, NOTES, PATIENTS, TRIALS, articles, notes, patients, table, trials
@@ -514,22 +517,98 @@ def classified_fields(spark, sf_dir):
 
 
 # --- chunks ------------------------------------------------------------------------------------------------------------
-@query()
+_T_HEADER = "'Trial ' || coalesce(nct_id, '') || ' - ' || coalesce(brief_title, '') || chr(10) || 'Status: ' || coalesce(overall_status, '') || ' | Phase: ' || coalesce(nullif(phase, ''), 'N/A') || ' | Conditions: ' || coalesce(conditions, '') || chr(10)"
+_L_HEADER = "'Article PMID ' || coalesce(pmid, '') || ' - ' || coalesce(title, '') || chr(10) || coalesce(nullif(journal, ''), 'Unknown journal') || ' (' || coalesce(pub_year::STRING, 'n.d.') || ') | ' || coalesce(nullif(publication_types, ''), 'Journal Article') || chr(10)"
+_CITATION = "coalesce(nullif(authors, ''), 'Unknown authors') || '. ' || coalesce(title, '') || '. ' || coalesce(journal, '') || ' ' || coalesce(pub_year::STRING, '') || '. doi:' || coalesce(nullif(doi, ''), 'n/a')"
+_SPACES = "E' \\t\\n\\r\\x0b\\x0c'"
+_SHORT = "length({0}) <= 900 AND regexp_matches({0}, '\\S')"
+
+
+
+
+def _split_sql(text: str, size: int = SIZE) -> str:
+    """A list of pieces: for one separator after another, parts of what is too long are put together as long as they fit."""
+    none = "[]::VARCHAR[]"
+    pieces = f"[{text}]"
+    for separator in SEPARATORS:
+        by = "'" + separator.replace("\n", "' || chr(10) || '") + "'"
+        parts = f"list_prepend({{'done': {none}, 'now': ''}}, list_transform(string_split(p, {by}), lambda x: {{'done': {none}, 'now': x}}))"
+        fold = (
+            f"list_reduce({parts}, lambda a, b: CASE WHEN length(a.now) = 0 THEN {{'done': a.done, 'now': b.now}}"
+            f" WHEN length(a.now) + length(b.now) + {len(separator)} <= {size} THEN {{'done': a.done, 'now': a.now || {by} || b.now}}"
+            " ELSE {'done': list_append(a.done, a.now), 'now': b.now} END)"
+        )
+        ended = f"list_transform([{fold}], lambda s: CASE WHEN length(s.now) > 0 THEN list_append(s.done, s.now) ELSE s.done END)[1]"
+        pieces = f"flatten(list_transform({pieces}, lambda p: CASE WHEN length(p) > {size} THEN {ended} ELSE [p] END))"
+    return pieces
+
+
+def _sections_sql(source: str, record: str, header: str, sections: dict[str, str], kind: str) -> str:
+    """Chunks (source_type, key, section, chunk_index, text) of the rows of a common table."""
+    key = f"coalesce({record}, '{chunking.UNNAMED}' || substr(md5(concat_ws(chr(31), {header}, {', '.join(f"coalesce({b}, '')" for b in sections.values())})), 1, 20))"
+    each = " UNION ALL ".join(f"SELECT {key} AS key, {header} AS header, '{n}' AS section, {b} AS body FROM {source} WHERE regexp_matches({b}, '\\S')" for n, b in sections.items())
+    strip = f"trim({{0}}, {_SPACES})"
+    overlapped = "CASE WHEN i = 1 THEN ps[i] ELSE " + strip.format(f"right(ps[i - 1], {OVERLAP}) || ' ' || ps[i]") + " END"
+    return f"""SELECT '{kind}' AS source_type, key, section, (i - 1)::INT AS chunk_index, {strip.format("header || '[' || upper(section) || '] ' || " + overlapped)} AS text
+    FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS i FROM (SELECT key, header, section, {_split_sql("body")} AS ps FROM ({each})))"""
+
+
+_FACTS = " || ".join(
+    [
+        "'Eligible ages: ' || coalesce(regexp_replace(min_age_years::STRING, '\\.0$', ''), 'unspecified')",
+        "' to ' || coalesce(regexp_replace(max_age_years::STRING, '\\.0$', ''), 'no upper limit')",
+        "' years. Sex eligible: ' || coalesce(nullif(sex, ''), 'unspecified')",
+        "'. Enrollment target: ' || coalesce(regexp_replace(enrollment::STRING, '\\.0$', ''), 'unspecified') || '.' || chr(10)",
+    ]
+)
+_T_SECTIONS = {"summary": "brief_summary", "eligibility": f"({_FACTS} || coalesce(eligibility_criteria, ''))", "interventions": "interventions"}
+_L_SECTIONS = {"abstract": "abstract", "citation": f"({_CITATION})"}
+
+
+def _trial_chunks_sql(source: str) -> str:
+    return _sections_sql(source, "nct_id", _T_HEADER, _T_SECTIONS, "trial")
+
+
+def _article_chunks_sql(source: str) -> str:
+    return _sections_sql(source, "'PMID' || pmid", _L_HEADER, _L_SECTIONS, "literature")
+
+
+_CHUNK_ROWS = "SELECT key || '::' || section || '::' || chunk_index AS chunk_id, section, chunk_index, text FROM c"
+
+
+@query(f"WITH t AS ({TRIALS}), c AS ({_trial_chunks_sql('t')}) {_CHUNK_ROWS}")
 def chunk_trials(spark, sf_dir):
-    return chunking.chunk_trials(trials(spark, sf_dir).filter("nct_id IS NOT NULL")).select("chunk_id", "section", "chunk_index", "text")
+    return chunking.chunk_trials(trials(spark, sf_dir)).select("chunk_id", "section", "chunk_index", "text")
 
 
-@query()
+@query(f"WITH t AS ({ARTICLES}), c AS ({_article_chunks_sql('t')}) {_CHUNK_ROWS}")
 def chunk_articles(spark, sf_dir):
-    return chunking.chunk_articles(articles(spark, sf_dir).filter("pmid IS NOT NULL")).select("chunk_id", "section", "chunk_index", "text")
+    return chunking.chunk_articles(articles(spark, sf_dir)).select("chunk_id", "section", "chunk_index", "text")
 
 
-@query()
+@query(f"WITH t AS ({TRIALS}), l AS ({ARTICLES}), c AS ({_trial_chunks_sql('t')} UNION ALL {_article_chunks_sql('l')}) SELECT source_type, count(*) AS chunks FROM c GROUP BY 1")
 def chunk_counts(spark, sf_dir):
     t = chunking.chunk_trials(trials(spark, sf_dir), chunking.TRIAL_FACTS[:-1])
     return chunking.chunk_counts(chunking.all_chunks(t, chunking.chunk_articles(articles(spark, sf_dir), chunking.ARTICLE_FACTS[:-1])))
 
 
+@query(f"SELECT doc_id, (unnest(range(len(ps))))::INT AS position, unnest(ps) AS piece FROM (SELECT doc_id, {_split_sql('text', 300)} AS ps FROM documents)")
+def split_pieces(spark, sf_dir):
+    """Every piece of every text, at borders that most texts have."""
+    pieces = table(spark, sf_dir, "documents").select("doc_id", split_text(F.col("text"), 300).alias("p"))
+    return pieces.select("doc_id", F.posexplode("p").alias("position", "piece"))
+
+
+@query(
+    f"""SELECT doc_id, (unnest(range(len(ps))))::INT AS position, unnest(list_transform(ps, lambda x, i: CASE WHEN i = 1 THEN x ELSE trim(right(ps[i - 1], 40) || ' ' || x, {_SPACES}) END)) AS piece
+    FROM (SELECT doc_id, {_split_sql("text", 300)} AS ps FROM documents)"""
+)
+def split_overlap(spark, sf_dir):
+    """The same with an overlap of 40 characters."""
+    pieces = table(spark, sf_dir, "documents").select("doc_id", split_text(F.col("text"), 300).alias("p"))
+    return pieces.select("doc_id", F.posexplode(with_overlap("p", 40)).alias("position", "piece"))
+
+
 @query(
     f"""WITH t AS ({TRIALS}) SELECT nct_id || '::interventions::0' AS chunk_id, 'Trial ' || nct_id || ' - ' || brief_title || chr(10) || 'Status: '
     || coalesce(overall_status, '') || ' | Phase: ' || coalesce(nullif(phase, ''), 'N/A') || ' | Conditions: ' || conditions || chr(10)
@@ -540,13 +619,6 @@ def chunk_interventions(spark, sf_dir):
     return chunks.filter("section = 'interventions'").select("chunk_id", "text")
 
 
-_T_HEADER = "'Trial ' || coalesce(nct_id, '') || ' - ' || coalesce(brief_title, '') || chr(10) || 'Status: ' || coalesce(overall_status, '') || ' | Phase: ' || coalesce(nullif(phase, ''), 'N/A') || ' | Conditions: ' || coalesce(conditions, '') || chr(10)"
-_L_HEADER = "'Article PMID ' || coalesce(pmid, '') || ' - ' || coalesce(title, '') || chr(10) || coalesce(nullif(journal, ''), 'Unknown journal') || ' (' || coalesce(pub_year::STRING, 'n.d.') || ') | ' || coalesce(nullif(publication_types, ''), 'Journal Article') || chr(10)"
-_CITATION = "coalesce(nullif(authors, ''), 'Unknown authors') || '. ' || coalesce(title, '') || '. ' || coalesce(journal, '') || ' ' || coalesce(pub_year::STRING, '') || '. doi:' || coalesce(nullif(doi, ''), 'n/a')"
-_SPACES = "E' \\t\\n\\r\\x0b\\x0c'"
-_SHORT = "length({0}) <= 900 AND regexp_matches({0}, '\\S')"
-
-
 @query(f"WITH t AS ({ARTICLES}) SELECT 'PMID' || pmid || '::citation::0' AS chunk_id, {_L_HEADER} || '[CITATION] ' || {_CITATION} AS text FROM t WHERE pmid IS NOT NULL AND length({_CITATION}) <= 900")
 def chunk_citations(spark, sf_dir):
     chunks = chunking.chunk_articles(articles(spark, sf_dir).filter("pmid IS NOT NULL"))
@@ -587,20 +659,25 @@ def split_letters(spark, sf_dir):
     return pieces.select("doc_id", F.md5(F.regexp_replace(F.array_join("p", ""), r"[.\s]", "")).alias("letters"), (F.array_max(F.transform("p", F.length)) > 900).alias("oversize"))
 
 
+_CLEAN_T = "(" + _GRADED_T + "SELECT * FROM g WHERE quality_failures = '')"
+_CLEAN_L = "(" + _GRADED_L + "SELECT * FROM g WHERE quality_failures = '')"
+
+
 @query(
-    _GRADED_T
-    + f"""SELECT 'interventions' AS section, count(*) FILTER (NOT ({_GATED})) AS admitted, count(*) FILTER ({_GATED}) AS blocked
-    FROM (SELECT {_T_HEADER} || '[INTERVENTIONS] ' || interventions AS text FROM g WHERE quality_failures = '')
-    UNION ALL SELECT 'citation', count(*) FILTER (NOT ({_GATED})), count(*) FILTER ({_GATED})
-    FROM ({_GRADED_L} SELECT {_L_HEADER} || '[CITATION] ' || {_CITATION} AS text FROM g WHERE quality_failures = '')"""
+    f"""WITH t AS {_CLEAN_T}, l AS {_CLEAN_L}, c AS ({_trial_chunks_sql("t")} UNION ALL {_article_chunks_sql("l")})
+    SELECT source_type, section, count(*) FILTER (NOT ({_GATED})) AS admitted, count(*) FILTER ({_GATED}) AS blocked, count(*) FILTER ({_GATED}) AS logged FROM c GROUP BY ALL"""
 )
 def index_job(spark, sf_dir):
-    """The index job over the clean rows of both sources: chunks of the short sections that it admitted and blocked."""
+    """The index job over the clean rows of both sources: chunks of each section that it admitted, blocked and noted in the audit."""
+    at = new_path(spark, "index")
     t, a = quality.clean_rows(graded_trials(spark, sf_dir)), quality.clean_rows(graded_articles(spark, sf_dir))
-    built, blocked = build_index(t, a, new_path(spark, "index"), "LIN_0002_EMBED")
-    mine = built.select("section", F.lit(1).alias("admitted"), F.lit(0).alias("blocked")).unionAll(blocked.select("section", F.lit(0), F.lit(1)))
-    counted = mine.filter("section IN ('interventions', 'citation')").groupBy("section")
-    return counted.agg(F.sum("admitted").alias("admitted"), F.sum("blocked").alias("blocked"))
+    audit = Audit(spark, f"{at}/audit")
+    built, blocked = build_index(t, a, f"{at}/index", ("LIN_0001_LAKEHOUSE_COMMIT", "LIN_0003_LAKEHOUSE_COMMIT"), audit=audit)
+    section = F.split("chunk_id", "::")[1].alias("section")
+    source = F.when(F.col("chunk_id").startswith("PMID"), "literature").otherwise("trial").alias("source_type")
+    noted = audit.load().filter("action = 'VECTOR_INSERT_BLOCKED'").select(F.get_json_object("payload", "$.chunk_id").alias("chunk_id"))
+    rows = [df.select(source, section, *(F.lit(int(i == k)).alias(n) for i, n in enumerate(("admitted", "blocked", "logged")))) for k, df in enumerate((built, blocked, noted))]
+    return rows[0].unionAll(rows[1]).unionAll(rows[2]).groupBy("source_type", "section").agg(*(F.sum(n).alias(n) for n in ("admitted", "blocked", "logged")))
 
 
 # --- tokens and vectors ------------------------------------------------------------------------------------------------
@@ -680,12 +757,12 @@ def doc_index(spark: SparkSession, sf_dir: str) -> Index:
         F.lit("").alias("last_update"),
         F.lit(None).cast("double").alias("min_age_years"),
         "text",
-        hash_embed(F.col("text")).alias("vector"),
     )
-    built = Index.over(scratch(docs, "chunks"))
-    posted = scratch(built.postings, "postings")
+    chunks = index.ChunkStore(spark, new_path(spark, "chunks")).write(docs)
+    vectors = scratch(index.embed(chunks.select("chunk_id", "text")).select("chunk_id", "vector"), "vectors")
+    posted = scratch(index.postings(chunks), "postings")
     stats = scratch(index.posted_stats(posted), "stats")
-    return Index(built.chunks, posted, scratch(index.term_stats(posted, stats.select("n")), "terms"), stats, built.dims)
+    return Index(chunks, vectors, posted, scratch(index.term_stats(posted, stats.select("n")), "terms"), stats, index.index_stats(vectors))
 
 
 _POSTED = f"""tok AS (SELECT doc_id AS chunk_id, {_TOKENS.format("text")} AS ts FROM documents),
@@ -1020,7 +1097,8 @@ def stream_gate_two_streams(spark, sf_dir):
 
 @query("""WITH s AS (SELECT lang, source, count(*) AS n, row_number() OVER (PARTITION BY lang ORDER BY source) - 1 AS i FROM documents GROUP BY lang, source),
 l AS (SELECT lang, i, 'LIN_' || lpad(i::STRING, 4, '0') || '_' || upper(source) AS id, source, n FROM s)
-SELECT lang AS run_id, string_agg(id || ': ' || coalesce(prev, '') || ' -> ' || source || '@v0 (' || n || ')', chr(10) ORDER BY id) AS chain
+SELECT lang AS run_id, string_agg('  ' || id || chr(10) || '     operation : ' || upper(source) || chr(10) || '     inputs    : ' || coalesce(prev, '-') || chr(10) || '     outputs   : '
+  || source || '@v0' || chr(10) || '     records   : ' || n || chr(10) || '     at        : 2026-01-01', chr(10) || '  |' || chr(10) || '  v' || chr(10) ORDER BY id) AS chain
 FROM (SELECT *, lag(id) OVER (PARTITION BY lang ORDER BY i) AS prev FROM l) GROUP BY lang""")
 def lineage_chain(spark, sf_dir):
     """Each language's sources as a chain of operations, rendered."""
@@ -1039,6 +1117,8 @@ def source_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_compact(F.array(F.lag("lineage_id").over(order))).alias("inputs"),
         F.array(F.concat("source", F.lit("@v0"))).alias("outputs"),
         "record_count",
+        F.upper("source").alias("operation"),
+        F.lit(AS_OF).alias("timestamp"),
     )
 
 
@@ -1054,6 +1134,15 @@ def lineage_ancestry(spark, sf_dir):
     return ancestry(nodes, last["lineage_id"], last["run_id"]).select("lineage_id", "record_count")
 
 
+@query("""WITH o AS (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders)
+SELECT a.o_custkey::STRING AS run_id, a.o_orderkey::STRING AS lineage_id, b.o_orderkey::STRING AS ancestor FROM o a JOIN o b ON a.o_custkey = b.o_custkey AND b.i <= a.i""")
+def lineage_closure(spark, sf_dir):
+    """All ancestors of all nodes at once: each customer's orders as a run, in which each order follows the one before."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("run_id"), F.col("o_orderkey").cast("string").alias("lineage_id"), "o_orderkey")
+    before = F.lag("lineage_id").over(Window.partitionBy("run_id").orderBy("o_orderkey"))
+    return closure(orders.select("run_id", "lineage_id", F.array_compact(F.array(before)).alias("inputs")))
+
+
 @query(_NODES + " SELECT doc_id AS citation, id AS lineage_id, l.source || '@v0' AS outputs FROM documents d JOIN l ON d.source = l.source AND d.lang = l.lang WHERE l.lang = (SELECT min(lang) FROM l)")
 def lineage_trace(spark, sf_dir):
     """Documents of the first language as evidence, each with what its node wrote."""
@@ -1066,20 +1155,50 @@ def lineage_trace(spark, sf_dir):
 
 
 @query(
-    _GRADED_T
-    + """, c AS (SELECT count(*) AS n FROM g WHERE quality_failures = '')
-    SELECT 'LIN_0000_QUALITY_GATE' AS lineage_id, 'QUALITY_GATE' AS operation, 'trials' AS inputs, n AS record_count FROM c
-    UNION ALL SELECT 'LIN_0001_LAKEHOUSE_COMMIT', 'LAKEHOUSE_COMMIT', 'LIN_0000_QUALITY_GATE', n FROM c
-    UNION ALL SELECT 'LIN_0002_FHIR_VALIDATION', 'FHIR_VALIDATION', 'LIN_0001_LAKEHOUSE_COMMIT', n + (SELECT count(*) FROM customer) FROM c
-    UNION ALL SELECT 'LIN_0003_PHI_DEIDENTIFICATION', 'PHI_DEIDENTIFICATION', 'LIN_0002_FHIR_VALIDATION', count(*) FROM customer"""
+    f"""WITH t AS {_CLEAN_T}, l AS {_CLEAN_L}, ta AS ({TRIALS}), la AS ({ARTICLES}), c AS ({_trial_chunks_sql("t")} UNION ALL {_article_chunks_sql("l")}),
+    n AS (SELECT (SELECT count(*) FROM ta WHERE coalesce(nct_id, '') <> '') + (SELECT count(*) FROM la WHERE coalesce(pmid, '') <> '') + (SELECT count(*) FROM customer) AS came,
+      (SELECT count(*) FROM t) AS t, (SELECT count(*) FROM l) AS l, (SELECT count(*) FROM customer) AS p, (SELECT count(*) FROM c) AS cut, (SELECT count(*) FROM c WHERE NOT ({_GATED})) AS admitted)
+    SELECT 'LIN_0000_INGEST' AS lineage_id, 'registry,literature,records' AS inputs, came AS record_count, 0 AS depth FROM n
+    UNION ALL SELECT 'LIN_0001_QUALITY_GATE', 'LIN_0000_INGEST', t, 1 FROM n UNION ALL SELECT 'LIN_0002_LAKEHOUSE_COMMIT', 'LIN_0001_QUALITY_GATE', t, 2 FROM n
+    UNION ALL SELECT 'LIN_0003_QUALITY_GATE', 'LIN_0000_INGEST', l, 1 FROM n UNION ALL SELECT 'LIN_0004_LAKEHOUSE_COMMIT', 'LIN_0003_QUALITY_GATE', l, 2 FROM n
+    UNION ALL SELECT 'LIN_0005_FHIR_VALIDATION', 'LIN_0002_LAKEHOUSE_COMMIT', t + p, 3 FROM n UNION ALL SELECT 'LIN_0006_PHI_DEIDENTIFICATION', 'LIN_0005_FHIR_VALIDATION', p, 4 FROM n
+    UNION ALL SELECT 'LIN_0007_CHUNK_EMBED', 'LIN_0002_LAKEHOUSE_COMMIT,LIN_0004_LAKEHOUSE_COMMIT', cut, 5 FROM n UNION ALL SELECT 'LIN_0008_VECTOR_INDEX', 'LIN_0007_CHUNK_EMBED', admitted, 6 FROM n"""
 )
 def lineage_of_jobs(spark, sf_dir):
-    """The nodes that loading trials and governing patients leave, as they are read back."""
+    """The nodes that the jobs leave from ingest to index, as they are read back, each with how many it comes from."""
+    lineage = _run_jobs(spark, sf_dir)[0]
+    nodes = lineage.load()
+    depth = closure(nodes).groupBy("lineage_id").agg((F.count("*") - 1).cast("int").alias("depth"))
+    return nodes.join(depth, "lineage_id").select("lineage_id", F.array_join("inputs", ",").alias("inputs"), "record_count", "depth")
+
+
+def _run_jobs(spark: SparkSession, sf_dir: str) -> tuple[Lineage, Index]:
+    """All jobs over both sources and the patients: ingest, gates and commits, governance, index."""
     at = new_path(spark, "jobs")
-    lineage, audit, lake = Lineage(spark, f"{at}/lineage", "r"), Audit(spark, f"{at}/audit"), VersionedTable(spark, f"{at}/trials")
-    load_governed(trials(spark, sf_dir), quality.trial_gate(AS_OF), lake, f"{at}/quarantine", "trials", AS_OF, lineage, [], halt=False)
-    govern(lake.read(), patients(spark, sf_dir), SALT, lineage, audit, "LIN_0001_LAKEHOUSE_COMMIT")
-    return lineage.load().select("lineage_id", "operation", F.array_join("inputs", ",").alias("inputs"), "record_count")
+    lineage, audit = Lineage(spark, f"{at}/lineage", "r"), Audit(spark, f"{at}/audit")
+    t, a, p = trials(spark, sf_dir), articles(spark, sf_dir), patients(spark, sf_dir)
+    feeds = [Feed("raw_clinical_trials", "registry", t, "nct_id"), Feed("raw_literature", "literature", a, "pmid"), Feed("raw_patient_records", "records", p)]
+    came = ingest(feeds, f"{at}/landing", f"{at}/events", lineage, F.lit(AS_OF).cast("timestamp"))
+    taken = {topic: ev.from_envelope(spark.read.parquet(f"{at}/events").filter(F.col("topic") == topic), rows.schema) for topic, rows in (("raw_clinical_trials", t), ("raw_literature", a))}
+    gates = {"raw_clinical_trials": quality.trial_gate(AS_OF), "raw_literature": quality.literature_gate(2026)}
+    lakes = {topic: VersionedTable(spark, f"{at}/{topic}") for topic in taken}
+    nodes = [load_governed(taken[x], gates[x], lakes[x], f"{at}/quarantine", x, AS_OF, lineage, [], halt=False, after=came).node for x in taken]
+    govern(lakes["raw_clinical_trials"].read(), p, SALT, lineage, audit, nodes[0])
+    build_index(*(lake.read() for lake in lakes.values()), f"{at}/index", tuple(nodes), lineage=lineage, audit=audit)
+    return lineage, Index.open(spark, f"{at}/index")
+
+
+@query("SELECT item_id AS query_id, 5 AS evidence, 5 AS traced, true AS answered FROM benchmark")
+def evidence_versions(spark, sf_dir):
+    """From ingest to answers: how many rows of evidence each question has, and how many lead to the version of their own table."""
+    lineage, built = _run_jobs(spark, sf_dir)
+    out = answer(questions(spark, sf_dir), built, "clinical_researcher", audit=Audit(spark, new_path(spark, "audit")))
+    traced = table_versions(out.evidence, lineage.load())
+    own = F.when(F.col("source_type") == "trial", "/raw_clinical_trials@v1").otherwise("/raw_literature@v1")
+    right = (F.size("table_versions") == 1) & F.endswith(F.col("table_versions")[0], own)
+    counted = traced.groupBy("query_id").agg(F.count("*").cast("int").alias("evidence"), F.count_if(right).cast("int").alias("traced"))
+    told = out.results.select("query_id", (F.col("audit_id").startswith("AUD_") & (F.col("candidates_stage_one") >= 5) & F.col("answer").isNotNull()).alias("answered"))
+    return counted.join(told, "query_id")
 
 
 @query("SELECT event_id AS seq, event_type AS action, user_id::STRING AS actor FROM events ORDER BY ts DESC, event_id DESC LIMIT 50")
@@ -1091,10 +1210,69 @@ def audit_tail(spark, sf_dir):
     return tail(entries, 50).select("seq", "action", "actor")
 
 
-@query("SELECT event_id AS seq, 'data_engineer' AS role, 'EVENT' AS action, event_type AS kind FROM events ORDER BY event_id DESC LIMIT 50")
+@query("SELECT row_number() OVER (ORDER BY event_id) - 1 AS seq, 'data_engineer' AS role, 'EVENT' AS action, event_type AS kind, event_id FROM events ORDER BY event_id DESC LIMIT 50")
 def audit_log(spark, sf_dir):
-    """Events appended to an audit as entries, and the last 50 of what is read back."""
+    """Events appended to an audit as entries in two appends, and the last 50 of what is read back, numbered on."""
     audit = Audit(spark, new_path(spark, "audit"), clock=lambda: AS_OF)
-    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.to_json(F.struct("event_type")).alias("payload"))
-    audit.log_rows(rows, "pipeline", "data_engineer", "EVENT")
-    return tail(audit.load(), 50).select("seq", "role", "action", F.get_json_object("payload", "$.event_type").alias("kind"))
+    e = table(spark, sf_dir, "events")
+    half = e.agg(F.percentile_approx("event_id", 0.5)).first()[0]
+    for part in (F.col("event_id") <= half, F.col("event_id") > half):
+        rows = e.filter(part).orderBy("event_id").select("event_id", F.to_json(F.struct("event_id", "event_type")).alias("payload"))
+        audit.log_rows(rows, "pipeline", "data_engineer", "EVENT")
+    value = lambda name: F.get_json_object("payload", f"$.{name}")
+    return audit.tail(50).select("seq", "role", "action", value("event_type").alias("kind"), value("event_id").cast("long").alias("event_id"))
+
+
+# --- refusals and plug-ins ---------------------------------------------------------------------------------------------
+@query(
+    _GRADED_T
+    + """, b AS (SELECT lang, quality_failures FROM g JOIN documents ON doc_id = seq WHERE NOT (seq % 3 = 0 AND quality_failures = ''))
+    SELECT lang AS batch, count(*) AS evaluated, count(*) FILTER (quality_failures <> '') AS rejected, count(*) FILTER (quality_failures <> '') / count(*) > 0.1 AS halted FROM b GROUP BY lang"""
+)
+def halted_batches(spark, sf_dir):
+    """Trials in a batch for each language, without a third of the clean ones: which batches the gate halts at a tenth."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), "lang")
+    graded = scratch(graded_trials(spark, sf_dir).join(docs, "seq").filter("NOT (seq % 3 = 0 AND quality_failures = '')"), "graded")
+    out = []
+    for r in graded.select("lang").distinct().orderBy("lang").collect():  # a handful of languages
+        verdict = scratch(quality.verdict(graded.filter(F.col("lang").eqNullSafe(r["lang"])), threshold=0.1), "verdict")
+        try:
+            quality.enforce(verdict)
+            halted = False
+        except quality.BatchHalted:
+            halted = True
+        out.append(verdict.select(F.lit(r["lang"]).alias("batch"), "evaluated", "rejected", F.lit(halted).alias("halted")))
+    return reduce(DataFrame.unionByName, out)
+
+
+@query(
+    f"""SELECT role, count(*) AS customers, role IN ({", ".join(f"'{r}'" for r in policy.ROLE_CLASSES)}) AS known
+    FROM (SELECT CASE c_custkey % 6 {" ".join(f"WHEN {i} THEN '{r}'" for i, r in enumerate(policy.ROLE_CLASSES))} ELSE lower(c_mktsegment) END AS role FROM customer) GROUP BY role"""
+)
+def checked_roles(spark, sf_dir):
+    """Roles that customers come with, and whether an answer would be refused to them."""
+    c = table(spark, sf_dir, "customer")
+    role = F.lower("c_mktsegment")
+    for i, r in enumerate(policy.ROLE_CLASSES):
+        role = F.when(F.col("c_custkey") % 6 == i, r).otherwise(role)
+    counted = c.groupBy(role.alias("role")).agg(F.count("*").alias("customers"))
+
+    def known(name: str) -> bool:
+        try:
+            return bool(governance.check_role(name))
+        except governance.UnknownRole:
+            return False
+
+    roles = [r["role"] for r in counted.select("role").collect()]  # as many as there are roles and segments
+    return counted.withColumn("known", F.col("role").isin([r for r in roles if known(r)]))
+
+
+@query("SELECT doc_id, (length(coalesce(text, '')) % 1000)::DOUBLE AS a, len(string_split(coalesce(text, ''), ' '))::DOUBLE AS b, 3::INT AS width FROM documents")
+def encoder_vectors(spark, sf_dir):
+    """Vectors of an encoder that is given: a plain function from texts to a matrix, loaded once in each worker."""
+
+    def load():
+        return lambda texts: np.array([[len(t) % 1000, t.count(" ") + 1, 1.0] for t in texts], dtype=np.float32).reshape(len(texts), 3)
+
+    encoded = index.embed(table(spark, sf_dir, "documents"), encoder=lambda c: encode_with(load, c))
+    return encoded.select("doc_id", F.col("vector")[0].cast("double").alias("a"), F.col("vector")[1].cast("double").alias("b"), F.size("vector").alias("width"))

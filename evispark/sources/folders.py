@@ -19,3 +19,9 @@ def found(spark: SparkSession, pattern: str) -> list[str]:
 def drop(spark: SparkSession, path: str) -> None:
     p, fs = _at(spark, path)
     fs.delete(p, True)
+
+
+def create(spark: SparkSession, path: str) -> bool:
+    """Make an empty file, if there is none; whether there was none."""
+    p, fs = _at(spark, path)
+    return bool(fs.createNewFile(p))

@@ -6,12 +6,13 @@ import json
 import uuid
 from datetime import UTC, datetime
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import AUDIT, LINEAGE, parsed
 from ..scratch import scratch
+from .folders import found
+from .numbers import Numbers, counted_in_order
 
 
 def _now() -> str:
@@ -41,13 +42,12 @@ class Lineage:
 
 
 def chain_text(nodes: DataFrame) -> DataFrame:
-    """(run_id, chain): the nodes of each run in order, a line each."""
-    line = F.concat(
-        *(F.col("lineage_id"), F.lit(": "), F.array_join("inputs", ", "), F.lit(" -> "), F.array_join("outputs", ", ")),
-        *(F.lit(" ("), F.col("record_count").cast("string"), F.lit(")")),
-    )
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("lineage_id", line.alias("line")))), lambda x: x["line"])
-    return nodes.groupBy("run_id").agg(F.array_join(lines, "\n").alias("chain"))
+    """(run_id, chain): the nodes of each run in order, a block each, with arrows between them."""
+    listed = lambda c: F.coalesce(F.nullif(F.array_join(c, ", "), F.lit("")), F.lit("-"))
+    parts = {"operation": F.col("operation"), "inputs": listed("inputs"), "outputs": listed("outputs"), "records": F.col("record_count").cast("string"), "at": F.col("timestamp")}
+    block = F.concat(F.lit("  "), F.col("lineage_id"), *(x for name, c in parts.items() for x in (F.lit(f"\n     {name:<10}: "), F.coalesce(c, F.lit("-")))))
+    blocks = F.transform(F.array_sort(F.collect_list(F.struct("lineage_id", block.alias("block")))), lambda x: x["block"])
+    return nodes.groupBy("run_id").agg(F.array_join(blocks, "\n  |\n  v\n").alias("chain"))
 
 
 def trace(evidence: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -55,52 +55,84 @@ def trace(evidence: DataFrame, nodes: DataFrame) -> DataFrame:
     return evidence.join(nodes.select("lineage_id", "outputs"), "lineage_id", "left")
 
 
+def closure(nodes: DataFrame) -> DataFrame:
+    """(run_id, lineage_id, ancestor): all nodes that each node's inputs lead to, itself included, for all nodes at once.
+
+    Each round joins what is reached with what that reaches, so there are as many as the depth has binary digits.
+    """
+    steps = nodes.select("run_id", "lineage_id", F.explode("inputs").alias("ancestor"))
+    known = nodes.select("run_id", F.col("lineage_id").alias("ancestor"))  # other inputs are names of data
+    own = nodes.select("run_id", "lineage_id", F.col("lineage_id").alias("ancestor"))
+    reached = scratch(own.union(steps.join(known, ["run_id", "ancestor"], "left_semi").select("run_id", "lineage_id", "ancestor")).distinct(), "reached")
+    size = reached.count()
+    while True:
+        further = reached.select("run_id", F.col("lineage_id").alias("ancestor"), F.col("ancestor").alias("next"))
+        wider = reached.join(further, ["run_id", "ancestor"]).select("run_id", "lineage_id", F.col("next").alias("ancestor")).distinct()
+        wider = scratch(wider, "reached")
+        if (now := wider.count()) == size:  # each node reaches itself, so nothing is lost
+            return wider
+        reached, size = wider, now
+
+
 def ancestry(nodes: DataFrame, lineage_id: str, run_id: str) -> DataFrame:
-    """All nodes of a run that a node's inputs lead to, itself included; one step back at a time, to the end."""
+    """All nodes of a run that a node's inputs lead to, itself included."""
     own = nodes.filter(F.col("run_id") == run_id)
-    found = frontier = scratch(own.filter(F.col("lineage_id") == lineage_id), "ancestors")
-    while not frontier.isEmpty():  # ends, as each step finds nodes that weren't there
-        ids = frontier.select(F.explode("inputs").alias("lineage_id")).distinct()
-        frontier = scratch(own.join(ids, "lineage_id").join(found.select("lineage_id"), "lineage_id", "left_anti").select(*own.columns), "ancestors")
-        found = found.unionByName(frontier)
-    return found
+    found = closure(own).filter(F.col("lineage_id") == lineage_id).select(F.col("ancestor").alias("lineage_id"))
+    return own.join(found, "lineage_id").select(*own.columns)
+
+
+def table_versions(evidence: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``evidence`` with table_versions: outputs such as ``path@v3`` of its node and of all that lead to that, sorted. ``nodes`` are
+    those of one run."""
+    outputs = nodes.select(F.col("lineage_id").alias("ancestor"), F.explode("outputs").alias("output")).filter(F.col("output").rlike("@v[0-9]+$"))
+    versions = closure(nodes).join(outputs, "ancestor").groupBy("lineage_id").agg(F.sort_array(F.collect_set("output")).alias("table_versions"))
+    return evidence.join(versions, "lineage_id", "left")
 
 
 class Audit:
-    """Entries in order of their sequence number, which counts on from what is there."""
+    """Entries in one rising order, in folders by day. Each append reserves a block of numbers first, so none is given twice."""
 
     def __init__(self, spark: SparkSession, path: str, clock=_now):
-        self.spark, self.path, self.clock = spark, path, clock
+        self.spark, self.path, self.clock = spark, path.rstrip("/"), clock
+        self.numbers = Numbers(spark, f"{self.path}-numbers")
 
-    def load(self) -> DataFrame:
-        return self.spark.read.schema(parsed(AUDIT)).json(self.path)
+    def load(self, days: list[str] | None = None) -> DataFrame:
+        """All entries, or those of some days."""
+        reader = self.spark.read.schema(parsed(AUDIT)).option("basePath", self.path)
+        return reader.json([f"{self.path}/day={d}" for d in days] if days is not None else self.path).drop("day")
+
+    def days(self) -> list[str]:
+        return [p.rsplit("day=", 1)[1] for p in found(self.spark, f"{self.path}/day=*")]
 
-    def count(self) -> int:
-        """How many entries there are; the next sequence number of a single writer."""
-        try:
-            return self.load().count()
-        except AnalysisException:  # nothing has been written
-            return 0
+    def _append(self, entries: DataFrame) -> None:
+        entries.withColumn("day", F.substring("timestamp", 1, 10)).write.mode("append").partitionBy("day").json(self.path)
 
-    def log(self, actor: str, role: str, action: str, payload: dict, seq: int) -> str:
+    def log(self, actor: str, role: str, action: str, payload: dict) -> str:
         audit_id = f"AUD_{uuid.uuid4().hex[:12].upper()}"
-        row = (audit_id, self.clock(), seq, actor, role, action, json.dumps(payload, sort_keys=True))
-        self.spark.createDataFrame([row], parsed(AUDIT)).coalesce(1).write.mode("append").json(self.path)
+        row = (audit_id, self.clock(), self.numbers.reserve(1), actor, role, action, json.dumps(payload, sort_keys=True))
+        self._append(self.spark.createDataFrame([row], parsed(AUDIT)).coalesce(1))
         return audit_id
 
-    def log_rows(self, rows: DataFrame, actor: str, role: str, action: str) -> None:
-        """Append (seq, payload) rows, an entry each; ids come from the action, the run's time and the sequence number."""
+    def log_rows(self, rows: DataFrame, actor: str, role: str, action: str) -> DataFrame:
+        """Append an entry for each row (payload, ...), in the order in which they stand; the rows with the seq and audit_id of theirs."""
         at = self.clock()
+        held, n = counted_in_order(rows, "seq")
+        first = self.numbers.reserve(n)
         name = F.concat(F.lit("AUD_"), F.upper(F.substring(F.md5(F.concat_ws("|", F.lit(action), F.lit(at), F.col("seq").cast("string"))), 1, 12)))
-        rows.select(
-            name.alias("audit_id"),
-            F.lit(at).alias("timestamp"),
-            F.col("seq").cast("long").alias("seq"),
-            F.lit(actor).alias("actor"),
-            F.lit(role).alias("role"),
-            F.lit(action).alias("action"),
-            "payload",
-        ).write.mode("append").json(self.path)
+        entries = scratch(held.withColumn("seq", F.col("seq") + F.lit(first)).withColumn("audit_id", name), "entries")
+        who = [F.lit(v).alias(n) for n, v in (("actor", actor), ("role", role), ("action", action))]
+        self._append(entries.select("audit_id", F.lit(at).alias("timestamp"), "seq", *who, "payload"))
+        return entries
+
+    def tail(self, n: int) -> DataFrame:
+        """The last n entries in order; only the folders of the last days are read, as many as have n."""
+        days, take = self.days(), 1
+        while days:
+            entries = self.load(days[-take:])
+            if take >= len(days) or entries.count() >= n:
+                return entries.orderBy(F.desc("seq")).limit(n).orderBy("seq")
+            take *= 2
+        return self.spark.createDataFrame([], parsed(AUDIT))
 
 
 def tail(entries: DataFrame, n: int) -> DataFrame:

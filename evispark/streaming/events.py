@@ -14,6 +14,7 @@ from ..schemas import ENVELOPE, parsed
 from ..scratch import scratch
 from ..sources.files import quarantine
 from ..sources.folders import found
+from ..sources.numbers import Numbers, counted_in_order
 from ..sources.versions import VersionedTable
 
 OPERATION = "STREAM_INGEST"
@@ -46,21 +47,6 @@ def from_envelope(events: DataFrame, schema: T.StructType) -> DataFrame:
     return events.select(F.from_json("payload", schema).alias("p")).select("p.*")
 
 
-def in_order(df: DataFrame, name: str = "seq", first: int = 0) -> DataFrame:
-    """With ``name``: numbers from ``first`` on, without gaps, in the order in which the rows stand.
-
-    Each task numbers its rows as they are written aside; from the tasks' counts, which are a small table, follow the numbers
-    that they begin with. Rows are neither sorted nor brought together.
-    """
-    written = scratch(df.withColumn("_n", F.monotonically_increasing_id()), "arrivals")  # task << 33, and on from there
-    task, at = F.shiftright("_n", 33), F.col("_n").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = scratch(written.groupBy(task.alias("_task")).agg(F.count("*").alias("_size")), "arrived")
-    earlier = counts.alias("a").join(counts.alias("b"), F.col("b._task") < F.col("a._task"), "left")  # a row for each pair of tasks
-    begins = scratch(earlier.groupBy("a._task").agg(F.coalesce(F.sum("b._size"), F.lit(0)).alias("_begin")), "begins")
-    numbered = written.withColumn("_task", task).join(begins, "_task")
-    return numbered.withColumn(name, F.col("_begin") + at + F.lit(first)).drop("_task", "_begin", "_n")
-
-
 def publish(events: DataFrame, path: str) -> None:
     """Append events under their topic's folder."""
     events.write.mode("append").partitionBy("topic").parquet(path)
@@ -70,15 +56,14 @@ def publish_rows(rows: DataFrame, path: str, topic: str, source: str, event_time
     """Publish rows as events of a topic, with offsets that go on from what it has, in the order in which they stand; the next
     offset. One publisher to a topic at a time.
 
-    How far a topic has come is read from the names in ``path``-offsets, not from its events.
+    How far a topic has come is kept beside ``path``, so its events are not read.
     """
-    spark, marks = rows.sparkSession, f"{path.rstrip('/')}-offsets/topic={topic}"
-    first = max((int(p.rsplit("=", 1)[1]) for p in found(spark, f"{marks}/next=*")), default=0)
-    numbered = scratch(to_envelope(in_order(rows, "_offset", first), topic, source, "_offset", event_time), "events")
-    publish(numbered.withColumn("payload", _without("_offset")), path)
-    following = first + numbered.count()
-    spark.range(1).write.mode("overwrite").parquet(f"{marks}/next={following}")
-    return following
+    held, n = counted_in_order(rows, "_offset")
+    numbers = Numbers(rows.sparkSession, f"{path.rstrip('/')}-offsets/{topic}")
+    first = numbers.reserve(n)
+    enveloped = to_envelope(held.withColumn("_offset", F.col("_offset") + F.lit(first)), topic, source, "_offset", event_time)
+    publish(enveloped.withColumn("payload", _without("_offset")), path)
+    return first + n
 
 
 def _without(field: str) -> Column:

@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -250,17 +252,72 @@ def test_overlap(spark):
 
 
 def test_a_chunk_is_not_added_twice(spark, tmp_path):
-    at = str(tmp_path / "i")
-    rows = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2)], "chunk_id string, n int")
-    index.write_index(rows, at)
+    store = index.ChunkStore(spark, str(tmp_path / "i"), buckets=3)
+    frame = lambda *rows: spark.createDataFrame(rows, "chunk_id string, n int")
+    with pytest.raises(index.DuplicateChunks, match="'a'"):
+        store.write(frame(("a", 1), ("a", 1), ("b", 2)))
+    with pytest.raises(FileNotFoundError):
+        store.read()
+    assert store.write(frame(("a", 1), ("b", 2))).count() == 2
+    for clash in (frame(("b", 3), ("c", 3)), frame(("d", 3), ("d", 4))):
+        with pytest.raises(index.DuplicateChunks):
+            store.write(clash)
+    assert store.write(frame(("c", 3))).count() == store.read().count() == 3
     with pytest.raises(index.DuplicateChunks):
-        index.write_index(rows.filter("chunk_id = 'b'"), at)
-    index.write_index(spark.createDataFrame([("c", 3)], "chunk_id string, n int"), at)
-    assert spark.read.parquet(at).count() == 3
+        store.write(frame(("x", 1), ("x", 1)), reset=True)
+    assert store.read().count() == 3
+    other = index.ChunkStore(spark, str(tmp_path / "i"), buckets=5)  # buckets change with a reset alone
+    other.write(frame(("d", 3)))
+    assert other.write(frame(("x", 1)), reset=True).count() == store.read().count() == 1
+    spark.sql(f"DROP TABLE {store._name(1)}")  # as in a new session
+    assert index.ChunkStore(spark, str(tmp_path / "i")).read().first().chunk_id == "x"
+
+
+def test_records_without_id_have_keys_of_their_own(spark):
+    rows = [trial(1, nct_id=None), trial(2, nct_id=None, brief_summary="other"), trial(3, nct_id=None), trial(4)]
+    ids = sorted(r.chunk_id for r in chunk_trials(trial_frame(spark, rows)).filter("section = 'summary'").collect())
+    assert ids[0] == "NCT00000004::summary::0" and all(i.startswith("UNNAMED-") for i in ids[1:]) and len(set(ids)) == 3  # two are alike in all
+
+
+def test_scores_are_pruned_without_loss(spark, monkeypatch):
+    """Every question has a word that all chunks have; blocks of eight chunks, each question against brute force."""
+    import math
+    import random
+
+    rng = random.Random(6)
+    monkeypatch.setattr(retrieval, "BLOCK", 8)
+    monkeypatch.setattr(retrieval, "PART", 300)
+    vocabulary = [f"t{int(rng.paretovariate(0.6))}" for _ in range(600)]
+    texts = {i: ["all", *(rng.choice(vocabulary) for _ in range(rng.randrange(1, 25)))] for i in range(900)}
+    asked = {q: ["all", *(rng.choice(vocabulary) for _ in range(rng.randrange(1, 5)))] for q in range(120)}
+    posted = index.postings(spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "chunk_id long, text string").repartition(3)).cache()
+    stats = index.posted_stats(posted)
+    idf = index.term_stats(posted, stats.select("n"))
+    weight, mean = {r.term: r.idf for r in idf.collect()}, sum(map(len, texts.values())) / len(texts)
+    expected = []
+    for q, words in asked.items():
+        scores = []
+        for i, w in texts.items():
+            parts = [weight[t] * w.count(t) * 2.5 / (w.count(t) + 1.5 * (0.25 + 0.75 * len(w) / mean)) for t in words if t in w]
+            if round(math.fsum(parts), 6) > 0:
+                scores.append((-round(math.fsum(parts), 6), i))
+        expected += [(q, i, rank, -s) for rank, (s, i) in enumerate(sorted(scores)[:7], 1)]
+    terms = retrieval.query_terms(spark.createDataFrame([(q, " ".join(w)) for q, w in asked.items()], "query_id long, query string"))
+    for most in (10_000, 1, 60):
+        got = retrieval.sparse_topk(terms, posted, idf, stats, 7, most=most)
+        assert "term" not in " ".join(x for x in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x)
+        assert sorted((r.query_id, r.chunk_id, r.sparse_rank, r.sparse_score) for r in got.collect()) == sorted(expected)
+    scorer = retrieval._Scorer([1, 2], ["all", "rare"], [0.1, 5.0], (5.0, 3, 1.5, 0.75, 6, "chunk_id"))
+    scored = []
+    monkeypatch.setattr(retrieval._Scorer, "_score", lambda self, *a, f=retrieval._Scorer._score: (scored.append(len(a[-1])), f(self, *a))[1])
+    table = index.postings(spark.createDataFrame([(i, "all rare" if i < 3 else "all " * (1 + i % 3)) for i in range(400)], "chunk_id long, text string").coalesce(1)).toArrow()
+    scorer.add(table.combine_chunks().to_batches()[0])
+    assert sum(scored) < 60  # of 100 pairs of block and question
 
 
 def plain_chunks(record, header, sections):
     out = []
+    record = record or "UNNAMED-" + hashlib.md5("\x1f".join([header, *(b or "" for b in sections.values())]).encode()).hexdigest()[:20]
     for name, body in sections.items():
         pieces = split_pieces(body, 900) if (body or "").strip() else []
         pieces = pieces[:1] + [f"{a[-150:]} {b}".strip() for a, b in zip(pieces, pieces[1:], strict=False)]
@@ -276,16 +333,14 @@ def test_every_chunk_of_both_sources(spark):
         header = f"Trial {t.nct_id or ''} - {t.brief_title or ''}\nStatus: {t.overall_status or ''} | Phase: {t.phase or 'N/A'} | Conditions: {t.conditions}\n"
         facts = f"Eligible ages: {number(t.min_age_years, 'unspecified')} to {number(t.max_age_years, 'no upper limit')} years. Sex eligible: {t.sex or 'unspecified'}. "
         facts += f"Enrollment target: {number(t.enrollment, 'unspecified')}.\n"
-        if t.nct_id:
-            expected += plain_chunks(t.nct_id, header, {"summary": t.brief_summary, "eligibility": facts + t.eligibility_criteria, "interventions": t.interventions})
+        expected += plain_chunks(t.nct_id, header, {"summary": t.brief_summary, "eligibility": facts + t.eligibility_criteria, "interventions": t.interventions})
     got = queries.chunk_trials(spark, SF).collect()
     assert sorted(map(tuple, got)) == sorted(expected) and len(got) > 600
     expected = []
     for a in articles(spark, SF).collect():
         header = f"Article PMID {a.pmid or ''} - {a.title or ''}\n{a.journal or 'Unknown journal'} ({a.pub_year or 'n.d.'}) | {a.publication_types or 'Journal Article'}\n"
         citation = f"{a.authors or 'Unknown authors'}. {a.title or ''}. {a.journal or ''} {a.pub_year or ''}. doi:{a.doi or 'n/a'}"
-        if a.pmid:
-            expected += plain_chunks(f"PMID{a.pmid}", header, {"abstract": a.abstract, "citation": citation})
+        expected += plain_chunks(a.pmid and f"PMID{a.pmid}", header, {"abstract": a.abstract, "citation": citation})
     got = queries.chunk_articles(spark, SF).collect()
     assert sorted(map(tuple, got)) == sorted(expected) and len(got) > 400
     counted = {r.source_type: r.chunks for r in queries.chunk_counts(spark, SF).collect()}

@@ -5,12 +5,13 @@ from pyspark.sql import functions as F
 
 from evispark.functions.vectors import encode_with, hash_vectors
 
-from evispark.jobs.workloads import Index, answer, build_index, load_governed
+from evispark.jobs.workloads import Feed, Index, answer, build_index, ingest, load_governed, with_texts
 from evispark.operators.governance import UnknownRole
-from evispark.operators.index import DimensionMismatch
-from evispark.operators.quality import BatchHalted, trial_gate
+from evispark.operators.index import ChunkStore, DimensionMismatch
+from evispark.operators.quality import literature_gate, trial_gate
 from evispark.sources.files import land_raw, quarantine, read_patients
-from evispark.sources.journal import Audit, Lineage, ancestry, chain_text, tail, trace
+from evispark.sources.journal import Audit, Lineage, ancestry, chain_text, closure, table_versions, trace
+from evispark.sources.numbers import Numbers, counted_in_order
 from evispark.sources.versions import SchemaEnforcementError, VersionedTable, incremental_load, normalise_for_commit
 from evispark.streaming import events as ev
 from evispark.views import AS_OF, articles, patients, trials
@@ -116,15 +117,38 @@ def test_journal(spark, tmp_path):
     b = lineage.record("WRITE", [a], ["lake@v0"], 3, {"k": 1})
     nodes = lineage.load()
     assert (a, b) == ("LIN_0000_READ", "LIN_0001_WRITE")
-    assert chain_text(nodes).first().chain.split("\n")[1] == "LIN_0001_WRITE: LIN_0000_READ -> lake@v0 (3)"
+    blocks = chain_text(nodes).first().chain.split("\n  |\n  v\n")
+    assert blocks[1].split("\n") == ["  LIN_0001_WRITE", "     operation : WRITE", "     inputs    : LIN_0000_READ", "     outputs   : lake@v0", "     records   : 3", "     at        : t"]
     assert {r.lineage_id for r in ancestry(nodes, b, "r1").collect()} == {a, b}
     evidence = spark.createDataFrame([(1, b)], "citation int, lineage_id string")
     assert trace(evidence, nodes).first().outputs == ["lake@v0"]
-    audit = Audit(spark, str(tmp_path / "a"), clock=lambda: "t")
-    for i in range(4):
-        audit.log("me", "public", "DO", {"i": i}, seq=i)
-    audit.log_rows(spark.createDataFrame([(9, "{}")], "seq long, payload string"), "me", "public", "ROWS")
-    assert [r.seq for r in tail(audit.load(), 3).collect()] == [2, 3, 9]
+
+
+def test_closure_of_a_chain_and_a_fork(spark):
+    rows = [("r", f"n{i}", [f"n{i - 1}"] if i else ["raw"], ["x@v0"] if i == 0 else ["y"]) for i in range(20)] + [("r", "m", ["n3", "n5"], ["z@v7"]), ("s", "n1", ["n0"], [])]
+    nodes = spark.createDataFrame(rows, "run_id string, lineage_id string, inputs array<string>, outputs array<string>")
+    reached = {}
+    for r in closure(nodes).collect():
+        reached.setdefault((r.run_id, r.lineage_id), set()).add(r.ancestor)
+    assert reached["r", "n19"] == {f"n{i}" for i in range(20)} and reached["r", "m"] == {"m", *(f"n{i}" for i in range(6))} and reached["s", "n1"] == {"n1"}
+    evidence = spark.createDataFrame([(1, "n7"), (2, "m"), (3, None)], "citation int, lineage_id string")
+    traced = {r.citation: r.table_versions for r in table_versions(evidence, nodes.filter("run_id = 'r'")).collect()}
+    assert traced == {1: ["x@v0"], 2: ["x@v0", "z@v7"], 3: None}
+
+
+def test_audit_is_one_rising_order(spark, tmp_path):
+    day = iter(["2026-01-01T1", "2026-01-01T2", "2026-01-03T1", "2026-01-02T9", "2026-01-04T1"])
+    audit = Audit(spark, str(tmp_path / "a"), clock=lambda: next(day))
+    assert audit.tail(3).count() == 0
+    audit.log("me", "public", "DO", {"i": 0})
+    told = audit.log_rows(spark.range(0, 10, 1, 3).select("id", F.col("id").cast("string").alias("payload")), "me", "public", "ROWS")
+    assert {r.id: r.seq for r in told.collect()} == {i: i + 1 for i in range(10)} and told.select("audit_id").distinct().count() == 10
+    audit.log("me", "public", "DO", {"i": 1})
+    audit.log("me", "public", "LATE", {"i": 2})  # a clock that goes back
+    audit.log("me", "public", "DO", {"i": 3})
+    assert [r.seq for r in audit.load().orderBy("seq").collect()] == list(range(14))
+    assert [r.action for r in audit.tail(3).collect()] == ["DO", "LATE", "DO"] and audit.tail(100).count() == 14
+    assert not any("2026-01-01" in f for f in audit.load(audit.days()[-2:]).inputFiles())
 
 
 class Stream:
@@ -194,9 +218,15 @@ def test_a_committed_batch_that_comes_again_is_passed_over(spark, tmp_path):
 
 def test_rows_are_numbered_as_they_stand(spark):
     rows = spark.range(0, 1000, 1, 7).filter("id % 7 <> 3 AND (id < 300 OR id > 500)")
-    numbered = ev.in_order(rows, "n", 5).orderBy("id").collect()
-    assert [r.n for r in numbered] == list(range(5, 5 + len(numbered)))
-    assert ev.in_order(spark.range(0)).count() == 0
+    numbered, n = counted_in_order(rows, "n")
+    assert [r.n for r in numbered.orderBy("id").collect()] == list(range(n)) and n == rows.count()
+    empty, n = counted_in_order(spark.range(0))
+    assert empty.count() == n == 0
+
+
+def test_numbers_are_given_once(spark, tmp_path):
+    one, other = Numbers(spark, str(tmp_path / "n")), Numbers(spark, str(tmp_path / "n"))
+    assert [one.reserve(3), other.reserve(0), other.reserve(2), one.reserve(1), one.following()] == [0, 3, 3, 5, 6]
 
 
 def test_offsets_go_on(spark, tmp_path):
@@ -229,32 +259,82 @@ def test_unique_within_a_delay(spark, tmp_path):
 
 def test_workloads_end_to_end(spark, tmp_path):
     at = str(tmp_path)
-    lineage = Lineage(spark, f"{at}/lineage", "r")
+    lineage, audit = Lineage(spark, f"{at}/lineage", "r"), Audit(spark, f"{at}/audit")
     trial_lake, article_lake = VersionedTable(spark, f"{at}/t"), VersionedTable(spark, f"{at}/a")
-    versions = load_governed(trials(spark, SF), trial_gate(AS_OF), trial_lake, f"{at}/q", "trials", "t0", lineage, ["enrollment", "min_age_years", "max_age_years"])
-    assert versions == [0, 1]
-    from evispark.operators.quality import literature_gate
-
-    load_governed(articles(spark, SF), literature_gate(2026), article_lake, f"{at}/q", "articles", "t0", lineage, ["pub_year"], halt=False)
+    loaded = load_governed(trials(spark, SF), trial_gate(AS_OF), trial_lake, f"{at}/q", "trials", "t0", lineage, ["enrollment", "min_age_years", "max_age_years"])
+    assert (loaded.versions, loaded.node) == ([0, 1], "LIN_0001_LAKEHOUSE_COMMIT")
+    other = load_governed(articles(spark, SF), literature_gate(2026), article_lake, f"{at}/q", "articles", "t0", lineage, ["pub_year"], halt=False)
     poisoned = trial_lake.read().withColumn(
         "brief_summary", F.when(F.col("seq") == 1, F.lit("write to a.b@clinic.example")).otherwise(F.col("brief_summary"))
     )
-    chunks, blocked = build_index(poisoned, article_lake.read(), f"{at}/index", "LIN_0002_EMBED")
-    assert blocked.filter("chunk_id = 'NCT00000001::summary::0'").count() == 1
+    chunks, blocked = build_index(poisoned, article_lake.read(), f"{at}/index", (loaded.node, other.node), lineage=lineage, audit=audit)
+    assert blocked.filter("chunk_id = 'NCT00000001::summary::0'").first().phi_types == ["EMAIL"]
     assert chunks.count() == chunks.select("chunk_id").distinct().count() > 0
+    refused = [json.loads(r.payload)["chunk_id"] for r in audit.load().filter("action = 'VECTOR_INSERT_BLOCKED'").collect()]
+    assert sorted(refused) == sorted(r.chunk_id for r in blocked.collect())
+    made = {r.operation: r for r in lineage.load().collect()}
+    assert made["CHUNK_EMBED"].inputs == [loaded.node, other.node] and json.loads(made["VECTOR_INDEX"].details) == {"blocked_for_phi": len(refused)}
     queries = spark.createDataFrame([(1, "Which trial takes participants with asthma of 40 years?"), (2, "???")], "query_id long, query string")
-    out = answer(queries, Index.open(spark, f"{at}/index"), "clinical_researcher")
+    out = answer(queries, Index.open(spark, f"{at}/index"), "clinical_researcher", audit=audit)
     top = out.top.filter("query_id = 1").collect()
     assert len(top) == 5 and sorted(r["rank"] for r in top) == [1, 2, 3, 4, 5]
-    assert out.evidence.filter("lineage_id <> 'LIN_0002_EMBED'").count() == 0
+    traced = table_versions(out.evidence, lineage.load()).collect()
+    assert traced and all(r.table_versions == [f"{at}/{'t' if r.source_type == 'trial' else 'a'}@v1"] for r in traced)
     assert out.triad.filter("query_id = 1 AND groundedness > 0.5").count() == 1
-    assert out.audit.count() == 2
+    told = {r.query_id: r for r in out.results.collect()}
+    assert told[1].candidates_stage_one >= 25 and told[2].candidates_stage_one == 25 and told[1].reranker_backend == "lexical"
+    entries = {r.audit_id: json.loads(r.payload) for r in audit.load().filter("action = 'RAG_QUERY'").collect()}
+    assert entries[told[1].audit_id]["query_redacted"] == told[1].question_used and len(entries) == 2
     with pytest.raises(UnknownRole):
         answer(queries, Index.open(spark, f"{at}/index"), "nobody")
     with pytest.raises(DimensionMismatch):
         answer(queries, Index.open(spark, f"{at}/index"), "public", encoder=narrow)
 
 
+def test_ingest_takes_rows_with_an_identifier_in_order(spark, tmp_path):
+    at, lineage = str(tmp_path), Lineage(spark, f"{tmp_path}/lineage", "r")
+    rows = trial_frame(spark, [trial(0), trial(1, nct_id=None), trial(2, nct_id=""), trial(3)])
+    for _ in range(2):
+        node = ingest([Feed("raw_clinical_trials", "registry", rows, "nct_id"), Feed("raw_literature", "literature", spark.range(2))], f"{at}/landing", f"{at}/events", lineage)
+    assert node == "LIN_0001_INGEST" and [r.record_count for r in lineage.load().collect()] == [4, 4]
+    events = spark.read.parquet(f"{at}/events").filter("topic = 'raw_clinical_trials'").orderBy("offset").collect()
+    assert [(r.offset, json.loads(r.payload)["seq"]) for r in events] == [(0, 0), (1, 3), (2, 0), (3, 3)]
+    assert spark.read.json(f"{at}/landing/raw_clinical_trials").count() == 4
+
+
+def test_a_failed_index_leaves_the_old_one(spark, tmp_path):
+    at = str(tmp_path)
+    flagged = [f(spark, SF).dropDuplicates([key]).withColumn("data_quality_flags", F.lit("")) for f, key in ((trials, "nct_id"), (articles, "pmid"))]
+    build_index(*flagged, f"{at}/index", ("a", "b"))
+    before = Index.open(spark, f"{at}/index").chunks.count()
+
+    def broken(c):
+        return F.when(F.raise_error(F.lit("the encoder fails")).isNull(), F.array(F.lit(1.0).cast("float")))
+
+    with pytest.raises(Exception, match="the encoder fails"):
+        build_index(*flagged, f"{at}/index", ("a", "b"), encoder=broken)
+    assert Index.open(spark, f"{at}/index").chunks.count() == before
+    build_index(*(f.limit(50) for f in flagged), f"{at}/index", ("a", "b"))
+    assert 0 < Index.open(spark, f"{at}/index").chunks.count() < before
+    assert sorted(p.name for p in (tmp_path / "index").iterdir()) == ["00000001", "ready"]
+
+
+def test_texts_stay_where_they_are(spark, tmp_path):
+    """The join of hits to a chunk store moves the hits only, and reads no bucket without any."""
+    chunks = spark.range(500).select(F.concat(F.lit("c"), "id").alias("chunk_id"), F.repeat(F.lit("text "), 50).alias("text"))
+    store = ChunkStore(spark, str(tmp_path / "c"), buckets=16).write(chunks)
+    hits = spark.createDataFrame([(1, "c7"), (2, "c8"), (3, "c7"), (4, "none")], "query_id long, chunk_id string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        joined = with_texts(hits, store)
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r.query_id, r.chunk_id) for r in joined.collect()) == [(1, "c7"), (2, "c8"), (3, "c7")]
+        assert plan.count("Exchange") == 1 and "Bucketed: true" in plan and "out of 16" in plan and "16 out of 16" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def narrow(c):
     return encode_with(lambda: lambda texts: hash_vectors(texts, 16), c)
 
@@ -262,13 +342,13 @@ def narrow(c):
 def test_an_index_of_another_encoder(spark, tmp_path):
     at = str(tmp_path)
     lineage, audit = Lineage(spark, f"{at}/lineage", "r"), Audit(spark, f"{at}/audit")
-    flagged = [f(spark, SF).withColumn("data_quality_flags", F.lit("")) for f in (trials, articles)]
-    build_index(*flagged, f"{at}/index", "", encoder=narrow, lineage=lineage, after=("LIN_X",))
+    flagged = [f(spark, SF).dropDuplicates([key]).withColumn("data_quality_flags", F.lit("")) for f, key in ((trials, "nct_id"), (articles, "pmid"))]
+    build_index(*flagged, f"{at}/index", ("LIN_X", "LIN_Y"), encoder=narrow, lineage=lineage)
     queries = spark.createDataFrame([(1, "asthma trials"), (2, "mail a.b@clinic.example")], "query_id long, query string")
     out = answer(queries, Index.open(spark, f"{at}/index"), "public", encoder=narrow, audit=audit, actor="me")
-    assert {r.lineage_id for r in out.evidence.collect()} == {"LIN_0000_CHUNK_EMBED"}
-    node = lineage.load().first()
-    assert node.inputs == ["LIN_X"] and node.record_count == spark.read.parquet(f"{at}/index/chunks").count()
+    assert {(r.source_type, r.lineage_id) for r in out.evidence.collect()} <= {("trial", "LIN_X"), ("literature", "LIN_Y")}
+    index = lineage.load().filter("operation = 'VECTOR_INDEX'").first()
+    assert index.inputs == ["LIN_0000_CHUNK_EMBED"] and index.record_count == Index.open(spark, f"{at}/index").chunks.count()
     entries = [json.loads(r.payload) for r in audit.load().collect()]
     assert len(entries) == 2 and all(e["latency_ms"] > 0 and len(e["chunks_returned"]) == 5 for e in entries)
     assert sorted(e["phi_stripped_from_query"] for e in entries) == [[], ["EMAIL"]]
