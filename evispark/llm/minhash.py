@@ -1,4 +1,4 @@
-"""Near-duplicate documents: one-permutation hashing, banded buckets, star-shaped candidate edges, a prefix join, exact confirmation."""
+"""Near-duplicate documents: one-permutation hashing, banded buckets, star-shaped candidate edges, exact confirmation, blocks for what stays apart."""
 
 from __future__ import annotations
 
@@ -20,6 +20,8 @@ BINS, BANDS = 128, 32
 RING = 4096
 #: Rounds of star edges at most. What they leave apart is looked for exactly, so more only save pairs there.
 ROUNDS = 4
+#: Members and shingles of a block of those that are compared with all of another block at last, about.
+MEMBERS, SHINGLES = 1024, 1 << 19
 
 
 def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -145,63 +147,136 @@ def across(held: DataFrame, found: DataFrame) -> DataFrame:
     return candidates(heads.join(mixed_keys, "key"))
 
 
-def apart(held: DataFrame, found: DataFrame) -> DataFrame:
-    """(rep, component): members of buckets in which several components meet."""
-    placed = held.join(found, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    met = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    return placed.join(met, "key", "left_semi").select("rep", "component").distinct()
-
+def apart(held: DataFrame, found: DataFrame, most: int) -> DataFrame:
+    """(g, rep, component): groups whose members have to be compared across components, as they share buckets.
 
-def _size_class(size: Column) -> Column:
-    return F.floor(F.log(size) * 20)
+    Components that meet in buckets make a family, which is a group; a family of over ``most`` members is left in its buckets, a
+    group each, where it can have less to compare.
+    """
+    placed = held.join(found, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    met = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key", "low")
+    mixed_buckets = written(placed.join(met, "key"), "mixed-buckets")
+    families = components(mixed_buckets.select(F.col("component").alias("u"), F.col("low").alias("v")))
+    members = written(mixed_buckets.join(families.withColumnRenamed("component", "family"), F.col("component") == F.col("node")).select("key", "family", "rep", "component"), "families")
+    sizes = members.select("family", "rep").distinct().groupBy("family").agg((F.count("*") > most).alias("large"))
+    marked = members.join(sizes, "family")
+    own = marked.filter("NOT large").select(F.struct(F.lit(False).alias("bucket"), F.col("family").alias("id")).alias("g"), "rep", "component").distinct()
+    return own.unionAll(marked.filter("large").select(F.struct(F.lit(True).alias("bucket"), F.col("key").alias("id")).alias("g"), "rep", "component"))
+
+
+def dealt_in_blocks(groups: DataFrame, sets: DataFrame, members: int, shingles: int) -> DataFrame:
+    """(g, x, y, block, rep, component, hashes): members with their sets, once for each pair of blocks that their block is in.
+
+    Those of a group's largest component, which need no comparison with one another, have blocks of their own: of the
+    others each pair of blocks is compared, and each with each of the largest component's. A block has about ``members``
+    members and ``shingles`` hashes at most, a group as many blocks as that takes.
+    """
+    rows = groups.join(sets, "rep")
+    by_component = rows.groupBy("g", "component").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
+    largest = by_component.groupBy("g").agg(F.max(F.struct("n", "component"))["component"].alias("largest"))
+    major = F.col("component") == F.col("largest")
+
+    def needed(which: Column) -> Column:
+        total = lambda c: F.sum(F.when(which, F.col(c)))
+        return F.ceil(F.greatest(total("n") / members, total("shingles") / shingles)).cast("int")
+
+    blocks = by_component.join(largest, "g").groupBy("g", "largest").agg(needed(~major).alias("minor"), needed(major).alias("major"))
+    placed = rows.join(written(blocks, "blocks"), "g")
+    hashed = F.xxhash64("rep")
+    minor = F.pmod(hashed, "minor").cast("int")
+    last = F.col("minor") + F.col("major") - 1
+    own = F.when(major, F.col("minor") + F.pmod(hashed, "major").cast("int")).otherwise(minor).alias("block")
+    placed = placed.select("g", "rep", "component", "hashes", "minor", own, F.when(major, F.col("minor") - 1).otherwise(last).alias("to"))
+    pairs = F.transform(F.sequence(F.lit(0), "to"), lambda k: F.struct(F.least(k, "block").alias("x"), F.greatest(k, "block").alias("y")))
+    return placed.select("g", "block", "rep", "component", "hashes", F.explode(pairs).alias("p")).select("g", "p.x", "p.y", "block", "rep", "component", "hashes")
+
+
+def common_counts(lists: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """(left x right) how many hashes the sets with these numbers have in common.
+
+    Hashes that over an eighth of the sets have are compared as bits, many at once; the pairs of the others are counted.
+    """
+    owner, value = np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate(lists)
+    code, counts = np.unique(value, return_inverse=True, return_counts=True)[1:]
+    shared = counts[code] > 1
+    owner, code = owner[shared], code[shared]
+    out = np.zeros((len(left), len(right)), np.int32)
+    often = counts[code] * 8 > len(lists)
+    names, column = np.unique(code[often], return_inverse=True)
+    if len(names):
+        bits = np.zeros((len(lists), -(-len(names) // 64) * 64), bool)
+        bits[owner[often], column] = True
+        packed = np.packbits(bits, axis=1).view(np.uint64)
+        for i, x in enumerate(left):
+            out[i] = np.bitwise_count(packed[x] & packed[right]).sum(axis=1)
+    owner, code = owner[~often], code[~often]
+    sides = []
+    for side in (left, right):
+        place = np.full(len(lists), -1)
+        place[side] = np.arange(len(side))
+        mine = place[owner] >= 0
+        order = np.argsort(code[mine], kind="stable")
+        sides.append((code[mine][order], place[owner[mine]][order]))
+    (hash_l, at_l), (hash_r, at_r) = sides
+    begin, end = np.searchsorted(hash_r, hash_l), np.searchsorted(hash_r, hash_l, "right")
+    n = end - begin
+    step = np.cumsum(n) // (1 << 22)
+    for c in range(int(step[-1]) + 1 if len(step) else 0):
+        mine = slice(*np.searchsorted(step, [c, c + 1]))
+        k = n[mine]
+        other = np.repeat(begin[mine] - np.cumsum(k) + k, k) + np.arange(k.sum())
+        out += np.bincount(np.repeat(at_l[mine], k) * len(right) + at_r[other], minlength=out.size).reshape(out.shape).astype(np.int32)
+    return out
 
 
-def prefix_pairs(pool: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """(a, b), a < b: every pair of different components of ``pool`` (rep, component) that can be alike by ``percent``.
+def block_links(groups: DataFrame, texts: DataFrame, n: int, percent: int, members: int = MEMBERS, shingles: int = SHINGLES) -> DataFrame:
+    """(u, v): links between components of each group, enough of them to join all that are linked.
 
-    Shingles are put in one order, rare ones first. If the first that two sets share stands at places i and j, they
-    share min(size - i, size - j) at most, so each set is found by the few shingles at its beginning that leave enough.
-    A shingle that a whole family has stands behind what its members have alone, where it is not looked at unless
-    they are alike. The longer set goes to the classes of size of the partners that a place allows.
+    Sets travel as hashes, to each pair of blocks once; a task compares two blocks and gives links that make a forest, so
+    neither pairs nor texts of pairs are ever rows.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in slices(whole, "text"):
-                row, value, size = shingle_sets(b.column("text"), n)
-                name = np.zeros(b.num_rows, np.uint64)
-                np.add.at(name, row, mixed(value + np.uint64(0xA5A5)))
-                rep, component = (b.column(c).take(pa.array(row)) for c in ("rep", "component"))
-                yield pa.RecordBatch.from_arrays(
-                    [rep, component, pa.array(signed(name)[row]), pa.array(size[row], pa.int64()), pa.array(signed(value))],
-                    ["rep", "component", "name", "size", "h"],
-                )
-
-    percent = max(percent, 1)
-    own = texts.join(pool, F.col("doc_id") == F.col("rep")).select("rep", "component", "text")
-    shingles = written(own.mapInArrow(run, "rep long, component long, name long, size long, h long"), "shingles")
-    often = shingles.groupBy("h").agg(F.count("*").alias("often")).filter("often > 1")
-    # what one set has alone leads nowhere, but holds its place
-    first = shingles.join(often, "h", "left").withColumn("often", F.coalesce("often", F.lit(1)))
-    sets = first.groupBy("rep", "component", "name", "size").agg(F.collect_set(F.struct("often", "h")).alias("all"))
-    kept = F.slice(F.sort_array("all"), F.lit(1), (F.col("size") - F.floor(F.col("size") * percent / F.lit(100)) + 1).cast("int"))
-    placed = sets.select("rep", "component", "size", F.posexplode(kept).alias("i", "s")).filter("s.often > 1")
-    placed = written(placed.select("rep", "component", "size", (F.col("size") - F.col("i")).alias("rest"), F.col("s.h").alias("h")), "prefixes")
-    most = F.least("size", F.floor((100 + percent) * F.col("rest") / F.lit(percent)) - F.col("size"))
-    least = F.greatest(F.lit(1), F.floor(F.col("size") * percent / F.lit(100)))
-    longer = placed.withColumn("most", most).withColumn("least", least).filter("most >= least")
-    longer = longer.select(
-        "h",
-        F.explode(F.sequence(_size_class(F.col("least")), _size_class(F.col("most")))).alias("c"),
-        F.col("rep").alias("x"), F.col("component").alias("of_x"), F.col("size").alias("size_x"), F.col("most"),
-    )
-    shorter = placed.filter((100 + percent) * F.col("rest") >= 2 * percent * F.col("size"))
-    shorter = shorter.select("h", _size_class(F.col("size")).alias("c"), F.col("rep").alias("y"), F.col("component").alias("of_y"), F.col("size").alias("size_y"), "rest")
-    meet = (
-        (longer["h"] == shorter["h"]) & (longer["c"] == shorter["c"]) & (F.col("of_x") != F.col("of_y")) & (F.col("size_y") <= F.col("most"))
-        & ((100 + percent) * F.col("rest") >= percent * (F.col("size_x") + F.col("size_y"))) & (100 * F.col("size_y") >= percent * F.col("size_x"))
-    )
-    return longer.join(shorter, meet).select(*_ordered(F.col("x"), F.col("y"))).distinct()
+                _, value, size = shingle_sets(b.column("text"), n)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(signed(value)))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size, pa.int64()), lists], ["rep", "size", "hashes"])
+
+    wanted = written(groups.select(F.col("rep").alias("doc_id")).distinct(), "compared")
+    sets = written(texts.join(wanted, "doc_id", "left_semi").mapInArrow(hashes, "rep long, size long, hashes array<long>"), "sets")
+    out = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def compare(t: pa.Table) -> pa.Table:
+        x, y = t.column("x")[0].as_py(), t.column("y")[0].as_py()
+        block, rep, component = (t.column(c).to_numpy() for c in ("block", "rep", "component"))
+        lists = t.column("hashes").combine_chunks()
+        ends, flat = np.asarray(lists.offsets), lists.values.to_numpy()
+        each = [flat[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        size = np.diff(ends)
+        left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
+        if not (len(left) and len(right)):
+            return out.empty_table()
+        common = common_counts(each, left, right)
+        union = size[left][:, None] + size[right][None, :] - common
+        i, j = np.nonzero((100 * common >= percent * union) & (common > 0) & (component[left][:, None] != component[right][None, :]))
+        parent: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while parent.get(c, c) != c:
+                c = parent[c]
+            return c
+
+        kept = []
+        for p, q in zip(left[i].tolist(), right[j].tolist(), strict=True):
+            a, b = root(int(component[p])), root(int(component[q]))
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                kept.append((int(rep[p]), int(rep[q])))
+        return pa.table([pa.array([k[0] for k in kept], pa.int64()), pa.array([k[1] for k in kept], pa.int64())], schema=out)
+
+    dealt = dealt_in_blocks(groups, sets, members, shingles)
+    return dealt.groupBy("g", "x", "y").applyInArrow(compare, "u long, v long")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -235,7 +310,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     (doc_id = component_id). Documents are linked when their sets of n-word shingles are alike by ``percent`` or
     more. Documents with equal sets are one class with its smallest doc_id as representative, so copies are never
     paired; candidates between classes come from buckets and are confirmed on full sets. ROUNDS of star edges at most
-    join components; then every pair that shares a bucket across components is looked for exactly (prefix_pairs).
+    join components; then all that share buckets across components are compared in blocks, exactly (block_links).
 
     Null and empty texts have no shingles and are linked with nothing. A null doc_id is linked with nothing either
     (component_id null, kept true). Rows that share a doc_id are one node: each keeps its row, with the component
@@ -270,9 +345,11 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
             break
         links = links.unionAll(new)
         found = components(links)
-    new = tested(prefix_pairs(written(apart(held, found), "apart"), texts, n, percent))
-    if not new.isEmpty():
-        found = components(links.unionAll(new))
+    groups = written(apart(held, found, BANDS * MEMBERS), "apart")
+    if not groups.isEmpty():
+        new = written(block_links(groups, texts, n, percent), "links")
+        if not new.isEmpty():
+            found = components(links.unionAll(new))
     grouped = base.select("doc_id", "n_shingles").join(found, F.col("doc_id") == F.col("node"), "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     return grouped.select(

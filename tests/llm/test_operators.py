@@ -106,6 +106,37 @@ def test_links_between_members_that_are_not_alike_to_the_centre(spark):
     assert got.filter("kept").count() < 300
 
 
+def family(n, seed):
+    """Texts of 40 blocks of ten words, each in one of two wordings: many are nearly alike, some are."""
+    rng = random.Random(seed)
+    words = [" ".join(f"b{k}w{j}" for j in range(10)) for k in range(80)]
+    return [(i, " ".join(words[2 * k + (rng.random() < 0.09)] for k in range(40)), "en", "s", 1) for i in range(n)]
+
+
+@pytest.mark.parametrize(("members", "most"), [(1024, 32 * 1024), (17, 32 * 17), (17, 5)])  # 5: every family is compared bucket by bucket
+def test_a_family_just_under_the_threshold(spark, members, most, monkeypatch):
+    rows = family(150, 1)
+    monkeypatch.setattr(minhash.block_links, "__defaults__", (members, minhash.SHINGLES))
+    monkeypatch.setattr(minhash, "apart", lambda held, found, _, f=minhash.apart: f(held, found, most))
+    assert by_id(minhash.near_duplicates(H.frame(spark, rows), n=4), "n_shingles", "component_id") == H.groups(rows, 4)
+
+
+def test_blocks_of_a_family_grow_with_it(spark, monkeypatch):
+    dealt = []
+    monkeypatch.setattr(minhash, "dealt_in_blocks", lambda *a, f=minhash.dealt_in_blocks: dealt.append(f(*a)) or dealt[-1])
+    for n in (100, 200):
+        minhash.near_duplicates(H.frame(spark, family(n, 2)), n=4).count()
+    assert dealt[0].count() <= 130 and dealt[1].count() <= 260
+
+
+def test_common_counts():
+    rng = np.random.default_rng(3)
+    lists = [np.unique(rng.integers(0, 400, rng.integers(1, 90))) for _ in range(30)] + [np.array([5])]
+    left, right = np.array([0, 3, 30]), np.arange(31)
+    expected = [[len(set(lists[i]) & set(lists[j])) for j in right] for i in left]
+    assert minhash.common_counts(lists, left, right).tolist() == expected
+
+
 def test_signatures_estimate_likeness():
     rng = np.random.default_rng(0)
     for share in (0.5, 0.8, 0.95):
