@@ -192,7 +192,7 @@ def dealt_in_blocks(groups: DataFrame, sets: DataFrame, members: int, shingles:
 
 
 def common_counts(lists: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """(left x right) how many hashes the sets with these numbers have in common.
+    """(left x right) how many hashes any two different ones of the sets have in common.
 
     Hashes that over an eighth of the sets have are compared as bits, many at once; the pairs of the others are counted.
     """
