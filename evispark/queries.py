@@ -15,7 +15,7 @@ from .functions.splitting import OVERLAP, SEPARATORS, SIZE, split_text, with_ove
 from .functions.text import parse_age_years, tokenize
 from .functions.vectors import encode_with, hash_embed
 from .jobs.workloads import Feed, Index, answer, build_index, candidates, govern, ingest, load_governed
-from .operators import chunking, fhir, flatten, governance, index, quality, retrieval
+from .operators import chunking, fhir, flatten, governance, index, lists, quality, retrieval
 from .operators.answers import rag_triad
 from .scratch import new_path, scratch
 from .sources.files import land_raw, quarantine, read_articles_xml, read_patients, read_quarantine, read_studies
@@ -721,6 +721,15 @@ def dense_topk(spark, sf_dir):
     return retrieval.dense_topk(asked, vectors, 25, digits=6, key="vec_id")
 
 
+@query(ORACLES["dense_topk"])
+def dense_topk_lists(spark, sf_dir):
+    """The same from inverted lists, of which those are read that can hold a hit."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    held = lists.ListIndex.write(vectors, new_path(spark, "lists"), "vec_id")
+    asked = vectors.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
+    return lists.list_topk(asked, held, 25, digits=6)
+
+
 @query("SELECT count(*) AS chunks, min(len(embedding))::INT AS min_dim, max(len(embedding))::INT AS max_dim FROM embeddings")
 def index_stats(spark, sf_dir):
     return index.index_stats(table(spark, sf_dir, "embeddings").withColumnRenamed("embedding", "vector"))

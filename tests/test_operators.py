@@ -1,11 +1,12 @@
 import hashlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from evispark import queries
 from evispark.functions.splitting import split_pieces, split_text, with_overlap
-from evispark.operators import answers, fhir, flatten, governance, index, quality, retrieval
+from evispark.operators import answers, fhir, flatten, governance, index, lists, quality, retrieval
 from evispark.operators.chunking import chunk_articles, chunk_trials
 from evispark.queries import articles, notes, trials
 from evispark.schemas import ARTICLE, PATIENT, STUDY, TRIAL, parsed
@@ -230,6 +231,26 @@ def test_dense_blocks_and_parts_give_what_a_broadcast_gives(spark, monkeypatch):
     assert one == many and len(one) == 91 * 7
 
 
+@pytest.mark.parametrize("spread", [0.05, 3.0])  # tight clusters, and none to speak of
+def test_lists_give_what_all_vectors_give(spark, tmp_path, spread):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 6))
+    made = [(i, (centres[i % 12] + spread * rng.normal(size=6)).round(3).tolist()) for i in range(900)] + [(1000, [0.0] * 6), (1001, [0.0] * 6), (1002, [])]
+    rows = spark.createDataFrame(made, "vec_id long, vector array<double>")
+    asked = rows.filter("vec_id % 10 = 0").withColumnRenamed("vec_id", "query_id")
+    held = lists.ListIndex.write(rows, str(tmp_path / "l"), "vec_id", lists=24)
+    expected = sorted(tuple(r) for r in retrieval.dense_topk(asked, rows, 7, digits=4, key="vec_id").collect())
+    for block in (4096, 40):
+        got = lists.list_topk(asked, held, 7, digits=4, block=block).select("query_id", "vec_id", "dense_score", "dense_rank")
+        assert sorted(tuple(r) for r in got.collect()) == expected
+    q = lists.matrix([v for i, v in made if i % 10 == 0 and any(v)])
+    bounds = lists.Bounds(held, q)
+    scores = q @ lists.matrix([v for _, v in made if any(v)]).T
+    read = bounds.reaching(np.sort(scores, axis=1)[:, -7], None).mean()
+    assert read < 0.3 if spread < 1 else read > 0.3
+    assert lists.list_topk(asked.filter("false"), held, 7).count() == 0
+
+
 def test_sparse_join_gives_what_a_broadcast_gives(spark):
     words = "ada bab cac dad eae faf the the the".split()
     texts = [(i, " ".join(words[(i * k) % 9] for k in range(1, 2 + i % 12)) + " rare" * (i % 30 == 0)) for i in range(300)] + [(300, None), (301, "")]
