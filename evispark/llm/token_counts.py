@@ -37,7 +37,8 @@ def count_tokens(docs: DataFrame, model: PieceModel, limit: int = 4096, hot_byte
     A pre-token is hot if it stands at least (bytes of all pre-tokens / hot_bytes) times in the corpus: together the
     hot ones have ``hot_bytes`` at most, whatever the corpus, so their counts are broadcast. The others are joined to
     per-document frequencies by a shuffle in which no key is frequent. Rows are told apart by a row key, so repeated
-    doc_ids, null doc_ids and equal texts each keep their own row. An empty table gives no rows.
+    doc_ids, null doc_ids and equal texts each keep their own row. A long text is counted whole, by one task. An empty
+    table gives no rows; other columns are not read, so none can clash.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

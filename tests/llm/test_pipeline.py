@@ -3,13 +3,14 @@
 import random
 from collections import Counter
 
+import duckdb
 import public_tokenizers
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from evispark.llm import mixing, queries
+from evispark.llm import oracles, queries
 from evispark.llm.common import written
 
 from ..oracle import spark_rows
@@ -95,12 +96,17 @@ def test_substring_stage_cuts_repeats(chain):
 
 
 def test_mix_stage_repeats_and_leaves_out(chain):
+    """Every row as often as the SQL of the mix takes it, with all columns in a row's hash, as the stage has them."""
     _, docs, result = chain[3]
-    taken = mixing.mix(docs).agg(F.sum("taken")).first()[0]
-    sizes = [len(H.words(r[1])) for r in rows(result)]
-    # the row's other columns are part of its hash here, so the choice may be another one, as near to the targets
-    before, after = Counter(rows(docs)), Counter(rows(result))
-    assert abs(sum(sizes) - taken) <= 4 * max(sizes) and all(n <= 3 * before[r] for r, n in after.items())
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    named = oracles.mixing().replace("coalesce(md5(text), ''))) AS key", "coalesce(md5(text), ''), coalesce(lang, ''), coalesce(n_chars::VARCHAR, ''))) AS key")
+    named = named.replace("PARTITION BY doc_id, source, text)", "PARTITION BY doc_id, source, text, lang, n_chars)").replace("SELECT doc_id, source, coalesce('s'", "SELECT doc_id, text, lang, n_chars, source, coalesce('s'")
+    taken = con.execute(named.replace("SELECT doc_id, size, source_size, target, (size", "SELECT doc_id, text, lang, source, n_chars, (size")).fetchall()
+    expected = Counter()
+    for *row, _, copies in taken:
+        expected[tuple(row)] += copies
+    assert Counter(rows(result)) == +expected and len(taken) == docs.count()
 
 
 def test_encoding_stage(chain):
