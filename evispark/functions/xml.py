@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -11,6 +12,10 @@ from pyspark.sql import functions as F
 from ..schemas import ARTICLE_PARTS, parsed
 
 
+#: A document type stands before the root element, after nothing but instructions and comments; elsewhere it is text.
+_DTD = re.compile(r"\s*(?:(?:<\?.*?\?>|<!--.*?-->)\s*)*<!DOCTYPE", re.S)
+
+
 def _text(node: ElementTree.Element | None) -> str | None:
     return None if node is None else "".join(node.itertext()).strip()
 
@@ -20,8 +25,8 @@ def _all(node: ElementTree.Element, path: str) -> list[ElementTree.Element]:
 
 
 def parse_article(xml: str | None) -> dict | None:
-    """Parts of one ``<PubmedArticle>``. Broken XML, and any with a DTD or entity declaration, gives None."""
-    if not xml or "<!DOCTYPE" in xml or "<!ENTITY" in xml:
+    """Parts of one ``<PubmedArticle>``. Broken XML, and any with a DTD, where entities are declared, gives None."""
+    if not xml or _DTD.match(xml):
         return None
     try:
         root = ElementTree.fromstring(xml)

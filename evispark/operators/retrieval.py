@@ -98,31 +98,35 @@ def dense_topk(queries: DataFrame, chunks: DataFrame, k: int = 25, digits: int |
     """
     kinds = {**dict(chunks.select(key).dtypes), **dict(queries.select("query_id").dtypes)}
     schema = f"query_id {kinds['query_id']}, {key} {kinds[key]}, dense_score double"
-    asked = scratch(queries.select("query_id", "vector").filter(F.size("vector") > 0), "questions")
+    asked = queries.select("query_id", "vector").filter(F.size("vector") > 0)
     held = chunks.select(key, "vector").filter(F.size("vector") > 0)
     rows = few(asked, block)
     if rows is not None:
         found = _dense_broadcast(rows, held, k, digits, key, schema)
     else:
-        found = _dense_grid(asked, held, k, digits, key, schema, block)
+        found = _dense_grid(scratch(asked, "questions"), held, k, digits, key, schema, block)
     return top_by(found, k, F.desc("dense_score"), F.asc(key), name="dense_rank")
 
 
 def _dense_broadcast(rows: list, chunks: DataFrame, k: int, digits: int | None, key: str, schema: str) -> DataFrame:
     shared = chunks.sparkSession.sparkContext.broadcast(([r["query_id"] for r in rows], [r["vector"] for r in rows]))  # QUESTION_BLOCK vectors
 
-    def local_top(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    out = to_arrow_schema(parsed(schema))
+
+    def local_top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, vectors = shared.value
         if not ids:
             return
         q, best = _unit(np.array(vectors, dtype=np.float64)), _Best(k, len(ids))
         for b in batches:
-            if len(b):
-                _add_vectors(best, b[key].to_numpy(), b["vector"], q, digits)
+            if b.num_rows:
+                x = b.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
+                scores = _unit(x) @ q.T
+                best.add(np.array(b.column(key).to_pylist()), scores if digits is None else np.round(scores, digits))
         if best.parts:
-            yield best.frame(ids, key, "dense_score")
+            yield from pa.Table.from_pandas(best.frame(ids, key, "dense_score"), schema=out, preserve_index=False).to_batches()
 
-    return chunks.mapInPandas(local_top, schema)
+    return chunks.mapInArrow(local_top, schema)
 
 
 def _dense_grid(asked: DataFrame, chunks: DataFrame, k: int, digits: int | None, key: str, schema: str, block: int) -> DataFrame:
@@ -161,14 +165,14 @@ def sparse_topk(
     those that can reach its k best so far (see _Scorer), so neither a term's postings nor questions times chunks are ever
     rows. Scores are rounded before ranking, ties go by key.
     """
-    wanted = scratch(terms.join(idf.select("term", "idf"), "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("weight")), "question-terms")
+    wanted = terms.join(idf.select("term", "idf"), "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("weight"))
     average = stats.select("avg_len").first()[0]
     kinds = {**dict(posted.select(key).dtypes), **dict(wanted.select("query_id").dtypes)}
     schema = f"query_id {kinds['query_id']}, {key} {kinds[key]}, sparse_score double"
     rows = few(wanted, most)
     held = posted.select(key, "doc_len", "terms")
     how = (average, k, k1, b, digits, key)
-    found = _sparse_grid(wanted, held, schema, most, how) if rows is None else _sparse_broadcast(rows, held, schema, how)
+    found = _sparse_grid(scratch(wanted, "question-terms"), held, schema, most, how) if rows is None else _sparse_broadcast(rows, held, schema, how)
     return top_by(found, k, F.desc("sparse_score"), F.asc(key), name="sparse_rank")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,7 +14,7 @@ def new_path(spark: SparkSession, name: str) -> str:
     its own; executors of a cluster would each write to their own disk there, so that is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", None) or ""):  # local-cluster has executors of its own
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", at)

@@ -43,10 +43,11 @@ def test_a_missing_package_is_not_hidden():
         assert not done.returncode
 
 
-def test_a_cluster_needs_a_shared_folder():
+@pytest.mark.parametrize("master", ["spark://host:7077", "local-cluster[3,2,1024]", "yarn", None])
+def test_a_cluster_needs_a_shared_folder(master):
     class Conf:
         def get(self, name, default=None):
-            return {"spark.master": "spark://host:7077"}.get(name, default)
+            return {"spark.master": master}.get(name, default)
 
     class Session:
         conf = Conf()
