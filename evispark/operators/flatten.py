@@ -89,3 +89,8 @@ def flatten_articles(df: DataFrame, xml: str = "xml", keep: tuple[str, ...] = ()
             F.when(_or_empty(pmid) != "", F.concat(F.lit("https://pubmed.ncbi.nlm.nih.gov/"), pmid, F.lit("/"))).otherwise("").alias("source_url"),
         )
     )
+
+
+def unread_articles(df: DataFrame, xml: str = "xml") -> DataFrame:
+    """The fragments that give no article: broken ones, and any with a document type."""
+    return df.withColumn("_a", article_parts(xml)).filter("_a IS NULL").drop("_a")

@@ -348,6 +348,17 @@ def flatten_articles(spark, sf_dir):
     return flatten.flatten_articles(article_xml(spark, sf_dir), keep=("seq",)).withColumn("pub_year", F.col("pub_year").cast("string"))
 
 
+@query(f"WITH t AS ({ARTICLES}) SELECT seq, seq % 7 = 0 OR seq % 11 = 0 AS unread FROM t")
+def unread_articles(spark, sf_dir):
+    """Fragments that are cut short, that have a document type, or the words of one in a title: which of them are read."""
+    a = article_xml(spark, sf_dir)
+    quoted = F.replace(F.col("xml"), F.lit("<ArticleTitle>"), F.lit("<ArticleTitle><![CDATA[<!DOCTYPE x>]]>"))
+    xml = F.when(F.col("seq") % 7 == 0, F.expr("substr(xml, 1, length(xml) - 9)")).when(F.col("seq") % 11 == 0, F.concat(F.lit("<?xml version='1.0'?> <!DOCTYPE x>"), "xml")).otherwise(quoted)
+    seeded = a.withColumn("xml", xml)
+    read = flatten.flatten_articles(seeded, keep=("seq",)).select("seq", F.lit(False).alias("unread"))
+    return read.unionAll(flatten.unread_articles(seeded).select("seq", F.lit(True).alias("unread")))
+
+
 @query(f"WITH t AS ({TRIALS}) SELECT seq, nct_id, brief_title FROM t WHERE nct_id IS NOT NULL AND nct_id <> ''")
 def trials_with_id(spark, sf_dir):
     return flatten.with_identifier(trials(spark, sf_dir), "nct_id").select("seq", "nct_id", "brief_title")

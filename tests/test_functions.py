@@ -111,6 +111,8 @@ def test_hash_vectors_have_length_one_or_none():
 
 def test_xml_is_parsed_with_care():
     assert parse_article("<!DOCTYPE x><PubmedArticle/>") is None
+    assert parse_article("<?xml version='1.0'?>\n<!-- a > b -->\n<!DOCTYPE x [<!ENTITY e 'y'>]><PubmedArticle/>") is None
+    assert parse_article("<PubmedArticle><ArticleTitle><![CDATA[<!DOCTYPE x>]]></ArticleTitle></PubmedArticle>") is not None
     assert parse_article("<PubmedArticle>") is None and parse_article(None) is None
     article = (
         "<PubmedArticle><MedlineCitation><PMID>1</PMID><Article><ArticleTitle>q <i>w</i> &amp; e</ArticleTitle><Abstract>"
