@@ -159,6 +159,7 @@ def apart(held: DataFrame, found: DataFrame, most: int) -> DataFrame:
     families = components(mixed_buckets.select(F.col("component").alias("u"), F.col("low").alias("v")))
     members = written(mixed_buckets.join(families.withColumnRenamed("component", "family"), F.col("component") == F.col("node")).select("key", "family", "rep", "component"), "families")
     sizes = members.select("family", "rep").distinct().groupBy("family").agg((F.count("*") > most).alias("large"))
+    sizes = written(sizes, "family-sizes")  # so that Spark knows its size before it deals members by family
     marked = members.join(sizes, "family")
     own = marked.filter("NOT large").select(F.struct(F.lit(False).alias("bucket"), F.col("family").alias("id")).alias("g"), "rep", "component").distinct()
     return own.unionAll(marked.filter("large").select(F.struct(F.lit(True).alias("bucket"), F.col("key").alias("id")).alias("g"), "rep", "component"))
