@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import policy
@@ -13,6 +13,16 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+def exploded(df: DataFrame, array: str | Column, *names: str) -> DataFrame:
+    """``df`` with a row for each element of an array that isn't null: (element) or (position, element) in the columns ``names``.
+
+    With explode Spark asks for the array's size in a filter below it, and computes the array again for that (twice, for null
+    as well); an outer one has no such filter.
+    """
+    outer = F.explode_outer if len(names) == 1 else F.posexplode_outer
+    return df.select("*", outer(array).alias(*names)).filter(F.col(names[-1]).isNotNull())
+
+
 def blank(c: Column) -> Column:
     """True for null and for nothing but white space."""
     return F.coalesce(~c.rlike(r"(?U)\S"), F.lit(True))

@@ -30,8 +30,8 @@ from ..streaming.events import publish_rows
 
 #: A column of texts to a column of vectors.
 Encoder = Callable[[Column], Column]
-#: Chunks that are looked up by name at most; more are found by a join alone.
-LOOKED_UP = 10_000
+#: Chunks that are looked up by name at most; more stand in nearly all buckets, and are found by a join alone.
+LOOKED_UP = 1_000
 
 
 @dataclass

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.splitting import OVERLAP, SIZE, split_text, with_overlap
-from ..functions.text import blank, number_text, strip
+from ..functions.text import blank, exploded, number_text, strip
 
 
 #: What the key of a record without id begins with.
@@ -37,7 +37,7 @@ def _chunks(df: DataFrame, record_id: Column, source: str, header: Column, secti
         .filter(~blank(F.col("body")))
     )
     pieces = parts.withColumn("_pieces", split_text(F.col("body"), size)).drop("body").withColumn("_pieces", with_overlap("_pieces", overlap))
-    return pieces.select("*", F.posexplode("_pieces").alias("chunk_index", "_piece")).select(
+    return exploded(pieces, "_pieces", "chunk_index", "_piece").select(
         F.concat_ws("::", "_key", "section", F.col("chunk_index").cast("string")).alias("chunk_id"),
         F.lit(source).alias("source_type"),
         "record_id",

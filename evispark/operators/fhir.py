@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import policy
-from ..functions.text import strip
+from ..functions.text import exploded, strip
 
 
 def _named(**columns: Column) -> Column:
@@ -101,7 +101,7 @@ def validated(df: DataFrame, kind: str) -> DataFrame:
 def issue_table(checked: DataFrame, key: str) -> DataFrame:
     """(key, position, issue) for failing rows; a missing key is ``<unknown>``. Rows are kept apart even if they share a key."""
     name = F.coalesce(F.nullif(F.col(key).cast("string"), F.lit("")), F.lit("<unknown>"))
-    return checked.filter(F.size("issues") > 0).select(name.alias("key"), F.posexplode("issues").alias("position", "issue"))
+    return exploded(checked.select(name.alias("key"), "issues"), "issues", "position", "issue").select("key", "position", "issue")
 
 
 def conformance_report(checked: DataFrame) -> DataFrame:

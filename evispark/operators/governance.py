@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from .. import policy
 from ..functions.phi import found_families, is_gated, redact_phi, scan_phi
-from ..functions.text import pseudonymise
+from ..functions.text import exploded, pseudonymise
 
 
 class UnknownRole(ValueError):
@@ -26,7 +26,8 @@ def classify(df: DataFrame) -> DataFrame:
 
 def phi_findings(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, type, value): one row for each hit in a text column."""
-    return df.select(F.col(key), F.explode(scan_phi(F.col(text))).alias("hit")).select(key, "hit.type", "hit.value")
+    held = df.select(key, F.col(text).alias("_text"))
+    return exploded(held, scan_phi(F.col("_text")), "hit").select(key, "hit.type", "hit.value")
 
 
 def deidentify(df: DataFrame, salt: str, digits: int = 10) -> tuple[DataFrame, DataFrame]:
@@ -46,7 +47,7 @@ def deidentify(df: DataFrame, salt: str, digits: int = 10) -> tuple[DataFrame, D
     )
     whole = [F.struct(F.lit(f"FIELD:{c}").alias("type"), F.col(c).cast("string").alias("value")) for c in restricted]
     hits = F.flatten(F.array(F.array(*whole), *[scan_phi(F.col(c)) for c in texts])) if whole else F.flatten(F.array(*[scan_phi(F.col(c)) for c in texts]))
-    findings = df.select(F.explode(hits).alias("hit")).select("hit.type", "hit.value").filter("value IS NOT NULL")
+    findings = exploded(df, hits, "_hit").select("_hit.type", "_hit.value").filter("value IS NOT NULL")
     return safe, findings
 
 

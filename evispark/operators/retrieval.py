@@ -14,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from .. import policy
-from ..functions.text import tokenize
+from ..functions.text import exploded, tokenize
 from ..schemas import parsed
 from ..scratch import scratch
 from .index import bm25_weight
@@ -151,7 +151,7 @@ def _dense_grid(asked: DataFrame, chunks: DataFrame, k: int, digits: int | None,
 
 def query_terms(queries: DataFrame, text: str = "query") -> DataFrame:
     """(query_id, term, times): distinct terms of each question and how often it repeats them."""
-    return queries.select("query_id", F.explode(tokenize(F.col(text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    return exploded(queries.select("query_id", F.col(text).alias("_text")), tokenize(F.col("_text")), "term").groupBy("query_id", "term").agg(F.count("*").alias("times"))
 
 
 def sparse_topk(
@@ -310,15 +310,16 @@ def lexical_rerank(candidates: DataFrame, queries: DataFrame, weights: DataFrame
 
     Terms are distinct; one that the corpus lacks weighs 1. A question without terms scores 0.
     """
-    terms = queries.select("query_id", F.explode(F.array_distinct(tokenize(F.col("query")))).alias("term"))
+    terms = exploded(queries.select("query_id", "query"), F.array_distinct(tokenize(F.col("query"))), "term")
     weighed = terms.join(weights, "term", "left").select("query_id", "term", F.coalesce("weight", F.lit(1.0)).alias("weight"))
     listed = weighed.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("term", "weight"))).alias("_terms"))
     add = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x["weight"])
-    own = F.array_distinct(tokenize(F.col("text")))
-    shared = F.filter(F.col("_terms"), lambda t: F.array_contains(F.col("_own"), t["term"]))
+    # terms of both by hash; the weights of those few in the order of the terms
+    both = F.array_intersect(F.transform("_terms", lambda t: t["term"]), tokenize(F.col("text")))
+    shared = F.flatten(F.transform(F.array(both), lambda own: F.filter("_terms", lambda t: F.array_contains(own, t["term"]))))
     total = add(F.col("_terms"))
     score = F.coalesce(add(shared) / F.when(total == 0, 1.0).otherwise(total), F.lit(0.0))
-    return candidates.withColumn("_own", own).join(listed, "query_id", "left").withColumn("rerank_score", score).drop("_own", "_terms")
+    return candidates.join(listed, "query_id", "left").withColumn("rerank_score", score).drop("_terms")
 
 
 def rerank(candidates: DataFrame, n: int = 5, scorer: Callable[[Column, Column], Column] | None = None, digits: int = 6) -> DataFrame:

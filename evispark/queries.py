@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from . import policy
 from .functions.phi import redact_phi, scan_phi
 from .functions.splitting import OVERLAP, SEPARATORS, SIZE, split_text, with_overlap
-from .functions.text import parse_age_years, tokenize
+from .functions.text import exploded, parse_age_years, tokenize
 from .functions.vectors import encode_with, hash_embed
 from .jobs.workloads import Feed, Index, answer, build_index, candidates, govern, ingest, load_governed
 from .operators import chunking, fhir, flatten, governance, index, lists, quality, retrieval
@@ -607,7 +607,7 @@ def chunk_counts(spark, sf_dir):
 def split_pieces(spark, sf_dir):
     """Every piece of every text, at borders that most texts have."""
     pieces = table(spark, sf_dir, "documents").select("doc_id", split_text(F.col("text"), 300).alias("p"))
-    return pieces.select("doc_id", F.posexplode("p").alias("position", "piece"))
+    return exploded(pieces, "p", "position", "piece").drop("p")
 
 
 @query(
@@ -617,7 +617,7 @@ def split_pieces(spark, sf_dir):
 def split_overlap(spark, sf_dir):
     """The same with an overlap of 40 characters."""
     pieces = table(spark, sf_dir, "documents").select("doc_id", split_text(F.col("text"), 300).alias("p"))
-    return pieces.select("doc_id", F.posexplode(with_overlap("p", 40)).alias("position", "piece"))
+    return exploded(pieces, with_overlap("p", 40), "position", "piece").drop("p")
 
 
 @query(
@@ -717,7 +717,7 @@ def tokens(spark, sf_dir):
 @query(f"WITH v AS ({_vectors_sql('documents', 'doc_id', 'text')}) SELECT key AS doc_id, bucket, round(val, 6) AS weight FROM v")
 def hash_embedding(spark, sf_dir):
     v = table(spark, sf_dir, "documents").select("doc_id", hash_embed(F.col("text")).alias("v"))
-    return v.select("doc_id", F.posexplode("v").alias("bucket", "w")).filter("w > 0").select(
+    return exploded(v, "v", "bucket", "w").filter("w > 0").select(
         "doc_id", F.col("bucket").cast("long").alias("bucket"), F.round(F.col("w").cast("double"), 6).alias("weight")
     )
 
