@@ -19,6 +19,10 @@ class SchemaEnforcementError(ValueError):
     """A batch whose columns are not the table's."""
 
 
+#: Quantiles are off by at most one in so many rows.
+ACCURACY = 100_000
+
+
 class VersionedTable:
     """Batches under ``path``: rows in ``rows/<generation>/<version>``, and for each a row in ``log/<generation>/<version>,<operation>,<batch>``.
 
@@ -134,24 +138,23 @@ def normalise_for_commit(df: DataFrame, numeric: list[str]) -> DataFrame:
 def incremental_load(df: DataFrame, table: VersionedTable, order: str, ratio: float = 0.75) -> list[int]:
     """Commit the first ``ratio`` of the rows by ``order`` (one at least), then the rest if there is one; the versions.
 
-    The cut is found by a count and quantiles of ``order``, not by a global sort. Of the rows that share the value at
-    the cut some come first: they are numbered as they are written aside, and the number at the cut follows from their
-    counts by task. ``order`` is numeric and without nulls.
+    The cut is found by quantiles of ``order`` and counts, not by a global sort; these read that column alone, twice if the
+    first quantile is close enough. Of the rows that share the value at the cut some come first: they are numbered as they
+    are written aside, and the number at the cut follows from their counts by task. ``order`` is numeric and without nulls.
     """
-    count = df.count()
-    first = max(1, int(count * ratio)) if count else 0
+    value = F.col(order)
+    count, nulls, guess = df.agg(F.count("*"), F.count_if(value.isNull()), F.percentile_approx(order, ratio, ACCURACY)).first()
     if not count:
         return [table.write(df, "overwrite", "INITIAL_LOAD")]
-    if not df.filter(F.col(order).isNull()).isEmpty():
+    if nulls:
         raise ValueError(f"{order} has nulls")
-    at, below, equal = _value_at(df, order, first)
-    early, value = F.col(order) < F.lit(at), F.col(order)
-    if below + equal == first:
-        head, tail = df.filter(value <= F.lit(at)), df.filter(value > F.lit(at))
-    else:  # some of the rows that share the value
+    first = max(1, int(count * ratio))
+    at, below = _cut(df, order, first, count, guess)
+    head, tail = df.filter(value < F.lit(at)), df.filter(value >= F.lit(at))
+    if below < first:  # some or all of the rows that share the value
         tied = scratch(df.filter(value == F.lit(at)).withColumn("_n", F.monotonically_increasing_id()), "tied")
         cut = _number_at(tied, first - below)
-        head = df.filter(early).unionByName(tied.filter(F.col("_n") < cut).drop("_n"))
+        head = head.unionByName(tied.filter(F.col("_n") < cut).drop("_n"))
         tail = df.filter(value > F.lit(at)).unionByName(tied.filter(F.col("_n") >= cut).drop("_n"))
     versions = [table.write(head, "overwrite", "INITIAL_LOAD")]
     return versions + ([table.write(tail, "append", "INCREMENTAL_DELTA")] if count > first else [])
@@ -167,19 +170,19 @@ def _number_at(numbered: DataFrame, take: int) -> int:
     return 1 << 62
 
 
-def _value_at(df: DataFrame, order: str, place: int) -> tuple[object, int, int]:
-    """The value of the row at ``place`` in order, the number of rows below it, and of those equal to it: approximate
-    quantiles of an ever smaller range, each checked by exact counts."""
-    under, inside, low, high = 0, *df.agg(F.count("*"), F.min(order), F.max(order)).first()
+def _cut(df: DataFrame, order: str, place: int, count: int, guess: object) -> tuple[object, int]:
+    """A value, and how many rows are below it: ``place``, or fewer, but not without those that have the value.
+
+    Guesses are approximate quantiles of an ever smaller range, each checked by exact counts.
+    """
+    value, inside = F.col(order), df
+    under, upto = 0, count  # rows below the range, and below its end
     while True:
-        share = (place - under) / inside
-        guess = df.filter(F.col(order).between(low, high)).agg(F.percentile_approx(order, share, 100_000)).first()[0]
-        below, equal = df.agg(F.count_if(F.col(order) < F.lit(guess)), F.count_if(F.col(order) == F.lit(guess))).first()
-        if below < place <= below + equal:
-            return guess, below, equal
-        if place <= below:
-            high = df.filter(F.col(order) < F.lit(guess)).agg(F.max(order)).first()[0]
-            inside = below - under
+        below, equal = df.agg(F.count_if(value < F.lit(guess)), F.count_if(value == F.lit(guess))).first()
+        if below <= place <= below + equal:
+            return guess, below
+        if place < below:
+            inside, upto = inside.filter(value < F.lit(guess)), below
         else:
-            low = df.filter(F.col(order) > F.lit(guess)).agg(F.min(order)).first()[0]
-            under, inside = below + equal, inside - (below + equal - under)
+            inside, under = inside.filter(value > F.lit(guess)), below + equal
+        guess = inside.agg(F.percentile_approx(order, (place - under) / (upto - under), ACCURACY)).first()[0]
