@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import exploded
 from .common import written
 from .windows import text_key
 
@@ -39,7 +40,8 @@ def key_of(line: Column) -> Column:
 
 def line_hashes(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(h1, h2, doc_id, row, pos) of every line of (doc_id, row, text) with a key of ``least`` code points; 128 bits name a key."""
-    lines = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "row", F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
+    whole = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "row", "text")
+    lines = exploded(whole, lines_of(F.col("text")), "pos", "line")  # not split again for a filter
     keyed = lines.select("doc_id", "row", "pos", key_of(F.col("line")).alias("key")).filter(F.length("key") >= least)
     return keyed.select(F.xxhash64(F.lit(1), "key").alias("h1"), F.xxhash64(F.lit(2), "key").alias("h2"), "doc_id", "row", "pos")
 
