@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from evispark.functions.phi import found_families, is_gated, redact_phi, scan_phi
 from evispark.functions.splitting import SEPARATORS, split_pieces, with_overlap
-from evispark.functions.text import blank, number_text, parse_age_years, pseudonymise, strip
+from evispark.functions.text import blank, exploded, number_text, parse_age_years, pseudonymise, strip
 from evispark.functions.vectors import hash_vectors
 from evispark.functions.xml import parse_article
 
@@ -129,3 +129,11 @@ def test_a_very_long_article_is_parsed(spark):
     one = f"<PubmedArticle><MedlineCitation><PMID>1</PMID><Article><Abstract><AbstractText>{body}</AbstractText></Abstract></Article></MedlineCitation></PubmedArticle>"
     got = flatten_articles(spark.createDataFrame([(one,)], "xml string")).select("pmid", F.length("abstract")).collect()
     assert len(one) > 5_000_000 and [tuple(r) for r in got] == [("1", len("word & ") * 550_000 - 1)]
+
+
+def test_exploded_arrays_are_computed_once(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, None), (3, "c")], "k int, t string")
+    rows = exploded(df, F.split("t", " "), "pos", "w")
+    assert sorted((r.k, r.pos, r.w) for r in rows.collect()) == [(1, 0, "a"), (1, 1, "b"), (3, 0, "c")]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert exploded(df.filter("k = 2"), F.split("t", " "), "w").count() == 0

@@ -366,3 +366,14 @@ def test_every_chunk_of_both_sources(spark):
     assert sorted(map(tuple, got)) == sorted(expected) and len(got) > 400
     counted = {r.source_type: r.chunks for r in queries.chunk_counts(spark, SF).collect()}
     assert counted["literature"] >= len(got)
+
+
+def test_lexical_rerank_of_odd_questions(spark):
+    asked = spark.createDataFrame([("q1", "Asthma dose asthma"), ("q2", "?!"), ("q3", None)], "query_id string, query string")
+    hits = spark.createDataFrame(
+        [("q1", "c1", "dose of ASTHMA"), ("q1", "c2", "dose"), ("q1", "c3", None), ("q2", "c1", "dose"), ("q3", "c1", "dose")],
+        "query_id string, chunk_id string, text string",
+    )
+    weights = spark.createDataFrame([("asthma", 3.0)], "term string, weight double")  # dose weighs 1
+    got = {(r.query_id, r.chunk_id): r.rerank_score for r in retrieval.lexical_rerank(hits, asked, weights).collect()}
+    assert got == {("q1", "c1"): 1.0, ("q1", "c2"): 0.25, ("q1", "c3"): 0.0, ("q2", "c1"): 0.0, ("q3", "c1"): 0.0}
