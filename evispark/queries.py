@@ -511,7 +511,8 @@ def _mask_sql() -> str:
 
 @query(_mask_sql().replace("hba1c::STRING", "round(hba1c, 3)::DECIMAL(18, 3)::STRING"))
 def mask_by_role(spark, sf_dir):
-    held = patients(spark, sf_dir).withColumn("hba1c", F.round("hba1c", 3).cast("decimal(18,3)"))
+    thousandths = F.round(F.col("hba1c") * 1000, 0)  # SQL rounds the product, whose ties are not those of the decimal text
+    held = patients(spark, sf_dir).withColumn("hba1c", (thousandths / 1000).cast("decimal(18,3)"))
     return governance.masked_for_roles(held, "seq", list(policy.ROLE_CLASSES))
 
 
