@@ -18,9 +18,9 @@ from ..operators.chunking import ARTICLE_FACTS, TRIAL_FACTS, all_chunks, chunk_a
 from ..operators.flatten import with_identifier
 from ..operators.governance import blocked_report, check_role, deidentify, phi_summary, redact_queries
 from ..operators.index import ChunkStore, check_dimensions, embed, encoder_width, index_stats, posted_stats, postings, term_stats
-from ..operators.quality import Gate, clean_rows, enforce, grade_once, rejected_rows
+from ..operators.quality import Gate, clean_rows, enforce, graded_once, rejected_rows
 from ..operators.retrieval import few
-from ..scratch import scratch
+from ..scratch import DENSE, lent, scratch
 from ..sources.files import land_raw, quarantine
 from ..sources.folders import create, drop, found
 from ..sources.journal import Audit, Lineage
@@ -68,16 +68,16 @@ def load_governed(
     df: DataFrame, gate: Gate, lake: VersionedTable, quarantine_path: str, label: str, stamp: str, lineage: Lineage, numeric: list[str], order: str = "seq", halt: bool = True, after: str | None = None
 ) -> Loaded:
     """Grade rows, quarantine the rejected, halt if too many are, and commit the clean ones. The nodes of both follow ``after``."""
-    graded = grade_once(df, gate, order)
-    counts = graded.verdict.first()
-    quarantine(rejected_rows(graded.rows), label, quarantine_path, stamp, counts["rejected"])
-    report = {r["metric"]: r["violations"] for r in graded.report.collect()}  # a row for each check
-    details = {"rejected": counts["rejected"], "violations": report}
-    checked = lineage.record("QUALITY_GATE", [after or label], [f"clean_{label}", "quarantine_zone"], counts["clean"], details)
-    if halt:
-        enforce(graded.verdict)
-    clean = normalise_for_commit(clean_rows(graded.rows), numeric)
-    versions = incremental_load(clean, lake, order)
+    with graded_once(df, gate, order) as graded:
+        counts = graded.verdict.first()
+        quarantine(rejected_rows(graded.rows), label, quarantine_path, stamp, counts["rejected"])
+        report = {r["metric"]: r["violations"] for r in graded.report.collect()}  # a row for each check
+        details = {"rejected": counts["rejected"], "violations": report}
+        checked = lineage.record("QUALITY_GATE", [after or label], [f"clean_{label}", "quarantine_zone"], counts["clean"], details)
+        if halt:
+            enforce(graded.verdict)
+        clean = normalise_for_commit(clean_rows(graded.rows), numeric)
+        versions = incremental_load(clean, lake, order)
     return Loaded(versions, lineage.record("LAKEHOUSE_COMMIT", [checked], [f"{lake.path}@v{versions[-1]}"], counts["clean"]))
 
 
@@ -123,18 +123,18 @@ def build_index(
     """
     spark = trials.sparkSession
     every = all_chunks(enrich_chunks(chunk_trials(trials, TRIAL_FACTS), nodes[0]), enrich_chunks(chunk_articles(articles, ARTICLE_FACTS), nodes[1]))
-    gated = scratch(every.withColumn("_gated", is_gated(F.col("text"))), "gated")
-    blocked = scratch(blocked_report(gated.filter("_gated")), "blocked")
-    if audit is not None:
-        payload = F.to_json(F.struct("chunk_id", "phi_types"))
-        audit.log_rows(blocked.select(payload.alias("payload")), "pipeline", "data_engineer", "VECTOR_INSERT_BLOCKED")
     old = _generation(spark, path)
     at = f"{path.rstrip('/')}/{old + 1:08d}"
     drop(spark, at)  # what a failed job has left
-    chunks = ChunkStore(spark, f"{at}/chunks", buckets).write(gated.filter("NOT _gated").drop("_gated"))
-    embed(chunks.select("chunk_id", "text"), encoder).select("chunk_id", "vector").write.parquet(f"{at}/vectors")
+    with lent(every.withColumn("_gated", is_gated(F.col("text"))), "gated") as gated:
+        blocked = scratch(blocked_report(gated.filter("_gated")), "blocked")
+        if audit is not None:
+            payload = F.to_json(F.struct("chunk_id", "phi_types"))
+            audit.log_rows(blocked.select(payload.alias("payload")), "pipeline", "data_engineer", "VECTOR_INSERT_BLOCKED")
+        chunks = ChunkStore(spark, f"{at}/chunks", buckets).write(gated.filter("NOT _gated").drop("_gated"))
+    embed(chunks.select("chunk_id", "text"), encoder).select("chunk_id", "vector").write.options(**DENSE).parquet(f"{at}/vectors")
     index_stats(spark.read.parquet(f"{at}/vectors")).write.parquet(f"{at}/dims")
-    postings(chunks).write.parquet(f"{at}/postings")
+    postings(chunks).write.options(**DENSE).parquet(f"{at}/postings")
     posted_stats(spark.read.parquet(f"{at}/postings")).write.parquet(f"{at}/stats")
     stats = spark.read.parquet(f"{at}/stats")
     term_stats(spark.read.parquet(f"{at}/postings"), stats.select("n")).write.parquet(f"{at}/terms")

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import tokenize
 from ..functions.vectors import hash_embed
-from ..scratch import scratch
+from ..scratch import DENSE, scratch
 from ..sources.folders import create, drop, found
 
 
@@ -110,7 +110,7 @@ class ChunkStore:
 
     def _save(self, chunks: DataFrame, generation: int, buckets: int) -> None:
         held = chunks.repartition(buckets, "chunk_id")  # a task has a bucket, so that each is one file
-        writer = held.write.bucketBy(buckets, "chunk_id").sortBy("chunk_id").mode("append").option("path", self._at(generation))
+        writer = held.write.bucketBy(buckets, "chunk_id").sortBy("chunk_id").mode("append").options(**DENSE).option("path", self._at(generation))
         writer.format("parquet").saveAsTable(self._name(generation))
 
     def _refuse(self, clashing: DataFrame) -> None:

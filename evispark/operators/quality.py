@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import policy
 from ..functions.text import blank
-from ..scratch import scratch
+from ..scratch import lent, scratch
 
 FATAL, ADVISORY = "FATAL", "ADVISORY"
 
@@ -165,14 +166,16 @@ class Graded:
     report: DataFrame
 
 
-def grade_once(df: DataFrame, gate: Gate, order: str = "seq", threshold: float = 0.30, ever: DataFrame | None = None) -> Graded:
-    """Grade rows and write them aside; what is known of the batch is counted on the way, so nothing is read for it again."""
+@contextmanager
+def graded_once(df: DataFrame, gate: Gate, order: str = "seq", threshold: float = 0.30, ever: DataFrame | None = None) -> Iterator[Graded]:
+    """Grade rows and write them aside for as long as the block lasts; what is known of the batch is counted on the way, so
+    nothing is read for it again."""
     seen = Observation()
-    rows = scratch(grade(df, gate, order, ever).observe(seen, *_counts(gate)), "graded")
-    counts = seen.get
-    kind = ", ".join(f"`{n}` long" for n in counts)
-    counted = df.sparkSession.createDataFrame([tuple(counts.values())], kind)  # one row
-    return Graded(rows, _verdict(counted, threshold), _report(counted, gate))
+    with lent(grade(df, gate, order, ever).observe(seen, *_counts(gate)), "graded") as rows:
+        counts = seen.get
+        kind = ", ".join(f"`{n}` long" for n in counts)
+        counted = df.sparkSession.createDataFrame([tuple(counts.values())], kind)  # one row
+        yield Graded(rows, _verdict(counted, threshold), _report(counted, gate))
 
 
 def enforce(verdict_row: DataFrame) -> None:

@@ -5,9 +5,16 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .sources.folders import drop
+
+#: How large tables that stay, or that carry whole texts, are compressed.
+DENSE = {"compression": "zstd"}
+
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A new path under spark.checkpoint.dir. Only a local session without that setting, as in tests, gets a folder of
@@ -28,6 +35,17 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def lent(df: DataFrame, name: str) -> Iterator[DataFrame]:
+    """Write and read again for as long as the block lasts; what is made of the table is written by then, and the table goes."""
+    path = new_path(df.sparkSession, name)
+    try:
+        df.write.options(**DENSE).parquet(path)
+        yield df.sparkSession.read.schema(df.schema).parquet(path)
+    finally:
+        drop(df.sparkSession, path)
+
+
 def dealt(df: DataFrame) -> DataFrame:
     """A table that was just read, dealt to all cores if its files give less than half of them a task.
 

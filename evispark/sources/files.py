@@ -30,11 +30,12 @@ def read_patients(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame
 
 
 def land_raw(df: DataFrame, path: str) -> None:
-    """Keep source rows as they came: one text column as lines, anything else as JSON lines."""
+    """Keep source rows as they came: one text column as lines, anything else as JSON lines; a compressed file for each task."""
+    writer = df.write.mode("overwrite").option("compression", "gzip")
     if [t for _, t in df.dtypes] == ["string"]:
-        df.write.mode("overwrite").text(path)
+        writer.text(path)
     else:
-        df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+        writer.option("ignoreNullFields", False).json(path)
 
 
 def quarantine(rejected: DataFrame, label: str, path: str, stamp: str, count: int) -> str | None:

@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import AUDIT, LINEAGE, parsed
-from ..scratch import scratch
+from ..scratch import lent, scratch
 from .folders import found
-from .numbers import Numbers, counted_in_order
+from .numbers import Numbers, arrivals, number
 
 
 def _now() -> str:
@@ -116,10 +116,11 @@ class Audit:
     def log_rows(self, rows: DataFrame, actor: str, role: str, action: str) -> DataFrame:
         """Append an entry for each row (payload, ...), in the order in which they stand; the rows with the seq and audit_id of theirs."""
         at = self.clock()
-        held, n = counted_in_order(rows, "seq")
-        first = self.numbers.reserve(n)
         name = F.concat(F.lit("AUD_"), F.upper(F.substring(F.md5(F.concat_ws("|", F.lit(action), F.lit(at), F.col("seq").cast("string"))), 1, 12)))
-        entries = scratch(held.withColumn("seq", F.col("seq") + F.lit(first)).withColumn("audit_id", name), "entries")
+        with lent(arrivals(rows), "arrivals") as written:
+            held, n = number(written, "seq")
+            first = self.numbers.reserve(n)
+            entries = scratch(held.withColumn("seq", F.col("seq") + F.lit(first)).withColumn("audit_id", name), "entries")
         who = [F.lit(v).alias(n) for n, v in (("actor", actor), ("role", role), ("action", action))]
         self._append(entries.select("audit_id", F.lit(at).alias("timestamp"), "seq", *who, "payload"))
         return entries

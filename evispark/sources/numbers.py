@@ -15,13 +15,22 @@ def counted_in_order(df: DataFrame, name: str = "seq") -> tuple[DataFrame, int]:
     Each task numbers its rows as they are written aside; from the tasks' counts, which are a small table, follow the numbers
     that they begin with. Rows are neither sorted nor brought together.
     """
-    written = scratch(df.withColumn("_n", F.monotonically_increasing_id()), "arrivals")  # task << 33, and on from there
+    return number(scratch(arrivals(df), "arrivals"), name)
+
+
+def arrivals(df: DataFrame) -> DataFrame:
+    """``df`` with _n, task << 33 and on from there, for number() once it is written."""
+    return df.withColumn("_n", F.monotonically_increasing_id())
+
+
+def number(written: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """What counted_in_order gives, of written arrivals."""
     task, at = F.shiftright("_n", 33), F.col("_n").bitwiseAND(F.lit((1 << 33) - 1))
     begins, size = [], 0
     for r in written.groupBy(task.alias("_task")).agg(F.count("*").alias("_size")).orderBy("_task").collect():  # a row for each task
         begins.append((r["_task"], size))
         size += r["_size"]
-    table = df.sparkSession.createDataFrame(begins, "_task long, _begin long")
+    table = written.sparkSession.createDataFrame(begins, "_task long, _begin long")
     return written.withColumn("_task", task).join(table, "_task").withColumn(name, F.col("_begin") + at).drop("_task", "_begin", "_n"), size
 
 

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.quality import BatchHalted, Gate, clean_rows, grade_once, rejected_rows
+from ..operators.quality import BatchHalted, Gate, clean_rows, graded_once, rejected_rows
 from ..schemas import ENVELOPE, parsed
-from ..scratch import scratch
+from ..scratch import DENSE, lent
 from ..sources.files import quarantine
 from ..sources.folders import found
-from ..sources.numbers import Numbers, counted_in_order
+from ..sources.numbers import Numbers, arrivals, number
 from ..sources.versions import VersionedTable
 
 OPERATION = "STREAM_INGEST"
@@ -49,7 +49,7 @@ def from_envelope(events: DataFrame, schema: T.StructType) -> DataFrame:
 
 def publish(events: DataFrame, path: str) -> None:
     """Append events under their topic's folder."""
-    events.write.mode("append").partitionBy("topic").parquet(path)
+    events.write.mode("append").options(**DENSE).partitionBy("topic").parquet(path)
 
 
 def publish_rows(rows: DataFrame, path: str, topic: str, source: str, event_time: Column | None = None) -> int:
@@ -58,11 +58,12 @@ def publish_rows(rows: DataFrame, path: str, topic: str, source: str, event_time
 
     How far a topic has come is kept beside ``path``, so its events are not read.
     """
-    held, n = counted_in_order(rows, "_offset")
     numbers = Numbers(rows.sparkSession, f"{path.rstrip('/')}-offsets/{topic}")
-    first = numbers.reserve(n)
-    enveloped = to_envelope(held.withColumn("_offset", F.col("_offset") + F.lit(first)), topic, source, "_offset", event_time)
-    publish(enveloped.withColumn("payload", _without("_offset")), path)
+    with lent(arrivals(rows), "arrivals") as written:
+        held, n = number(written, "_offset")
+        first = numbers.reserve(n)
+        enveloped = to_envelope(held.withColumn("_offset", F.col("_offset") + F.lit(first)), topic, source, "_offset", event_time)
+        publish(enveloped.withColumn("payload", _without("_offset")), path)
     return first + n
 
 
@@ -103,22 +104,23 @@ def _with_history(rows: DataFrame, key: str, earlier: DataFrame) -> DataFrame:
 def _gated(gate: Gate, table: VersionedTable, quarantine_path: str, label: str, order: str, threshold: float) -> Callable[[DataFrame, int], None]:
     """What a micro-batch goes through: grade, quarantine, halt or commit."""
 
-    def run(batch: DataFrame, number: int) -> None:
+    def run(batch: DataFrame, batch_number: int) -> None:
         spark = batch.sparkSession
-        held = scratch(batch, "batch")  # the state moves on once, even if the batch is known
         stream = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
-        known = f"{stream}-{number}"
-        if table.version_of(OPERATION, known) is not None:
-            return
-        graded = grade_once(held.filter("_row IS NOT NULL").select("_row.*"), gate, order, threshold, held.filter("_row IS NULL").select("_key", "_ever"))
-        row = graded.verdict.first()
-        if not row["evaluated"]:
-            return
-        quarantine(rejected_rows(graded.rows), label, quarantine_path, known, row["rejected"])
-        if row["halt_pipeline"]:
-            raise BatchHalted(f"batch {known}: {row['rejected']} of {row['evaluated']} rows are fatal")
-        if row["clean"]:
-            table.write(clean_rows(graded.rows), "append", OPERATION, batch_id=known)
+        known = f"{stream}-{batch_number}"
+        with lent(batch, "batch") as held:  # the state moves on once, even if the batch is known
+            if table.version_of(OPERATION, known) is not None:
+                return
+            rows, counts = held.filter("_row IS NOT NULL").select("_row.*"), held.filter("_row IS NULL").select("_key", "_ever")
+            with graded_once(rows, gate, order, threshold, counts) as graded:
+                row = graded.verdict.first()
+                if not row["evaluated"]:
+                    return
+                quarantine(rejected_rows(graded.rows), label, quarantine_path, known, row["rejected"])
+                if row["halt_pipeline"]:
+                    raise BatchHalted(f"batch {known}: {row['rejected']} of {row['evaluated']} rows are fatal")
+                if row["clean"]:
+                    table.write(clean_rows(graded.rows), "append", OPERATION, batch_id=known)
 
     return run
 

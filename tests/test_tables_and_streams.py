@@ -1,10 +1,12 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from evispark.functions.vectors import encode_with, hash_vectors
 
+from evispark import queries
 from evispark.jobs.workloads import Feed, Index, answer, build_index, ingest, load_governed, with_texts
 from evispark.operators.governance import UnknownRole
 from evispark.operators.index import ChunkStore, DimensionMismatch
@@ -352,3 +354,13 @@ def test_an_index_of_another_encoder(spark, tmp_path):
     entries = [json.loads(r.payload) for r in audit.load().collect()]
     assert len(entries) == 2 and all(e["latency_ms"] > 0 and len(e["chunks_returned"]) == 5 for e in entries)
     assert sorted(e["phi_stripped_from_query"] for e in entries) == [[], ["EMAIL"]]
+
+
+def test_jobs_leave_no_copies_of_texts(spark):
+    """What jobs write aside on their way goes as soon as it is read; only what they are for stays."""
+    at = f"{spark.conf.get('spark.checkpoint.dir')}/evispark"
+    before = set(os.listdir(at)) if os.path.isdir(at) else set()
+    lineage, built = queries._run_jobs(spark, SF)
+    left = {p.split("-")[0] for p in set(os.listdir(at)) - before}
+    assert not left & {"arrivals", "graded", "gated"} and "jobs" in left
+    assert lineage.load().count() == 9 and built.chunks.count() == built.vectors.count() > 0
