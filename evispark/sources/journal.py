@@ -58,20 +58,27 @@ def trace(evidence: DataFrame, nodes: DataFrame) -> DataFrame:
 def closure(nodes: DataFrame) -> DataFrame:
     """(run_id, lineage_id, ancestor): all nodes that each node's inputs lead to, itself included, for all nodes at once.
 
-    Each round joins what is reached with what that reaches, so there are as many as the depth has binary digits.
+    Round k goes on from all that is reached by fewer than 2^k steps by exactly 2^k, so there are as many rounds as the depth
+    has binary digits, and a pair is found and written once for each round that has a path to it: once in a chain.
     """
     steps = nodes.select("run_id", "lineage_id", F.explode("inputs").alias("ancestor"))
     known = nodes.select("run_id", F.col("lineage_id").alias("ancestor"))  # other inputs are names of data
     own = nodes.select("run_id", "lineage_id", F.col("lineage_id").alias("ancestor"))
-    reached = scratch(own.union(steps.join(known, ["run_id", "ancestor"], "left_semi").select("run_id", "lineage_id", "ancestor")).distinct(), "reached")
-    size = reached.count()
-    while True:
-        further = reached.select("run_id", F.col("lineage_id").alias("ancestor"), F.col("ancestor").alias("next"))
-        wider = reached.join(further, ["run_id", "ancestor"]).select("run_id", "lineage_id", F.col("next").alias("ancestor")).distinct()
-        wider = scratch(wider, "reached")
-        if (now := wider.count()) == size:  # each node reaches itself, so nothing is lost
-            return wider
-        reached, size = wider, now
+    leap = scratch(steps.join(known, ["run_id", "ancestor"], "left_semi").select("run_id", "lineage_id", "ancestor").distinct(), "leap")
+    reached, size, length = scratch(own.distinct(), "reached"), None, 1
+    while not leap.isEmpty():
+        size = size or reached.count()
+        if length > size:  # a walk of as many steps as there are nodes goes round in a circle
+            break
+        reached = reached.union(scratch(_then(reached, leap), "reached"))
+        leap, length = scratch(_then(leap, leap), "leap"), length * 2
+    return reached.distinct()
+
+
+def _then(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Pairs that a pair of ``first`` and one of ``second`` from its end lead to."""
+    further = second.select("run_id", F.col("lineage_id").alias("ancestor"), F.col("ancestor").alias("next"))
+    return first.join(further, ["run_id", "ancestor"]).select("run_id", "lineage_id", F.col("next").alias("ancestor")).distinct()
 
 
 def ancestry(nodes: DataFrame, lineage_id: str, run_id: str) -> DataFrame:

@@ -11,6 +11,8 @@ from evispark.jobs.workloads import Feed, Index, answer, build_index, ingest, lo
 from evispark.operators.governance import UnknownRole
 from evispark.operators.index import ChunkStore, DimensionMismatch
 from evispark.operators.quality import literature_gate, trial_gate
+from evispark.scratch import scratch
+from evispark.sources import journal
 from evispark.sources.files import land_raw, quarantine, read_patients
 from evispark.sources.journal import Audit, Lineage, ancestry, chain_text, closure, table_versions, trace
 from evispark.sources.numbers import Numbers, counted_in_order
@@ -364,3 +366,22 @@ def test_jobs_leave_no_copies_of_texts(spark):
     left = {p.split("-")[0] for p in set(os.listdir(at)) - before}
     assert not left & {"arrivals", "graded", "gated"} and "jobs" in left
     assert lineage.load().count() == 9 and built.chunks.count() == built.vectors.count() > 0
+
+
+def test_closure_writes_each_pair_of_a_chain_once(spark, monkeypatch):
+    chain = spark.createDataFrame([("r", f"n{i:02d}", [f"n{i - 1:02d}"] if i else []) for i in range(40)], "run_id string, lineage_id string, inputs array<string>")
+    written = []
+
+    def counting(df, name):
+        held = scratch(df, name)
+        written.append(held.count())
+        return held
+
+    monkeypatch.setattr(journal, "scratch", counting)
+    assert closure(chain).count() == 40 * 41 // 2
+    assert sum(written) < 1.5 * 40 * 41 // 2  # all that is reached was written in each round before
+
+
+def test_closure_of_a_circle_ends(spark):
+    ring = spark.createDataFrame([("r", i, [(i + 1) % 5]) for i in range(5)] + [("s", 0, [])], "run_id string, lineage_id long, inputs array<long>")
+    assert closure(ring).count() == 26
