@@ -15,11 +15,29 @@ from pyspark.sql import functions as F
 DIM = 384
 #: Tokens whose bucket a worker remembers.
 REMEMBERED = 1_000_000
+#: Texts, and bytes of them, that a worker has in hand at once besides its batch.
+TEXTS, BYTES = 1 << 11, 1 << 20
+#: Bytes of tokens stay, all others part them.
+_PARTED = bytes(b if chr(b) in "abcdefghijklmnopqrstuvwxyz0123456789" else 32 for b in range(256))
+
+
+def slices(sizes: np.ndarray, rows: int = TEXTS, size: int = BYTES) -> Iterator[tuple[int, int]]:
+    """(begin, end) of stretches of at most ``rows`` items and about ``size`` in all; a larger item is one of its own."""
+    upto, begin = np.cumsum(sizes), 0
+    while begin < len(upto):
+        before = upto[begin - 1] if begin else 0
+        end = min(begin + rows, max(begin + 1, int(np.searchsorted(upto, before + size, "right"))))
+        yield begin, end
+        begin = end
+
 
 def hash_vectors(texts: list[str | None], dim: int = DIM, buckets: dict[str, int] | None = None) -> np.ndarray:
     """(texts x dim) float32: 1 + ln(occurrences) in each token's bucket (md5 modulo dim), each row of length 1 or 0."""
     buckets = {} if buckets is None else buckets
-    parts = pc.split_pattern_regex(pa.array([(t or "").lower() for t in texts], pa.large_string()), "[^a-z0-9]+")
+    lowered = [(t or "").lower().encode("utf-8", "surrogatepass") for t in texts]
+    ends = np.concatenate([[0], np.cumsum([len(t) for t in lowered], dtype=np.int64)])
+    held = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(ends), pa.py_buffer(b"".join(lowered).translate(_PARTED)))
+    parts = pc.ascii_split_whitespace(held)
     row = np.repeat(np.arange(len(texts)), pc.list_value_length(parts).to_numpy(zero_copy_only=False))
     coded = parts.flatten().dictionary_encode()
     names = coded.dictionary.to_pylist()
@@ -50,11 +68,14 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def hash_embed(c: Column, dim: int = DIM) -> Column:
     """array<float>: the hashed embedding of a text; the zero vector for null and texts without tokens."""
 
-    @F.pandas_udf("array<float>")
-    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<float>")
+    def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         buckets: dict[str, int] = {}
         for texts in batches:
-            yield pd.Series(list(hash_vectors(texts.tolist(), dim, buckets)), index=texts.index, dtype=object)
+            out, sizes = np.empty((len(texts), dim), np.float32), pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+            for i, j in slices(sizes):
+                out[i:j] = hash_vectors(texts.slice(i, j - i).to_pylist(), dim, buckets)
+            yield pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, dim), pa.int32()), pa.array(out.reshape(-1)))
 
     return embed(c)
 

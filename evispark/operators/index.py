@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import tokenize
-from ..functions.vectors import hash_embed
+from ..functions.vectors import hash_embed, slices
 from ..scratch import DENSE, scratch
 from ..sources.folders import create, drop, found
 
@@ -136,15 +136,25 @@ def encoder_width(spark: SparkSession, encoder=None) -> int:
     return spark.range(1).select(F.size((encoder or hash_embed)(F.lit("width"))).alias("n")).first()["n"]
 
 
+#: Tokens that are counted at once.
+TOKENS = 1 << 17
+
+
+def _few_tokens(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    sizes = pc.list_value_length(batch.column("tokens")).to_numpy(zero_copy_only=False)
+    for i, j in slices(sizes, size=TOKENS):
+        yield batch.slice(i, j - i)
+
+
 def postings(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
     """(key, doc_len, terms): each text's length in tokens, and how often it has each of its terms, as (term, tf).
 
-    The task that reads a text counts its terms, so nothing is shuffled.
+    The task that reads a text counts its terms, so nothing is shuffled; it has the tokens of some texts in hand at once.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.struct([("term", pa.string()), ("tf", pa.int64())])
-        for b in batches:
+        for b in (part for batch in batches for part in _few_tokens(batch)):
             lists = b.column("tokens")
             counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
             coded = lists.flatten().dictionary_encode()

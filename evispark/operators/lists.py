@@ -10,11 +10,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..schemas import parsed
 from .retrieval import QUESTION_BLOCK, _Best, _unit, few, top_by
 
 #: Vectors that centroids are fitted on at most, lists at most, and rounds of fitting.
@@ -23,6 +24,13 @@ SAMPLE, LISTS, ROUNDS = 20_000, 1024, 8
 NOWHERE = -1
 #: What angles in floating point can be off, at most.
 SLACK = 1e-6
+#: Vectors that a worker has in hand at once besides its batch.
+SOME = 1 << 11
+
+
+def rows_of(vectors: pa.Array) -> np.ndarray:
+    """(vectors x width), as doubles."""
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
 
 
 def matrix(vectors) -> np.ndarray:
@@ -63,17 +71,20 @@ class ListIndex:
         shared = spark.sparkContext.broadcast(fit_centroids(vectors, key, lists))  # LISTS vectors
         kind = dict(vectors.select(key).dtypes)[key]
 
-        def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             c = shared.value
             for b in batches:
-                if len(b):
-                    x = matrix(b["vector"])
+                for i in range(0, b.num_rows, SOME):
+                    some = b.slice(i, SOME)
+                    x = _unit(rows_of(some.column("vector")))
                     near = x @ c.T if len(c) else np.zeros((len(x), 1))
                     at, empty = near.argmax(axis=1), np.abs(x).sum(axis=1) == 0
                     angle = np.arccos(np.clip(near[np.arange(len(x)), at], -1, 1))
-                    yield pd.DataFrame({key: b[key], "vector": b["vector"], "angle": np.where(empty, 0.0, angle), "list": np.where(empty, NOWHERE, at)})
+                    found = [pa.array(np.where(empty, 0.0, angle)), pa.array(np.where(empty, NOWHERE, at).astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays([*some.columns, *found], [key, "vector", "angle", "list"])
 
-        placed = vectors.select(key, "vector").filter(F.size("vector") > 0).mapInPandas(place, f"{key} {kind}, vector array<double>, angle double, list int")
+        wide = vectors.select(key, F.col("vector").cast("array<double>")).filter(F.size("vector") > 0)
+        placed = wide.mapInArrow(place, f"{key} {kind}, vector array<double>, angle double, list int")
         placed.hint("rebalance", "list").write.partitionBy("list").parquet(f"{path}/rows")
         rows = spark.read.schema(f"{key} {kind}, vector array<double>, angle double, list int").parquet(f"{path}/rows")
         centroids = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(shared.value)], "list int, centroid array<double>")
@@ -119,19 +130,21 @@ def _scan(index: ListIndex, ids: list, questions: np.ndarray, bounds: Bounds, wa
     asking = {int(name): np.flatnonzero(wanted[:, j]) for j, name in enumerate(bounds.names) if wanted[:, j].any()}
     shared = index.rows.sparkSession.sparkContext.broadcast((ids, questions, asking))  # QUESTION_BLOCK vectors
 
-    def best_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    out = to_arrow_schema(parsed(kind))
+
+    def best_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q, asking = shared.value
         best = _Best(k, len(ids))
-        for b in batches:
-            for name, rows in b.groupby("list"):
-                who = asking[int(name)]
-                for i in range(0, len(rows), 4096):
-                    scores = matrix(rows["vector"].iloc[i : i + 4096]) @ q[who].T
-                    best.add(rows[key].to_numpy()[i : i + 4096], scores if digits is None else np.round(scores, digits), questions=who)
+        for b in (batch.slice(i, SOME) for batch in batches for i in range(0, batch.num_rows, SOME)):
+            x, names, keys = _unit(rows_of(b.column("vector"))), b.column("list").to_numpy(), np.array(b.column(key).to_pylist())
+            for name in np.unique(names):
+                who, mine = asking[int(name)], names == name
+                scores = x[mine] @ q[who].T
+                best.add(keys[mine], scores if digits is None else np.round(scores, digits), questions=who)
         if best.parts:
-            yield best.frame(ids, key, "dense_score")
+            yield from pa.Table.from_pandas(best.frame(ids, key, "dense_score"), schema=out, preserve_index=False).to_batches()
 
-    return index.rows.filter(F.col("list").isin(list(asking))).select(key, "vector", "list").mapInPandas(best_of, kind)
+    return index.rows.filter(F.col("list").isin(list(asking))).select(key, "vector", "list").mapInArrow(best_of, kind)
 
 
 def list_topk(queries: DataFrame, index: ListIndex, k: int = 25, digits: int | None = None, block: int = QUESTION_BLOCK) -> DataFrame:

@@ -26,6 +26,8 @@ QUESTION_TERMS = 1 << 17
 PART, CELLS = 1 << 16, 1 << 20
 #: Chunks that share an upper bound of what a term adds to their scores.
 BLOCK = 256
+#: Chunks whose postings are scored at once.
+SCORED = 8 * BLOCK
 
 
 def top_by(df: DataFrame, k: int, *order: Column, name: str = "rank") -> DataFrame:
@@ -118,7 +120,8 @@ def _dense_broadcast(rows: list, chunks: DataFrame, k: int, digits: int | None,
         if not ids:
             return
         q, best = _unit(np.array(vectors, dtype=np.float64)), _Best(k, len(ids))
-        for b in batches:
+        step = max(BLOCK, CELLS // max(len(ids), q.shape[-1]))
+        for b in (batch.slice(i, step) for batch in batches for i in range(0, batch.num_rows, step)):
             if b.num_rows:
                 x = b.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
                 scores = _unit(x) @ q.T
@@ -258,7 +261,8 @@ def _sparse_broadcast(rows: list, posted: DataFrame, schema: str, how: tuple) ->
     def local_top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(*shared.value, how)
         for batch in batches if scorer.ids else ():
-            scorer.add(batch)
+            for i in range(0, batch.num_rows, SCORED):
+                scorer.add(batch.slice(i, SCORED))
         yield from scorer.result(out).to_batches()
 
     return posted.mapInArrow(local_top, schema)
@@ -275,7 +279,7 @@ def _sparse_grid(wanted: DataFrame, posted: DataFrame, schema: str, most: int, h
         if not (q.num_rows and c.num_rows):
             return out.empty_table()
         scorer = _Scorer(q.column("query_id").to_pylist(), q.column("term").to_pylist(), q.column("weight").to_pylist(), how)
-        for batch in c.to_batches(1 << 13):
+        for batch in c.to_batches(SCORED):
             scorer.add(batch)
         return scorer.result(out)
 

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evispark import queries
+from evispark import policy, queries
+from evispark.functions import phi, vectors
 from evispark.functions.splitting import split_pieces, split_text, with_overlap
 from evispark.operators import answers, fhir, flatten, governance, index, lists, quality, retrieval
 from evispark.operators.chunking import chunk_articles, chunk_trials
@@ -377,3 +378,27 @@ def test_lexical_rerank_of_odd_questions(spark):
     weights = spark.createDataFrame([("asthma", 3.0)], "term string, weight double")  # dose weighs 1
     got = {(r.query_id, r.chunk_id): r.rerank_score for r in retrieval.lexical_rerank(hits, asked, weights).collect()}
     assert got == {("q1", "c1"): 1.0, ("q1", "c2"): 0.25, ("q1", "c3"): 0.0, ("q2", "c1"): 0.0, ("q3", "c1"): 0.0}
+
+
+def test_a_fragment_is_parsed_once(spark):
+    """Filters for what is an article don't call the parser again below a projection."""
+    for df in (flatten.flatten_articles(queries.article_xml(spark, SF)), flatten.unread_articles(queries.article_xml(spark, SF))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") + plan.count("ArrowEvalPython") == 1
+
+
+def test_slices_hold_little(spark):
+    sizes = np.array([3, 0, 5, 100, 1, 1, 1, 0])
+    cut = list(vectors.slices(sizes, rows=3, size=8))
+    assert cut == [(0, 3), (3, 4), (4, 7), (7, 8)] and list(vectors.slices(np.array([], int))) == []
+    texts = ["a b", None, "", "x " * 3000, "\u0130K \u00e9b", "q\x00r\x1cs"] * 5
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1)
+    got = [r.v for r in df.select("i", vectors.hash_embed(F.col("t")).alias("v")).orderBy("i").collect()]
+    assert np.array_equal(np.array(got, np.float32), vectors.hash_vectors(texts))
+
+
+@pytest.mark.parametrize("text", ["x mrn-12AB", "n 123-45-6789.", "1234567890", "a 21234567890", "a.b@c.de", "at 5 North Market Road", "at 5 North Roadé", "5 Ab St", "", "Status - 2020 @"])
+def test_cheap_needs_of_gated_families_lose_no_hit(spark, text):
+    row = spark.createDataFrame([(text,)], "t string")
+    whole = [F.col("t").rlike(f"(?U){policy.PHI_PATTERNS[f]}") for f in policy.GATED_FAMILIES]
+    assert row.select(phi.is_gated(F.col("t")) == F.greatest(*whole)).first()[0]
