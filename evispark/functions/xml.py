@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..schemas import ARTICLE_PARTS, parsed
+from .vectors import slices
 
 
 #: A document type stands before the root element, after nothing but instructions and comments; elsewhere it is text.
@@ -46,16 +50,25 @@ def parse_article(xml: str | None) -> dict | None:
     }
 
 
-def article_parts(column: str) -> Column:
-    """Struct of an article's parts (schemas.ARTICLE_PARTS), null where the fragment can't be parsed."""
-
-    schema = parsed(ARTICLE_PARTS)
-    names = schema.names
-
-    @F.pandas_udf(schema)
-    def parse(fragments: pd.Series) -> pd.DataFrame:
-        rows = [parse_article(x) or dict.fromkeys(names) for x in fragments]
-        return pd.DataFrame(rows, columns=names)
-
-    a = parse(F.col(column))
-    return F.when(a["sections"].isNotNull(), a)
+def with_article_parts(df: DataFrame, column: str, name: str, read: bool = True) -> DataFrame:
+    """The rows whose fragment is an article, without the fragment but with ``name``, a struct of its parts (schemas.ARTICLE_PARTS);
+    with ``read`` false those whose fragment isn't, as they are.
+
+    A fragment is parsed once, and a worker has the parts of a few in hand, not of a whole batch: filters that Spark moved
+    below a function of columns would call it again there.
+    """
+    kind = to_arrow_type(parsed(ARTICLE_PARTS))
+    kept = [c for c in df.columns if not read or c != column]
+    schema = T.StructType([df.schema[c] for c in kept] + ([T.StructField(name, parsed(ARTICLE_PARTS))] if read else []))
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False)
+            for i, j in slices(sizes):
+                some = b.slice(i, j - i)
+                parts = [parse_article(x) for x in some.column(column).to_pylist()]
+                rows = some.filter(pa.array([(p is not None) == read for p in parts], pa.bool_())).select(kept)
+                found = [pa.array([p for p in parts if p is not None], kind)] if read else []
+                yield pa.RecordBatch.from_arrays([*rows.columns, *found], [*kept, *([name] if read else [])])
+
+    return df.mapInArrow(parse, schema)

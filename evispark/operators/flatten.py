@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import parse_age_years
-from ..functions.xml import article_parts
+from ..functions.xml import with_article_parts
 
 
 def _or_empty(c: Column) -> Column:
@@ -74,9 +74,7 @@ def flatten_articles(df: DataFrame, xml: str = "xml", keep: tuple[str, ...] = ()
     dois = F.filter(a["ids"], lambda i: i["kind"] == "doi")
     pmid = a["pmid"]
     return (
-        df.withColumn("a", article_parts(xml))
-        .filter("a IS NOT NULL")
-        .select(
+        with_article_parts(df.select(*keep, xml), xml, "a").select(
             *keep,
             pmid.alias("pmid"),
             a["title"].alias("title"),
@@ -93,4 +91,4 @@ def flatten_articles(df: DataFrame, xml: str = "xml", keep: tuple[str, ...] = ()
 
 def unread_articles(df: DataFrame, xml: str = "xml") -> DataFrame:
     """The fragments that give no article: broken ones, and any with a document type."""
-    return df.withColumn("_a", article_parts(xml)).filter("_a IS NULL").drop("_a")
+    return with_article_parts(df, xml, "_a", read=False)
