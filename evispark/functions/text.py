@@ -9,8 +9,8 @@ from .. import policy
 
 
 def strip(c: Column) -> Column:
-    """Without Unicode white space at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Without Unicode white space at both ends; a text that has none there is not searched for it."""
+    return F.when(F.concat(F.left(c, F.lit(1)), F.right(c, F.lit(1))).rlike(r"(?U)\s"), F.regexp_replace(c, r"(?U)^\s+|\s+$", "")).otherwise(c)
 
 
 def exploded(df: DataFrame, array: str | Column, *names: str) -> DataFrame:
