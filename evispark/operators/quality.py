@@ -14,6 +14,8 @@ from ..functions.text import blank
 from ..scratch import lent, scratch
 
 FATAL, ADVISORY = "FATAL", "ADVISORY"
+#: Words of 64 rows, of which some are duplicates, that are broadcast: some 50 MB, and enough for 67 million rows.
+MARKED = 1 << 20
 
 
 class BatchHalted(RuntimeError):
@@ -48,14 +50,40 @@ def duplicate_of_earlier(df: DataFrame, key: str, order: str, name: str = "_dupl
     Keys that stand more than once are found first and written aside; there are few, so that Spark broadcasts them by
     their size and rows are not shuffled. Keys are grouped after partial sums, so a hot key (nulls, say) is no task's work.
     """
+    repeated = scratch(_repeated(df, key, order, ever), "repeated")
+    joined = df.join(repeated, df[key].eqNullSafe(repeated["_k"]), "left")
+    return joined.withColumn(name, F.coalesce(F.col("_before") | (F.col(order) > F.col("_first")), F.lit(False))).drop("_k", "_first", "_before")
+
+
+def _repeated(df: DataFrame, key: str, order: str, ever: DataFrame | None) -> DataFrame:
+    """(_k, _first, _before): keys that stand more than once in ``df``, or have come before it."""
     counted = df.groupBy(F.col(key).alias("_k")).agg(F.min(order).alias("_first"), F.count("*").alias("_times"))
     before = F.lit(False)
     if ever is not None:
         counted = counted.join(ever, F.col("_k").eqNullSafe(F.col("_key")), "left")
         before = F.coalesce(F.col("_ever") > F.col("_times"), F.lit(False))
-    repeated = scratch(counted.select("_k", "_first", "_times", before.alias("_before")).filter("_times > 1 OR _before"), "repeated")
-    joined = df.join(repeated, df[key].eqNullSafe(repeated["_k"]), "left")
-    return joined.withColumn(name, F.coalesce(F.col("_before") | (F.col(order) > F.col("_first")), F.lit(False))).drop("_k", "_first", "_times", "_before")
+    return counted.withColumn("_before", before).filter("_times > 1 OR _before").select("_k", "_first", "_before")
+
+
+def numbered_duplicates(df: DataFrame, key: str, order: str, number: str, name: str = "_duplicate", ever: DataFrame | None = None) -> DataFrame:
+    """As duplicate_of_earlier for rows that are written with a ``number`` each (0 or more, all different; it goes), however many
+    keys stand more than once.
+
+    Only numbers, keys and order are joined with the keys. What comes of it is a bit for each row, 64 to a word, which is
+    broadcast up to MARKED words, so that whole rows stay where they are; over that Spark chooses the join.
+    """
+    with lent(_repeated(df, key, order, ever), "repeated") as repeated:
+        again = df.select(*{number, key, order}).join(repeated, F.col(key).eqNullSafe(F.col("_k"))).filter(F.col("_before") | (F.col(order) > F.col("_first")))
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), _place(number))
+        words = scratch(again.groupBy(F.shiftright(number, 6).alias("_word")).agg(F.bit_or(bit).alias("_bits")), "again")
+    few = words.count() <= MARKED
+    joined = df.join(F.broadcast(words) if few else words, F.shiftright(number, 6) == F.col("_word"), "left")
+    return joined.withColumn(name, F.coalesce(F.bit_get("_bits", _place(number)) == 1, F.lit(False))).drop(number, "_word", "_bits")
+
+
+def _place(number: str) -> Column:
+    """A row's place in its word of 64."""
+    return F.col(number).bitwiseAND(63).cast("int")
 
 
 def trial_gate(as_of: str) -> Gate:
@@ -105,11 +133,12 @@ def literature_gate(year: int) -> Gate:
     return Gate("pmid", checks)
 
 
-def grade(df: DataFrame, gate: Gate, order: str = "seq", ever: DataFrame | None = None) -> DataFrame:
+def grade(df: DataFrame, gate: Gate, order: str = "seq", ever: DataFrame | None = None, number: str | None = None) -> DataFrame:
     """``df`` with quality_failures and data_quality_flags: codes of violated checks, in order, joined by ``|``.
 
-    ``ever`` tells of rows that came before ``df``, see duplicate_of_earlier."""
-    marked = duplicate_of_earlier(df, gate.key, order, ever=ever)
+    ``ever`` tells of rows that came before ``df``, see duplicate_of_earlier; ``number`` is the column of rows that are written
+    with numbers, see numbered_duplicates."""
+    marked = numbered_duplicates(df, gate.key, order, number, ever=ever) if number else duplicate_of_earlier(df, gate.key, order, ever=ever)
     checks = gate.checks(F.col("_duplicate"))
 
     def codes(severity: str) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.quality import BatchHalted, Gate, clean_rows, graded_once, rejected_rows
+from ..operators.quality import BatchHalted, Gate, clean_rows, grade, rejected_rows, verdict
 from ..schemas import ENVELOPE, parsed
 from ..scratch import DENSE, lent
 from ..sources.files import quarantine
@@ -102,25 +102,26 @@ def _with_history(rows: DataFrame, key: str, earlier: DataFrame) -> DataFrame:
 
 
 def _gated(gate: Gate, table: VersionedTable, quarantine_path: str, label: str, order: str, threshold: float) -> Callable[[DataFrame, int], None]:
-    """What a micro-batch goes through: grade, quarantine, halt or commit."""
+    """What a micro-batch goes through: grade, quarantine, halt or commit. Its rows are written aside once, with numbers, and
+    graded as they are read."""
 
     def run(batch: DataFrame, batch_number: int) -> None:
         spark = batch.sparkSession
         stream = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
         known = f"{stream}-{batch_number}"
-        with lent(batch, "batch") as held:  # the state moves on once, even if the batch is known
+        with lent(batch.withColumn("_number", F.monotonically_increasing_id()), "batch") as held:  # the state moves on once, even if the batch is known
             if table.version_of(OPERATION, known) is not None:
                 return
-            rows, counts = held.filter("_row IS NOT NULL").select("_row.*"), held.filter("_row IS NULL").select("_key", "_ever")
-            with graded_once(rows, gate, order, threshold, counts) as graded:
-                row = graded.verdict.first()
-                if not row["evaluated"]:
-                    return
-                quarantine(rejected_rows(graded.rows), label, quarantine_path, known, row["rejected"])
-                if row["halt_pipeline"]:
-                    raise BatchHalted(f"batch {known}: {row['rejected']} of {row['evaluated']} rows are fatal")
-                if row["clean"]:
-                    table.write(clean_rows(graded.rows), "append", OPERATION, batch_id=known)
+            rows, counts = held.filter("_row IS NOT NULL").select("_row.*", "_number"), held.filter("_row IS NULL").select("_key", "_ever")
+            graded = grade(rows, gate, order, counts, "_number")
+            row = verdict(graded, threshold).first()
+            if not row["evaluated"]:
+                return
+            quarantine(rejected_rows(graded), label, quarantine_path, known, row["rejected"])
+            if row["halt_pipeline"]:
+                raise BatchHalted(f"batch {known}: {row['rejected']} of {row['evaluated']} rows are fatal")
+            if row["clean"]:
+                table.write(clean_rows(graded), "append", OPERATION, batch_id=known)
 
     return run
 

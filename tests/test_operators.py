@@ -402,3 +402,24 @@ def test_cheap_needs_of_gated_families_lose_no_hit(spark, text):
     row = spark.createDataFrame([(text,)], "t string")
     whole = [F.col("t").rlike(f"(?U){policy.PHI_PATTERNS[f]}") for f in policy.GATED_FAMILIES]
     assert row.select(phi.is_gated(F.col("t")) == F.greatest(*whole)).first()[0]
+
+
+def test_numbered_rows_are_graded_where_they_stand(spark, tmp_path, monkeypatch):
+    """As rows without numbers, and whole rows are not shuffled, however many keys come again."""
+    keys = [None if i % 31 == 0 else f"NCT{i % 150:08d}" for i in range(400)]
+    trial_frame(spark, [trial(i // 2, nct_id=k) for i, k in enumerate(keys)]).repartition(3).withColumn("_number", F.monotonically_increasing_id()).write.parquet(f"{tmp_path}/t")
+    held = spark.read.parquet(f"{tmp_path}/t")
+    ever = held.groupBy(F.col("nct_id").alias("_key")).agg((F.count("*") + F.max(F.col("seq") % 2)).alias("_ever"))
+    gate, before = quality.trial_gate("2026-01-01"), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for history in (None, ever):
+        want = sorted(map(str, quality.grade(held.drop("_number"), gate, ever=history).collect()))
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if there were more keys than Spark broadcasts
+        try:
+            got = quality.grade(held, gate, ever=history, number="_number")
+            assert "SortMergeJoin" not in (plan := got._jdf.queryExecution().executedPlan().toString()) and "Exchange hash" not in plan
+            assert sorted(map(str, got.collect())) == want
+            monkeypatch.setattr(quality, "MARKED", 0)  # too many to broadcast
+            assert sorted(map(str, quality.grade(held, gate, ever=history, number="_number").collect())) == want
+        finally:
+            monkeypatch.undo()
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -8,10 +8,11 @@ from evispark.functions.vectors import encode_with, hash_vectors
 
 from evispark import queries
 from evispark.jobs.workloads import Feed, Index, answer, build_index, ingest, load_governed, with_texts
+from evispark.operators import quality
 from evispark.operators.governance import UnknownRole
 from evispark.operators.index import ChunkStore, DimensionMismatch
 from evispark.operators.quality import literature_gate, trial_gate
-from evispark.scratch import scratch
+from evispark.scratch import lent, scratch
 from evispark.sources import journal
 from evispark.sources.files import land_raw, quarantine, read_patients
 from evispark.sources.journal import Audit, Lineage, ancestry, chain_text, closure, table_versions, trace
@@ -209,6 +210,22 @@ def test_a_batch_that_halts_is_not_remembered(spark, tmp_path):
     assert s.seqs() == [2, 3]
 
 
+def test_a_batch_is_written_aside_once(spark, tmp_path, monkeypatch):
+    written = []
+
+    def noting(df, name):
+        if "brief_title" in str(df.schema):  # not those of keys alone
+            written.append(name)
+        return lent(df, name)
+
+    for module in (ev, quality):
+        monkeypatch.setattr(module, "lent", noting)
+    s = Stream(spark, str(tmp_path), "raw_clinical_trials", threshold=1.0)
+    s.send(0, 1)
+    s.send(1, 2)
+    assert s.seqs() == [0, 1, 2] and written == ["batch", "batch"]  # and "graded" for each before
+
+
 def test_a_committed_batch_that_comes_again_is_passed_over(spark, tmp_path):
     """The stream ends between its commit and its own note of it: that note is taken away here."""
     s = Stream(spark, str(tmp_path), "raw_clinical_trials", threshold=1.0)
