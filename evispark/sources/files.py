@@ -39,11 +39,11 @@ def land_raw(df: DataFrame, path: str) -> None:
 
 
 def quarantine(rejected: DataFrame, label: str, path: str, stamp: str, count: int) -> str | None:
-    """Write rejected rows as CSV with a header under ``path``; nothing if the batch report counts none."""
+    """Write rejected rows as compressed CSV with a header under ``path``; nothing if the batch report counts none."""
     if not count:
         return None
     at = f"{path.rstrip('/')}/corrupt_{label}_{stamp}"
-    rejected.write.mode("overwrite").option("header", True).option("escape", '"').csv(at)
+    rejected.write.mode("overwrite").option("header", True).option("escape", '"').option("compression", "gzip").csv(at)
     return at
 
 

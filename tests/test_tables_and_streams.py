@@ -14,7 +14,7 @@ from evispark.operators.index import ChunkStore, DimensionMismatch
 from evispark.operators.quality import literature_gate, trial_gate
 from evispark.scratch import lent, scratch
 from evispark.sources import journal
-from evispark.sources.files import land_raw, quarantine, read_patients
+from evispark.sources.files import land_raw, quarantine, read_patients, read_quarantine
 from evispark.sources.journal import Audit, Lineage, ancestry, chain_text, closure, table_versions, trace
 from evispark.sources.numbers import Numbers, counted_in_order
 from evispark.sources.versions import SchemaEnforcementError, VersionedTable, incremental_load, normalise_for_commit
@@ -156,6 +156,14 @@ def test_audit_is_one_rising_order(spark, tmp_path):
     assert not any("2026-01-01" in f for f in audit.load(audit.days()[-2:]).inputFiles())
 
 
+def test_quarantine_is_compressed(spark, tmp_path):
+    text = 'a "word", and\nanother line;' * 500
+    df = spark.createDataFrame([("1", text), ("2", None)], "id string, text string")
+    at = quarantine(df, "x", str(tmp_path), "t", 2)
+    assert sum(os.path.getsize(f"{at}/{f}") for f in os.listdir(at)) < len(text) / 2  # more than the text itself before
+    assert sorted(read_quarantine(spark, at).collect()) == sorted(df.collect())
+
+
 class Stream:
     """Trials that are published one batch after another and ingested into one table."""
 
