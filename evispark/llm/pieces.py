@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cached_property
 
 import numpy as np
@@ -23,7 +24,9 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 
 #: Bytes of pre-tokens and ids that a worker remembers, and pre-tokens that are encoded in one string.
-REMEMBERED_BYTES, TOGETHER = 48 << 20, 64
+REMEMBERED_BYTES, TOGETHER = 16 << 20, 64
+#: Bytes of text that are encoded at once: tokens, Python's strings and ids take many times that.
+ENCODED_BYTES = 1 << 19
 
 
 class PieceModel:
@@ -101,26 +104,15 @@ class PieceModel:
         out.normalizer = self.normalizer
         if self.cuts:
             out.pre_tokenizer = pre_tokenizers.Split(Regex(f"{SPACE_MARK}+[^{SPACE_MARK}]*"), "isolated")
-        steps = self._decoding
+        steps = [decoders.Replace(SPACE_MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
         out.decoder = decoders.Sequence([*steps, decoders.Strip(" ", 1, 0)] if self.dummy_prefix else steps)
         return out
 
-    @property
-    def _decoding(self) -> list:
-        return [decoders.Replace(SPACE_MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
-
-    @cached_property
-    def within(self) -> Tokenizer:
-        """The model with a decoder for parts of texts, which keeps the space that a text begins with."""
-        out = Tokenizer.from_str(self.core.to_str())
-        out.decoder = decoders.Sequence(self._decoding)
-        return out
-
-    def decode_parts(self, parts: list[list[int]]) -> list[str]:
-        """The text of the ids of each part of a text; an unknown piece is written as the original library does."""
-        if self.byte_fallback:
-            return self.within.decode_batch(parts, skip_special_tokens=False)
-        return [b"".join([self.piece_bytes[i] for i in ids]).decode("utf-8", "replace") for ids in parts]
+    def decode_parts(self, ids: np.ndarray, lengths: np.ndarray) -> list[str]:
+        """The text of each part of a text, which have so many of the ids; it keeps the space that a text begins with, and
+        an unknown piece is written as the original library does."""
+        spelt, ends = [self.piece_bytes[i] for i in ids.tolist()], np.cumsum(lengths).tolist()
+        return [b"".join(spelt[a:b]).decode("utf-8", "replace") for a, b in zip([0, *ends], ends, strict=False)]
 
     @cached_property
     def marker(self) -> int:
@@ -190,19 +182,21 @@ class Encoder:
             lengths = np.array([len(x) for x in each], dtype=np.int64)
             return np.array([i for x in each for i in x], dtype=np.int32), lengths, np.ones(len(texts), bool)
         joined = _together(texts)
-        ids = _flat(e.ids for e in self.model.core.encode_batch_fast(joined, add_special_tokens=False))
+        ids = _flat(e.ids for part in few(joined) for e in self.model.core.encode_batch_fast(part, add_special_tokens=False))
         lengths = self._lengths(ids, tokens)
         if not self.verify:
             return ids, lengths, np.ones(len(texts), bool)
-        raw = [x[1:].replace(SPACE_MARK, " ") for x in joined]  # the library puts the first space itself
-        encoded = self.model.library.encode(raw)
-        theirs = _flat(x if r else [self.model.marker] for r, x in zip(raw, encoded, strict=True))  # but not before nothing
+        theirs = _flat(x for part in few(joined) for x in self._theirs(part))
         same = np.ones(len(texts), bool)
         if len(theirs) != len(ids) or (theirs != ids).any():
             own, other = np.concatenate([[0], np.cumsum(lengths)]), np.concatenate([[0], np.cumsum(self._lengths(theirs, tokens))])
             same = np.array([np.array_equal(ids[a:b], theirs[c:d]) for a, b, c, d in zip(own[:-1], own[1:], other[:-1], other[1:], strict=True)])
         return ids, lengths, same
 
+    def _theirs(self, joined: list[str]) -> list[list[int]]:
+        raw = [x[1:].replace(SPACE_MARK, " ") for x in joined]  # the library puts the first space itself, but not before nothing
+        return [x if r else [self.model.marker] for r, x in zip(raw, self.model.library.encode(raw, num_threads=1), strict=True)]
+
     def _lengths(self, ids: np.ndarray, tokens: pa.Array) -> np.ndarray:
         ends = np.cumsum(pc.binary_length(tokens).to_numpy().astype(np.int64))
         return np.diff(np.searchsorted(np.cumsum(self.covers[ids]), ends) + 1, prepend=0)
@@ -215,10 +209,8 @@ class Encoder:
         if len(new):
             ids, lengths, same = self._fresh(new)
             at[at < 0] = len(self.tokens) + np.arange(len(new))
-            ends = np.cumsum(lengths).tolist()
-            parts = [ids[a:b].tolist() for a, b in zip([0, *ends], ends, strict=False)]
             self.tokens = pa.concat_arrays([self.tokens, new])
-            self.decoded = pa.concat_arrays([self.decoded, pa.array(self.model.decode_parts(parts), pa.large_string())])
+            self.decoded = pa.concat_arrays([self.decoded, pa.array(self.model.decode_parts(ids, lengths), pa.large_string())])
             self.begin = np.concatenate([self.begin, len(self.bank) + np.cumsum(lengths) - lengths])
             self.length, self.same = np.concatenate([self.length, lengths]), np.concatenate([self.same, same])
             self.bank = np.concatenate([self.bank, ids])
@@ -257,8 +249,18 @@ def _together(tokens: list[str]) -> list[str]:
     return [*out, "".join(current)] if current else out
 
 
-def _flat(lists) -> np.ndarray:
-    return np.array([i for x in lists for i in x], dtype=np.int32)
+def one_thread() -> None:
+    """Tasks share the cores already; each thread of the tokenizers library would keep memory of its own in every worker."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+
+
+def few(strings: list[str]) -> Iterator[list[str]]:
+    """Strings in lists of TOGETHER: what a library returns for a string takes many times its size."""
+    return (strings[i : i + TOGETHER] for i in range(0, len(strings), TOGETHER))
+
+
+def _flat(lists: Iterable[list[int]]) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int32), *(np.array(x, np.int32) for x in lists)])
 
 
 def encode(docs: DataFrame, model: PieceModel, verify: bool = True) -> DataFrame:
@@ -276,10 +278,10 @@ def encode(docs: DataFrame, model: PieceModel, verify: bool = True) -> DataFrame
     shared = docs.sparkSession.sparkContext.broadcast(model.raw)  # the model file
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = PieceModel(shared.value)
-        encoder = Encoder(own, verify)
+        one_thread()
+        encoder = Encoder(PieceModel(shared.value), verify)
         for whole in batches:
-            for b in slices(whole, "text"):
+            for b in slices(whole, "text", ENCODED_BYTES):
                 ids, ends, parity, decoded = encoder.encode(b.column("text").to_pylist())
                 trips = pc.equal(decoded, pc.fill_null(b.column("text"), "").cast(pa.large_string()))
                 arrays = [

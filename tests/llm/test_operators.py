@@ -447,6 +447,29 @@ def test_parity_is_compared_where_pre_tokens_cannot_be(model):
     assert pieces.Encoder(own).encode(texts)[2].tolist() == [True, False, True, True, True]
 
 
+def test_libraries_get_few_strings_at_once(model):
+    """What they return for all new pre-tokens of a slice would take many times its size."""
+
+    class Noting:
+        def __init__(self, real):
+            self.real = real
+
+        def __getattr__(self, name):
+            def call(strings, **options):
+                sizes.append(len(strings))
+                return getattr(self.real, name)(strings, **options)
+
+            return call
+
+    own, sizes = pieces.PieceModel(model.raw), []
+    texts = [" ".join(f"w{i}x{j}" for j in range(100)) for i in range(100)]
+    expected = own.library.encode(texts)
+    own.core, own.library = Noting(own.core), Noting(own.library)
+    ids, ends, parity, decoded = pieces.Encoder(own).encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)] == expected and parity.all() and decoded.to_pylist() == texts
+    assert max(sizes) <= pieces.TOGETHER < sum(sizes) / 2
+
+
 def test_a_wrong_model_has_no_parity(spark, model):
     own = pieces.PieceModel(model.raw)
     vocab = {p: i for i, (p, *_) in enumerate(own.pieces)}
