@@ -22,20 +22,22 @@ from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
 from .common import slices, written
-from .pieces import BYTE, NORMAL, SPACE_MARK, PieceModel
+from .pieces import BYTE, ENCODED_BYTES, NORMAL, SPACE_MARK, PieceModel, few, one_thread
 
 #: Sides of an event.
 A, B = 0, 1
 #: Bytes of text that one run of events covers.
 WINDOW = 1 << 16
 #: Segments that a worker remembers the tokens of.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 17
 #: Segments that are encoded in one string.
 TOGETHER = 64
 #: Links of one group that are written out one by one; larger groups are counted by distinct ids.
 SPREAD = 1 << 14
 #: Different pairs that a task counts before it hands them on.
-COUNTED = 1 << 21
+COUNTED = 1 << 20
+#: Bytes of ids or of pairs that a task sweeps, counts or scores at once: as links, in 64 bits and as text they take many times that.
+SWEPT_BYTES = 1 << 18
 #: Pairs whose counts are broadcast at most.
 HOT_PAIRS = 1 << 20
 
@@ -148,12 +150,13 @@ class Tokens:
         one string, as no token crosses their borders; if that is not spelt, each is encoded alone."""
         held = segments.to_pylist()
         parts = ["".join(held[i : i + together]) for i in range(0, len(held), together)]
-        lists = (self.a.encode if side == A else self._encode_b)(parts)
-        ids, table = np.array([i for x in lists for i in x], np.uint16), self.bytes[side]
+        encode = self.a.encode if side == A else self._encode_b
+        lists = [np.array(x, np.uint16) for some in few(parts) for x in encode(some)]
+        ids, table = np.concatenate(lists), self.bytes[side]
         if together == 1:
-            whole = np.array([b"".join([table[i] for i in x]) == p.encode() for x, p in zip(lists, parts, strict=True)], bool)
+            whole = np.array([b"".join([table[i] for i in x.tolist()]) == p.encode() for x, p in zip(lists, parts, strict=True)], bool)
             return ids, np.array([len(x) for x in lists], np.int64), whole
-        if b"".join([table[i] for x in lists for i in x]) != "".join(parts).encode():
+        if any(b"".join([table[i] for i in x.tolist()]) != p.encode() for x, p in zip(lists, parts, strict=True)):
             return self._encode(side, segments, 1)
         ends = np.searchsorted(np.cumsum(self.covers[side][ids]), np.cumsum(pc.binary_length(segments).to_numpy())) + 1
         return ids, np.diff(ends, prepend=0).astype(np.int64), np.ones(len(held), bool)
@@ -198,9 +201,10 @@ def end_events(docs: DataFrame, a: ByteModel, b: PieceModel, window: int = WINDO
     shared = docs.sparkSession.sparkContext.broadcast((a, b))  # the model files
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         tokens = Tokens(*shared.value)
         for whole in batches:
-            for part in slices(whole, "text"):
+            for part in slices(whole, "text", ENCODED_BYTES):
                 texts = pc.fill_null(part.column("text").cast(pa.large_string()), "")
                 fine, sides = tokens.of(texts)
                 fine &= pc.binary_length(texts).to_numpy() > 0
@@ -341,7 +345,8 @@ def sweep(events: DataFrame, a: ByteModel, b: PieceModel) -> DataFrame:
 
     ``pairs`` has the different linked id pairs, A id << 16 | B id as 32 bits, ``times`` how often the document links each.
     """
-    shared = events.sparkSession.sparkContext.broadcast((a, b))
+    lengths = [np.array([len(x) for x in t], np.int64) for t in (a.token_bytes, piece_bytes(b))]
+    shared = events.sparkSession.sparkContext.broadcast(lengths)  # workers that sweep hold no model
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         scalars = [pa.array([r[i] for r in rows], pa.int64()) for i in range(6)]
@@ -352,11 +357,10 @@ def sweep(events: DataFrame, a: ByteModel, b: PieceModel) -> DataFrame:
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, other = shared.value
-        state = Sweep([np.array([len(x) for x in t], np.int64) for t in (one.token_bytes, piece_bytes(other))])
+        state = Sweep(shared.value)
         held: pa.RecordBatch | None = None
         for whole in batches:
-            for part in slices(whole, "ids"):
+            for part in slices(whole, "ids", SWEPT_BYTES):
                 part = part if held is None else pa.Table.from_batches([held, part]).combine_chunks().to_batches()[0]
                 pairs = part.num_rows // 2 * 2  # an A run waits for its B run
                 held = part.slice(pairs) if pairs < part.num_rows else None
@@ -379,16 +383,17 @@ def pair_counts(linked: DataFrame) -> DataFrame:
         def added() -> tuple[np.ndarray, np.ndarray]:
             return merged(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-        for b in batches:
-            keys, n = np.unique(b.column("pairs").flatten().to_numpy(), return_counts=True)
-            held.append((keys, n.astype(np.int64)))
-            size += len(keys)
-            if size > COUNTED:
-                held = [added()]
-                size = len(held[0][0])
-            if size > COUNTED // 2 and len(held) == 1:
-                yield pa.RecordBatch.from_arrays([*map(pa.array, held[0])], ["pair", "n"])
-                held, size = [], 0
+        for whole in batches:
+            for b in slices(whole, "pairs", SWEPT_BYTES):
+                keys, n = np.unique(b.column("pairs").flatten().to_numpy(), return_counts=True)
+                held.append((keys, n.astype(np.int64)))
+                size += len(keys)
+                if size > COUNTED:
+                    held = [added()]
+                    size = len(held[0][0])
+                if size > COUNTED // 2 and len(held) == 1:
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, held[0])], ["pair", "n"])
+                    held, size = [], 0
         if held:
             yield pa.RecordBatch.from_arrays([*map(pa.array, added())], ["pair", "n"])
 
@@ -414,8 +419,7 @@ def scored(linked: DataFrame, counts: DataFrame, hot_pairs: int = HOT_PAIRS) ->
         keys, n, best = table.value
         names = ["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "n_best", "count_sum", "rest"]
         for whole in batches:
-            for i in range(0, whole.num_rows, 1000):
-                b = whole.slice(i, 1000)
+            for b in slices(whole, "pairs", SWEPT_BYTES):
                 lists = b.column("pairs")
                 size = pc.list_value_length(lists).to_numpy().astype(np.int64)
                 pairs, times = (b.column(c).flatten().to_numpy() for c in ("pairs", "times"))

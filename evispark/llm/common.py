@@ -33,10 +33,12 @@ def words_of(text: Column) -> Column:
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that each part holds about ``limit`` bytes of the text column, one row at least."""
+    """Cut a batch so that each part holds about ``limit`` bytes of the column of texts or of lists of numbers, one row at least."""
     if not batch.num_rows:
         return
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    held = batch.column(column)
+    lengths = pc.list_value_length(held) if pa.types.is_list(held.type) else pc.binary_length(held)
+    sizes = pc.fill_null(lengths, 0).to_numpy(zero_copy_only=False) * (held.type.value_type.bit_width // 8 if pa.types.is_list(held.type) else 1)
     part = (np.cumsum(sizes, dtype=np.int64) - sizes) // limit
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts, cuts[1:], strict=False):

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from evispark.llm import align, lines, periods
-from evispark.llm.common import Words
+from evispark.llm.common import Words, slices
 from evispark.llm.pieces import PieceModel
 from evispark.llm.queries import BYTE_MODEL, MODEL
 
@@ -183,6 +183,46 @@ def test_runs_of_events_make_no_difference(spark, models):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
 
+def test_workers_that_sweep_get_no_model(spark, models, monkeypatch):
+    import pickle
+
+    events = align.end_events(spark.createDataFrame([(1, 1, "a b")], "row long, doc_id long, text string"), *models)
+    sent, real = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(len(pickle.dumps(value))) or real(self, value))
+    assert align.sweep(events, *models).count() == 1
+    assert sum(sent) < len(models[0].raw) / 2
+
+
+def test_tokens_are_made_of_few_strings_at_once(models):
+    import pyarrow as pa
+
+    tokens, sizes = align.Tokens(*models), []
+    for name in ("a", "_encode_b"):
+        held = getattr(tokens, name)
+
+        def noting(parts, real=held.encode if name == "a" else held):
+            sizes.append(len(parts))
+            return real(parts)
+
+        setattr(tokens, name, type("Noting", (), {"encode": staticmethod(noting)}) if name == "a" else noting)
+    texts = [" ".join(f"w{i}x{j}" for j in range(200)) for i in range(100)]
+    fine, sides = tokens.of(pa.array(texts, pa.large_string()))
+    plain = align.Tokens(*models)
+    assert fine.all() and max(sizes) <= align.TOGETHER < sum(sizes) / 4
+    for i in (0, 99):
+        _, alone = plain.of(pa.array([texts[i]], pa.large_string()))
+        assert [ids[at[i] : at[i + 1]].tolist() for ids, at in sides] == [ids.tolist() for ids, _ in alone]
+
+
+def test_lists_are_sliced_by_their_bytes():
+    import pyarrow as pa
+
+    lists = [[1] * 300, None, [], [2] * 10, [3] * 2000, [4]]
+    parts = list(slices(pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.int32()))], ["x"]), "x", 1000))
+    assert [v for p in parts for v in p.column("x").to_pylist()] == lists and len(parts) > 2
+    assert [p.num_rows for p in slices(pa.RecordBatch.from_arrays([pa.array([[1]] * 100, pa.list_(pa.int32()))], ["x"]), "x", 200)] == [50, 50]
+
+
 def test_links_of_a_large_group(monkeypatch):
     import numpy as np
 
