@@ -28,8 +28,8 @@ from .pieces import BYTE, ENCODED_BYTES, NORMAL, SPACE_MARK, PieceModel, few, on
 A, B = 0, 1
 #: Bytes of text that one run of events covers.
 WINDOW = 1 << 16
-#: Segments that a worker remembers the tokens of.
-REMEMBERED = 1 << 17
+#: Segments that a worker remembers the tokens of; beyond that it keeps half as many, which most slices had.
+REMEMBERED = 1 << 18
 #: Segments that are encoded in one string.
 TOGETHER = 64
 #: Links of one group that are written out one by one; larger groups are counted by distinct ids.
@@ -42,6 +42,7 @@ SWEPT_BYTES = 1 << 18
 HOT_PAIRS = 1 << 20
 
 _NOTHING, _SPACE, _COMMA, _BAR, _SEMICOLON = (pa.scalar(c, pa.large_string()) for c in ("", " ", ",", "|", ";"))
+_NO_BYTES = pa.scalar(b"", pa.large_binary())
 _EVENT = "row long, doc_id long, offset long, side int, ids binary"
 _LINKED = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<int>, times array<int>"
 
@@ -131,14 +132,25 @@ class Tokens:
         if not b.cuts or not b.byte_fallback or any("\n" in p for p, _, _ in b.pieces):
             raise ValueError("only models with byte fallback and without pieces across spaces or newlines are aligned")
         self.a, self.b = a, b
-        self.bytes = (a.token_bytes, piece_bytes(b))
-        self.covers = [np.array([len(x) for x in t], np.int64) for t in self.bytes]
-        self._forget()
+        self.bytes = [pa.array(t, pa.large_binary()) for t in (a.token_bytes, piece_bytes(b))]
+        self.covers = [pc.binary_length(t).to_numpy() for t in self.bytes]
+        #: remembered segments, in how many slices each was, whether its ids spell it, and where these are in ``bank``
+        self.known, self.slices, self.whole = pa.array([], pa.large_string()), np.zeros(0, np.int64), np.zeros(0, bool)
+        self.begin, self.length, self.bank = ([np.zeros(0, np.int64)] * 2, [np.zeros(0, np.int64)] * 2, [np.zeros(0, np.uint16)] * 2)
 
     def _forget(self) -> None:
-        self.names: dict[str, int] = {}
-        self.whole = np.zeros(0, bool)
-        self.begin, self.length, self.bank = ([np.zeros(0, np.int64)] * 2, [np.zeros(0, np.int64)] * 2, [np.zeros(0, np.uint16)] * 2)
+        """Keep the half that most slices had, of equals the later ones; what slices long ago had counts for less and less."""
+        keep = np.sort(np.argsort(self.slices, kind="stable")[-(REMEMBERED // 2) :])
+        self.known, self.slices, self.whole = self.known.take(pa.array(keep)), self.slices[keep] // 2, self.whole[keep]
+        for side in (A, B):
+            self.bank[side], sums = self._ids(side, keep)
+            self.begin[side], self.length[side] = sums[:-1], self.length[side][keep]
+
+    def _ids(self, side: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of these segments one after another, and where each segment's begin."""
+        length = self.length[side][at]
+        sums = np.concatenate([[0], np.cumsum(length)])
+        return self.bank[side][np.repeat(self.begin[side][at] - sums[:-1], length) + np.arange(sums[-1])], sums
 
     def _encode_b(self, parts: list[str]) -> list[list[int]]:
         # the library puts the first space itself: one too many before a newline, and none before nothing
@@ -148,48 +160,54 @@ class Tokens:
     def _encode(self, side: int, segments: pa.Array, together: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids one after another, how many each segment has, and whether they spell it. ``together`` segments are encoded in
         one string, as no token crosses their borders; if that is not spelt, each is encoded alone."""
-        held = segments.to_pylist()
-        parts = ["".join(held[i : i + together]) for i in range(0, len(held), together)]
+        parts = segments
+        if together > 1:
+            ends = np.append(np.arange(0, len(segments), together), len(segments))
+            parts = pc.binary_join(_lists(segments, np.diff(ends)), _NOTHING)
         encode = self.a.encode if side == A else self._encode_b
-        lists = [np.array(x, np.uint16) for some in few(parts) for x in encode(some)]
-        ids, table = np.concatenate(lists), self.bytes[side]
+        lists = [np.array(x, np.uint16) for some in few(parts.to_numpy(zero_copy_only=False).tolist()) for x in encode(some)]
+        ids, sizes = np.concatenate(lists), np.array([len(x) for x in lists], np.int64)
+        spelt = pc.binary_join(_lists(self.bytes[side].take(pa.array(ids)), sizes), _NO_BYTES)
+        whole = np.array(pc.equal(spelt, parts.cast(pa.large_binary())))
         if together == 1:
-            whole = np.array([b"".join([table[i] for i in x.tolist()]) == p.encode() for x, p in zip(lists, parts, strict=True)], bool)
-            return ids, np.array([len(x) for x in lists], np.int64), whole
-        if any(b"".join([table[i] for i in x.tolist()]) != p.encode() for x, p in zip(lists, parts, strict=True)):
+            return ids, sizes, whole
+        if not whole.all():
             return self._encode(side, segments, 1)
         ends = np.searchsorted(np.cumsum(self.covers[side][ids]), np.cumsum(pc.binary_length(segments).to_numpy())) + 1
-        return ids, np.diff(ends, prepend=0).astype(np.int64), np.ones(len(held), bool)
+        return ids, np.diff(ends, prepend=0).astype(np.int64), np.ones(len(segments), bool)
 
     def _learn(self, fresh: pa.Array) -> None:
         """Segments that end in what may be white space, which others could join, and those with B's marker go alone."""
-        alone = ~_clear(fresh) | np.array(pc.match_substring(fresh, SPACE_MARK))
-        for these, together in ((fresh.filter(pa.array(~alone)), TOGETHER), (fresh.filter(pa.array(alone)), 1)):
-            if len(these):
-                both = [self._encode(side, these, together) for side in (A, B)]
-                for side, (ids, length, _) in enumerate(both):
-                    self.begin[side] = np.concatenate([self.begin[side], len(self.bank[side]) + np.cumsum(length) - length])
-                    self.length[side] = np.concatenate([self.length[side], length])
-                    self.bank[side] = np.concatenate([self.bank[side], ids])
-                self.whole = np.concatenate([self.whole, both[A][2] & both[B][2]])
-                self.names.update(zip(these.to_pylist(), range(len(self.names), len(self.names) + len(these)), strict=True))
+        alone, n = ~_clear(fresh) | np.array(pc.match_substring(fresh, SPACE_MARK)), len(self.whole)
+        self.whole = np.concatenate([self.whole, np.ones(len(fresh), bool)])
+        for side in (A, B):
+            held, size = [self.bank[side]], len(self.bank[side])
+            begin, length = np.zeros((2, len(fresh)), np.int64)
+            for mine, together in ((~alone, TOGETHER), (alone, 1)):
+                if mine.any():
+                    ids, length[mine], whole = self._encode(side, fresh.filter(pa.array(mine)), together)
+                    begin[mine] = size + np.cumsum(length[mine]) - length[mine]
+                    self.whole[n:][mine] &= whole
+                    held.append(ids)
+                    size += len(ids)
+            self.begin[side], self.length[side] = np.concatenate([self.begin[side], begin]), np.concatenate([self.length[side], length])
+            self.bank[side] = np.concatenate(held)
 
     def of(self, texts: pa.Array) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
         """Whether each text has tokens that spell it on both sides, and for each side all ids and where each text's begin."""
-        if len(self.names) > REMEMBERED:
+        if len(self.known) > REMEMBERED:
             self._forget()
         segments, ends = segments_of(texts)
-        coded = segments.dictionary_encode()
-        names = coded.dictionary.to_pylist()
-        known = np.array([s in self.names for s in names], bool)
-        self._learn(coded.dictionary.filter(pa.array(~known)))
-        at = np.array([self.names[s] for s in names], np.int64)[coded.indices.to_numpy()] if names else np.zeros(0, np.int64)
+        n = len(self.known)
+        coded = pa.concat_arrays([self.known, segments]).dictionary_encode()  # what is known comes first, in order
+        at, self.known = coded.indices.to_numpy()[n:], coded.dictionary
+        self._learn(self.known.take(pa.array(np.arange(n, len(self.known)))))
+        self.slices = np.concatenate([self.slices, np.zeros(len(self.known) - n, np.int64)]) + (np.bincount(at, minlength=len(self.known)) > 0)
         bad = np.concatenate([[0], np.cumsum(~self.whole[at])])
         out = []
         for side in (A, B):
-            length = self.length[side][at]
-            sums = np.concatenate([[0], np.cumsum(length)])
-            out.append((self.bank[side][np.repeat(self.begin[side][at] - sums[:-1], length) + np.arange(sums[-1])], sums[ends]))
+            ids, sums = self._ids(side, at)
+            out.append((ids, sums[ends]))
         return np.diff(bad[ends]) == 0, out
 
 

@@ -214,6 +214,22 @@ def test_tokens_are_made_of_few_strings_at_once(models):
         assert [ids[at[i] : at[i + 1]].tolist() for ids, at in sides] == [ids.tolist() for ids, _ in alone]
 
 
+def test_segments_of_most_slices_stay_remembered(models, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(align, "REMEMBERED", 40)
+    tokens, learnt = align.Tokens(*models), Counter()
+    real = tokens._learn
+    monkeypatch.setattr(tokens, "_learn", lambda fresh: learnt.update(fresh.to_pylist()) or real(fresh))
+    for i in range(20):
+        texts = pa.array([" ".join(f"{w} w{i}x{j}" for j, w in enumerate(("alpha", "don't", "é", "ß\u3000x", "▁y"))), "", "a\n \x00"], pa.large_string())
+        fine, sides = tokens.of(texts)
+        plain, theirs = align.Tokens(*models).of(texts)
+        assert fine.tolist() == plain.tolist() == [False, True, True]  # the marker is read as a space
+        assert [x.tolist() for side in sides for x in side] == [x.tolist() for side in theirs for x in side]
+    assert len(learnt) > 100 and max(learnt.values()) == 1
+
+
 def test_lists_are_sliced_by_their_bytes():
     import pyarrow as pa
 
