@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .. import policy
 
+#: What Unicode calls white space; Python's own strip() takes four control characters more.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
 
 def strip(c: Column) -> Column:
     """Without Unicode white space at both ends; a text that has none there is not searched for it."""

@@ -17,10 +17,10 @@ from ..operators import retrieval as R
 from ..operators.chunking import ARTICLE_FACTS, TRIAL_FACTS, all_chunks, chunk_articles, chunk_trials, enrich_chunks
 from ..operators.flatten import with_identifier
 from ..operators.governance import blocked_report, check_role, deidentify, phi_summary, redact_queries
-from ..operators.index import ChunkStore, check_dimensions, embed, encoder_width, index_stats, posted_stats, postings, term_stats
+from ..operators.index import ChunkStore, check_dimensions, encoder_width, index_stats, posted_stats, postings, term_stats, vectors_of, write_entries
 from ..operators.quality import Gate, clean_rows, enforce, graded_once, rejected_rows
 from ..operators.retrieval import few
-from ..scratch import DENSE, lent, scratch
+from ..scratch import lent, scratch, swept
 from ..sources.files import land_raw, quarantine
 from ..sources.folders import create, drop, found
 from ..sources.journal import Audit, Lineage
@@ -131,13 +131,13 @@ def build_index(
         if audit is not None:
             payload = F.to_json(F.struct("chunk_id", "phi_types"))
             audit.log_rows(blocked.select(payload.alias("payload")), "pipeline", "data_engineer", "VECTOR_INSERT_BLOCKED")
-        chunks = ChunkStore(spark, f"{at}/chunks", buckets).write(gated.filter("NOT _gated").drop("_gated"))
-    embed(chunks.select("chunk_id", "text"), encoder).select("chunk_id", "vector").write.options(**DENSE).parquet(f"{at}/vectors")
-    index_stats(spark.read.parquet(f"{at}/vectors")).write.parquet(f"{at}/dims")
-    postings(chunks).write.options(**DENSE).parquet(f"{at}/postings")
-    posted_stats(spark.read.parquet(f"{at}/postings")).write.parquet(f"{at}/stats")
-    stats = spark.read.parquet(f"{at}/stats")
-    term_stats(spark.read.parquet(f"{at}/postings"), stats.select("n")).write.parquet(f"{at}/terms")
+        admitted = gated.filter("NOT _gated").drop("_gated")
+        chunks = ChunkStore(spark, f"{at}/chunks", buckets).write(admitted)
+        dims, stats = write_entries(admitted, f"{at}/entries", encoder)  # in order of records, whose chunks share most terms
+    dims.write.parquet(f"{at}/dims")
+    stats.write.parquet(f"{at}/stats")
+    with swept(spark):
+        term_stats(spark.read.parquet(f"{at}/entries"), stats.select("n")).write.parquet(f"{at}/terms")
     create(spark, f"{path.rstrip('/')}/ready/{old + 1:08d}")
     if old >= 0:
         for gone in (f"ready/{old:08d}", f"{old:08d}"):
@@ -169,7 +169,9 @@ class Index:
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> Index:
         at = f"{path.rstrip('/')}/{_generation(spark, path):08d}"
-        return cls(ChunkStore(spark, f"{at}/chunks").read(), *(spark.read.parquet(f"{at}/{t}") for t in ("vectors", "postings", "terms", "stats", "dims")))
+        entries = spark.read.parquet(f"{at}/entries")
+        held = ChunkStore(spark, f"{at}/chunks").read(), vectors_of(entries), entries.select("chunk_id", "doc_len", "terms")
+        return cls(*held, *(spark.read.parquet(f"{at}/{t}") for t in ("terms", "stats", "dims")))
 
     @classmethod
     def over(cls, chunks: DataFrame) -> Index:

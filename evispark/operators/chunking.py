@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.splitting import OVERLAP, SIZE, split_text, with_overlap
-from ..functions.text import blank, exploded, number_text, strip
+from ..functions.splitting import OVERLAP, SIZE, split_rows
+from ..functions.text import blank, number_text
 
 
 #: What the key of a record without id begins with.
@@ -29,21 +29,20 @@ def _chunks(df: DataFrame, record_id: Column, source: str, header: Column, secti
     A record without id has a key of its own in its chunks' ids, from its header and bodies; only records that are alike in all
     of these share it.
     """
-    listed = F.array(*[F.struct(F.lit(n).alias("section"), F.coalesce(c, F.lit("")).alias("body")) for n, c in sections.items()])
+    listed = F.array(*[F.struct(F.lit(n).alias("section"), F.lit(f"[{n.upper()}] ").alias("tag"), F.coalesce(c, F.lit("")).alias("body")) for n, c in sections.items()])
     parts = (
         df.select(*carry, record_id.alias("record_id"), _key(record_id, header, *sections.values()).alias("_key"), header.alias("_header"), F.explode(listed).alias("s"))
-        .select("*", "s.section", "s.body")
-        .drop("s")
+        .select("*", "s.section", "s.body", F.concat("_header", "s.tag").alias("_head"))
+        .drop("s", "_header")
         .filter(~blank(F.col("body")))
     )
-    pieces = parts.withColumn("_pieces", split_text(F.col("body"), size)).drop("body").withColumn("_pieces", with_overlap("_pieces", overlap))
-    return exploded(pieces, "_pieces", "chunk_index", "_piece").select(
+    return split_rows(parts, "body", size, overlap, "_head").select(
         F.concat_ws("::", "_key", "section", F.col("chunk_index").cast("string")).alias("chunk_id"),
         F.lit(source).alias("source_type"),
         "record_id",
         "section",
         "chunk_index",
-        strip(F.concat("_header", F.lit("["), F.upper("section"), F.lit("] "), "_piece")).alias("text"),
+        F.col("_piece").alias("text"),
         *carry,
     )
 

@@ -16,6 +16,21 @@ from .sources.folders import drop
 DENSE = {"compression": "zstd"}
 
 
+#: Whether Spark lets the shuffle files of a query go when that is done; else they stay until the driver's garbage is collected.
+SWEEP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """What is written in the block leaves no shuffle files behind; each write plans its own, so none is missed later."""
+    before = spark.conf.get(SWEEP, None)
+    spark.conf.set(SWEEP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(SWEEP) if before is None else spark.conf.set(SWEEP, before)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A new path under spark.checkpoint.dir. Only a local session without that setting, as in tests, gets a folder of
     its own; executors of a cluster would each write to their own disk there, so that is an error."""
@@ -31,7 +46,8 @@ def new_path(spark: SparkSession, name: str) -> str:
 def scratch(df: DataFrame, name: str) -> DataFrame:
     """Write and read again: what is used several times is computed once, and lineage ends here."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with swept(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -40,7 +56,8 @@ def lent(df: DataFrame, name: str) -> Iterator[DataFrame]:
     """Write and read again for as long as the block lasts; what is made of the table is written by then, and the table goes."""
     path = new_path(df.sparkSession, name)
     try:
-        df.write.options(**DENSE).parquet(path)
+        with swept(df.sparkSession):
+            df.write.options(**DENSE).parquet(path)
         yield df.sparkSession.read.schema(df.schema).parquet(path)
     finally:
         drop(df.sparkSession, path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +31,7 @@ def number(written: DataFrame, name: str) -> tuple[DataFrame, int]:
     for r in written.groupBy(task.alias("_task")).agg(F.count("*").alias("_size")).orderBy("_task").collect():  # a row for each task
         begins.append((r["_task"], size))
         size += r["_size"]
-    table = written.sparkSession.createDataFrame(begins, "_task long, _begin long")
+    table = written.sparkSession.createDataFrame(pa.table(list(zip(*begins)) or [[], []], pa.schema([("_task", pa.int64()), ("_begin", pa.int64())])))  # no Python worker reads it
     return written.withColumn("_task", task).join(table, "_task").withColumn(name, F.col("_begin") + at).drop("_task", "_begin", "_n"), size
 
 

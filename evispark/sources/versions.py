@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import COMMIT, parsed
-from ..scratch import DENSE, scratch
+from ..scratch import DENSE, scratch, swept
 from .folders import drop, found
 
 
@@ -96,7 +96,8 @@ class VersionedTable:
         version = max(names) + 1 if mode == "append" and names else 0
         old, generation = generation, generation if mode == "append" and names else generation + 1
         counted = Observation()
-        df.observe(counted, F.count(F.lit(1)).alias("n")).write.mode("overwrite").options(**DENSE).parquet(f"{self.path}/rows/{generation:08d}/{version:08d}")
+        with swept(self.spark):
+            df.observe(counted, F.count(F.lit(1)).alias("n")).write.mode("overwrite").options(**DENSE).parquet(f"{self.path}/rows/{generation:08d}/{version:08d}")
         row = (version, self.clock(), operation, batch_id, mode, counted.get["n"], schema.json())
         log = self.spark.createDataFrame([row], parsed(COMMIT)).coalesce(1).write.mode("overwrite")
         log.json(f"{self.path}/log/{generation:08d}/{version:08d},{_label(operation, batch_id)}")

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.quality import BatchHalted, Gate, clean_rows, grade, rejected_rows, verdict
 from ..schemas import ENVELOPE, parsed
-from ..scratch import DENSE, lent
+from ..scratch import DENSE, lent, swept
 from ..sources.files import quarantine
 from ..sources.folders import found
 from ..sources.numbers import Numbers, arrivals, number
@@ -49,7 +49,8 @@ def from_envelope(events: DataFrame, schema: T.StructType) -> DataFrame:
 
 def publish(events: DataFrame, path: str) -> None:
     """Append events under their topic's folder."""
-    events.write.mode("append").options(**DENSE).partitionBy("topic").parquet(path)
+    with swept(events.sparkSession):
+        events.write.mode("append").options(**DENSE).partitionBy("topic").parquet(path)
 
 
 def publish_rows(rows: DataFrame, path: str, topic: str, source: str, event_time: Column | None = None) -> int:
