@@ -30,15 +30,16 @@ def event_id(topic: str, source: str, seq: Column, digits: int = 10) -> Column:
     return F.concat(F.lit("EVT_"), F.upper(F.substring(F.md5(F.concat(F.lit(topic), seq.cast("string"), F.lit(source))), 1, digits)))
 
 
-def to_envelope(df: DataFrame, topic: str, source: str, seq: str, event_time: Column | None = None) -> DataFrame:
-    """Rows as immutable events; ``seq`` counts from 0 within the topic and is its offset, the payload is the row as JSON."""
+def to_envelope(df: DataFrame, topic: str, source: str, seq: str, event_time: Column | None = None, payload: list[str] | None = None) -> DataFrame:
+    """Rows as immutable events; ``seq`` counts from 0 within the topic and is its offset, the payload is the row as JSON, or the
+    columns of it that are named."""
     return df.select(
         event_id(topic, source, F.col(seq)).alias("event_id"),
         (F.current_timestamp() if event_time is None else event_time).alias("event_time"),
         F.lit(topic).alias("topic"),
         F.col(seq).cast("long").alias("offset"),
         F.lit(source).alias("source_system"),
-        F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("payload"),
+        F.to_json(F.struct(*(payload or df.columns)), {"ignoreNullFields": "false"}).alias("payload"),
     )
 
 
@@ -63,16 +64,10 @@ def publish_rows(rows: DataFrame, path: str, topic: str, source: str, event_time
     with lent(arrivals(rows), "arrivals") as written:
         held, n = number(written, "_offset")
         first = numbers.reserve(n)
-        enveloped = to_envelope(held.withColumn("_offset", F.col("_offset") + F.lit(first)), topic, source, "_offset", event_time)
-        publish(enveloped.withColumn("payload", _without("_offset")), path)
+        publish(to_envelope(held.withColumn("_offset", F.col("_offset") + F.lit(first)), topic, source, "_offset", event_time, rows.columns), path)
     return first + n
 
 
-def _without(field: str) -> Column:
-    """The payload without its last field."""
-    return F.regexp_replace("payload", rf',?"{field}":\d+\}}$', "}")
-
-
 def topic_counts(events: DataFrame) -> DataFrame:
     return events.groupBy("topic").agg(F.count("*").alias("published"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -20,6 +21,8 @@ from evispark.jobs.workloads import Index, build_index
 from evispark.operators import index
 from evispark.policy import GATED_FAMILIES, PHI_PATTERNS
 from evispark.scratch import lent, scratch
+from evispark.sources.numbers import counted_in_order
+from evispark.streaming import events as ev
 
 ODD = ["", " ", "\x1c ", "a", "İI Kelvin K ſ straße 12", " x　", "one. two\n\nthree", "aaa " * 50, "tail\x1f", None, "᠎b ", "12AB-cd_ef"]
 
@@ -147,3 +150,22 @@ def test_gate_misses_nothing(spark, texts):
     for family in GATED_FAMILIES:
         full = full | F.col("t").rlike(unicode_words(PHI_PATTERNS[family]))
     assert df.filter(is_gated(F.col("t")) != full).count() == 0
+
+
+def test_numbers_of_tasks_need_no_worker_and_no_shuffle(spark):
+    rows = spark.range(1000).repartition(5)
+    held, n = counted_in_order(rows, "seq")
+    plan = held._jdf.queryExecution().executedPlan().toString()
+    assert "LocalTableScan" in plan and "BroadcastHashJoin" in plan and "ExistingRDD" not in plan
+    assert n == 1000 and sorted(r.seq for r in held.collect()) == list(range(1000))
+    empty, none = counted_in_order(rows.limit(0), "seq")
+    assert none == 0 and empty.columns == ["id", "seq"] and empty.count() == 0
+
+
+def test_published_payload_is_the_row(spark, tmp_path):
+    """Texts that look like the end of a payload stay as they are."""
+    texts = ['a,"_offset":7}', "", None, 'b"_offset":1}\n']
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").coalesce(1)
+    assert ev.publish_rows(rows, f"{tmp_path}/e", "x", "s") == 4
+    got = spark.read.parquet(f"{tmp_path}/e").orderBy("offset").collect()
+    assert [json.loads(r.payload) for r in got] == [{"i": i, "t": t} for i, t in enumerate(texts)] and [r.offset for r in got] == [0, 1, 2, 3]
