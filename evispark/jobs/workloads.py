@@ -22,7 +22,7 @@ from ..operators.quality import Gate, clean_rows, enforce, graded_once, rejected
 from ..operators.retrieval import few
 from ..scratch import lent, scratch, swept
 from ..sources.files import land_raw, quarantine
-from ..sources.folders import create, drop, found
+from ..sources.folders import create, drop, found, size
 from ..sources.journal import Audit, Lineage
 from ..sources.numbers import Numbers
 from ..sources.versions import VersionedTable, incremental_load, normalise_for_commit
@@ -32,6 +32,8 @@ from ..streaming.events import publish_rows
 Encoder = Callable[[Column], Column]
 #: Chunks that are looked up by name at most; more stand in nearly all buckets, and are found by a join alone.
 LOOKED_UP = 1_000
+#: Bytes of written chunks that are shuffled at once (in shuffle files they take some three times that), and rounds at most.
+ROUND, ROUNDS = 1 << 31, 8
 
 
 @dataclass
@@ -132,7 +134,8 @@ def build_index(
             payload = F.to_json(F.struct("chunk_id", "phi_types"))
             audit.log_rows(blocked.select(payload.alias("payload")), "pipeline", "data_engineer", "VECTOR_INSERT_BLOCKED")
         admitted = gated.filter("NOT _gated").drop("_gated")
-        chunks = ChunkStore(spark, f"{at}/chunks", buckets).write(admitted)
+        rounds = min(ROUNDS, 1 + size(spark, gated.inputFiles()) // ROUND)
+        chunks = ChunkStore(spark, f"{at}/chunks", buckets).write(admitted, rounds=rounds)
         dims, stats = write_entries(admitted, f"{at}/entries", encoder)  # in order of records, whose chunks share most terms
     dims.write.parquet(f"{at}/dims")
     stats.write.parquet(f"{at}/stats")

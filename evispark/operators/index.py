@@ -93,14 +93,20 @@ class ChunkStore:
             raise FileNotFoundError(f"no chunks at {self.path}")
         return self._table(generation, buckets)
 
-    def write(self, chunks: DataFrame, reset: bool = False) -> DataFrame:
-        """Write chunks and give those that are there then; with ``reset`` those from before go."""
+    def write(self, chunks: DataFrame, reset: bool = False, rounds: int = 1) -> DataFrame:
+        """Write chunks and give those that are there then; with ``reset`` those from before go.
+
+        A new generation can be written in ``rounds``, each with its share of the buckets, so that no more than that share of the texts
+        is in shuffle files at once; ``chunks`` are read for each.
+        """
         old, kept = self._ready()
         if reset or old < 0:
             generation, buckets = old + 1, self.buckets
             drop(self.spark, self._at(generation))  # what a failed reset has left
             self.spark.sql(f"DROP TABLE IF EXISTS {self._name(generation)}")
-            self._save(chunks, generation, buckets)
+            for i in range(rounds):
+                share = chunks if rounds == 1 else chunks.filter(F.pmod(F.hash("chunk_id"), F.lit(buckets)) % rounds == i)
+                self._save(share, generation, buckets)
             self._refuse(self._table(generation, buckets).groupBy("chunk_id").agg(F.count("*").alias("n")).filter("n > 1"))
             create(self.spark, f"{self.path}/ready/{generation}-{buckets}")
             if old >= 0:

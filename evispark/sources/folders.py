@@ -21,6 +21,15 @@ def drop(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def size(spark: SparkSession, files: list[str]) -> int:
+    """Bytes of files, as ``DataFrame.inputFiles`` names them."""
+    total = 0
+    for f in files:
+        p = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(f))
+        total += p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).getLen()
+    return total
+
+
 def create(spark: SparkSession, path: str) -> bool:
     """Make an empty file, if there is none; whether there was none."""
     p, fs = _at(spark, path)

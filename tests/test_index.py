@@ -17,6 +17,7 @@ from evispark.functions.phi import is_gated, unicode_words
 from evispark.functions.splitting import split_rows, split_text, with_overlap
 from evispark.functions.text import WHITE, strip, tokenize
 from evispark.functions.vectors import counted_terms, hash_embed
+from evispark.jobs import workloads
 from evispark.jobs.workloads import Index, build_index
 from evispark.operators import index
 from evispark.policy import GATED_FAMILIES, PHI_PATTERNS
@@ -169,3 +170,30 @@ def test_published_payload_is_the_row(spark, tmp_path):
     assert ev.publish_rows(rows, f"{tmp_path}/e", "x", "s") == 4
     got = spark.read.parquet(f"{tmp_path}/e").orderBy("offset").collect()
     assert [json.loads(r.payload) for r in got] == [{"i": i, "t": t} for i, t in enumerate(texts)] and [r.offset for r in got] == [0, 1, 2, 3]
+
+
+def test_store_in_rounds(spark, tmp_path):
+    rows = spark.range(500).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("chunk_id"), F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    store = index.ChunkStore(spark, f"{tmp_path}/c", 7)
+    written = store.write(rows, rounds=3)
+    assert sorted(map(tuple, written.collect())) == sorted(map(tuple, rows.collect()))
+    assert len(written.inputFiles()) == 7  # one file a bucket
+    plan = rows.select("chunk_id").hint("shuffle_hash").join(written, "chunk_id")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1  # what is joined moves, chunks don't
+    twice = index.ChunkStore(spark, f"{tmp_path}/d", 7)
+    with pytest.raises(index.DuplicateChunks):
+        twice.write(rows.unionAll(rows.limit(1)), rounds=3)
+    assert store.write(rows.limit(2), reset=True, rounds=20).count() == 2
+
+
+def test_large_index_is_shuffled_in_rounds(spark, tmp_path, monkeypatch):
+    t, a = _records(spark, 30)
+    asked = []
+    write = index.ChunkStore.write
+    monkeypatch.setattr(index.ChunkStore, "write", lambda self, chunks, **k: asked.append(k["rounds"]) or write(self, chunks, **k))
+    whole, _ = build_index(t, a, f"{tmp_path} ä/a", ("x", "y"))
+    monkeypatch.setattr(workloads, "ROUND", 2000)
+    parts, _ = build_index(t, a, f"{tmp_path} ä/b", ("x", "y"))
+    assert asked[0] == 1 and asked[1] > 1
+    assert sorted(map(tuple, parts.collect())) == sorted(map(tuple, whole.collect()))
+    assert build_index(t.limit(0), a.limit(0), f"{tmp_path}/none", ("x", "y"))[0].count() == 0
